@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat_format, exact_dedup
+from . import chat_format, exact_dedup, token_planes
 
 QUERIES = {
     "op2_chat_format": chat_format.query,
+    "op3_token_planes": token_planes.query,
     "op5_exact_dedup": exact_dedup.query,
 }
 
