@@ -44,6 +44,7 @@ class Merge:
         for b in batches:
             if not b.num_rows:
                 continue
+            b = pa.RecordBatch.from_arrays(b.columns, schema=pa.schema([f.with_nullable(True) for f in b.schema]))
             t = pa.Table.from_batches([b if held is None else pa.concat_batches([held, b])])
             merged = merge_equal(t.combine_chunks().to_batches()[0])
             held = merged.slice(merged.num_rows - 1)
@@ -72,7 +73,8 @@ def merge_equal(b: pa.RecordBatch) -> pa.RecordBatch:
     best = last[np.append(np.flatnonzero(np.diff(group[last])), n - 1)]
     copies = np.add.reduceat(b.column("copies").to_numpy(zero_copy_only=False), first)
     out = b.take(pa.array(best))
-    return out.set_column(out.schema.get_field_index("copies"), "copies", pa.array(copies, pa.int64()))
+    columns = [pa.array(copies, pa.int64()) if n == "copies" else out.column(n) for n in b.schema.names]
+    return pa.RecordBatch.from_arrays(columns, schema=pa.schema([f.with_nullable(True) for f in b.schema]))
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
