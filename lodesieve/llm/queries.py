@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, chat_format, exact_dedup, language_gru, pii_crf, secret_scan, token_planes
+from . import byte_bpe, chat_format, decontaminate, exact_dedup, language_gru, pii_crf, secret_scan, token_planes
 
 QUERIES = {
     "op1_secret_scan": secret_scan.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_token_planes": token_planes.query,
     "op5_exact_dedup": exact_dedup.query,
     "op6_language_gru": language_gru.query,
+    "op7_decontaminate": decontaminate.query,
     "op8_pii_crf": pii_crf.query,
     "op10_byte_bpe": byte_bpe.query,
 }
