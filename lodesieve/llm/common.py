@@ -119,3 +119,12 @@ def unpack(blob: bytes, *types: str) -> list[np.ndarray]:
 
 def rows(schema: pa.Schema, **columns: Iterable) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, schema.field(n).type) for n, c in columns.items()], schema=pa.schema([schema.field(n) for n in columns]))
+
+
+def plain(f: Callable[[pa.Table], pa.Table]):
+    """f as a function without annotations, as applyInArrow wants it."""
+
+    def call(table):
+        return f(table)
+
+    return call

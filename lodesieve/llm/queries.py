@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, chat_format, decontaminate, exact_dedup, language_gru, pii_crf, secret_scan, token_planes
+from . import byte_bpe, chat_format, decontaminate, exact_dedup, jaccard_join, language_gru, pii_crf, secret_scan, token_planes
 
 QUERIES = {
     "op1_secret_scan": secret_scan.query,
     "op2_chat_format": chat_format.query,
     "op3_token_planes": token_planes.query,
+    "op4_jaccard_join": jaccard_join.query,
     "op5_exact_dedup": exact_dedup.query,
     "op6_language_gru": language_gru.query,
     "op7_decontaminate": decontaminate.query,
