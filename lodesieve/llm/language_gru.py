@@ -194,6 +194,26 @@ def language_id(docs: DataFrame, net: Network | None, window: int = 128) -> Data
     return map_batches(rows, Predict(net, window), SCHEMA)
 
 
+class Keep:
+    """Whole rows of the documents that are in a language, by the same prediction."""
+
+    def __init__(self, predict: Predict, least: float):
+        self.predict, self.least = predict, least
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in slices(whole, "text", 1 << 19):
+                rows = pa.RecordBatch.from_arrays([b.column("doc_id"), pa.nulls(b.num_rows, pa.bool_()), b.column("text")], ["doc_id", "held_out", "text"])
+                found = self.predict.one(rows)
+                yield b.filter(pa.array([v != "und" and s >= self.least for v, s in zip(found.column("lang_pred").to_pylist(), found.column("score").to_pylist(), strict=True)], pa.bool_()))
+
+
+def in_a_language(docs: DataFrame, net: Network | None, margin: float = 1.1, window: int = 128) -> DataFrame:
+    """docs, all columns, without rows of no language: those predicted ``und``, or whose best language has less than margin times an even share."""
+    least = margin / max(1, len(net.languages)) if net is not None and len(net.languages) > 1 else 0.0
+    return map_batches(docs, Keep(Predict(net, window), least), docs.schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return language_id(docs, train(*sample(docs)))
