@@ -200,7 +200,7 @@ def encoded(codec: Codec, b: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(id_digest, pa.string()), pa.array(text_digest, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
-def byte_bpe(docs: DataFrame, path: str, pattern: str, most: int = 400_000, long: int = 128) -> DataFrame:
+def byte_bpe(docs: DataFrame, path: str, pattern: str, most: int = 1_000_000, long: int = 128) -> DataFrame:
     """docs: doc_id, text. One row each: tokens, and digests of the ids and of what they decode to."""
     return map_batches(docs.select("doc_id", "text"), Encode(path, pattern, most, long), SCHEMA)
 
