@@ -1,6 +1,535 @@
-"""The registered queries and their DuckDB SQL."""
+"""The registered queries and their DuckDB SQL. Secrets are planted by the queries themselves, by the same expression on both sides."""
 
 from __future__ import annotations
 
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import attachments, geometry, jsonwalk, metrics, parts, policy, scan, spans, verdicts
+from ..sources.rules import DEFAULT_RULES, Rule, fingerprint
+from ..streaming import inspect as streaming
+
+GITHUB = [r for r in DEFAULT_RULES if r.id == "github-pat"]
+SHAPES = [r for r in DEFAULT_RULES if r.id in ("github-pat", "aws-access-token", "stripe-access-token", "openrouter-api-key")]
+TOKEN = Rule("custom-token", r'token = "[0-9a-f]{40}"', ("token",))
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def hexed(c: str, n: int):
+    return F.substring(F.sha2(F.col(c).cast("string"), 256), 1, n)
+
+
+def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a GitHub-shaped token at the end."""
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.concat("text", F.lit(" ghp_"), hexed("doc_id", 36)).alias("text"))
+
+
+def many_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with one of five endings by doc_id: four kinds of secret, or none."""
+    d = table(spark, sf_dir, "documents")
+    h = F.sha2(F.col("doc_id").cast("string"), 256)
+    k = F.col("doc_id") % 5
+    tail = (
+        F.when(k == 0, F.concat(F.lit(" ghp_"), F.substring(h, 1, 36))).when(k == 1, F.concat(F.lit(" AKIA"), F.substring(F.translate(h, "0189abcdef", "QRSTUVWXYZ"), 1, 16)))
+        .when(k == 2, F.concat(F.lit(" sk_live_"), F.substring(h, 1, 24))).when(k == 3, F.concat(F.lit(" sk-or-v1-"), h)).otherwise(F.lit(""))
+    )
+    return d.select("doc_id", "source", F.concat("text", tail).alias("text"))
+
+
+PLANTED = "planted AS (SELECT doc_id, text || ' ghp_' || substr(sha256(doc_id::VARCHAR), 1, 36) AS text FROM documents)"
+MANY = """many AS (SELECT doc_id, source, text || CASE doc_id % 5 WHEN 0 THEN ' ghp_' || substr(sha256(doc_id::VARCHAR), 1, 36)
+  WHEN 1 THEN ' AKIA' || substr(translate(sha256(doc_id::VARCHAR), '0189abcdef', 'QRSTUVWXYZ'), 1, 16)
+  WHEN 2 THEN ' sk_live_' || substr(sha256(doc_id::VARCHAR), 1, 24) WHEN 3 THEN ' sk-or-v1-' || sha256(doc_id::VARCHAR) ELSE '' END AS text FROM documents)"""
+GHP = r"\bghp_[A-Za-z0-9]{36}\b"
+
+
+# Detection ----------------------------------------------------------------------------------
+
+@query(f"""WITH {PLANTED} SELECT doc_id, 'github-pat' AS rule, strlen(text) - 40 AS start_byte, strlen(text) AS end_byte,
+  sha256(regexp_replace(text, '{GHP}', '[REDACTED:github-pat]', 'g')) AS redacted_sha256 FROM planted""")
+def scan_single_rule(spark, sf_dir):
+    d = planted(spark, sf_dir).withColumn("found", scan.scan(F.col("text"), GITHUB))
+    red = F.sha2(spans.redact(F.col("text"), F.col("found")), 256)
+    rows = d.select("doc_id", red.alias("redacted_sha256"), F.explode("found").alias("f"))
+    return rows.select("doc_id", F.col("f.rule").alias("rule"), F.col("f.start").cast("bigint").alias("start_byte"), F.col("f.end").cast("bigint").alias("end_byte"), "redacted_sha256")
+
+
+@query(f"""WITH {MANY}, f AS (
+  SELECT 'github-pat' AS rule, unnest(regexp_extract_all(text, '{GHP}')) AS s FROM many UNION ALL
+  SELECT 'aws-access-token', unnest(regexp_extract_all(text, '\\bAKIA[A-Z2-7]{{16}}\\b')) FROM many UNION ALL
+  SELECT 'stripe-access-token', unnest(regexp_extract_all(text, '\\bsk_live_[A-Za-z0-9]{{24}}\\b')) FROM many UNION ALL
+  SELECT 'openrouter-api-key', unnest(regexp_extract_all(text, '\\bsk-or-v1-[A-Fa-f0-9]{{64}}\\b')) FROM many)
+SELECT rule, count(*) AS n, count(DISTINCT s) AS n_secrets FROM f GROUP BY rule""")
+def scan_counts_by_rule(spark, sf_dir):
+    f = scan.find(many_planted(spark, sf_dir), ["doc_id"], "text", SHAPES)
+    return f.groupBy("rule").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("secret").alias("n_secrets"))
+
+
+@query("""SELECT doc_id, sha256(s) AS digest FROM (SELECT doc_id, unnest(regexp_extract_all(text, 'token = "[0-9a-f]{40}"')) AS s FROM documents)""")
+def custom_token_rule(spark, sf_dir):
+    return scan.find(table(spark, sf_dir, "documents"), ["doc_id"], "text", [TOKEN]).select("doc_id", T.digest(F.col("secret")).alias("digest"))
+
+
+@query("""SELECT source, count(*) AS n, count(*) FILTER (contains(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'token')) AS gated,
+  count(*) FILTER (contains(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'the')) AS common FROM documents GROUP BY source""")
+def keyword_gate_selectivity(spark, sf_dir):
+    text = F.col("text")
+    return table(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_if(T.contains_any(text, ["token"])).alias("gated"), F.count_if(T.contains_any(text, ["The"])).alias("common"))
+
+
+@query(f"""WITH {PLANTED}, f AS (SELECT doc_id, unnest(regexp_extract_all(text, '{GHP}')) AS s FROM planted),
+carnet AS (SELECT sha256('ghp_' || substr(sha256(doc_id::VARCHAR), 1, 36)) AS hash FROM documents WHERE doc_id % 2 = 0)
+SELECT doc_id, sha256(s) AS digest FROM f WHERE sha256(s) NOT IN (SELECT hash FROM carnet)""")
+def allowlist_hash_anti(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    carnet = d.where("doc_id % 2 = 0").select(T.digest(F.concat(F.lit("ghp_"), hexed("doc_id", 36))).alias("hash"))
+    f = scan.without_hashes(scan.find(planted(spark, sf_dir), ["doc_id"], "text", GITHUB), carnet)
+    return f.select("doc_id", T.digest(F.col("secret")).alias("digest"))
+
+
+@query(f"""WITH {PLANTED}, f AS (SELECT doc_id, unnest(regexp_extract_all(text, '{GHP}')) AS s FROM planted)
+SELECT doc_id, s AS secret FROM f WHERE s NOT IN (SELECT 'ghp_' || substr(sha256(doc_id::VARCHAR), 1, 36) FROM documents WHERE doc_id % 3 = 0)""")
+def allowlist_stopword_anti(spark, sf_dir):
+    words = table(spark, sf_dir, "documents").where("doc_id % 3 = 0").select(F.concat(F.lit("ghp_"), hexed("doc_id", 36)).alias("word"))
+    return scan.without_stopwords(scan.find(planted(spark, sf_dir), ["doc_id"], "text", GITHUB), words).select("doc_id", "secret")
+
+
+@query(f"""WITH {PLANTED}, f AS (SELECT doc_id, unnest(regexp_extract_all(text, '{GHP}')) AS s FROM planted),
+c AS (SELECT doc_id, s, ch, count(*) AS k FROM (SELECT doc_id, s, unnest(string_split(s, '')) AS ch FROM f) GROUP BY ALL),
+e AS (SELECT doc_id, s, -sum(k / length(s)::DOUBLE * log2(k / length(s)::DOUBLE)) AS h FROM c GROUP BY ALL)
+SELECT doc_id, round(h, 6) AS entropy FROM e WHERE h > 3.9""")
+def entropy_filter(spark, sf_dir):
+    rule = Rule("github-pat", GITHUB[0].regex, GITHUB[0].keywords, 3.9)
+    f = scan.above_entropy(scan.find(planted(spark, sf_dir), ["doc_id"], "text", [rule]), [rule])
+    return f.select("doc_id", F.round(T.entropy(F.col("secret")), 6).alias("entropy"))
+
+
+@query(f"""WITH {MANY}, f AS (SELECT doc_id, 'github-pat' AS rule, 1 AS n FROM many WHERE regexp_matches(text, '{GHP}')
+  UNION ALL SELECT doc_id, 'custom-token', len(regexp_extract_all(text, 'token = "[0-9a-f]{{40}}"')) FROM many WHERE contains(text, 'token = "'))
+SELECT doc_id, string_agg(rule, ',' ORDER BY rule) AS rules FROM f WHERE n > 0 GROUP BY doc_id""")
+def unique_rules(spark, sf_dir):
+    f = many_planted(spark, sf_dir).select("doc_id", F.transform(scan.scan(F.col("text"), [*GITHUB, TOKEN]), lambda x: x["rule"]).alias("r")).where(F.size("r") > 0)
+    return f.select("doc_id", F.array_join(spans.unique_rules(F.col("r")), ",").alias("rules"))
+
+
+@query("""WITH h AS (SELECT doc_id, strlen(text) AS n, sha256(doc_id::VARCHAR) AS h FROM documents)
+SELECT doc_id, 'jwt' AS rule, (n + 2)::INT AS start, (n + 75)::INT AS "end", sha256('ey' || substr(h, 1, 20) || '.ey' || substr(h, 21, 24) || '.' || substr(h, 45, 20)) AS digest FROM h""")
+def wrapped_tokens(spark, sf_dir):
+    """Tokens of three base64url parts, broken by a line end and blanks inside every document."""
+    d = table(spark, sf_dir, "documents")
+    h = F.sha2(F.col("doc_id").cast("string"), 256)
+    body = F.concat(F.lit("ey"), F.substring(h, 1, 20), F.lit("."), F.lit("ey"), F.substring(h, 21, 14), F.lit("\n  "), F.substring(h, 35, 10), F.lit("."), F.substring(h, 45, 20))
+    d = d.select("doc_id", F.concat("text", F.lit(" '"), body, F.lit("' after")).alias("text"))
+    rule = next(r for r in DEFAULT_RULES if r.id == "jwt")
+    return scan.wrapped_tokens(d, ["doc_id"], "text", rule).select("doc_id", "rule", "start", "end", T.digest(F.col("secret")).alias("digest"))
+
+
+@query("SELECT source, count(*) AS n, count(DISTINCT sha256(source)) AS profiles FROM documents GROUP BY source")
+def profile_fingerprint(spark, sf_dir):
+    """Each source's allowlist gives its own profile; the order of hashes does not matter."""
+    d = table(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    base = fingerprint(DEFAULT_RULES)
+    return d.groupBy("source", "n").agg(F.countDistinct(F.sha2(F.concat(F.lit(base), "source"), 256)).alias("profiles"))
+
+
+# Redaction ----------------------------------------------------------------------------------
+
+SPANS = """WITH f AS (SELECT l_orderkey AS unit, (l_partkey % 50)::INT AS start_at, (l_partkey % 50 + l_quantity)::INT AS end_at, 'r' || l_linenumber AS rule FROM lineitem)"""
+
+
+@query(SPANS + """, g AS (SELECT *, CASE WHEN coalesce(max(end_at) OVER (PARTITION BY unit ORDER BY start_at, end_at DESC, rule ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) <= start_at THEN 1 ELSE 0 END AS fresh FROM f),
+i AS (SELECT *, sum(fresh) OVER (PARTITION BY unit ORDER BY start_at, end_at DESC, rule ROWS UNBOUNDED PRECEDING) AS island FROM g)
+SELECT unit, min(start_at) AS start_at, max(end_at) AS end_at, first(rule ORDER BY start_at, end_at DESC, rule) AS rule FROM i GROUP BY unit, island""")
+def span_merge_islands(spark, sf_dir):
+    f = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("unit"), (F.col("l_partkey") % 50).cast("int").alias("start"), (F.col("l_partkey") % 50 + F.col("l_quantity")).cast("int").alias("end"), F.concat(F.lit("r"), "l_linenumber").alias("rule"))
+    m = spans.merge(f, ["unit"])
+    return m.select("unit", F.col("start").alias("start_at"), F.col("end").alias("end_at"), "rule")
+
+
+@query(f"""WITH {MANY} SELECT doc_id, sha256(regexp_replace(regexp_replace(text, '{GHP}', '[REDACTED:github-pat]', 'g'), 'token = "[0-9a-f]{{40}}"', '[REDACTED:custom-token]', 'g')) AS redacted_sha256 FROM many""")
+def redact_text(spark, sf_dir):
+    d = many_planted(spark, sf_dir)
+    rows = spans.redact_rows(d.select("doc_id", "text"), scan.find(d, ["doc_id"], "text", [*GITHUB, TOKEN]), ["doc_id"], "text")
+    return rows.select("doc_id", F.sha2("text", 256).alias("redacted_sha256"))
+
+
+@query("SELECT doc_id, true AS same FROM documents")
+def redact_idempotent(spark, sf_dir):
+    d = many_planted(spark, sf_dir).withColumn("once", spans.redact(F.col("text"), scan.scan(F.col("text"), SHAPES)))
+    return d.select("doc_id", (F.col("once") == spans.redact(F.col("once"), scan.scan(F.col("once"), SHAPES))).alias("same"))
+
+
+@query("""WITH p AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN text || ' -----BEGIN PRIVATE KEY-----' || chr(10) || 'AAAA' ELSE 'BBBB' || chr(10) || '-----END PRIVATE KEY----- ' || text END AS text,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, count(*) OVER (PARTITION BY conv_id) AS m FROM conversations)
+SELECT conv_id, turn, CASE WHEN n % 2 = 1 THEN strlen(text) - 32 ELSE 0 END AS start_byte, CASE WHEN n % 2 = 1 THEN strlen(text) ELSE 30 END AS end_byte FROM p""")
+def finding_clip_parts(spark, sf_dir):
+    """Keys that begin in one turn and end in the next."""
+    c = table(spark, sf_dir, "conversations")
+    even = F.concat("text", F.lit(" -----BEGIN PRIVATE KEY-----\nAAAA"))
+    odd = F.concat(F.lit("BBBB\n-----END PRIVATE KEY----- "), "text")
+    c = c.select("conv_id", "turn", F.when(F.col("turn") % 2 == 0, even).otherwise(odd).alias("text"))
+    rule = [r for r in DEFAULT_RULES if r.id == "private-key-fragment"]
+    f = parts.clipped_findings(c, "conv_id", "turn", "text", rule)
+    return f.select("conv_id", "turn", F.col("start").cast("bigint").alias("start_byte"), F.col("end").cast("bigint").alias("end_byte"))
+
+
+# JSON ---------------------------------------------------------------------------------------
+
+@query("""WITH b AS (SELECT doc_id, {'model': lang, 'input': [{'text': left(text, 50), 'n': n_chars}, {'text': source, 'n': doc_id}], 'deep': {'a': {'b': source}}}::JSON AS j FROM documents)
+SELECT doc_id, count(*) AS n_leaves, count(*) FILTER (type = 'VARCHAR') AS n_texts FROM (SELECT doc_id, unnest(ARRAY['VARCHAR','VARCHAR','NUM','VARCHAR','NUM','VARCHAR']) AS type FROM b) GROUP BY doc_id""")
+def json_leaves_recursive(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    part = lambda t, n: F.struct(t.alias("text"), n.alias("n"))
+    body = F.to_json(F.struct(F.col("lang").alias("model"), F.array(part(F.substring("text", 1, 50), F.col("n_chars")), part(F.col("source"), F.col("doc_id"))).alias("input"), F.struct(F.struct(F.col("source").alias("b")).alias("a")).alias("deep")))
+    rows = jsonwalk.leaf_rows(d.select("doc_id", body.alias("body")), ["doc_id"], "body", depth=5)
+    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_leaves"), F.count_if(~F.endswith("path", F.lit(".n"))).alias("n_texts"))
+
+
+@query("""SELECT event_id, CASE event_id % 4 WHEN 1 THEN 'bad_json' WHEN 2 THEN 'bad_json' ELSE NULL END AS error FROM events""")
+def json_strict_parse(spark, sf_dir):
+    """Bodies that repeat a key or have a tail are refused."""
+    k = F.col("event_id") % 4
+    body = F.when(k == 1, F.concat(F.lit('{"input":1,"input":'), "props", F.lit("}"))).when(k == 2, F.concat("props", F.lit(" x"))).otherwise(F.col("props"))
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("request_id"), body.alias("body"))
+    return jsonwalk.with_leaves(e).select(F.col("request_id").alias("event_id"), "error")
+
+
+def bodies(spark, sf_dir) -> DataFrame:
+    """Chat requests of the conversations' turns: tokens in texts, in tool arguments, in control fields, or none."""
+    c = table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("request_id"), "conv_id", "turn", "role", "text")
+    tok = F.concat(F.lit("ghp_"), F.substring(F.sha2("request_id", 256), 1, 36))
+    k = F.col("turn") % 4
+    text = F.when(k == 1, F.concat("text", F.lit(" "), tok)).otherwise(F.col("text"))
+    args = F.when(k == 2, F.to_json(F.struct(tok.alias("key"), F.lit(7).alias("number")))).otherwise(F.lit("{}"))
+    name = F.when(k == 3, F.concat(F.lit("f "), tok)).otherwise(F.lit("f"))
+    body = F.to_json(F.struct(F.lit("m").alias("model"), F.array(F.struct("role", text.alias("content"), F.struct(name.alias("name"), args.alias("arguments")).alias("function"))).alias("messages")))
+    return c.select("request_id", body.alias("body"))
+
+
+@query("""SELECT conv_id || '-' || turn AS request_id, CASE turn % 4 WHEN 0 THEN 'original' WHEN 3 THEN 'blocked' ELSE 'sanitized' END AS decision,
+  CASE turn % 4 WHEN 0 THEN 0 ELSE 1 END AS finding_count, CASE turn % 4 WHEN 0 THEN '' ELSE 'github-pat' END AS rule_ids, turn % 4 IN (1, 2) AS clean FROM conversations""")
+def request_decisions(spark, sf_dir):
+    """Whole requests: parsed strictly, scanned by leaf, rewritten, decided."""
+    r = bodies(spark, sf_dir)
+    seen = jsonwalk.inspect(r, GITHUB).join(r.withColumnRenamed("body", "original"), "request_id")
+    out = policy.decide(seen, "redact")
+    clean = F.coalesce((F.col("decision") == "sanitized") & ~F.contains("approved_body", F.lit("ghp_")) & F.contains("approved_body", F.lit("[REDACTED:github-pat]")), F.lit(False))
+    return out.select("request_id", "decision", "finding_count", F.array_join("rule_ids", ",").alias("rule_ids"), clean.alias("clean"))
+
+
+@query("""SELECT x.d AS decision, x.mode AS mode, count(*) AS n FROM (SELECT unnest([{'mode': 'redact', 'd': CASE turn % 4 WHEN 0 THEN 'original' WHEN 3 THEN 'blocked' ELSE 'sanitized' END},
+  {'mode': 'no-go', 'd': CASE turn % 4 WHEN 0 THEN 'original' ELSE 'blocked' END}, {'mode': 'advisory', 'd': 'original'}]) AS x FROM conversations) GROUP BY ALL""")
+def policy_modes(spark, sf_dir):
+    r = bodies(spark, sf_dir)
+    seen = jsonwalk.inspect(r, GITHUB)
+    out = None
+    for mode in policy.MODES:
+        one = seen.select(policy.decision(F.col("rules"), F.col("unsafe"), mode).alias("decision"), F.lit(mode).alias("mode"))
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy("decision", "mode").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT role, count(*) AS n, count(*) FILTER (turn % 4 = 3) AS unsafe FROM conversations GROUP BY role")
+def control_field_unsafe(spark, sf_dir):
+    r = bodies(spark, sf_dir)
+    seen = jsonwalk.inspect(r, GITHUB).select("unsafe", F.get_json_object("body", "$.messages[0].role").alias("role"))
+    return seen.groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.count_if("unsafe").alias("unsafe"))
+
+
+@query("SELECT conv_id || '-' || turn AS request_id, 'github-pat' AS rule_id FROM conversations WHERE turn % 4 <> 0")
+def finding_ids(spark, sf_dir):
+    return policy.finding_ids(jsonwalk.inspect(bodies(spark, sf_dir), GITHUB)).select("request_id", "rule_id")
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 17 = 0 THEN 503 WHEN event_id % 13 = 0 THEN 401 WHEN event_id % 11 = 0 THEN 415 WHEN event_id % 7 = 0 THEN 413 WHEN event_id % 5 = 0 THEN 400
+  WHEN event_id % 3 = 0 THEN 422 WHEN event_id % 2 = 0 THEN 409 WHEN event_id % 19 = 0 THEN 500 WHEN event_id % 23 = 0 THEN 502 ELSE 200 END AS status FROM events""")
+def status_order(spark, sf_dir):
+    m = lambda k: F.col("event_id") % k == 0
+    s = policy.status(admitted=~m(17), authorized=~m(13), encoded=m(11), too_large=m(7), malformed=m(5), failed=m(3), blocked=m(2), keyed=~m(19), reached=~m(23))
+    return table(spark, sf_dir, "events").select("event_id", s.alias("status"))
+
+
+# Attachments --------------------------------------------------------------------------------
+
+def files(spark, sf_dir) -> DataFrame:
+    """Documents as attachments: four kinds by doc_id."""
+    k = F.col("doc_id") % 4
+    head = F.when(k == 0, F.unhex(F.lit("255044462D"))).when(k == 1, F.unhex(F.lit("89504E47"))).when(k == 2, F.unhex(F.lit("FFD8FF"))).otherwise(F.unhex(F.lit("")))
+    return table(spark, sf_dir, "documents").select("doc_id", "source", F.concat(head, F.encode("text", "UTF-8")).alias("content"))
+
+
+@query("""SELECT doc_id, ['attachment.pdf', 'attachment.png', 'attachment.jpg', 'attachment.txt'][doc_id % 4 + 1] AS file_name,
+  ['data:application/pdf;base64,', 'data:image/png;base64,', 'data:image/jpeg;base64,', 'data:text/plain;base64,'][doc_id % 4 + 1] AS head,
+  sha256(to_base64(from_hex(['255044462D', '89504E47', 'FFD8FF', ''][doc_id % 4 + 1]) || encode(text))) AS payload FROM documents""")
+def attachment_classify(spark, sf_dir):
+    url = attachments.data_url(F.col("content"))
+    rows = files(spark, sf_dir).select("doc_id", attachments.file_name(F.col("content")).alias("file_name"), url.alias("u"))
+    return rows.select("doc_id", "file_name", F.expr("substring(u, 1, instr(u, ','))").alias("head"), F.sha2(F.expr("substring(u, instr(u, ',') + 1)"), 256).alias("payload"))
+
+
+@query(f"""WITH {PLANTED} SELECT doc_id, CASE WHEN doc_id % 3 = 1 THEN 'unsupported' END AS error, CASE WHEN doc_id % 3 = 1 THEN 0 ELSE 1 END AS n_rules,
+  CASE WHEN doc_id % 3 <> 1 THEN sha256(regexp_replace(text, '{GHP}', '[REDACTED:github-pat]', 'g')) END AS replacement FROM planted""")
+def base64_text_attachment(spark, sf_dir):
+    """Data URLs of texts, in UTF-8 or UTF-16 with a mark; one in three is broken (bytes that are no text)."""
+    k = F.col("doc_id") % 3
+    octets = F.when(k == 0, F.encode("text", "UTF-8")).when(k == 1, F.concat(F.unhex(F.lit("FF80")), F.encode("text", "UTF-8"))).otherwise(F.concat(F.unhex(F.lit("FFFE")), F.encode("text", "UTF-16LE")))
+    leaves = planted(spark, sf_dir).select("doc_id", F.lit("url").alias("key"), F.concat(F.lit("data:text/plain;base64,"), T.to_base64(octets)).alias("text"))
+    found = attachments.discovered(leaves, ["doc_id"]).where("error is null").select("doc_id", "content")
+    out = attachments.inspect_texts(found, ["doc_id"], GITHUB)
+    return out.select("doc_id", "error", F.size("rules").alias("n_rules"), F.sha2("replacement", 256).alias("replacement"))
+
+
+@query("""SELECT source, count(*) AS attachments, sum(strlen(text) + [5, 4, 3, 0][doc_id % 4 + 1]) AS total_bytes,
+  CASE WHEN count(*) > 16 OR sum(strlen(text) + [5, 4, 3, 0][doc_id % 4 + 1]) > 67108864 THEN 'attachment_limit' END AS error FROM documents GROUP BY source""")
+def attachment_budget(spark, sf_dir):
+    return attachments.within_limits(files(spark, sf_dir), "source")
+
+
+@query(f"""WITH {PLANTED} SELECT doc_id, sha256(CASE WHEN doc_id % 2 = 0 THEN 'data:text/plain;base64,' || to_base64(encode(regexp_replace(text, '{GHP}', '[REDACTED:github-pat]', 'g'))) ELSE to_base64(encode(text)) END) AS leaf FROM planted""")
+def attachment_splice(spark, sf_dir):
+    """Even documents' attachments are replaced in their data URLs; odd ones have no replacement."""
+    d = planted(spark, sf_dir)
+    content = F.encode("text", "UTF-8")
+    leaves = d.select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("data:application/x;base64,"), T.to_base64(content))).otherwise(T.to_base64(content)).alias("text"))
+    new = attachments.inspect_texts(d.where("doc_id % 2 = 0").select("doc_id", content.alias("content")), ["doc_id"], GITHUB)
+    old = d.where("doc_id % 2 = 0").select("doc_id", F.sha2(content, 256).alias("digest"))
+    repl = old.join(new, "doc_id").select("digest", "replacement").dropDuplicates(["digest"])
+    return attachments.spliced(leaves, repl).select("doc_id", F.sha2("text", 256).alias("leaf"))
+
+
+@query("""WITH r AS (SELECT o_custkey AS request_id, CASE WHEN o_orderkey % 2 = 0 THEN 'url' ELSE 'file' END AS kind, o_orderkey % 7 AS ref FROM orders),
+u AS (SELECT DISTINCT request_id, kind, ref FROM r WHERE kind = 'url' UNION ALL SELECT * FROM r WHERE kind = 'file')
+SELECT request_id, count(*) AS charged, sum(CASE WHEN ref < 6 THEN (ref + 1) * 100 END)::BIGINT AS charged_bytes, count(*) FILTER (ref >= 6) AS missing,
+  CASE WHEN count(*) FILTER (ref >= 6) > 0 THEN 'unresolved_reference' WHEN count(*) > 16 THEN 'reference_limit' END AS error FROM u GROUP BY request_id""")
+def reference_budget(spark, sf_dir):
+    """Orders as references of customers: URLs are charged once, files each time; one of seven can't be had."""
+    r = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("request_id"), F.when(F.col("o_orderkey") % 2 == 0, "url").otherwise("file").alias("kind"), (F.col("o_orderkey") % 7).alias("ref"))
+    have = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 7).alias("ref")).distinct().where("ref < 6").select("ref", F.encode(F.expr("repeat('x', cast((ref + 1) * 100 as int))"), "UTF-8").alias("content"))
+    return attachments.materialized(r, have).withColumn("charged_bytes", F.col("charged_bytes").cast("bigint"))
+
+
+@query("""WITH i AS (SELECT c_custkey, (c_custkey * 7919) % 256 AS a, (c_custkey * 104729) % 256 AS b, (c_custkey * 31) % 256 AS c, c_custkey % 256 AS d FROM customer)
+SELECT c_custkey, NOT (a IN (0, 10, 127) OR a >= 224 OR (a = 100 AND b BETWEEN 64 AND 127) OR (a = 169 AND b = 254) OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168) OR (a = 198 AND b IN (18, 19))
+  OR (a = 192 AND b = 0 AND c = 2) OR (a = 198 AND b = 51 AND c = 100) OR (a = 203 AND b = 0 AND c = 113)) AS is_public FROM i""")
+def public_address(spark, sf_dir):
+    k = F.col("c_custkey")
+    ip = F.concat_ws(".", (k * 7919) % 256, (k * 104729) % 256, (k * 31) % 256, k % 256)
+    return table(spark, sf_dir, "customer").select("c_custkey", T.is_public_ipv4(ip).alias("is_public"))
+
+
+# Geometry -----------------------------------------------------------------------------------
+
+WORDS = """w AS (SELECT l_orderkey AS page, l_linenumber::BIGINT * 1000000000000 + l_partkey * 100000 + l_suppkey AS pos, (l_partkey % 2)::INT AS block_num, 1 AS par_num, (l_suppkey % 2)::INT AS line_num, (l_linenumber * 40 + l_partkey % 30)::INT AS left_, (l_suppkey % 20)::INT AS top,
+  (10 + l_quantity % 20)::INT AS width, 12 AS height, CASE WHEN l_partkey % 9 = 0 THEN ' ' ELSE l_returnflag || l_partkey END AS text FROM lineitem WHERE true)"""
+
+
+def words(spark, sf_dir) -> DataFrame:
+    """Order lines as recognised words."""
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("page"), (F.col("l_linenumber").cast("bigint") * 1000000000000 + F.col("l_partkey") * 100000 + F.col("l_suppkey")).alias("pos"), (F.col("l_partkey") % 2).cast("int").alias("block_num"), F.lit(1).alias("par_num"), (F.col("l_suppkey") % 2).cast("int").alias("line_num"),
+        (F.col("l_linenumber") * 40 + F.col("l_partkey") % 30).cast("int").alias("left"), (F.col("l_suppkey") % 20).cast("int").alias("top"), (F.lit(10) + F.col("l_quantity") % 20).cast("int").alias("width"), F.lit(12).alias("height"),
+        F.when(F.col("l_partkey") % 9 == 0, " ").otherwise(F.concat("l_returnflag", "l_partkey")).alias("text"))
+
+
+@query("WITH " + WORDS + """, g AS (SELECT *, lag(left_ + width) OVER o AS edge, lag(greatest(width // greatest(length(text), 1), 1) // 2) OVER o AS half FROM w WHERE trim(text) <> ''
+  WINDOW o AS (PARTITION BY page, block_num, par_num, line_num ORDER BY pos))
+SELECT page, block_num, par_num, line_num, string_agg(CASE WHEN edge IS NOT NULL AND greatest(left_ - edge, 0) > half THEN ' ' ELSE '' END || text, '' ORDER BY pos) AS text,
+  min(left_) AS x1, min(top) AS y1, max(left_ + width) AS x2, max(top + height) AS y2 FROM g GROUP BY page, block_num, par_num, line_num""")
+def ocr_lines(spark, sf_dir):
+    return geometry.lines(words(spark, sf_dir), ["page"], "pos")
+
+
+BOX = "b AS (SELECT l_orderkey, l_linenumber, l_partkey % 100 AS x1, l_suppkey % 50 AS y1, l_partkey % 100 + 10 AS x2, l_suppkey % 50 + 20 AS y2, 300 AS sw, 200 AS sh, 1000 + l_partkey % 7 AS tw, 777 AS th, (l_linenumber % 4)::INT AS turns FROM lineitem)"
+
+
+def boxes(spark, sf_dir) -> DataFrame:
+    p, s = F.col("l_partkey"), F.col("l_suppkey")
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (p % 100).alias("x1"), (s % 50).alias("y1"), (p % 100 + 10).alias("x2"), (s % 50 + 20).alias("y2"),
+                                                   F.lit(300).alias("sw"), F.lit(200).alias("sh"), (p % 7 + 1000).alias("tw"), F.lit(777).alias("th"), (F.col("l_linenumber") % 4).alias("turns"))
+
+
+@query("WITH " + BOX + " SELECT l_orderkey, l_linenumber, (x1 * tw) // sw AS x1, (y1 * th) // sh AS y1, (x2 * tw + sw - 1) // sw AS x2, (y2 * th + sh - 1) // sh AS y2 FROM b")
+def scale_bounds(spark, sf_dir):
+    return geometry.scale_box(boxes(spark, sf_dir), ("sw", "sh"), ("tw", "th")).select("l_orderkey", "l_linenumber", "x1", "y1", "x2", "y2")
+
+
+@query("WITH " + BOX + """ SELECT l_orderkey, l_linenumber, CASE turns WHEN 0 THEN x1 WHEN 1 THEN y1 WHEN 2 THEN greatest(sw - x2, 0) ELSE greatest(sw - y2, 0) END AS x1,
+  CASE turns WHEN 0 THEN y1 WHEN 1 THEN greatest(sh - x2, 0) WHEN 2 THEN greatest(sh - y2, 0) ELSE x1 END AS y1,
+  CASE turns WHEN 0 THEN x2 WHEN 1 THEN y2 WHEN 2 THEN greatest(sw - x1, 0) ELSE greatest(sw - y1, 0) END AS x2,
+  CASE turns WHEN 0 THEN y2 WHEN 1 THEN greatest(sh - x1, 0) WHEN 2 THEN greatest(sh - y1, 0) ELSE x2 END AS y2 FROM b""")
+def unrotate_bounds(spark, sf_dir):
+    return geometry.unrotate_box(boxes(spark, sf_dir), "sw", "sh", "turns").select("l_orderkey", "l_linenumber", "x1", "y1", "x2", "y2")
+
+
+@query("""WITH f AS (SELECT DISTINCT l_orderkey AS doc, l_suppkey % 3 AS page, sha256((l_partkey % 5)::VARCHAR) AS digest, l_linenumber % 2 = 0 AS boxed FROM lineitem),
+l AS (SELECT DISTINCT doc, page, digest FROM f WHERE NOT boxed)
+SELECT doc, page FROM l GROUP BY doc, page HAVING NOT bool_and(EXISTS (SELECT 1 FROM f WHERE f.boxed AND f.doc = l.doc AND f.page = l.page AND f.digest = l.digest))""")
+def visual_coverage(spark, sf_dir):
+    f = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), (F.col("l_suppkey") % 3).alias("page"), F.sha2((F.col("l_partkey") % 5).cast("string"), 256).alias("digest"), (F.col("l_linenumber") % 2 == 0).alias("has_box"))
+    return geometry.unmapped_pages(f, "doc")
+
+
+@query("""SELECT source, doc_id, sum(strlen(text)) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS used,
+  CASE WHEN sum(strlen(text)) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) > 65536 THEN 'extraction_limit' END AS error FROM documents""")
+def extraction_limit(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("source", "doc_id", F.octet_length("text").cast("bigint").alias("size"))
+    return geometry.over_budget(d, "source", "doc_id", "size", 65536).select("source", "doc_id", "used", "error")
+
+
+# Metrics ------------------------------------------------------------------------------------
+
+@query("""SELECT event_type, unnest(['5', '10', '50', '100', '1000', '5000', '30000', '180000', '+Inf']) AS le,
+  unnest([count(*) FILTER (value <= 5), count(*) FILTER (value <= 10), count(*) FILTER (value <= 50), count(*) FILTER (value <= 100), count(*) FILTER (value <= 1000), count(*) FILTER (value <= 5000),
+  count(*) FILTER (value <= 30000), count(*) FILTER (value <= 180000), count(value)]) AS n FROM events GROUP BY event_type""")
+def latency_histogram(spark, sf_dir):
+    return metrics.histogram(table(spark, sf_dir, "events"), F.col("value"), ["event_type"])
+
+
+COUNTED = "SELECT count(*) AS requests, count(*) FILTER (event_id % 10 < 3) AS rejected, sum(user_id % 3)::BIGINT AS findings, sum(user_id % 2)::BIGINT AS cache_hits, sum(user_id % 5)::BIGINT AS attachments FROM events"
+
+
+def observed(spark, sf_dir) -> DataFrame:
+    e, u = F.col("event_id"), F.col("user_id")
+    return table(spark, sf_dir, "events").select(F.when(e % 10 < 3, 409).otherwise(200).alias("status"), (u % 3).alias("findings"), (u % 2).alias("cache_hits"), (u % 5).alias("attachments"))
+
+
+@query(COUNTED)
+def request_counters(spark, sf_dir):
+    return metrics.counters(observed(spark, sf_dir))
+
+
+@query(f"""WITH c AS ({COUNTED}), r AS (SELECT unnest(['requests', 'rejected', 'findings', 'cache_hits', 'attachments']) AS k, unnest([requests, rejected, findings, cache_hits, attachments]) AS v FROM c)
+SELECT '# TYPE inspection_' || k || '_total counter' || chr(10) || 'inspection_' || k || '_total ' || v AS line FROM r""")
+def metrics_text(spark, sf_dir):
+    return metrics.rendered(metrics.counters(observed(spark, sf_dir)))
+
+
+@query("""WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events)
+SELECT event_type, max(value) FILTER (r = least(floor(0.5::DOUBLE * n) + 1, n)) AS p50, max(value) FILTER (r = least(floor(0.95::DOUBLE * n) + 1, n)) AS p95 FROM r GROUP BY event_type""")
+def latency_ranks(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    half = metrics.rank_percentile(e, "value", ["event_type"], 0.5).withColumnRenamed("value", "p50")
+    return half.join(metrics.rank_percentile(e, "value", ["event_type"], 0.95).withColumnRenamed("value", "p95"), "event_type")
+
+
+# Verdicts -----------------------------------------------------------------------------------
+
+NOW = 1_000_000
+STORE = f"""v AS (SELECT o_orderkey AS k, 's' || o_custkey % 10 AS scope, {NOW} + (o_orderkey % 200 - 50) * 60 AS expires, {NOW} - (o_orderkey * 7919) % 100000 AS accessed, floor(o_totalprice / 100)::BIGINT AS size FROM orders)"""
+
+
+def store(spark, sf_dir) -> DataFrame:
+    """Orders as verdicts."""
+    k = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select(k.alias("key"), F.concat(F.lit("s"), F.col("o_custkey") % 10).alias("scope"), ((k % 200 - 50) * 60 + NOW).alias("expires"), (F.lit(NOW) - (k * 7919) % 100000).alias("accessed"),
+                                                 F.floor(F.col("o_totalprice") / 100).cast("bigint").alias("size"), F.array(F.col("o_orderpriority")).alias("rules"), F.lit(None).cast("binary").alias("artifact"), F.lit(None).cast("string").alias("artifact_digest"))
+
+
+@query(f"WITH {STORE} SELECT l_orderkey, l_linenumber, v.k IS NOT NULL AS hit FROM lineitem LEFT JOIN v ON v.k = l_orderkey AND v.expires > {NOW}")
+def verdict_lookup(spark, sf_dir):
+    r = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("key"), "l_linenumber")
+    return verdicts.lookup(r, store(spark, sf_dir), NOW).select(F.col("key").alias("l_orderkey"), "l_linenumber", "hit")
+
+
+@query(f"WITH {STORE} SELECT DISTINCT l_orderkey FROM lineitem WHERE l_orderkey NOT IN (SELECT k FROM v WHERE expires > {NOW})")
+def verdict_misses(spark, sf_dir):
+    r = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("key"))
+    return verdicts.misses(r, store(spark, sf_dir), NOW).select(F.col("key").alias("l_orderkey"))
+
+
+@query(f"""WITH {STORE}, u AS (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_linenumber = 3)
+SELECT k, CASE WHEN u.l_orderkey IS NOT NULL AND expires > {NOW} AND expires - {NOW} < 7200 - 3600 THEN {NOW} + 7200 ELSE expires END AS expires,
+  CASE WHEN u.l_orderkey IS NOT NULL AND expires > {NOW} AND expires - {NOW} < 7200 - 3600 THEN {NOW} ELSE accessed END AS accessed FROM v LEFT JOIN u ON u.l_orderkey = k""")
+def verdict_refresh(spark, sf_dir):
+    used = table(spark, sf_dir, "lineitem").where("l_linenumber = 3").select(F.col("l_orderkey").alias("key"))
+    return verdicts.refreshed(store(spark, sf_dir), used, NOW, 7200).select(F.col("key").alias("k"), "expires", "accessed")
+
+
+@query(f"""WITH {STORE}, n AS (SELECT k, accessed + 500000 AS accessed FROM v WHERE k % 6 = 0 AND k % 4 = 0 UNION ALL SELECT k + 100000000, accessed FROM v WHERE k % 12 = 0)
+SELECT k, accessed FROM n UNION ALL SELECT k, accessed FROM v WHERE k NOT IN (SELECT k FROM n)""")
+def verdict_put(spark, sf_dir):
+    """New verdicts: replacements and additions, a part of them outdated."""
+    v = store(spark, sf_dir)
+    again = v.where("key % 6 = 0").withColumn("accessed", F.col("accessed") + 500000).withColumn("generation", F.when(F.col("key") % 4 == 0, 1).otherwise(0))
+    more = v.where("key % 12 = 0").withColumn("key", F.col("key") + 100000000).withColumn("generation", F.lit(1))
+    return verdicts.put(v, again.unionByName(more), 1).select(F.col("key").alias("k"), "accessed")
+
+
+@query(f"WITH {STORE}, a AS (SELECT * FROM v WHERE expires > {NOW}) SELECT k, accessed FROM a ORDER BY accessed DESC, k LIMIT 500")
+def verdict_newest(spark, sf_dir):
+    v = verdicts.newest(verdicts.live(store(spark, sf_dir), NOW), 500)
+    return v.select(F.col("key").alias("k"), "accessed")
+
+
+@query(f"""WITH RECURSIVE {STORE}, o AS (SELECT k, scope, size, row_number() OVER (PARTITION BY scope ORDER BY accessed DESC, k) AS r FROM v),
+f AS (SELECT k, scope, r, size, CASE WHEN size <= 30000 THEN size ELSE 0 END AS used, size <= 30000 AS kept FROM o WHERE r = 1
+  UNION ALL SELECT o.k, o.scope, o.r, o.size, CASE WHEN f.used + o.size <= 30000 THEN f.used + o.size ELSE f.used END, f.used + o.size <= 30000 FROM f JOIN o ON o.scope = f.scope AND o.r = f.r + 1)
+SELECT scope, k FROM f WHERE kept""")
+def verdict_byte_budget(spark, sf_dir):
+    return verdicts.within_bytes(store(spark, sf_dir), ["scope"], 30000).select("scope", F.col("key").alias("k"))
+
+
+@query(f"WITH {STORE} SELECT count(*) AS n, arg_min(k, accessed * 1000000000 + k) AS evict FROM v WHERE scope <> 's3'")
+def verdict_purge_and_evict(spark, sf_dir):
+    v = store(spark, sf_dir).withColumn("key", F.concat(F.sha2("scope", 256), F.lit(":"), F.lpad(F.col("key").cast("string"), 12, "0")))
+    import hashlib
+
+    left, _ = verdicts.purged(v, hashlib.sha256(b"s3").hexdigest(), 1)
+    left = left.withColumn("key", F.element_at(F.split("key", ":"), 2).cast("bigint"))
+    return left.agg(F.count(F.lit(1)).alias("n")).crossJoin(verdicts.oldest(left).withColumnRenamed("key", "evict"))
+
+
+@query("SELECT DISTINCT sha256(p_name || p_partkey) AS digest FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49)")
+def verdict_orphans(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select("p_partkey", F.sha2(F.concat("p_name", F.col("p_partkey").cast("string")), 256).alias("digest"))
+    used = table(spark, sf_dir, "lineitem").where("l_quantity > 49").join(p, F.col("l_partkey") == F.col("p_partkey")).select(F.col("digest").alias("artifact_digest")).distinct()
+    return verdicts.orphans(p.select("digest"), used)
+
+
+# Streams ------------------------------------------------------------------------------------
+
+def stream_paths(spark) -> tuple[str, str]:
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="lodesieve-stream-")
+    return f"{base}/stream-{uuid.uuid4().hex}/out", f"{base}/stream-{uuid.uuid4().hex}/state"
+
+
+@query("""SELECT 'custom-token' AS rule, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, 'token = "[0-9a-f]{40}"')) AS s FROM documents) HAVING count(*) > 0""")
+def stream_findings(spark, sf_dir):
+    """Documents as a stream of files, through the scan, to Parquet; then counted."""
+    source = table(spark, sf_dir, "documents")
+    out, state = stream_paths(spark)
+    stream = spark.readStream.schema(source.schema).load(f"{sf_dir}/documents.parquet*", format="parquet")
+    streaming.run_once(streaming.findings(stream, ["doc_id"], "text", [TOKEN]), out, state)
+    return spark.read.schema("doc_id bigint, rule string, start int, end int, digest string").parquet(out).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT time_bucket(INTERVAL 1 hour, ts) AS start, count(*) FILTER (value <= 10) AS le_10, count(*) FILTER (value <= 100) AS le_100, count(value) AS n FROM events GROUP BY 1""")
+def stream_latency(spark, sf_dir):
+    """Events as a stream, in windows of an hour."""
+    source = table(spark, sf_dir, "events")
+    out, state = stream_paths(spark)
+    stream = spark.readStream.schema(source.schema).load(f"{sf_dir}/events.parquet*", format="parquet")
+    streaming.run_once(streaming.latency(stream, "ts", "value", "1 hour", "1 hour"), out, state, "complete")
+    return spark.read.parquet(out).select(F.col("start").cast("timestamp_ntz").alias("start"), "le_10", "le_100", "n")
