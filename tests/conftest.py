@@ -1,7 +1,9 @@
+import math
 import os
 import sys
 import tempfile
 
+import duckdb
 import pytest
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -26,3 +28,33 @@ def spark():
 @pytest.fixture(scope="session")
 def sf_dir():
     return os.environ.get("SF_DIR", "/root/testdata/sf0.001")
+
+
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+def plain(v):
+    if isinstance(v, float):
+        return "nan" if math.isnan(v) else round(v, 6)
+    return bytes(v) if isinstance(v, bytearray) else v
+
+
+def _compare(spark, sf_dir, query, sql):
+    df = query(spark, sf_dir)
+    cols = sorted(df.columns)
+    got = sorted((tuple(plain(v) for v in r) for r in df.select(*cols).collect()), key=str)
+    con = duckdb.connect()
+    for t in TABLES:
+        p = f"{sf_dir}/{t}.parquet"
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{p + '/*.parquet' if os.path.isdir(p) else p}'")
+    res = con.execute(sql)
+    names = [c[0] for c in res.description]
+    assert sorted(names) == cols
+    want = sorted((tuple(plain(r[names.index(c)]) for c in cols) for r in res.fetchall()), key=str)
+    assert got == want
+
+
+@pytest.fixture(scope="session")
+def compare():
+    """compare(spark, sf_dir, query, sql): a query's rows are those of its SQL."""
+    return _compare
