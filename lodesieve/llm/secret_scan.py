@@ -279,16 +279,20 @@ FIRSTS = (b"%", b"\\", b"&#", b"\xef", b"\xe2\x80", b"\xe2\x81", b"\xc2\xad")
 def worth_a_look(raw: np.ndarray, at: np.ndarray) -> list[int]:
     """The texts in which there can be something to find or to decode."""
     data, out = raw.tobytes(), set()
-    inside = np.concatenate([[False], RUN[raw], [False]])
-    edges = np.flatnonzero(inside[1:] != inside[:-1])
-    begins, ends = edges[::2], edges[1::2]
+    inside = RUN[raw]
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    heads, tails = at[:-1][at[:-1] < len(raw)], at[1:][at[1:] > 0] - 1  # runs end where texts do
+    first[heads], last[tails] = inside[heads], inside[tails]
+    begins, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
     long = np.flatnonzero(ends - begins >= 16)
-    for a, z in zip(begins[long].tolist(), ends[long].tolist(), strict=True):
+    where = np.searchsorted(at, begins[long], side="right") - 1
+    for a, z, d in zip(begins[long].tolist(), ends[long].tolist(), where.tolist(), strict=True):
         run = data[a:z]
-        if HEX_RUN.search(run) or b"AKIA" in run or ((inner := unbase64(run.decode())) is not None and (inner.startswith(MAGIC) or readable(inner) is not None)):
-            out.update(range(int(np.searchsorted(at, a, side="right")) - 1, int(np.searchsorted(at, z, side="left"))))
-        elif z - a >= 48:  # a line of wrapped base64
-            out.add(int(np.searchsorted(at, a, side="right")) - 1)
+        # A line of wrapped base64 is as long as 48; other runs say by themselves whether they are worth it.
+        if z - a >= 48 or HEX_RUN.search(run) or b"AKIA" in run or ((inner := unbase64(run.decode())) is not None and (inner.startswith(MAGIC) or readable(inner) is not None)):
+            out.add(d)
     lower, bounds = data.lower(), at.tolist()
     names = [n for n in NAMES if n in lower]
     firsts = [n for n in FIRSTS if n in lower]
