@@ -9,9 +9,10 @@ the one with the smallest conv_id stays. What stays is rendered.
 
 The running sum is taken in two levels, over blocks of turn numbers and within blocks, so
 that one conversation with a third of all turns is not summed by one task. Prefixes are made
-distinct before the join, which combines copies where they are read.
+distinct before the join, which combines copies where they are read. Only digests of the turns
+take part in this; texts are shuffled once, those that are rendered.
 
-Defined results. Turns are ordered by turn (null first), then role, then text; the position
+Defined results. Turns are ordered by turn (null first), then the digest of role and text; the position
 is the place in that order, so gaps between turn numbers do not count. Null role or text
 counts as empty. Turns without conv_id are one conversation with a null id. Repeated rows
 are turns of their own. An empty table gives an empty result; other columns are not read.
@@ -23,61 +24,65 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import saved
+
 #: Turn numbers of one block of the two-level running sum.
 BLOCK = 64
 LANES = ["h0", "h1", "h2", "h3"]
 START, END = "<|im_start|>", "<|im_end|>"
 
 
-def numbered(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn") -> DataFrame:
-    """conv, block, pos (from 1), role, text and the prefix hash up to and with each turn."""
-    t = turns.select(
-        F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
-    ).withColumn("block", F.expr(f"floor(turn / {BLOCK})"))
-    sizes = t.groupBy("conv", "block").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("conv").orderBy(F.asc_nulls_first("block")).rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("conv", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    own = Window.partitionBy("conv", "block").orderBy(F.asc_nulls_first("turn"), "role", "text")
-    t = t.withColumn("own", F.row_number().over(own))
-    t = t.join(starts, t.conv.eqNullSafe(starts.conv) & t.block.eqNullSafe(starts.block)).select(t.conv, t.block, (F.col("start") + F.col("own")).alias("pos"), "role", "text")
-    return t
+def clean(turns: DataFrame) -> DataFrame:
+    """key (never null), conv, turn, role, text and the digest of role and text."""
+    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
+    return turns.select(
+        F.coalesce(F.concat(F.lit("c"), F.col("conv_id").cast("string")), F.lit("")).alias("key"), F.col("conv_id").alias("conv"), "turn", role.alias("role"), text.alias("text"),
+        F.sha2(F.concat(F.octet_length(role).cast("string"), F.lit(":"), role, text), 256).alias("digest"),
+    )
 
 
-def prefix_hashes(t: DataFrame) -> DataFrame:
-    """t: the output of numbered(). conv, pos and the lanes of the prefix hash, without texts."""
+def prefix_hashes(turns: DataFrame) -> DataFrame:
+    """turns: clean(). key, conv, pos (from 1) and the lanes of the prefix hash up to each turn."""
+    t = turns.select("key", "conv", "turn", "digest", F.expr(f"coalesce(floor(turn / {BLOCK}), -9223372036854775808)").alias("block"))
+    own = Window.partitionBy("key", "block").orderBy(F.asc_nulls_first("turn"), "digest")
+    before = Window.partitionBy("key").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = t.groupBy("key", "block").agg(F.count(F.lit(1)).alias("n"))
+    starts = sizes.select("key", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    t = t.withColumn("own", F.row_number().over(own)).join(starts, ["key", "block"]).withColumn("pos", F.col("start") + F.col("own"))
     low = lambda c: c.bitwiseAND(F.lit(0xFFFFFFFF))
-    a, b = F.xxhash64(F.lit(1), "pos", "role", "text"), F.xxhash64(F.lit(2), "pos", "text", "role")
-    t = t.select("conv", "block", "pos", low(a).alias("h0"), F.shiftrightunsigned(a, 32).alias("h1"), low(b).alias("h2"), F.shiftrightunsigned(b, 32).alias("h3"))
-    sums = t.groupBy("conv", "block").agg(*[F.sum(h).alias(f"s_{h}") for h in LANES])
-    before = Window.partitionBy("conv").orderBy(F.asc_nulls_first("block")).rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("conv", "block", *[F.coalesce(F.sum(f"s_{h}").over(before), F.lit(0)).alias(f"s_{h}") for h in LANES])
-    own = Window.partitionBy("conv", "block").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    t = t.select("conv", "block", "pos", *[F.sum(h).over(own).alias(h) for h in LANES])
-    j = t.join(sums, t.conv.eqNullSafe(sums.conv) & t.block.eqNullSafe(sums.block))
-    return j.select(t.conv, "pos", *[(F.col(h) + F.col(f"s_{h}")).alias(h) for h in LANES])
+    a, b = F.xxhash64(F.lit(1), "pos", "digest"), F.xxhash64(F.lit(2), "digest", "pos")
+    lanes = [low(a), F.shiftrightunsigned(a, 32), low(b), F.shiftrightunsigned(b, 32)]
+    t = saved(t.select("key", "conv", "block", "pos", *[x.alias(h) for x, h in zip(lanes, LANES, strict=True)]), "turn-hashes")
+    sums = t.groupBy("key", "block").agg(*[F.sum(h).alias(f"s_{h}") for h in LANES])
+    sums = sums.select("key", "block", *[F.coalesce(F.sum(f"s_{h}").over(before), F.lit(0)).alias(f"s_{h}") for h in LANES])
+    past = Window.partitionBy("key", "block").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    t = t.select("key", "conv", "block", "pos", *[F.sum(h).over(past).alias(h) for h in LANES]).join(sums, ["key", "block"])
+    return saved(t.select("key", "conv", "pos", *[(F.col(h) + F.col(f"s_{h}")).alias(h) for h in LANES]), "prefix-hashes")
 
 
 def maximal(hashes: DataFrame) -> DataFrame:
-    """hashes: the output of prefix_hashes(). conv, n_turns and copies of the conversations that stay."""
-    ends = hashes.groupBy("conv").agg(F.max(F.struct("pos", *LANES)).alias("end"))
-    whole = ends.groupBy("end").agg(F.min("conv").alias("conv"), F.count(F.lit(1)).alias("copies"))
-    whole = whole.select("conv", "copies", F.col("end.pos").alias("pos"), *[F.col(f"end.{h}").alias(h) for h in LANES])
-    after = hashes.select((F.col("pos") - 1).alias("pos"), "conv")
-    proper = hashes.join(after, (hashes.conv.eqNullSafe(after.conv)) & (hashes.pos == after.pos), "left_semi").select("pos", *LANES).distinct()
-    return whole.join(proper, ["pos", *LANES], "left_anti").select("conv", F.col("pos").alias("n_turns"), "copies")
+    """hashes: prefix_hashes(). key, n_turns and copies of the conversations that stay."""
+    ends = hashes.groupBy("key", "conv").agg(F.max(F.struct("pos", *LANES)).alias("end"))
+    # Of the proper prefixes, each conversation gives all but its last position.
+    proper = hashes.join(ends.select("key", F.col("end.pos").alias("last")), "key").where("pos < last").select("pos", *LANES).distinct()
+    first = F.min_by("key", F.struct(F.col("conv").isNull(), "conv"))
+    whole = ends.groupBy("end").agg(first.alias("key"), F.count(F.lit(1)).alias("copies"))
+    whole = whole.select("key", "copies", F.col("end.pos").alias("pos"), *[F.col(f"end.{h}").alias(h) for h in LANES])
+    return whole.join(proper, ["pos", *LANES], "left_anti").select("key", F.col("pos").alias("n_turns"), "copies")
 
 
 def render(turns: DataFrame, kept: DataFrame) -> DataFrame:
-    """turns: numbered(); kept: maximal(). One row for each conversation that stays."""
-    t = turns.join(kept, turns.conv.eqNullSafe(kept.conv)).select(turns.conv, "n_turns", "copies", "pos", F.concat(F.lit(START), "role", F.lit("\n"), "text", F.lit(END + "\n")).alias("part"))
-    done = t.groupBy("conv", "n_turns", "copies").agg(F.array_sort(F.collect_list(F.struct("pos", "part"))).alias("parts"))
-    return done.select("conv", "n_turns", "copies", F.array_join(F.transform("parts", lambda p: p["part"]), "").alias("rendered"))
+    """turns: clean(); kept: maximal(). One row for each conversation that stays."""
+    part = F.concat(F.lit(START), "role", F.lit("\n"), "text", F.lit(END + "\n"))
+    t = turns.join(kept, "key").select("key", "conv", "n_turns", "copies", F.struct(F.col("turn").isNotNull().alias("known"), "turn", "digest", part.alias("part")).alias("p"))
+    done = t.groupBy("key").agg(F.first("conv").alias("conv_id"), F.first("n_turns").alias("n_turns"), F.first("copies").alias("copies"), F.array_sort(F.collect_list("p")).alias("parts"))
+    return done.select("conv_id", "n_turns", "copies", F.array_join(F.transform("parts", lambda p: p["part"]), "").alias("rendered"))
 
 
 def chat_format(turns: DataFrame) -> DataFrame:
     """turns: conv_id, turn, role, text. conv_id, n_turns, copies (equal conversations), rendered."""
-    t = numbered(turns)
-    return render(t, maximal(prefix_hashes(t))).withColumnRenamed("conv", "conv_id")
+    t = clean(turns)
+    return render(t, maximal(prefix_hashes(t)))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +92,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = """
 WITH t AS (
   SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
-         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos
   FROM conversations),
 p AS (
   SELECT conv_id, pos, string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '') OVER (PARTITION BY conv_id ORDER BY pos) AS s,

@@ -104,7 +104,7 @@ QUESTION = "If Alice has 12 apples and gives Bob 5 apples then how many apples d
 def test_decontamination(spark):
     swap = QUESTION.replace("Alice", "Carol").replace("Bob", "Dave").replace("12", "30").replace("5", "7")
     rows = [(1, "pre text here " + QUESTION + " after"), (2, "Some words. " + swap.upper().lower().replace("carol", "Carol").replace("dave", "Dave")), (3, swap.replace("of 30", "of 31")), (4, swap.replace("Dave", "Carol")), (5, None), (6, ""), (1, "clean words"), (None, QUESTION),
-            (8, " ".join(QUESTION.split()[:9])), (9, "short item of five words"), (10, "$$ %% ##"), (11, " ".join(QUESTION.split()[:11]) + " something else altogether " + " ".join(QUESTION.split()[11:]))]
+            (8, " ".join(QUESTION.split()[:9])), (9, "short item of five words"), (10, "$$ %% ##"), (11, " ".join(QUESTION.split()[:12]) + " something else altogether " + " ".join(QUESTION.split()[12:]))]
     items = [(1, QUESTION), (2, "two words"), (3, None), (4, "Short item: of five words!")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("items", F.lit("clash")).withColumn("hash", F.lit(1))
     bench = spark.createDataFrame(items, "item_id bigint, text string")
@@ -193,10 +193,13 @@ def test_scores_base_columns_by_brute_force(spark, sf_dir):
     old, pitman_yor.CHUNK = pitman_yor.CHUNK, 5000
     try:
         got = pitman_yor.score_documents(df, fold("doc_id", 5) == 1).collect()
+        parts = pitman_yor.score_documents(df, fold("doc_id", 5) == 1, split=200).collect()
     finally:
         pitman_yor.CHUNK = old
     assert sorted((r["doc_id"] or 0, r["held_out"], r["n_tokens"], r["n_known"], round(r["base_score"], 6)) for r in got) == want
     assert all(r["train_tokens"] == n and math.isfinite(r["score"]) and r["score"] < 0 for r in got)
+    whole = sum(r["score"] for r in got if r["held_out"])
+    assert abs(sum(r["score"] for r in parts if r["held_out"]) - whole) < 0.01 * abs(whole)
     for h in (True, False):  # pairs tell more than words alone
         assert sum(r["score"] for r in got if r["held_out"] == h) > sum(r["base_score"] for r in got if r["held_out"] == h)
 

@@ -12,8 +12,10 @@ def chats(rows):
     """Brute force: conversations as lists; those that are a proper prefix of another go, of equal ones the smallest id stays."""
     convs = {}
     for conv, turn, role, text in rows:
-        convs.setdefault(conv, []).append((turn is not None, turn or 0, role or "", text or ""))
-    lists = {c: [x[2:] for x in sorted(t)] for c, t in convs.items()}
+        role, text = role or "", text or ""
+        digest = hashlib.sha256(f"{len(role.encode())}:{role}{text}".encode()).hexdigest()
+        convs.setdefault(conv, []).append((turn is not None, turn or 0, digest, role, text))
+    lists = {c: [x[3:] for x in sorted(t)] for c, t in convs.items()}
     out = {}
     for c, a in lists.items():
         if any(len(b) > len(a) and b[: len(a)] == a for b in lists.values()):
@@ -31,7 +33,7 @@ def test_chat_collapse(spark):
         base = rng.randint(0, 5)
         for t in range(rng.randint(1, 6)):
             rows.append((c, t * (1 + c % 2), rng.choice(["user", "user"]) if t % 2 == 0 else "assistant", f"text {base} {t if rng.random() < 0.9 else rng.random()}"))
-    rows += [(100, None, "user", "a"), (100, None, "user", "a"), (101, None, None, None), (102, 500, "user", "x"), (102, 3, "user", "w"), (103, 3, "user", "w")]
+    rows += [(100, None, "user", "a"), (100, None, "user", "a"), (101, None, None, None), (102, 500, "user", "x"), (102, 3, "user", "w"), (103, 3, "user", "w"), (104, 1, "user", "p"), (104, 1, "user", "q"), (104, 1, "a", "q"), (105, -70, "user", "m"), (105, -3, "user", "n")]
     df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
     got = {r["conv_id"]: (r["n_turns"], r["copies"], r["rendered"]) for r in chat_format.chat_format(df).collect()}
     assert got == chats(rows)
