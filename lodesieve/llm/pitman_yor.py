@@ -10,6 +10,9 @@ likewise. Of ``samples`` sweeps after ``burn`` sweeps, the predictive probabilit
 The contexts are sampled given the parent's probabilities as the word counts give them (to one part
 in twenty); the parent then is sampled given the contexts' tables of each sweep.
 
+A restaurant with more than ``split`` customers is seated in parts, by ranges of the words' hashes; a part takes
+the tables of the whole to be its own times the number of parts. So no task gets all of a hot context.
+
 How it runs. Documents become chunks: rows with a dictionary of word hashes and the sequence of its
 numbers, written once and bucketed by chunk. What a chunk needs from all others (the counts of its words, the
 tables of its pairs, the parent's seating) it asks for by hash range: packed requests go out by bucket, each
@@ -26,6 +29,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, fold, map_batches, new_path, pack, plain, saved, slices, text_buffer, unpack
-from .words import word_hash, words
+from .words import mixed, word_hash, words
 
 #: Tokens of a chunk, at least, but for a task's last.
 CHUNK = 3_000_000
@@ -116,6 +120,23 @@ class Chunks:
         return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([payload], pa.binary())], ["chunk", "payload"])
 
 
+@dataclass
+class Segments:
+    """context, word, of, mark: of the pairs in their own order; name, parts, size, home: of the segments in request
+    order; index: the pair at each place of the requests; cuts: where the segments of each bucket begin."""
+
+    context: np.ndarray
+    word: np.ndarray
+    of: np.ndarray
+    mark: np.ndarray
+    name: np.ndarray
+    parts: np.ndarray
+    size: np.ndarray
+    home: np.ndarray
+    index: np.ndarray
+    cuts: np.ndarray
+
+
 class Chunk:
     def __init__(self, payload: bytes):
         ids, known, held, sizes, names, tokens = unblobs(payload)
@@ -137,6 +158,24 @@ class Chunk:
         pair, of_token = np.unique(context * len(self.names) + self.tokens, return_inverse=True)
         return pair // len(self.names), pair % len(self.names), of_token
 
+    def segments(self, known: np.ndarray, split: int, buckets: int) -> Segments:
+        """The pairs by the part of a context's restaurant that they belong to, in the order of requests. known: the training counts of the chunk's words."""
+        context, word, of = self.pairs()
+        # Words are sorted by hash, so the high 32 bits ascend within a context, and parts are stretches.
+        mark = (self.names[word] >> np.uint64(32)).astype(np.int64)
+        parts = 1 + known // split  # a word has as many customers as a context as it has places
+        part = mark * parts[context] >> 32
+        new = np.concatenate([[True], (context[1:] != context[:-1]) | (part[1:] != part[:-1])])
+        heads = np.flatnonzero(new)
+        size = np.diff(np.append(heads, len(context)))
+        name = self.names[context[heads]]
+        name = np.where(part[heads] > 0, mixed(name + part[heads].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), name)
+        bucket = bucket_of(name, buckets)
+        order = np.argsort(bucket, kind="stable")
+        past = np.cumsum(size[order])
+        index = np.repeat(heads[order] - (past - size[order]), size[order]) + np.arange(len(context))
+        return Segments(context, word, of, mark, name[order], parts[context[heads]][order], size[order], context[heads][order], index, np.searchsorted(bucket[order], np.arange(buckets + 1)))
+
     def cuts(self, buckets: int) -> np.ndarray:
         """Where the words of each bucket begin: buckets are ranges of the hash, and words are sorted by it."""
         b = bucket_of(self.names, buckets)
@@ -202,8 +241,8 @@ def seat(count: np.ndarray, weight: np.ndarray, slope: np.ndarray, discount: flo
     return tables, log_w
 
 
-def sampled(count: np.ndarray, rest: np.ndarray, parent: np.ndarray, strength: float, discount: float, burn: int, samples: int, seed: int) -> np.ndarray:
-    """Tables of each dish (samples x dishes), by Gibbs. rest: the restaurant of each dish; parent: its parent's probability. Dishes with no customer have no table."""
+def sampled(count: np.ndarray, rest: np.ndarray, parts: np.ndarray, parent: np.ndarray, strength: float, discount: float, burn: int, samples: int, seed: int) -> np.ndarray:
+    """Tables of each dish (samples x dishes), by Gibbs. rest: the restaurant of each dish; parts: of how many parts each restaurant is one; parent: the parent's probability of each dish. Dishes with no customer have no table."""
     rng, n = np.random.default_rng(seed), int(rest.max(initial=-1)) + 1
     served = np.flatnonzero(count > 0)
     out = np.zeros((samples, len(count)), np.int64)
@@ -211,7 +250,7 @@ def sampled(count: np.ndarray, rest: np.ndarray, parent: np.ndarray, strength: f
     tables, old_w = np.ones(len(served), np.int64), None
     many = np.flatnonzero(c > 1)
     for k in range(burn + samples):
-        in_all = np.bincount(r, tables, n)
+        in_all = np.bincount(r, tables, n) * parts
         others = in_all[r[many]] - tables[many]
         base = (strength + discount * others) * p[many]
         new, log_w = seat(c[many], base, discount * p[many], discount, rng)
@@ -273,32 +312,26 @@ def in_order(table: pa.Table, kind: int) -> list[bytes]:
 
 
 class AskPairs:
-    """Each chunk sends its pairs by context: of each context its hash and how many words follow, of each pair 32 bits of the word's hash, sorted, as differences; its training count and the parent's probability."""
+    """Each chunk sends its pairs by segment: of each segment its name, the parts of its restaurant and how many words follow, of each pair 32 bits of the word's hash, ascending, as differences; its training count and the parent's probability."""
 
-    def __init__(self, buckets: int, n_all: int, n_kinds: int):
-        self.buckets, self.n_all, self.n_kinds = buckets, n_all, n_kinds
+    def __init__(self, buckets: int, split: int, n_all: int, n_kinds: int):
+        self.buckets, self.split, self.n_all, self.n_kinds = buckets, split, n_all, n_kinds
 
     def __call__(self, left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         for chunk, payload in zip(left.column("chunk").to_pylist(), left.column("payload").to_pylist(), strict=True):
             c = Chunk(payload)
             known = np.concatenate([from_numbers(p) for p in in_order(right, 0)])
-            context, word, of = c.pairs()
-            count = np.bincount(of[c.trains()], minlength=len(context))
-            parent = level_of((known[word] + 0.5) / (self.n_all + 0.5 * (self.n_kinds + 1)))
-            # Words are sorted by hash, so the high 32 bits ascend within a context.
-            mark = (c.names[word] >> np.uint64(32)).astype(np.int64)
-            new = np.concatenate([[True], context[1:] != context[:-1]])
-            step = np.where(new, mark, np.diff(mark, prepend=0)).astype(np.uint32)
-            heads = np.flatnonzero(new)
-            cuts = np.searchsorted(bucket_of(c.names[context[heads]], self.buckets), np.arange(self.buckets + 1))
-            edge = np.append(heads, len(context))
-            follow = np.diff(edge)
-            for k in range(self.buckets):
-                a, z = cuts[k], cuts[k + 1]
+            g = c.segments(known, self.split, self.buckets)
+            count = np.bincount(g.of[c.trains()], minlength=len(g.context))[g.index]
+            parent = level_of((known[g.word] + 0.5) / (self.n_all + 0.5 * (self.n_kinds + 1)))[g.index]
+            edge = np.concatenate([[0], np.cumsum(g.size)])
+            step = np.diff(g.mark[g.index], prepend=0)
+            step[edge[:-1]] = g.mark[g.index[edge[:-1]]]
+            for k, (a, z) in enumerate(zip(g.cuts[:-1].tolist(), g.cuts[1:].tolist(), strict=True)):
                 if a < z:
                     p = slice(edge[a], edge[z])
-                    out.append((k, chunk, blobs(c.names[context[heads[a:z]]].tobytes(), numbers(follow[a:z]), packed_planes(step[p]), numbers(count[p]), parent[p].tobytes())))
+                    out.append((k, chunk, blobs(g.name[a:z].tobytes(), numbers(g.size[a:z]), numbers(g.parts[a:z]), packed_planes(step[p].astype(np.uint32)), numbers(count[p]), parent[p].tobytes())))
         return asked(out)
 
 
@@ -312,7 +345,7 @@ def of_level(level: np.ndarray) -> np.ndarray:
 
 
 class SeatContexts:
-    """kind 1: of each pair, in the order asked, its count and tables, and whether this chunk is the one to pass its tables on; of each context its customers and tables."""
+    """kind 1: of each pair, in the order asked, its count and tables, and whether this chunk is the one to pass its tables on; of each segment its tables."""
 
     def __init__(self, strength: float, discount: float, burn: int, samples: int):
         self.args = (strength, discount, burn, samples)
@@ -323,10 +356,11 @@ class SeatContexts:
         payloads = [unblobs(p) for p in table.column("payload").to_pylist()]
         names = [np.frombuffer(p[0], np.uint64) for p in payloads]
         follow = [from_numbers(p[1]) for p in payloads]
-        contexts, rest = np.unique(np.concatenate(names), return_inverse=True)
+        contexts, at_first, rest = np.unique(np.concatenate(names), return_index=True, return_inverse=True)
+        parts = np.concatenate([from_numbers(p[2]) for p in payloads])[at_first]
         marks = []
         for p, f in zip(payloads, follow, strict=True):
-            total = np.cumsum(unpacked_planes(p[2], "u4").astype(np.int64))
+            total = np.cumsum(unpacked_planes(p[3], "u4").astype(np.int64))
             ends = np.cumsum(f)
             before = np.concatenate([[0], total[ends[:-1] - 1]])
             marks.append(total - np.repeat(before, f))
@@ -334,47 +368,52 @@ class SeatContexts:
         per_pair = np.repeat(rest, np.concatenate(follow))
         key = per_pair.astype(np.uint64) << np.uint64(32) | np.concatenate(marks).astype(np.uint64)
         pairs, first, of = np.unique(key, return_index=True, return_inverse=True)
-        count = np.bincount(of, np.concatenate([from_numbers(p[3]) for p in payloads])).astype(np.int64)
-        parent = of_level(np.concatenate([np.frombuffer(p[4], np.uint8) for p in payloads])[first])
+        count = np.bincount(of, np.concatenate([from_numbers(p[4]) for p in payloads])).astype(np.int64)
+        parent = of_level(np.concatenate([np.frombuffer(p[5], np.uint8) for p in payloads])[first])
         home = (pairs >> np.uint64(32)).astype(np.int64)
-        tables = sampled(count, home, parent, *self.args, seed=9 + bucket)
-        served = np.bincount(home, count, len(contexts)).astype(np.int64)
+        tables = sampled(count, home, parts, parent, *self.args, seed=9 + bucket)
         in_all = [np.bincount(home, t, len(contexts)).astype(np.int64) for t in tables]
         owner = np.zeros(len(key), np.int64)
         owner[first] = 1
         rows, at, heads = [], 0, 0
         for chunk, n, m in zip(chunks, sizes, names, strict=True):
             own, who = of[at : at + n], rest[heads : heads + len(m)]
-            payload = blobs(numbers(count[own]), numbers(owner[at : at + n]), numbers(served[who]), *(numbers(t[own]) for t in tables), *(numbers(t[who]) for t in in_all))
+            payload = blobs(numbers(count[own]), numbers(owner[at : at + n]), *(numbers(t[own]) for t in tables), *(numbers(t[who]) for t in in_all))
             rows.append({"chunk": chunk, "kind": 1, "bucket": bucket, "payload": payload})
             at, heads = at + n, heads + len(m)
         return replied(rows)
 
 
 class Pairs:
-    """What kind 1 says of a chunk's pairs."""
+    """What kind 1 says of a chunk's pairs, in their own order, and of the tables in each context's restaurant."""
+
+    def __init__(self, right: pa.Table, g: Segments, samples: int):
+        replies = [unblobs(p) for p in in_order(right, 1)]
+
+        def by_pair(k: int) -> np.ndarray:
+            out = np.empty(len(g.index), np.int64)
+            out[g.index] = np.concatenate([from_numbers(p[k]) for p in replies])
+            return out
 
-    def __init__(self, right: pa.Table, samples: int):
-        parts = [unblobs(p) for p in in_order(right, 1)]
-        join = lambda k: np.concatenate([from_numbers(p[k]) for p in parts])
-        self.count, self.owner, self.served = join(0), join(1), join(2)
-        self.tables = [join(3 + s) for s in range(samples)]
-        self.in_all = [join(3 + samples + s) for s in range(samples)]
+        self.count, self.owner = by_pair(0), by_pair(1)
+        self.tables = [by_pair(2 + s) for s in range(samples)]
+        seen = np.maximum(np.bincount(g.home), 1)
+        self.in_all = [np.bincount(g.home, g.parts * np.concatenate([from_numbers(p[2 + samples + s]) for p in replies])) / seen for s in range(samples)]
 
 
 class AskParent:
     """Each chunk sends, for its words, the tables of the pairs that it passes on: the parent's customers."""
 
-    def __init__(self, buckets: int, samples: int):
-        self.buckets, self.samples = buckets, samples
+    def __init__(self, buckets: int, split: int, samples: int):
+        self.buckets, self.split, self.samples = buckets, split, samples
 
     def __call__(self, left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         for chunk, payload in zip(left.column("chunk").to_pylist(), left.column("payload").to_pylist(), strict=True):
             c = Chunk(payload)
-            _, word, _ = c.pairs()
-            pairs = Pairs(right, self.samples)
-            sums = [np.bincount(word, t * pairs.owner, len(c.names)).astype(np.int64) for t in pairs.tables]
+            g = c.segments(np.concatenate([from_numbers(p) for p in in_order(right, 0)]), self.split, self.buckets)
+            pairs = Pairs(right, g, self.samples)
+            sums = [np.bincount(g.word, t * pairs.owner, len(c.names)).astype(np.int64) for t in pairs.tables]
             cuts = c.cuts(self.buckets)
             out += [(k, chunk, blobs(c.names[a:z].tobytes(), *(numbers(s[a:z]) for s in sums))) for k, (a, z) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if a < z]
         return asked(out)
@@ -405,8 +444,8 @@ class SeatParent:
 class Score:
     """Scores the documents of a chunk."""
 
-    def __init__(self, n_all: int, n_kinds: int, totals: list[int], strength: float, discount: float, top_strength: float, top_discount: float, samples: int):
-        self.n_all, self.n_kinds, self.totals, self.samples = n_all, n_kinds, totals, samples
+    def __init__(self, buckets: int, split: int, n_all: int, n_kinds: int, totals: list[int], strength: float, discount: float, top_strength: float, top_discount: float, samples: int):
+        self.buckets, self.split, self.n_all, self.n_kinds, self.totals, self.samples = buckets, split, n_all, n_kinds, totals, samples
         self.strength, self.discount, self.top_strength, self.top_discount = strength, discount, top_strength, top_discount
 
     def __call__(self, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -414,18 +453,17 @@ class Score:
         for payload in left.column("payload").to_pylist():
             c = Chunk(payload)
             known = np.concatenate([from_numbers(p) for p in in_order(right, 0)])
-            context, word, of = c.pairs()
-            pairs = Pairs(right, self.samples)
+            g = c.segments(known, self.split, self.buckets)
+            pairs = Pairs(right, g, self.samples)
             parts = [unblobs(p) for p in in_order(right, 2)]
-            _, home = np.unique(context, return_inverse=True)
-            prob = np.zeros(len(context))
+            prob = np.zeros(len(g.context))
             for s in range(self.samples):
                 customers, tables = (np.concatenate([from_numbers(p[2 * s + k]) for p in parts]) for k in (0, 1))
                 all_customers, all_tables = self.totals[2 * s], self.totals[2 * s + 1]
                 top = (customers - self.top_discount * tables + (self.top_strength + self.top_discount * all_tables) / (self.n_kinds + 1)) / (self.top_strength + all_customers)
                 own = pairs.count - self.discount * pairs.tables[s]
-                prob += (own + (self.strength + self.discount * pairs.in_all[s])[home] * top[word]) / (self.strength + pairs.served)[home]
-            log_p = np.log10(prob / self.samples)[of]
+                prob += (own + (self.strength + self.discount * pairs.in_all[s])[g.context] * top[g.word]) / (self.strength + known)[g.context]
+            log_p = np.log10(prob / self.samples)[g.of]
             base = np.log10((known + 0.5) / (self.n_all + 0.5 * (self.n_kinds + 1)))[c.tokens]
             starts = np.cumsum(c.sizes) - c.sizes
             add = lambda a: np.add.reduceat(a, starts)
@@ -443,7 +481,7 @@ def both(f):
     return call
 
 
-def score_documents(docs: DataFrame, held_out, strength: float = 1.0, discount: float = 0.7, top_strength: float = 1.0, top_discount: float = 0.6, burn: int = 2, samples: int = 3, buckets: int | None = None) -> DataFrame:
+def score_documents(docs: DataFrame, held_out, strength: float = 1.0, discount: float = 0.7, top_strength: float = 1.0, top_discount: float = 0.6, burn: int = 2, samples: int = 3, buckets: int | None = None, split: int = 500_000) -> DataFrame:
     """docs: doc_id, text; held_out: a column, whether a document is kept from training.
 
     One row each: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity."""
@@ -456,14 +494,14 @@ def score_documents(docs: DataFrame, held_out, strength: float = 1.0, discount:
     by_chunk = chunks.groupBy("chunk")
     words_ = saved(map_batches(chunks, AskWords(buckets), ASK).groupBy("bucket").applyInArrow(plain(CountWords()), REPLY), "words")
     n_all, n_kinds = (int(x or 0) for x in words_.agg(F.sum("n_all"), F.sum("n_kinds")).first())
-    pairs = by_chunk.cogroup(words_.groupBy("chunk")).applyInArrow(both(AskPairs(buckets, n_all, n_kinds)), ASK)
+    pairs = by_chunk.cogroup(words_.groupBy("chunk")).applyInArrow(both(AskPairs(buckets, split, n_all, n_kinds)), ASK)
     pairs = saved(pairs.groupBy("bucket").applyInArrow(plain(SeatContexts(strength, discount, burn, samples)), REPLY), "pairs")
-    parent = by_chunk.cogroup(pairs.groupBy("chunk")).applyInArrow(both(AskParent(buckets, samples)), ASK)
+    parent = by_chunk.cogroup(words_.unionByName(pairs).groupBy("chunk")).applyInArrow(both(AskParent(buckets, split, samples)), ASK)
     parent = saved(parent.groupBy("bucket").applyInArrow(plain(SeatParent(n_kinds, top_strength, top_discount, samples)), REPLY), "parent")
     sums = parent.agg(*[F.sum(F.element_at("sums", k + 1)) for k in range(2 * samples)]).first()
     totals = [int(x or 0) for x in sums]
     replies = words_.unionByName(pairs).unionByName(parent)
-    scored = by_chunk.cogroup(replies.groupBy("chunk")).applyInArrow(both(Score(n_all, n_kinds, totals, strength, discount, top_strength, top_discount, samples)), SCORES)
+    scored = by_chunk.cogroup(replies.groupBy("chunk")).applyInArrow(both(Score(buckets, split, n_all, n_kinds, totals, strength, discount, top_strength, top_discount, samples)), SCORES)
     return scored.withColumn("train_tokens", F.lit(n_all).cast("bigint")).withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
 
 
