@@ -112,3 +112,10 @@ def materialized(references: DataFrame, fetched: DataFrame) -> DataFrame:
     charged = urls.unionByName(rows.where("kind = 'file'")).groupBy("request_id").agg(F.count(F.lit(1)).alias("charged"), F.sum("size").alias("charged_bytes"), F.count_if(F.col("content").isNull()).alias("missing"))
     error = F.when(F.col("missing") > 0, F.lit("unresolved_reference")).when((F.col("charged") > MAX_COUNT) | (F.col("charged_bytes") > MAX_TOTAL), F.lit("reference_limit"))
     return charged.withColumn("error", error)
+
+
+def reverified(outcomes: DataFrame, keys: list[str], rules: list[Rule] | tuple[Rule, ...] = DEFAULT_RULES) -> DataFrame:
+    """Replacements are scanned once more: one that still holds a finding is an error, and is dropped."""
+    again = F.coalesce(F.size(scan(decoded_text(F.col("replacement")), rules)), F.lit(0))
+    bad = F.col("replacement").isNotNull() & (again > 0)
+    return outcomes.withColumn("__bad", bad).withColumn("error", F.when(F.col("__bad"), F.lit("not_clean")).otherwise(F.col("error"))).withColumn("replacement", F.when(~F.col("__bad"), F.col("replacement"))).drop("__bad")

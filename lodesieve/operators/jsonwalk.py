@@ -14,13 +14,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.rules import DEFAULT_RULES, Rule
+from . import parts as parts_of
 from .scan import scan
-from .spans import redact
+from .spans import redact, spliced
 
 MAX_DEPTH, MAX_FINDINGS = 64, 10_000
 #: Properties whose text is looked at but never rewritten.
 CONTROL = ("model", "role", "type", "id", "call_id", "name", "prompt_cache_key", "promptCacheKey")
 LEAVES = "array<struct<pos:int,kind:string,key:string,path:string,text:string>>"
+PARTS = "array<struct<path:string,pos:int,text:string>>"
+PART_TYPE = pa.list_(pa.struct([("path", pa.string()), ("pos", pa.int32()), ("text", pa.string())]))
 LEAF_TYPE = pa.list_(pa.struct([("pos", pa.int32()), ("kind", pa.string()), ("key", pa.string()), ("path", pa.string()), ("text", pa.string())]))
 
 
@@ -84,6 +87,24 @@ def leaves(value, path: str = "$", depth: int = 0, key: str = "", out: list | No
     return out
 
 
+def text_parts(value, path: str = "$", out: list | None = None) -> list[tuple[str, int, str | None]]:
+    """(path of the array, position, text) of the elements of arrays that hold a text part; text is null for other elements."""
+    out = [] if out is None else out
+    if isinstance(value, dict):
+        for k, v in value.items():
+            if k != "file_data" and not (k in CONTROL and isinstance(v, str)):
+                text_parts(v, f"{path}.{k}", out)
+    elif isinstance(value, list):
+        texts = [v["text"] if isinstance(v, dict) and isinstance(v.get("text"), str) else None for v in value]
+        if any(t is not None for t in texts):
+            out += [(path, i, t) for i, t in enumerate(texts)]
+        for i, v in enumerate(value):
+            text_parts(v, f"{path}[{i}]", out)
+    elif isinstance(value, str) and not value.startswith("data:") and (own := inner(value)) is not None:
+        text_parts(own, path + "!", out)
+    return out
+
+
 def replaced(value, new: dict[str, str], path: str = "$"):
     """value with the texts of new (by path) put in."""
     if isinstance(value, dict):
@@ -101,24 +122,27 @@ def replaced(value, new: dict[str, str], path: str = "$"):
 
 def _list(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        errors, rows = [], []
+        errors, rows, parts = [], [], []
         for body in b.column("body").to_pylist():
             try:
                 value = parse(body or "")
                 if not isinstance(value, dict):
                     raise ValueError("the body is no object")
-                rows.append([{"pos": k, "kind": x[0], "key": x[1], "path": x[2], "text": x[3]} for k, x in enumerate(leaves(value))])
+                own = [{"pos": k, "kind": x[0], "key": x[1], "path": x[2], "text": x[3]} for k, x in enumerate(leaves(value))]
+                parts.append([{"path": p, "pos": k, "text": t} for p, k, t in text_parts(value)])
+                rows.append(own)
                 errors.append(None)
             except (ValueError, RecursionError) as e:
                 rows.append([])
+                parts.append([])
                 errors.append("nesting_limit" if "nesting" in str(e) or isinstance(e, RecursionError) else "bad_json")
-        yield pa.RecordBatch.from_arrays([b.column("request_id"), b.column("body"), pa.array(errors, pa.string()), pa.array(rows, LEAF_TYPE)], ["request_id", "body", "error", "leaves"])
+        yield pa.RecordBatch.from_arrays([b.column("request_id"), b.column("body"), pa.array(errors, pa.string()), pa.array(rows, LEAF_TYPE), pa.array(parts, PART_TYPE)], ["request_id", "body", "error", "leaves", "parts"])
 
 
 def with_leaves(requests: DataFrame) -> DataFrame:
-    """requests: request_id, body. request_id, body, error (null, bad_json or nesting_limit), leaves."""
+    """requests: request_id, body. request_id, body, error (null, bad_json or nesting_limit), leaves, parts (of texts in arrays)."""
     schema = requests.select("request_id", F.col("body").cast("string")).schema
-    return requests.select("request_id", F.col("body").cast("string")).mapInArrow(_list, f"request_id {schema[0].dataType.simpleString()}, body string, error string, leaves {LEAVES}")
+    return requests.select("request_id", F.col("body").cast("string")).mapInArrow(_list, f"request_id {schema[0].dataType.simpleString()}, body string, error string, leaves {LEAVES}, parts {PARTS}")
 
 
 def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,14 +158,32 @@ def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(out, [n for n in b.schema.names if n != "new"])
 
 
+def part_spans(rows: DataFrame, rules: list[Rule] | tuple[Rule, ...]) -> DataFrame:
+    """rows: with_leaves(). Spans that texts in parts show only when they are read as one: request_id, by_path (path of the text: its spans).
+
+    The parts of an array become rows, are joined and scanned, and the findings are clipped to each.
+    """
+    p = rows.where(F.size("parts") > 0).select("request_id", F.explode("parts").alias("p")).select("request_id", F.struct("request_id", "p.path").alias("array"), F.col("p.path").alias("path"), "p.pos", "p.text")
+    found = parts_of.clipped_findings(p, "array", "pos", "text", rules)
+    found = found.select(F.col("array.request_id").alias("request_id"), F.format_string("%s[%d].text", F.col("array.path"), F.col("pos")).alias("path"), F.struct("start", "end", "rule").alias("s"))
+    by = found.groupBy("request_id", "path").agg(F.array_sort(F.collect_list("s")).alias("spans"))
+    return by.groupBy("request_id").agg(F.map_from_entries(F.collect_list(F.struct("path", "spans"))).alias("by_path"))
+
+
 def inspect(requests: DataFrame, rules: list[Rule] | tuple[Rule, ...] = DEFAULT_RULES) -> DataFrame:
     """request_id, body (redacted; untouched if nothing changed), error, rules (one for each finding), changed, unsafe.
 
-    Findings in keys and control fields are unsafe: they are reported, but cannot be rewritten.
+    Texts in the parts of an array are first read as one, and what spans them is cut from each; then every leaf is
+    scanned by itself. Findings in keys and control fields are unsafe: they are reported, but cannot be rewritten.
     """
-    found = F.transform("leaves", lambda x: F.named_struct(F.lit("kind"), x["kind"], F.lit("path"), x["path"], F.lit("text"), x["text"], F.lit("found"), scan(F.when(x["kind"] != "data", x["text"]).otherwise(F.lit("")), rules)))
-    rows = with_leaves(requests).withColumn("hits", F.filter(found, lambda x: F.size(x["found"]) > 0)).drop("leaves")
-    rules_ = F.flatten(F.transform("hits", lambda x: F.transform(x["found"], lambda f: f["rule"])))
+    rows = with_leaves(requests)
+    rows = rows.join(part_spans(rows, rules), "request_id", "left")
+    spans_at = lambda x: F.coalesce(F.when(x["kind"] == "text", F.try_element_at("by_path", x["path"])), F.expr("cast(array() as array<struct<start:int,end:int,rule:string>>)"))
+    cut = F.transform("leaves", lambda x: F.named_struct(F.lit("kind"), x["kind"], F.lit("path"), x["path"], F.lit("spans"), spans_at(x), F.lit("text"), F.when(F.size(spans_at(x)) > 0, spliced(x["text"], spans_at(x))).otherwise(x["text"])))
+    rows = rows.withColumn("cut", cut).drop("leaves", "parts", "by_path")
+    found = F.transform("cut", lambda x: F.named_struct(F.lit("kind"), x["kind"], F.lit("path"), x["path"], F.lit("text"), x["text"], F.lit("spans"), x["spans"], F.lit("found"), scan(F.when(x["kind"] != "data", x["text"]).otherwise(F.lit("")), rules)))
+    rows = rows.withColumn("hits", F.filter(found, lambda x: (F.size(x["found"]) > 0) | (F.size(x["spans"]) > 0))).drop("cut")
+    rules_ = F.flatten(F.transform("hits", lambda x: F.concat(F.transform(x["spans"], lambda s: s["rule"]), F.transform(x["found"], lambda f: f["rule"]))))
     unsafe = F.exists("hits", lambda x: x["kind"].isin("key", "control"))
     texts = F.filter("hits", lambda x: x["kind"] == "text")
     new = F.transform(texts, lambda x: F.named_struct(F.lit("path"), x["path"], F.lit("text"), redact(x["text"], x["found"])))
@@ -165,3 +207,23 @@ def leaf_rows(df: DataFrame, keys: list[str], body: str, depth: int = MAX_DEPTH)
         SELECT {names}, path, cast(v AS string) AS value FROM tree
         WHERE schema_of_variant(v) NOT LIKE 'OBJECT%' AND schema_of_variant(v) NOT LIKE 'ARRAY%'
     """)
+
+
+# Properties of documents' metadata that are not supported.
+FORBIDDEN = ("/OpenAction", "/AA", "/OCProperties", "/XFA", "/JS", "/JavaScript", "/RichMediaContent", "/Prev")
+
+
+def metadata_texts(df: DataFrame, keys: list[str], body: str) -> DataFrame:
+    """Texts in nested metadata: keys, path, text. 'u:' goes; 'b:' and hex give also the bytes' text, if they are UTF-8."""
+    rows = leaf_rows(df, keys, body)
+    octets = F.when(F.startswith("value", F.lit("b:")), F.try_to_binary(F.substring("value", 3, 1 << 30), F.lit("hex")))
+    plain = F.regexp_replace("value", r"\Au:", "")
+    return rows.select(*keys, "path", F.explode(F.array_compact(F.array(F.try_validate_utf8(octets.cast("string")), plain))).alias("text"))
+
+
+def forbidden_metadata(df: DataFrame, keys: list[str], body: str) -> DataFrame:
+    """keys and error of those whose metadata has an unsupported property at any depth."""
+    hit = F.lit(False)
+    for k in FORBIDDEN:
+        hit = hit | F.endswith("path", F.lit("." + k)) | F.contains("path", F.lit("." + k + ".")) | F.contains("path", F.lit("." + k + "["))
+    return leaf_rows(df, keys, body).where(hit).select(*keys, F.lit("unsupported_pdf_feature").alias("error")).distinct()

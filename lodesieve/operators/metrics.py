@@ -37,3 +37,17 @@ def rank_percentile(df: DataFrame, value: str, keys: list[str], share: float) ->
 
     ranked = df.select(*keys, value).withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy(value))).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
     return ranked.where(F.col("r") == F.least(F.floor(F.lit(share) * F.col("n")) + 1, F.col("n"))).select(*keys, value)
+
+
+def rendered_histogram(buckets: DataFrame, total_ms: str, name: str = "inspection_request_to_headers_seconds") -> DataFrame:
+    """buckets: le (milliseconds or +Inf), n, and the sum of all times in the column total_ms. One row for each line of text, limits in seconds."""
+    le = F.when(F.col("le") == "+Inf", F.col("le")).otherwise(F.regexp_replace((F.col("le").cast("double") / 1000).cast("string"), r"\.0\z", ""))
+    line = F.format_string(name + '_bucket{le="%s"} %d', le, F.col("n"))
+    last = F.array(line, F.format_string(name + "_count %d", F.col("n")), F.format_string(name + "_sum %.3f", F.col(total_ms) / 1000))
+    return buckets.select(F.explode(F.when(F.col("le") == "+Inf", last).otherwise(F.array(line))).alias("line"))
+
+
+def responses(chunks: DataFrame, key: str, size: str, state: str) -> DataFrame:
+    """Chunks of response bodies: bytes of each response, and its end: failed if any chunk says so, completed if one does, else cancelled."""
+    end = F.when(F.bool_or(F.col(state) == "failed"), "failed").when(F.bool_or(F.col(state) == "completed"), "completed").otherwise("cancelled")
+    return chunks.groupBy(key).agg(F.sum(size).alias("bytes"), end.alias("ended"))

@@ -269,6 +269,35 @@ def status_order(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", s.alias("status"))
 
 
+@query("""WITH p AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, count(*) OVER (PARTITION BY conv_id) AS m FROM conversations)
+SELECT conv_id, max(m) AS finding_count, true AS clean FROM p GROUP BY conv_id""")
+def request_parts(spark, sf_dir):
+    """Requests whose turns are the parts of one array: a key begins in the first part and ends in the last, so each part loses a span."""
+    c = table(spark, sf_dir, "conversations")
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    n, m = F.row_number().over(order), F.count(F.lit(1)).over(Window.partitionBy("conv_id"))
+    text = F.concat(F.when(F.col("n") == 1, "a -----BEGIN PRIVATE KEY-----\nAAAA").otherwise("AAAA"), F.when(F.col("n") == F.col("m"), "\n-----END PRIVATE KEY----- z").otherwise(""))
+    part = F.struct(F.lit("input_text").alias("type"), text.alias("text"))
+    rows = c.withColumn("n", n).withColumn("m", m).select("conv_id", F.struct("n", part.alias("p")).alias("x")).groupBy("conv_id").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    body = F.to_json(F.struct(F.lit("m").alias("model"), F.transform("xs", lambda x: x["p"]).alias("input")))
+    rule = [r for r in DEFAULT_RULES if r.id == "private-key-fragment"]
+    out = jsonwalk.inspect(rows.select(F.col("conv_id").alias("request_id"), body.alias("body")), rule)
+    return out.select(F.col("request_id").alias("conv_id"), F.size("rules").cast("bigint").alias("finding_count"), (~F.contains("body", F.lit("AAAA")) & ~F.col("unsafe") & F.col("error").isNull()).alias("clean"))
+
+
+@query("""SELECT event_id, path, text FROM (SELECT event_id, unnest(['$./Title', '$.deep[0].raw', '$.deep[0].raw']) AS path, unnest([event_type, 'b:' || lower(hex(event_type)), event_type]) AS text FROM events)""")
+def metadata_flatten(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    body = F.to_json(F.struct(F.concat(F.lit("u:"), "event_type").alias("/Title"), F.array(F.struct(F.concat(F.lit("b:"), F.lower(F.hex("event_type"))).alias("raw"))).alias("deep")))
+    return jsonwalk.metadata_texts(e.select("event_id", body.alias("body")), ["event_id"], "body")
+
+
+@query("SELECT event_id, 'unsupported_pdf_feature' AS error FROM events WHERE event_id % 3 = 0")
+def metadata_forbidden(spark, sf_dir):
+    deep = F.when(F.col("event_id") % 3 == 0, F.to_json(F.struct(F.struct(F.lit(1).alias("/JS")).alias("a")))).otherwise(F.to_json(F.struct(F.struct(F.lit(1).alias("/Title")).alias("a"))))
+    return jsonwalk.forbidden_metadata(table(spark, sf_dir, "events").select("event_id", deep.alias("body")), ["event_id"], "body")
+
+
 # Attachments --------------------------------------------------------------------------------
 
 def files(spark, sf_dir) -> DataFrame:
@@ -424,6 +453,22 @@ def metrics_text(spark, sf_dir):
     return metrics.rendered(metrics.counters(observed(spark, sf_dir)))
 
 
+@query("""WITH h AS (SELECT unnest(['0.005', '0.01', '0.05', '0.1', '1', '5', '30', '180']) AS le, unnest([count(*) FILTER (value <= 5), count(*) FILTER (value <= 10), count(*) FILTER (value <= 50), count(*) FILTER (value <= 100),
+  count(*) FILTER (value <= 1000), count(*) FILTER (value <= 5000), count(*) FILTER (value <= 30000), count(*) FILTER (value <= 180000)]) AS n FROM events)
+SELECT 'inspection_request_to_headers_seconds_bucket{le="' || le || '"} ' || n AS line FROM h UNION ALL SELECT 'inspection_request_to_headers_seconds_bucket{le="+Inf"} ' || count(*) FROM events
+UNION ALL SELECT 'inspection_request_to_headers_seconds_count ' || count(*) FROM events""")
+def histogram_text(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    rows = metrics.histogram(e, F.col("value")).crossJoin(e.agg(F.sum("value").alias("total")))  # nine rows and one
+    return metrics.rendered_histogram(rows, "total").where("line not like '%_sum %'")
+
+
+@query("""SELECT l_orderkey, sum(l_partkey)::BIGINT AS bytes, CASE WHEN bool_or(l_linenumber = 5) THEN 'failed' WHEN bool_or(l_linenumber = 4) THEN 'completed' ELSE 'cancelled' END AS ended FROM lineitem GROUP BY l_orderkey""")
+def response_ends(spark, sf_dir):
+    state = F.when(F.col("l_linenumber") == 5, "failed").when(F.col("l_linenumber") == 4, "completed").otherwise("open")
+    return metrics.responses(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", state.alias("state")), "l_orderkey", "l_partkey", "state")
+
+
 @query("""WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events)
 SELECT event_type, max(value) FILTER (r = least(floor(0.5::DOUBLE * n) + 1, n)) AS p50, max(value) FILTER (r = least(floor(0.95::DOUBLE * n) + 1, n)) AS p95 FROM r GROUP BY event_type""")
 def latency_ranks(spark, sf_dir):

@@ -42,6 +42,29 @@ def test_keys_and_control_fields_are_unsafe(spark):
     assert [(r["unsafe"], r["changed"], len(r["rules"])) for r in got] == [(True, False, 1), (True, False, 1), (False, True, 1), (False, False, 0), (False, False, 0)]
 
 
+def test_key_split_over_the_parts_of_a_body(spark):
+    parts_ = [{"type": "input_text", "text": "before -----BEGIN PRIVATE KEY-----\n" + "A" * 30}, {"type": "image"}, {"type": "input_text", "text": "A" * 50 + "\n-----END PRIVATE KEY----- after"}]
+    (r,) = inspected(spark, [{"input": parts_, "name": "x"}])
+    out = json.loads(r["body"])["input"]
+    assert "AAAA" not in r["body"] and r["changed"] and not r["unsafe"]
+    assert out[0]["text"].startswith("before [REDACTED:") and out[2]["text"].endswith("] after") and out[1] == {"type": "image"}
+
+
+def test_replacements_are_scanned_again(spark):
+    df = spark.createDataFrame([(1, None, bytearray(b"clean")), (2, None, bytearray(TOKEN.encode())), (3, "unsupported", None)], "id int, error string, replacement binary")
+    got = [(r["error"], r["replacement"] is None) for r in attachments.reverified(df, ["id"]).orderBy("id").collect()]
+    assert got == [(None, False), ("not_clean", True), ("unsupported", True)]
+
+
+def test_config():
+    from lodesieve.sources.config import from_toml
+
+    assert from_toml('mode = "advisory"\nttl_secs = 5\n').ttl_secs == 5
+    for bad in ('mode = "x"', "ttl_secs = 0", "ttl_secs = true", "colour = 1", "use_entropy = 1"):
+        with pytest.raises(ValueError):
+            from_toml(bad)
+
+
 def test_native_leaves(spark):
     df = spark.createDataFrame([(1, '{"a":[1,{"b":"x"}],"c":null}'), (2, "no json"), (3, None)], "id int, body string")
     got = sorted((r["id"], r["path"], r["value"]) for r in jsonwalk.leaf_rows(df, ["id"], "body", 6).collect() if r["value"] is not None)
