@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import documents, map_batches, slices, text_buffer
+from .common import documents, kept, map_batches, slices, text_buffer
 
 #: Pieces of one recursive query, and bytes of text whose new pieces are gathered for it.
 PIECES, GATHER = 32_000, 4 << 20
@@ -167,17 +167,12 @@ def stretches_of(raw: np.ndarray, at: np.ndarray) -> tuple[pa.DictionaryArray, n
     return texts.dictionary_encode(), np.searchsorted(begins, at)
 
 
-_codecs: dict[tuple, Codec] = {}
-
-
 class Encode:
     def __init__(self, path: str, pattern: str, most: int, long: int):
         self.key = (path, pattern, most, long)
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if self.key not in _codecs:
-            _codecs[self.key] = Codec(*self.key)
-        codec = _codecs[self.key]
+        codec = kept(self.key, lambda: Codec(*self.key))
         for whole in batches:
             for b in slices(whole, "text", GATHER):
                 yield encoded(codec, b)

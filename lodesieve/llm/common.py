@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,10 +47,38 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+#: What an operator keeps in a Python worker from task to task. Workers outlive a stage, so one operator's goes when another one begins.
+_kept: dict = {}
+
+
+def kept(key, make: Callable):
+    """The object of this key, made if this worker has none."""
+    release(key)
+    if key not in _kept:
+        _kept[key] = make()
+    return _kept[key]
+
+
+def release(but=None) -> None:
+    for key in [k for k in _kept if k != but]:
+        del _kept[key]
+
+
+class Task:
+    """f over a task's batches; what other operators keep goes first. f.key: what f itself keeps."""
+
+    def __init__(self, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+        self.f = f
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release(getattr(self.f, "key", None))
+        yield from self.f(batches)
+
+
 def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """mapInArrow with small batches. f: a function of a batch iterator, or an object with __call__ of one."""
     small_batches(df.sparkSession)
-    return df.mapInArrow(f, schema)
+    return df.mapInArrow(Task(f), schema)
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -125,6 +154,57 @@ def plain(f: Callable[[pa.Table], pa.Table]):
     """f as a function without annotations, as applyInArrow wants it."""
 
     def call(table):
+        release()
         return f(table)
 
     return call
+
+
+def both(f: Callable[[pa.Table, pa.Table], pa.Table]):
+    """f of two tables, likewise."""
+
+    def call(left, right):
+        release()
+        return f(left, right)
+
+    return call
+
+
+def packed_planes(a: np.ndarray) -> bytes:
+    """An array as compressed byte planes."""
+    a = np.ascontiguousarray(a)
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T).tobytes())
+
+
+def unpacked_planes(blob: bytes, kind: str) -> np.ndarray:
+    kind = np.dtype(kind)
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    return np.ascontiguousarray(raw.reshape(kind.itemsize, -1).T).reshape(-1).view(kind)
+
+
+def blobs(*parts: bytes) -> bytes:
+    return pack(*(np.frombuffer(p, np.uint8) for p in parts))
+
+
+def unblobs(blob: bytes) -> list[bytes]:
+    n = int(np.frombuffer(blob, np.int64, 1)[0])
+    return [a.tobytes() for a in unpack(blob, *["u1"] * n)]
+
+
+def least_type(a: np.ndarray) -> np.ndarray:
+    return a.astype(np.min_scalar_type(int(a.max()))) if len(a) else a.astype(np.uint8)
+
+
+def numbers(a: np.ndarray) -> bytes:
+    """Whole numbers from 0, as planes, with their width before them."""
+    a = least_type(a)
+    return bytes([a.itemsize]) + packed_planes(a)
+
+
+def from_numbers(blob: bytes) -> np.ndarray:
+    return unpacked_planes(blob[1:], f"u{blob[0]}").astype(np.int64)
+
+
+def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets are ranges of a 64-bit hash."""
+    return ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)

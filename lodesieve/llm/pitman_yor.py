@@ -33,16 +33,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, fold, map_batches, new_path, pack, plain, saved, slices, text_buffer, unpack
+from .common import blobs, both, bucket_of, documents, fold, from_numbers, map_batches, new_path, numbers, packed_planes, plain, saved, slices, text_buffer, unblobs, unpacked_planes
 from .words import mixed, word_hash, words
 
 #: Tokens of a chunk, at least, but for a task's last.
-CHUNK = 3_000_000
+CHUNK = 2_000_000
 END = np.uint64(word_hash("<end of text>"))
 REPLY = "chunk bigint, kind int, bucket int, payload binary, n_all bigint, n_kinds bigint, sums array<bigint>"
 REPLY_TYPES = {"chunk": pa.int64(), "kind": pa.int32(), "bucket": pa.int32(), "payload": pa.binary(), "n_all": pa.int64(), "n_kinds": pa.int64(), "sums": pa.list_(pa.int64())}
@@ -50,41 +49,6 @@ ASK = "bucket int, chunk bigint, payload binary"
 SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
 
 
-def packed_planes(a: np.ndarray) -> bytes:
-    """An array as compressed byte planes."""
-    a = np.ascontiguousarray(a)
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T).tobytes())
-
-
-def unpacked_planes(blob: bytes, kind: str) -> np.ndarray:
-    kind = np.dtype(kind)
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
-    return np.ascontiguousarray(raw.reshape(kind.itemsize, -1).T).reshape(-1).view(kind)
-
-
-def blobs(*parts: bytes) -> bytes:
-    return pack(*(np.frombuffer(p, np.uint8) for p in parts))
-
-
-def unblobs(blob: bytes) -> list[bytes]:
-    n = int(np.frombuffer(blob, np.int64, 1)[0])
-    return [a.tobytes() for a in unpack(blob, *["u1"] * n)]
-
-
-def least_type(a: np.ndarray) -> np.ndarray:
-    return a.astype(np.min_scalar_type(int(a.max()))) if len(a) else a.astype(np.uint8)
-
-
-def numbers(a: np.ndarray) -> bytes:
-    """Whole numbers from 0, as planes, with their width before them."""
-    a = least_type(a)
-    return bytes([a.itemsize]) + packed_planes(a)
-
-
-def from_numbers(blob: bytes) -> np.ndarray:
-    return unpacked_planes(blob[1:], f"u{blob[0]}").astype(np.int64)
-
-
 # Chunks -------------------------------------------------------------------------------------
 
 class Chunks:
@@ -182,10 +146,6 @@ class Chunk:
         return np.searchsorted(b, np.arange(buckets + 1))
 
 
-def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
-    return ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-
-
 def asked(out: list[tuple[int, int, bytes]]) -> pa.Table:
     return pa.table({"bucket": pa.array([x[0] for x in out], pa.int32()), "chunk": pa.array([x[1] for x in out], pa.int64()), "payload": pa.array([x[2] for x in out], pa.binary())})
 
@@ -472,24 +432,16 @@ class Score:
         return pa.concat_tables(out) if out else pa.table({k: pa.array([], t) for k, t in (("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()))})
 
 
-def both(f):
-    """f of two tables as a function without annotations."""
-
-    def call(left, right):
-        return f(left, right)
-
-    return call
-
-
 def score_documents(docs: DataFrame, held_out, strength: float = 1.0, discount: float = 0.7, top_strength: float = 1.0, top_discount: float = 0.6, burn: int = 2, samples: int = 3, buckets: int | None = None, split: int = 500_000) -> DataFrame:
     """docs: doc_id, text; held_out: a column, whether a document is kept from training.
 
     One row each: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity."""
     spark = docs.sparkSession
-    buckets = buckets or max(12, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(12, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = buckets or 2 * parts
     made = map_batches(docs.select("doc_id", "text", held_out.alias("held_out")), Chunks(), "chunk bigint, payload binary")
     name = f"lodesieve_chunks_{uuid.uuid4().hex}"
-    made.write.format("parquet").bucketBy(buckets, "chunk").option("path", new_path(spark, "chunks")).saveAsTable(name)
+    made.write.format("parquet").bucketBy(parts, "chunk").option("path", new_path(spark, "chunks")).saveAsTable(name)
     chunks = spark.table(name)
     by_chunk = chunks.groupBy("chunk")
     words_ = saved(map_batches(chunks, AskWords(buckets), ASK).groupBy("bucket").applyInArrow(plain(CountWords()), REPLY), "words")

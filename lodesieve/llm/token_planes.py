@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, map_batches, new_path, text_buffer
+from .common import documents, kept, map_batches, new_path, text_buffer
 
 MAGIC = b"LSPLANE1"
 HEAD = struct.Struct("<8sIIIIQ")
@@ -172,18 +172,15 @@ def read_chunk(payload: bytes) -> tuple[np.ndarray, list[int | None], np.ndarray
     return ids_from(planes, n_ids, block, bits), [d if k else None for d, k in zip(docs.tolist(), known.tolist(), strict=True)], np.frombuffer(table, "<u8", n_docs, 9 * n_docs)
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
 class Write:
     """Encodes the sorted documents of a partition and yields its chunks."""
 
     def __init__(self, path: str, end: int, chunk_ids: int, block: int, bits: int):
         self.path, self.end, self.chunk_ids, self.block, self.bits = path, end, chunk_ids, block, bits
+        self.key = ("words", path)
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoders.setdefault(self.path, None) or WordEncoder(self.path)
-        _encoders[self.path] = encoder
+        encoder = kept(self.key, lambda: WordEncoder(self.path))
         shard, chunk, start, held, docs = TaskContext.get().partitionId(), 0, 0, [], []
         for b in batches:
             for at in range(0, b.num_rows, 256):
