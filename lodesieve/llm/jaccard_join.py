@@ -6,9 +6,10 @@ node from the start. Two nodes link when 100 * intersection >= 80 * union.
 1. Each task hashes the shingles of its documents and deals them out by shingle. Where they meet,
    the nodes that hold a shingle are counted, and those that only one node holds go: no link can
    rest on them. A shingle that a task sees ``hot`` times or more is counted there and crosses as
-   one count, while its places go straight to their nodes. So no task gets all places of a
-   common passage.
-2. At its node, what is left of a set is put in order, rare first: by the number of nodes that hold
+   one count, while its places stay with their nodes. So no task gets all places of a
+   common passage. Nodes travel as small numbers of the chunk that a task gathered, so what is
+   shuffled is a few bytes for each shingle, however many buckets there are.
+2. At its chunk, what is left of a set is put in order, rare first: by the number of nodes that hold
    a shingle (counts of ``hot`` and more are one class), then by hash. A node with too few shared
    shingles for any link is done.
 3. Prefix filter: linked nodes share a shingle among the first n - ceil(0.8 n) + 1 of their sets
@@ -35,16 +36,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, map_batches, pack, plain, saved, slices, text_buffer, unpack
+from .common import blobs, bucket_of, documents, from_numbers, map_batches, numbers, packed_planes, plain, saved, slices, text_buffer, unblobs, unpacked_planes
 from .components import components
 from .words import mixed, words
 
 WIDTH = 5
 #: Shingles that a task gathers before it deals them out.
-GATHER = 4_000_000
+GATHER = 1_000_000
 HOT_GROUPS = 1000
 BIG = np.int32(1 << 30)
 
@@ -95,28 +97,19 @@ class Sets:
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in self.passed), pa.array([n for n, _ in sets], pa.int64()), pa.array([k for _, k in sets], pa.binary())], [*self.passed, "n_shingles", "node"])
 
 
-def halves(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    both = np.frombuffer(b"".join(keys), ">u8").astype(np.uint64)
-    return both[::2].copy(), both[1::2].copy()
-
-
-def key_bytes(hi: np.ndarray, lo: np.ndarray) -> list[bytes]:
-    raw = np.stack([hi, lo], 1).astype(">u8").tobytes()
-    return [raw[k : k + 16] for k in range(0, len(raw), 16)]
-
-
-NODES = ("u8", "u8", "i4", "i4")  # hi, lo, n, entries
-
-
 class Deal:
-    """Deals shingles out by bucket. kind 0: places of nodes and hot counts, by shingle; kind 1: hot places, by node."""
+    """Deals the shingles of a task's nodes out by hash. A task's nodes come in chunks, and are numbers in them.
+
+    kind 0: hot shingles of a chunk and their counts; 1: hot places, for the chunk itself; 2: all other places;
+    3: the chunk's nodes, for itself. Places are sorted by shingle.
+    """
 
     def __init__(self, buckets: int, hot: int):
         self.buckets, self.hot = buckets, hot
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
-        seen, keys, sets, size = set(), [], [], 0
+        chunk, seen, keys, sets, size = TaskContext.get().partitionId() << 24, set(), [], [], 0
         for whole in batches:
             for b in slices(whole, "text"):
                 for s in shingle_sets(*text_buffer(b.column("text"))):
@@ -127,127 +120,98 @@ class Deal:
                     sets.append(s)
                     size += len(s)
                 if size >= GATHER:
-                    yield from self.dealt(keys, sets)
-                    keys, sets, size = [], [], 0
+                    yield from self.dealt(chunk, keys, sets)
+                    chunk, keys, sets, size = chunk + 1, [], [], 0
         if keys:
-            yield from self.dealt(keys, sets)
+            yield from self.dealt(chunk, keys, sets)
 
-    def dealt(self, keys: list[bytes], sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        hi, lo = halves(keys)
-        n = np.array([len(s) for s in sets], np.int32)
+    def dealt(self, chunk: int, keys: list[bytes], sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        n = np.array([len(s) for s in sets])
         grams, node = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
-        order = np.sort(grams)
-        first = np.flatnonzero(np.concatenate([[True], order[1:] != order[:-1]]))
-        count = np.diff(np.append(first, len(order)))
-        hot = order[first[count >= self.hot]]
-        hot_count = count[count >= self.hot]
-        is_hot = np.zeros(len(grams), bool)
-        if len(hot):
-            slot = np.minimum(np.searchsorted(hot, grams), len(hot) - 1)
-            is_hot = hot[slot] == grams
-        rows: list[tuple[int, int, bytes]] = []
+        order = np.argsort(grams, kind="stable")
+        grams, node = grams[order], node[order]
+        first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
+        count = np.diff(np.append(first, len(grams)))
+        is_hot = np.repeat(count >= self.hot, count)
+        own = chunk % self.buckets
+        rows = [(own, 3, chunk, blobs(b"".join(keys), numbers(n)))]
         if is_hot.any():
-            rows += [(k, 1, p) for k, p in by_bucket(hi, lo, n, node[is_hot], node_bucket(hi, self.buckets)[node[is_hot]], self.buckets, grams[is_hot])]
+            rows.append((own, 1, chunk, places(grams[is_hot], node[is_hot], np.full(int(is_hot.sum()), self.hot))))
+            hot = grams[first[count >= self.hot]]
+            where = bucket_of(hot, self.buckets)
+            rows += [(k, 0, chunk, blobs(hot[where == k].tobytes())) for k in np.unique(where).tolist()]
             grams, node = grams[~is_hot], node[~is_hot]
-        bucket = (grams % np.uint64(self.buckets)).astype(np.int32)
-        hot_bucket = (hot % np.uint64(self.buckets)).astype(np.int32)
-        rows += [(k, 0, pack(hot[hot_bucket == k], hot_count[hot_bucket == k].astype(np.int64))) for k in np.unique(hot_bucket).tolist()]
-        rows += [(k, 2, p) for k, p in by_bucket(hi, lo, n, node, bucket, self.buckets, grams)]
+        cuts = np.searchsorted(bucket_of(grams, self.buckets), np.arange(self.buckets + 1))
+        rows += [(k, 2, chunk, places(grams[a:z], node[a:z], np.zeros(0))) for k, (a, z) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if a < z]
         for at in range(0, len(rows), 64):
-            part = rows[at : at + 64]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int32()), pa.array([r[1] for r in part], pa.int32()), pa.array([r[2] for r in part], pa.binary())], ["bucket", "kind", "payload"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows[at : at + 64]], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.int64(), pa.binary()))], ["bucket", "kind", "chunk", "payload"])
 
 
-def node_bucket(hi: np.ndarray, buckets: int) -> np.ndarray:
-    return ((hi >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+def places(grams: np.ndarray, node: np.ndarray, weight: np.ndarray) -> bytes:
+    """Ascending shingles as differences, the node of each, and perhaps a weight."""
+    return blobs(packed_planes(np.diff(grams, prepend=np.uint64(0))), numbers(node), numbers(weight.astype(np.int64)))
 
 
-def by_bucket(hi: np.ndarray, lo: np.ndarray, n: np.ndarray, node: np.ndarray, bucket: np.ndarray, buckets: int, *values: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """Packed nodes with their values, for each bucket. node: ascending within each bucket's rows, as given."""
-    small = bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket
-    order = np.argsort(small, kind="stable")
-    bounds = np.searchsorted(small[order], np.arange(buckets + 1))
-    for k in range(buckets):
-        own = order[bounds[k] : bounds[k + 1]]
-        if not len(own):
-            continue
-        nodes = node[own]
-        first = np.flatnonzero(np.concatenate([[True], nodes[1:] != nodes[:-1]]))
-        who = nodes[first]
-        yield k, pack(hi[who], lo[who], n[who], np.diff(np.append(first, len(own))).astype(np.int32), *(v[own] for v in values))
-
-
-def gathered(payloads: list[bytes], *types: str) -> list[np.ndarray]:
-    """The nodes of many payloads as one table (hi, lo, n), and for each value its node number and itself."""
-    parts = [unpack(p, *NODES, *types) for p in payloads]
-    if not parts:
-        return [np.zeros(0, t) for t in ("u8", "u8", "i4", "i8", *types)]
-    hi, lo, n, entries, *values = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.lexsort((lo, hi))
-    new = np.concatenate([[True], (hi[order][1:] != hi[order][:-1]) | (lo[order][1:] != lo[order][:-1])])
-    number = np.empty(len(hi), np.int64)
-    number[order] = np.cumsum(new) - 1
-    one = order[new]
-    return [hi[one], lo[one], n[one], np.repeat(number, entries), *values]
+def from_places(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    steps, node, weight = unblobs(payload)
+    return np.cumsum(unpacked_planes(steps, "u8"), dtype=np.uint64), from_numbers(node), from_numbers(weight)
 
 
 class Count:
-    """Counts the nodes of each shingle of a bucket, and sends those that more than one node holds to their nodes."""
+    """Counts the nodes of each shingle of a bucket, and sends those that more than one place has back to their chunks, with a weight: the count, or hot if it is more.
 
-    def __init__(self, buckets: int, hot: int):
-        self.buckets, self.hot = buckets, hot
+    A node that stands in several chunks counts in each; so its shingles may weigh more, but no link is lost by that.
+    """
+
+    def __init__(self, hot: int):
+        self.hot = hot
 
     def __call__(self, table: pa.Table) -> pa.Table:
         np.seterr(over="ignore")
-        kind, payload = table.column("kind").to_numpy(), table.column("payload").to_pylist()
-        out: list[tuple[int, bytes]] = []
-        for k, p in zip(kind.tolist(), payload, strict=True):
-            if k == 1:
-                h = unpack(p, *NODES, "u8")
-                out.append((int(node_bucket(h[0][:1], self.buckets)[0]), pack(*h, np.full(len(h[4]), self.hot, np.uint8))))
-        hot = [unpack(p, "u8", "i8")[0] for k, p in zip(kind.tolist(), payload, strict=True) if k == 0]
+        rows = list(zip(table.column("kind").to_pylist(), table.column("chunk").to_pylist(), table.column("payload").to_pylist(), strict=True))
+        out = [(c, k, p) for k, c, p in rows if k in (1, 3)]
+        hot = [np.frombuffer(unblobs(p)[0], np.uint64) for k, _, p in rows if k == 0]
         hot = np.unique(np.concatenate(hot)) if hot else np.zeros(0, np.uint64)
-        hi, lo, n, node, grams = gathered([p for k, p in zip(kind.tolist(), payload, strict=True) if k == 2], "u8")
-        if len(grams):
+        chunks, parts = [c for k, c, _ in rows if k == 2], [from_places(p)[:2] for k, _, p in rows if k == 2]
+        if parts:
+            sizes = [len(g) for g, _ in parts]
+            grams = np.concatenate([g for g, _ in parts])
             order = np.argsort(grams, kind="stable")
             g = grams[order]
-            keep = np.concatenate([[False], g[1:] == g[:-1]])
-            keep[:-1] |= keep[1:]
-            if len(hot):
-                keep |= hot[np.minimum(np.searchsorted(hot, g), len(hot) - 1)] == g
-            order = order[keep]
-            grams, node = grams[order], node[order]
-            order = np.lexsort((node, grams))
-            grams, node = grams[order], node[order]
-            new = np.concatenate([[True], (grams[1:] != grams[:-1]) | (node[1:] != node[:-1])]) if len(grams) else np.zeros(0, bool)
-            grams, node = grams[new], node[new]
-            first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]])) if len(grams) else np.zeros(0, np.int64)
-            count = np.diff(np.append(first, len(grams)))
+            first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+            count = np.diff(np.append(first, len(g)))
             weight = np.minimum(count, self.hot)
-            if len(hot) and len(first):
-                weight[hot[np.minimum(np.searchsorted(hot, grams[first]), len(hot) - 1)] == grams[first]] = self.hot
-            weight = np.repeat(weight, count).astype(np.uint8)
-            more = weight > 1
-            grams, node, weight = grams[more], node[more], weight[more]
-            order = np.argsort(node, kind="stable")
-            grams, node, weight = grams[order], node[order], weight[order]
-            out += by_bucket(hi, lo, n, node, node_bucket(hi, self.buckets)[node], self.buckets, grams, weight)
-        return pa.table({"bucket": pa.array([k for k, _ in out], pa.int32()), "payload": pa.array([p for _, p in out], pa.binary())})
+            if len(hot):
+                weight[hot[np.minimum(np.searchsorted(hot, g[first]), len(hot) - 1)] == g[first]] = self.hot
+            by_place = np.empty(len(g), np.int64)
+            by_place[order] = np.repeat(weight, count)
+            at = 0
+            for c, n, (own, node) in zip(chunks, sizes, parts, strict=True):
+                w = by_place[at : at + n]
+                more = w > 1
+                if more.any():
+                    out.append((c, 1, places(own[more], node[more], w[more])))
+                at += n
+        return pa.table({"chunk": pa.array([r[0] for r in out], pa.int64()), "kind": pa.array([r[1] for r in out], pa.int32()), "payload": pa.array([r[2] for r in out], pa.binary())})
 
 
 def order_sets(table: pa.Table) -> pa.Table:
-    """The nodes of a bucket that can have a link, with their shared shingles in order, rare first."""
-    hi, lo, n, node, grams, weight = gathered(table.column("payload").to_pylist(), "u8", "u1")
+    """The nodes of a chunk that can have a link, with their shared shingles in order, rare first."""
+    rows = list(zip(table.column("kind").to_pylist(), table.column("payload").to_pylist(), strict=True))
+    keys, n = unblobs(next(p for k, p in rows if k == 3))
+    n = from_numbers(n)
+    parts = [from_places(p) for k, p in rows if k == 1]
+    grams, node, weight = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    shared = np.bincount(node, minlength=len(n))
+    can = shared >= needed(n)
+    some = can[node]
+    grams, node, weight = grams[some], node[some], weight[some]
     order = np.lexsort((grams, weight, node))
-    node, grams = node[order], grams[order]
-    new = np.concatenate([[True], (grams[1:] != grams[:-1]) | (node[1:] != node[:-1])]) if len(grams) else np.zeros(0, bool)
-    node, grams = node[new], grams[new]
-    shared = np.bincount(node, minlength=len(hi))
-    ends = np.cumsum(shared)
-    can = np.flatnonzero(shared >= needed(n.astype(np.int64)))
-    keys = key_bytes(hi[can], lo[can])
-    sets = [grams[ends[k] - shared[k] : ends[k]].tobytes() for k in can.tolist()]
-    return pa.table({"node": pa.array(keys, pa.binary()), "n": pa.array(n[can], pa.int32()), "grams": pa.array(sets, pa.binary())})
+    grams = grams[order]
+    ends = np.cumsum(np.where(can, shared, 0))
+    who = np.flatnonzero(can)
+    sets = [grams[ends[k] - shared[k] : ends[k]].tobytes() for k in who.tolist()]
+    return pa.table({"node": pa.array([keys[16 * k : 16 * k + 16] for k in who.tolist()], pa.binary()), "n": pa.array(n[who], pa.int32()), "grams": pa.array(sets, pa.binary())})
 
 
 def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -359,9 +323,10 @@ def verify_grid(table: pa.Table) -> pa.Table:
 
 def shared_sets(docs: DataFrame, buckets: int, hot: int) -> DataFrame:
     """node, n, grams of every node that can have a link."""
-    dealt = map_batches(docs.select("text"), Deal(buckets, hot), "bucket int, kind int, payload binary")
-    counted = dealt.groupBy("bucket").applyInArrow(plain(Count(buckets, hot)), "bucket int, payload binary")
-    return saved(counted.groupBy("bucket").applyInArrow(plain(order_sets), "node binary, n int, grams binary"), "shared-sets")
+    dealt = map_batches(docs.select("text"), Deal(buckets, hot), "bucket int, kind int, chunk bigint, payload binary")
+    counted = dealt.groupBy("bucket").applyInArrow(plain(Count(hot)), "chunk bigint, kind int, payload binary")
+    sets = counted.groupBy("chunk").applyInArrow(plain(order_sets), "node binary, n int, grams binary")
+    return saved(sets.dropDuplicates(["node"]), "shared-sets")
 
 
 def links(sets: DataFrame, block: int = 1024) -> DataFrame:
@@ -395,7 +360,7 @@ def links(sets: DataFrame, block: int = 1024) -> DataFrame:
 def jaccard_groups(docs: DataFrame, buckets: int | None = None, hot: int = 64, block: int = 1024) -> DataFrame:
     """docs: doc_id, text. One row each: row_hash, doc_id, n_shingles, node, component_id, copies (rows with an equal set), keep (of each component's rows, one)."""
     spark = docs.sparkSession
-    buckets = buckets or max(32, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = buckets or max(32, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     own = saved(map_batches(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text"), Sets(["doc_id", "text_hash"]), "doc_id bigint, text_hash bigint, n_shingles bigint, node binary"), "sets")
     comp = components(links(shared_sets(docs, buckets, hot), block))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "text_hash")).alias("first")
