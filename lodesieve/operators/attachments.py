@@ -42,7 +42,8 @@ def decoded_text(content: Column) -> Column:
     pairs = F.regexp_replace(F.hex(body), "(....)", "$1 ")
 
     def wide(name: str, high: str, low: str) -> Column:
-        ok = (F.octet_length(body) % 2 == 0) & ~F.regexp_replace(pairs, f"{high} {low} ", "").rlike(f"{high} |{low} ")
+        paired = ~F.hex(body).rlike("D[89A-F]") | ~F.regexp_replace(pairs, f"{high} {low} ", "").rlike(f"{high} |{low} ")  # mostly there is no surrogate to look at
+        ok = (F.octet_length(body) % 2 == 0) & paired
         return F.when(ok, F.decode(F.when(ok, body), name))
 
     text = F.when(F.startswith(content, F.unhex(F.lit("FFFE"))), wide("UTF-16LE", "..D[89AB]", "..D[CDEF]"))

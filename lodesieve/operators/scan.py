@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import contains_any, digest, entropy
+from ..functions.text import ascii_lower, contains_any, digest, entropy
 from ..sources.rules import DEFAULT_RULES, Rule, usable
 
 FINDING = "array<struct<rule:string,start:int,end:int,secret:string>>"
@@ -35,9 +35,22 @@ def matches(text: Column, rule_id: str, regex: str) -> Column:
 
 def scan(text: Column, rules: list[Rule] | tuple[Rule, ...] = DEFAULT_RULES) -> Column:
     """The findings of all rules in one array, by start, longest first, then rule. A rule's keywords gate its pattern."""
-    none = F.expr(f"cast(array() as {FINDING})")
-    found = [F.when(contains_any(text, list(r.keywords)) & text.rlike(r.regex), matches(text, r.id, r.regex)).otherwise(none) for r in usable(rules)]
-    return in_order(F.concat(*found) if found else none)
+    none, ready = F.expr(f"cast(array() as {FINDING})"), usable(rules)
+    if not ready:
+        return none
+
+    def found(x: Column) -> Column:
+        def gated(r: Rule) -> Column:
+            words = F.lit(not r.keywords)
+            for k in r.keywords:
+                words = words | F.contains(x["low"], F.lit(k.lower()))
+            return F.when(words & x["text"].rlike(r.regex), matches(x["text"], r.id, r.regex)).otherwise(none)
+
+        return in_order(F.concat(*map(gated, ready)))
+
+    # An array of one element binds the text and its lower case, so that both are made once for all rules.
+    bound = F.array(F.named_struct(F.lit("text"), text, F.lit("low"), ascii_lower(text)))
+    return F.when(text.isNotNull(), F.element_at(F.transform(bound, found), 1)).otherwise(none)
 
 
 def in_order(findings: Column) -> Column:
