@@ -15,7 +15,8 @@ every window.
 
 Defined results. Null text counts as empty. Items with fewer than five words are not
 searched for. Ids are passed through, null and repeated ones too; each row is judged by its own
-text. Repeated items count once each by item_id. Empty tables give no match. Other columns are not read.
+text. Repeated items count once each by item_id; items with different texts, but one id or none, are searched
+for each by itself. A null item_id counts in n_items, but is not listed. Empty tables give no match. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -128,10 +129,11 @@ class Match:
 
 
 def benchmark_windows(items: DataFrame, width: int) -> DataFrame:
-    """item_id, n_words, pos, size, hash, slots of every window of every item; an item shorter than width is one window."""
+    """item, item_id, n_words, pos, size, hash, slots of every window of every different item; an item shorter than width is one window. item: its number."""
     sizes = list(range(SHORTEST, width + 1))
-    rows = map_batches(items.select("item_id", "text"), Match(sizes, None, ["item_id"]), f"item_id bigint, n_words bigint, hits {HITS}")
-    w = rows.select("item_id", "n_words", F.explode("hits").alias("w")).select("item_id", "n_words", "w.*")
+    once = items.select("item_id", "text").distinct().withColumn("item", F.monotonically_increasing_id())
+    rows = map_batches(once, Match(sizes, None, ["item", "item_id"]), f"item bigint, item_id bigint, n_words bigint, hits {HITS}")
+    w = rows.select("item", "item_id", "n_words", F.explode("hits").alias("w")).select("item", "item_id", "n_words", "w.*")
     return w.where((F.col("size") == width) | (F.col("size") == F.col("n_words")))
 
 
@@ -148,10 +150,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = 8, least: int
     found = saved(map_batches(rows, Match(sizes, known, passed), f"doc_id bigint, row bigint, text_hash bigint, n_words bigint, hits {HITS}"), "document-windows")
     hit = found.select("row", F.explode("hits").alias("w")).select("row", F.col("w.pos").alias("pos"), F.col("w.hash").alias("hash"), F.col("w.slots").alias("doc_slots"))
     hit = hit.join(bench.withColumnRenamed("pos", "item_pos"), "hash").withColumn("diagonal", F.col("pos") - F.col("item_pos"))
-    line = Window.partitionBy("row", "item_id", "diagonal").orderBy("pos")
+    line = Window.partitionBy("row", "item", "diagonal").orderBy("pos")
     hit = hit.withColumn("run", F.col("pos") - F.row_number().over(line))
-    run = ["row", "item_id", "diagonal", "run"]
-    length = hit.groupBy(*run).agg((F.count(F.lit(1)) - 1 + F.max("size")).alias("words"), F.max("n_words").alias("item_words"))
+    run = ["row", "item", "diagonal", "run"]
+    length = hit.groupBy(*run).agg((F.count(F.lit(1)) - 1 + F.max("size")).alias("words"), F.max("n_words").alias("item_words"), F.max("item_id").alias("item_id"))
     length = length.where(F.col("words") >= F.least(F.lit(least), "item_words"))
     slot = hit.select(*run, F.explode(F.arrays_zip("slots", "doc_slots")).alias("s")).select(*run, F.col("s.slots").alias("a"), F.col("s.doc_slots").alias("b")).distinct()
     odd = slot.groupBy(*run, "a").count().where("count > 1").select(*run).unionByName(slot.groupBy(*run, "b").count().where("count > 1").select(*run)).distinct()

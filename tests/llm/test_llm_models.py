@@ -117,6 +117,18 @@ def test_decontamination(spark):
     assert decontaminate.decontaminate(docs, bench.where("false")).where("contaminated").count() == 0
 
 
+def test_decontamination_by_repeated_and_null_item_ids(spark):
+    other = QUESTION.replace("then how", "so tell me what")
+    odd = QUESTION.replace("Alice", "Carol").replace("5", "7").replace("of 12 km", "of 13")
+    docs = spark.createDataFrame([(1, QUESTION), (2, f"Well. {other} then"), (3, odd), (4, "clean words")], "doc_id bigint, text string")
+    for ids, got_items in (([1, 1, 1, 1], "1"), ([None] * 4, ""), ([1, 1, 2, 2], None)):
+        bench = spark.createDataFrame(list(zip(ids, [QUESTION, QUESTION, other, other], strict=True)), "item_id bigint, text string")
+        got = {r["doc_id"]: r for r in decontaminate.decontaminate(docs, bench).collect()}
+        assert {k: r["n_items"] for k, r in got.items() if r["contaminated"]} == {1: 1, 2: 1}
+        assert [got[k]["max_words"] for k in (1, 2)] == [len(QUESTION.split()), len(other.split())]
+        assert [got[k]["items"] for k in (1, 2)] == (["1", "2"] if got_items is None else [got_items] * 2)
+
+
 def test_decontamination_of_planted_passages(spark, sf_dir):
     docs, items = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
