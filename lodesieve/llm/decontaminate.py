@@ -3,10 +3,15 @@
 Words lose their case and the punctuation around them. Numbers, names (capitalised words inside
 a sentence) and units (after a number) become typed placeholders <num>, <name>, <unit>; what stood
 there is the slot's value. Windows of ``width`` template words are hashed and joined, documents to
-benchmark items; windows with fewer plain words than placeholders are left out, as they say too little. Matches on one diagonal (place in
-the document less place in the item) with no gap are a run. A run counts if it covers ``least``
-words, or all of a shorter item, and its slots are consistent: each value of the item stands for one
-value in the document, and different names stand for different names. So a copy is caught, and also
+benchmark items. Windows with fewer plain words than placeholders say too little as templates and are
+hashed by value. A capitalised first word may be a plain word or a name, so a window that begins
+with one has a hash for either.
+
+A match is a seed: on its diagonal (place in the document less place in the item) all words are
+compared, those that only windows of mostly placeholders hold by value. An item is found if ``least``
+words in a row, or all of a shorter item, match and are consistent: each value of the item stands
+for one value in the document, and different values for different ones. A longer row that is not consistent
+counts only for what in it is the same word for word, ``least`` words at least. So a copy is caught, and also
 the question with other numbers and names, but not a text that only shares a form.
 
 The template hashes of the benchmark go to the tasks, which drop windows that match none before
@@ -41,12 +46,17 @@ DIGIT[48:58] = True
 SIGN[[*b"0123456789.,:/%+-$"]] = True
 EDGE[[*b".,;:!?\"'()[]{}<>*_#$%&"]] = True
 STOP[[*b".!?:"]] = True
-HITS = "array<struct<pos:int,size:int,hash:bigint,slots:array<bigint>>>"
-HIT_TYPE = pa.list_(pa.struct([("pos", pa.int32()), ("size", pa.int32()), ("hash", pa.int64()), ("slots", pa.list_(pa.int64()))]))
+#: Kind of a capitalised word that begins a sentence: plain, but possibly a name.
+OPENER = 4
+STEP = 0xD6E8FEB86659FD93
+#: What is added to the size where a window is hashed by value.
+BY_VALUE = 1 << 32
+HITS = "array<struct<pos:int,size:int,hash:bigint>>"
+HIT_TYPE = pa.list_(pa.struct([("pos", pa.int32()), ("size", pa.int32()), ("hash", pa.int64())]))
 
 
 def template(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Template word, value and kind (0: plain word) of each word, and the number of its text. Words that are signs only are left out."""
+    """Template word, value and kind (0: plain word, 1: number, 2: unit, 3: name, 4: plain, but begins a sentence with a capital) of each word, and the number of its text. Words that are signs only are left out."""
     starts, ends, text = word_bounds(raw, at)
     if not len(starts):
         none = np.zeros(0, np.uint64)
@@ -73,27 +83,129 @@ def template(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     follows = np.concatenate([[False], number[:-1] & (text[1:] == text[:-1])])
     unit = follows & np.isin(value, UNIT_HASH) if follows.any() else follows
     name = upper & ~opens & ~number & ~unit
-    kind = np.select([number, unit, name], [1, 2, 3], 0).astype(np.int8)
+    kind = np.select([number, unit, name, upper & opens & ~number & ~unit], [1, 2, 3, OPENER], 0).astype(np.int8)
     word = np.select([number, unit, name], [NUM, UNIT, NAME], value)
     return word, value, kind, text
 
 
-def windows(word: np.ndarray, kind: np.ndarray, text: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """First word and template hash of each window of size words in one text that says enough."""
+def slots(kind: np.ndarray) -> np.ndarray:
+    return (kind > 0) & (kind < OPENER)
+
+
+def windows(word: np.ndarray, value: np.ndarray, kind: np.ndarray, text: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """First word and hash of each window of size words in one text: of the template if it says enough, else of the values. A window that begins with an opener is there twice."""
     n = len(word) - size + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    step = np.uint64(STEP)
     h = np.full(n, size, np.uint64)
     for k in range(size):
-        h = h * np.uint64(0xD6E8FEB86659FD93) + word[k : k + n]
-    slots = np.concatenate([[0], np.cumsum(kind > 0)])
-    good = (text[:n] == text[size - 1 :]) & (2 * (slots[size:] - slots[:n]) <= size)
-    at = np.flatnonzero(good)
-    return at, mixed(h[at])
+        h = h * step + word[k : k + n]
+    count = np.concatenate([[0], np.cumsum(slots(kind))])
+    count = count[size:] - count[:n]
+    own = text[:n] == text[size - 1 :]
+    also = np.flatnonzero(own & (kind[:n] == OPENER))
+    at = np.concatenate([np.flatnonzero(own), also])
+    h = np.concatenate([h[own], h[also] + (NAME - word[also]) * np.uint64(pow(STEP, size - 1, 1 << 64))])
+    dense = np.flatnonzero(2 * np.concatenate([count[own], count[also] + 1]) > size)
+    exact = np.full(len(dense), size + BY_VALUE, np.uint64)
+    for k in range(size):
+        exact = exact * step + value[at[dense] + k]
+    h[dense] = exact
+    return at, mixed(h)
+
+
+def packed(value: np.ndarray, kind: np.ndarray, strict: np.ndarray | None = None) -> np.ndarray:
+    """Value and kind of each word in one number, and whether it is compared by value only."""
+    low = kind.astype(np.uint64)
+    return value & ~np.uint64(15) | (low if strict is None else low | strict.astype(np.uint64) << np.uint64(3))
+
+
+def covered(good: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places that a window holds; good: where windows begin, size: their sizes."""
+    begin = np.flatnonzero(good)
+    edge = np.zeros(len(good) + 1, np.int64)
+    np.add.at(edge, begin, 1)
+    np.add.at(edge, np.minimum(begin + size[begin], len(good)), -1)
+    return np.cumsum(edge)[:-1] > 0
+
+
+def window_starts(equal: np.ndarray, slot: np.ndarray, size: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Where size words begin that are all equal, with no more slots than half; left: words from here to the end of the text."""
+    place = np.arange(len(equal))
+    end = np.minimum(place + size, len(equal))
+    alike, open_ = (np.concatenate([[0], np.cumsum(x)]) for x in (equal, slot))
+    return (left >= size) & (alike[end] - alike[place] == size) & (2 * (open_[end] - open_[place]) <= size)
+
+
+def stretches(good: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end of each maximal stretch of good places of one number."""
+    if not len(good):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    same = number[1:] == number[:-1]
+    begin, end = good.copy(), good.copy()
+    begin[1:] &= ~(good[:-1] & same)
+    end[:-1] &= ~(good[1:] & same)
+    return np.flatnonzero(begin), np.flatnonzero(end) + 1
+
+
+def consistent(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether each value of a stands beside one value of b only, and the other way."""
+    n = len(set(zip(a.tolist(), b.tolist(), strict=True)))
+    return n == len(set(a.tolist())) == len(set(b.tolist()))
+
+
+class Compare:
+    """Words in a row that match, for each seed's diagonal, or null. item, doc: packed words side by side; the item's word count and window size."""
+
+    def __init__(self, width: int, least: int):
+        self.width, self.least = width, least
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 200):
+                yield self.one(b.slice(at, 200))
+
+    def one(self, b: pa.RecordBatch) -> pa.RecordBatch:
+        sides = [[np.frombuffer(x, "<u8") for x in b.column(c).to_pylist()] for c in ("item_words", "doc_words")]
+        length = np.array([len(x) for x in sides[0]], np.int64)
+        number = np.repeat(np.arange(len(length)), length)
+        left = np.repeat(np.cumsum(length), length) - np.arange(len(number))
+        a, d = (np.concatenate(x) for x in sides)
+        all_words = b.column("n_words").to_numpy()
+        least, size = np.minimum(all_words, self.least), np.minimum(all_words, self.width)[number]
+        (va, ka, strict), (vd, kd, _) = ((x >> np.uint64(4), (x & np.uint64(7)).astype(np.int8), (x & np.uint64(8)) > 0) for x in (a, d))
+        same = va == vd
+        sa, sd = slots(ka), slots(kd)
+        template_same = np.where(sa | sd, ka == kd, same)
+        maybe_name = (ka >= 3) & (kd >= 3)
+        alike = same | template_same | maybe_name
+        slot = sa | sd | maybe_name & ~same
+        held = same | alike & ~strict & covered(window_starts(alike, slot, size, left), size)
+        best = np.zeros(len(length), np.int64)
+
+        def take(good: np.ndarray, more: bool, check: np.ndarray | None) -> None:
+            begin, end = stretches(good, number)
+            end = end + (size[begin] - 1 if more else 0)
+            long = end - begin >= least[number[begin]]
+            for x, z in zip(begin[long].tolist(), end[long].tolist(), strict=True):
+                k = number[x]
+                if z - x <= best[k]:
+                    continue
+                if check is not None and not same[x:z].all():
+                    p = np.flatnonzero(check[x:z]) + x
+                    if not consistent(va[p], vd[p]):
+                        continue
+                best[k] = z - x
+
+        take(same, False, None)
+        take(held, False, slot)
+        take(window_starts(template_same, sa, size, left), True, sa)
+        return pa.RecordBatch.from_arrays([b.column("row"), b.column("item_id"), pa.array(best, mask=best == 0)], ["row", "item_id", "words"])
 
 
 class Match:
-    """Yields one row for each text: its windows, those only whose hash is known if hashes are given."""
+    """Yields one row for each text: its windows, those only whose hash is known if hashes are given, and its packed words if it has windows."""
 
     def __init__(self, sizes: list[int], known: np.ndarray | None, passed: list[str], whole: bool = False):
         self.sizes, self.known, self.passed, self.whole = sizes, known, passed, whole
@@ -113,7 +225,7 @@ class Match:
         bounds = np.searchsorted(text, np.arange(b.num_rows + 1))
         rows: list[list] = [[] for _ in range(b.num_rows)]
         for size in self.sizes:
-            begin, h = windows(word, kind, text, size)
+            begin, h = windows(word, value, kind, text, size)
             if self.gate is not None and len(h):
                 near = np.flatnonzero(self.gate[(h & np.uint64((1 << 20) - 1)).astype(np.int64)])
                 near = near[np.isin(h[near], self.known)]
@@ -122,42 +234,44 @@ class Match:
                 d = int(text[p])
                 if self.whole and bounds[d + 1] - bounds[d] < size:
                     continue
-                inside = value[p : p + size][kind[p : p + size] > 0]
-                rows[d].append({"pos": p - int(bounds[d]), "size": size, "hash": x, "slots": inside.view(np.int64).tolist()})
+                rows[d].append({"pos": p - int(bounds[d]), "size": size, "hash": x})
+        strict = None
+        if self.known is None:
+            own = np.minimum(np.diff(bounds), max(self.sizes, default=1))[text]
+            strict = ~covered(window_starts(np.ones(len(text), bool), slots(kind), own, bounds[text + 1] - np.arange(len(text))), own)
+        whole = packed(value, kind, strict).astype("<u8")
+        words = [whole[bounds[d] : bounds[d + 1]].tobytes() if r else None for d, r in enumerate(rows)]
         n_words = pa.array(np.diff(bounds), pa.int64())
-        return pa.RecordBatch.from_arrays([*(b.column(c) for c in self.passed), n_words, pa.array(rows, HIT_TYPE)], [*self.passed, "n_words", "hits"])
+        return pa.RecordBatch.from_arrays([*(b.column(c) for c in self.passed), n_words, pa.array(words, pa.binary()), pa.array(rows, HIT_TYPE)], [*self.passed, "n_words", "words", "hits"])
 
 
 def benchmark_windows(items: DataFrame, width: int) -> DataFrame:
-    """item, item_id, n_words, pos, size, hash, slots of every window of every different item; an item shorter than width is one window. item: its number."""
+    """item, item_id, n_words, words, hits: every window of every different item; an item shorter than width is one window. item: its number."""
     sizes = list(range(SHORTEST, width + 1))
     once = items.select("item_id", "text").distinct().withColumn("item", F.monotonically_increasing_id())
-    rows = map_batches(once, Match(sizes, None, ["item", "item_id"]), f"item bigint, item_id bigint, n_words bigint, hits {HITS}")
-    w = rows.select("item", "item_id", "n_words", F.explode("hits").alias("w")).select("item", "item_id", "n_words", "w.*")
-    return w.where((F.col("size") == width) | (F.col("size") == F.col("n_words")))
+    rows = map_batches(once, Match(sizes, None, ["item", "item_id"]), f"item bigint, item_id bigint, n_words bigint, words binary, hits {HITS}")
+    return rows.withColumn("hits", F.filter("hits", lambda w: (w["size"] == width) | (w["size"] == F.col("n_words")))).where(F.size("hits") > 0)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, width: int = 8, least: int = 13, most: int = 2_000_000) -> DataFrame:
     """docs: doc_id, text; items: item_id, text. One row for each document: row, doc_id, text_hash, contaminated, n_items, items, max_words."""
     spark = docs.sparkSession
-    bench = saved(benchmark_windows(items, width), "benchmark-windows")
+    whole = saved(benchmark_windows(items, width), "benchmark-windows")
+    bench = whole.select("item", F.explode("hits").alias("w")).select("item", F.col("w.pos").alias("item_pos"), F.col("w.size").alias("size"), F.col("w.hash").alias("hash"))
     distinct = bench.select("hash", "size").distinct()
     known, sizes = None, sorted(r["size"] for r in bench.select("size").distinct().collect())
     if distinct.count() <= most:
         known = np.sort(np.array([r["hash"] for r in distinct.select("hash").collect()], np.int64).view(np.uint64))
     rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.xxhash64("text").alias("text_hash"), "text")
     passed = ["doc_id", "row", "text_hash"]
-    found = saved(map_batches(rows, Match(sizes, known, passed), f"doc_id bigint, row bigint, text_hash bigint, n_words bigint, hits {HITS}"), "document-windows")
-    hit = found.select("row", F.explode("hits").alias("w")).select("row", F.col("w.pos").alias("pos"), F.col("w.hash").alias("hash"), F.col("w.slots").alias("doc_slots"))
-    hit = hit.join(bench.withColumnRenamed("pos", "item_pos"), "hash").withColumn("diagonal", F.col("pos") - F.col("item_pos"))
-    line = Window.partitionBy("row", "item", "diagonal").orderBy("pos")
-    hit = hit.withColumn("run", F.col("pos") - F.row_number().over(line))
-    run = ["row", "item", "diagonal", "run"]
-    length = hit.groupBy(*run).agg((F.count(F.lit(1)) - 1 + F.max("size")).alias("words"), F.max("n_words").alias("item_words"), F.max("item_id").alias("item_id"))
-    length = length.where(F.col("words") >= F.least(F.lit(least), "item_words"))
-    slot = hit.select(*run, F.explode(F.arrays_zip("slots", "doc_slots")).alias("s")).select(*run, F.col("s.slots").alias("a"), F.col("s.doc_slots").alias("b")).distinct()
-    odd = slot.groupBy(*run, "a").count().where("count > 1").select(*run).unionByName(slot.groupBy(*run, "b").count().where("count > 1").select(*run)).distinct()
-    good = length.join(odd, run, "left_anti")
+    found = saved(map_batches(rows, Match(sizes, known, passed), f"doc_id bigint, row bigint, text_hash bigint, n_words bigint, words binary, hits {HITS}"), "document-windows")
+    hit = found.select("row", F.explode("hits").alias("w")).select("row", F.col("w.pos").alias("pos"), F.col("w.hash").alias("hash"))
+    seed = hit.join(bench.select("item", "item_pos", "hash"), "hash").select("row", "item", (F.col("pos") - F.col("item_pos")).alias("diagonal")).distinct()
+    pair = seed.join(whole.select("item", "item_id", "n_words", F.col("words").alias("item_words")), "item").join(found.where("words IS NOT NULL").select("row", F.col("n_words").alias("doc_length"), F.col("words").alias("doc_words")), "row")
+    first, past = F.greatest(F.col("diagonal"), F.lit(0)), F.least(F.col("diagonal") + F.col("n_words"), "doc_length")
+    cut = lambda words, at: F.substring(words, (8 * at + 1).cast("int"), (8 * (past - first)).cast("int"))
+    pair = pair.select("row", "item_id", "n_words", cut("item_words", first - F.col("diagonal")).alias("item_words"), cut("doc_words", first).alias("doc_words"))
+    good = map_batches(pair, Compare(width, least), "row bigint, item_id bigint, words bigint").where("words IS NOT NULL")
     by_item = good.groupBy("row", "item_id").agg(F.max("words").alias("words"))
     by_doc = by_item.groupBy("row").agg(F.count(F.lit(1)).alias("n_items"), F.max("words").alias("max_words"), F.array_join(F.array_sort(F.collect_list("item_id")), ",").alias("items"))
     out = found.select("doc_id", "row", "text_hash").join(by_doc, "row", "left")

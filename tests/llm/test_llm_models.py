@@ -129,6 +129,20 @@ def test_decontamination_by_repeated_and_null_item_ids(spark):
         assert [got[k]["items"] for k in (1, 2)] == (["1", "2"] if got_items is None else [got_items] * 2)
 
 
+def test_decontamination_of_dense_short_and_edited_items(spark):
+    dense = "Lopez bought 12 kg apples for 30 dollars and Maria sold 7 kg pears for 25 euros"
+    form = dense.replace("12", "14").replace("30", "31").replace("7", "8").replace("25", "26").replace("Lopez", "Perez").replace("Maria", "Clara")
+    edited = QUESTION + " while every other apple in the big basket stays just where the farmer had put it that morning"
+    items = [(1, dense), (2, "Garcia paid 30 dollars Monday"), (3, "Lopez walked home before the rain started"), (4, edited + " with 12 more")]
+    texts = [f"we read that {dense} yesterday", "then Garcia paid 30 dollars Monday again", "and so Weber walked home before the rain started", edited + " with 13 more", f"we read that {form} yesterday", "then Garcia paid 31 dollars Tuesday again"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    for most in (2_000_000, 0):
+        got = {r["doc_id"]: r for r in decontaminate.decontaminate(docs, bench, most=most).collect()}
+        assert [got[k]["items"] for k in range(len(texts))] == ["1", "2", "3", "4", "1", ""]
+        assert [got[k]["max_words"] for k in range(4)] == [17, 5, 7, len(edited.split()) + 1]
+
+
 def test_decontamination_of_planted_passages(spark, sf_dir):
     docs, items = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
