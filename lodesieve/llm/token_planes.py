@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -50,14 +51,19 @@ class WordEncoder:
     """Encodes texts by their words, each different word once. Words end at spaces and line
     ends, which the tokenizer drops, and between a letter A-Z and a full stop or comma, where it
     always splits: neither its normaliser nor its merges reach across these. As it lower-cases,
-    words of ASCII letters are looked up in lower case. Holds at most ``most`` words, then starts anew."""
+    words of ASCII letters are looked up in lower case. Holds at most ``most`` words, then starts anew.
+    added: added tokens in a text stand for their own ids, as the library has it; texts that hold one are encoded whole."""
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 1_000_000, added: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.tokenizer.encode_special_tokens = True
+        self.library, self.tokens = None, []
+        if added:
+            self.library = Tokenizer.from_file(path)
+            self.tokens = [t.content for t in self.library.get_added_tokens_decoder().values()]
         # Many words are encoded as one text, with a sign between them that has one id of its own.
         self.mark, self.mark_id = next((c, ids[0]) for c in "\u2122\u00a9\u00ae|~" if len(ids := self.tokenizer.encode(c, add_special_tokens=False).ids) == 1)
         self.clear()
@@ -89,6 +95,21 @@ class WordEncoder:
 
     def encode(self, column: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each with the end id after it, and how many each has."""
+        whole = np.zeros(len(column), bool)
+        for t in self.tokens:
+            whole |= pc.fill_null(pc.match_substring(column, t), False).to_numpy(zero_copy_only=False)
+        if not whole.any():
+            return self.by_words(column, end)
+        ids, sizes = self.by_words(pc.if_else(pa.array(whole), pa.scalar("", column.type), column), end)
+        parts = np.split(ids, np.cumsum(sizes)[:-1])
+        for k in np.flatnonzero(whole).tolist():
+            own = self.library.encode(column[k].as_py(), add_special_tokens=False).ids
+            parts[k] = np.array([*own, end], np.uint32)
+            sizes[k] = len(own) + 1
+        return np.concatenate(parts), sizes
+
+    def by_words(self, column: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Likewise, added tokens read as any other text."""
         raw, at = text_buffer(column)
         n = len(at) - 1
         sizes = np.ones(n, np.int64)
@@ -175,12 +196,12 @@ def read_chunk(payload: bytes) -> tuple[np.ndarray, list[int | None], np.ndarray
 class Write:
     """Encodes the sorted documents of a partition and yields its chunks."""
 
-    def __init__(self, path: str, end: int, chunk_ids: int, block: int, bits: int):
-        self.path, self.end, self.chunk_ids, self.block, self.bits = path, end, chunk_ids, block, bits
-        self.key = ("words", path)
+    def __init__(self, path: str, end: int, chunk_ids: int, block: int, bits: int, added: bool):
+        self.path, self.end, self.chunk_ids, self.block, self.bits, self.added = path, end, chunk_ids, block, bits, added
+        self.key = ("words", path, added)
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = kept(self.key, lambda: WordEncoder(self.path))
+        encoder = kept(self.key, lambda: WordEncoder(self.path, added=self.added))
         shard, chunk, start, held, docs = TaskContext.get().partitionId(), 0, 0, [], []
         for b in batches:
             for at in range(0, b.num_rows, 256):
@@ -203,13 +224,13 @@ class Write:
         return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], ["shard", "chunk", "start", "n_docs", "n_ids", "first_doc", "last_doc", "payload"])
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int = 2, chunk_ids: int = 1 << 18, block: int = 4096, bits: int = 1, shards: int | None = None) -> None:
-    """Writes the ids of docs (doc_id, text) to path in ascending doc_id order."""
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int = 2, chunk_ids: int = 1 << 18, block: int = 4096, bits: int = 1, shards: int | None = None, added: bool = False) -> None:
+    """Writes the ids of docs (doc_id, text) to path in ascending doc_id order. added: whether added tokens in a text stand for their own ids."""
     spark = docs.sparkSession
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("r"))
     rows = rows.repartitionByRange(shards, "doc_id", "h", "r").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
-    map_batches(rows, Write(tokenizer, end, chunk_ids, block, bits), CHUNK).write.parquet(path)
+    map_batches(rows, Write(tokenizer, end, chunk_ids, block, bits, added), CHUNK).write.parquet(path)
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
@@ -242,5 +263,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = new_path(spark, "token-planes")
-    write_tokens(documents(spark, sf_dir).select("doc_id", "text"), path, public_tokenizers.path("word_bpe_49k.json"))
+    write_tokens(documents(spark, sf_dir).select("doc_id", "text"), path, public_tokenizers.path("word_bpe_49k.json"), added=True)
     return read_tokens(spark, path)

@@ -66,3 +66,15 @@ def test_files_equal_library(spark, texts):
     empty = new_path(spark, "tokens")
     token_planes.write_tokens(df.where("false"), empty, P.path("word_bpe_49k.json"))
     assert token_planes.read_tokens(spark, empty).count() == 0
+
+
+def test_query_equals_unmodified_library(spark, tmp_path):
+    texts = ["a <|endoftext|> hi", "A<|startoftext|>B,c. <|endoftext|><|endoftext|>", "plain Words, no more.", "<|ENDOFTEXT|> x", None, "<|endoftext|>", "é\u0301 <|endoftext|>\n É.x"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    t, at = Tokenizer.from_file(P.path("word_bpe_49k.json")), 0
+    got = sorted(token_planes.query(spark, str(tmp_path)).collect(), key=lambda r: r["doc_id"])
+    assert t.encode(texts[0], add_special_tokens=False).ids == [320, 49407, 1883]
+    for r, x in zip(got, texts, strict=True):
+        ids = t.encode(x or "", add_special_tokens=False).ids + [2]
+        assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
