@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .fold import bind
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -29,15 +31,15 @@ def digest(c: Column) -> Column:
 
 
 def entropy(c: Column) -> Column:
-    """Shannon entropy, in bits, of the bytes of c."""
-    octets = F.regexp_extract_all(F.hex(F.encode(c, "UTF-8")), F.lit(".."), 0)
-    n = F.size(octets).cast("double")
+    """Shannon entropy, in bits, of the bytes of c. They are sorted, so that equal ones stand together: a byte's count is how far apart its first and last are."""
+    octets = F.array_sort(F.regexp_extract_all(F.hex(F.encode(c, "UTF-8")), F.lit(".."), 0))
 
-    def add(total: Column, octet: Column) -> Column:
-        share = F.size(F.filter(octets, lambda x: x == octet)) / n
-        return total - share * F.log2(share)
+    def of(sorted_: Column) -> Column:
+        n = F.size(sorted_)
+        ends = F.filter(F.transform(sorted_, lambda x, i: F.when((i == n - 1) | (F.try_element_at(sorted_, i + 2) != x), i + 1)), lambda e: e.isNotNull())
+        return bind(ends, lambda e: F.aggregate(F.transform(e, lambda x, i: (x - F.when(i == 0, F.lit(0)).otherwise(F.try_element_at(e, i))) / n.cast("double")), F.lit(0.0), lambda t, share: t - share * F.log2(share)))
 
-    return F.when(F.length(c) > 0, F.aggregate(F.array_distinct(octets), F.lit(0.0), add)).otherwise(F.lit(0.0))
+    return F.when(F.length(c) > 0, bind(octets, of)).otherwise(F.lit(0.0))
 
 
 def is_digest(c: Column) -> Column:
@@ -56,13 +58,12 @@ def is_plain_text(c: Column) -> Column:
 
 def from_base64(c: Column) -> Column:
     """Bytes of canonical base64, else null: no white space, full padding, no spare bits."""
-    bytes_ = F.try_to_binary(c, F.lit("base64"))
-    again = F.regexp_replace(F.base64(bytes_), "[\r\n]", "")
-    return F.when(again == c, bytes_)
+    return bind(F.named_struct(F.lit("text"), c, F.lit("bytes"), F.try_to_binary(c, F.lit("base64"))), lambda x: F.when(to_base64(x["bytes"]) == x["text"], x["bytes"]))
 
 
 def to_base64(c: Column) -> Column:
-    return F.regexp_replace(F.base64(c), "[\r\n]", "")
+    """On one line, whether or not the session has spark.sql.chunkBase64String.enabled."""
+    return F.translate(F.base64(c), "\r\n", "")
 
 
 def is_public_ipv4(c: Column) -> Column:
@@ -76,9 +77,36 @@ def is_public_ipv4(c: Column) -> Column:
     return F.coalesce(valid & ~closed, F.lit(False))
 
 
+def ipv6_groups(c: Column) -> Column:
+    """The eight groups of an IPv6 address, also one written with ::, or with dotted IPv4 at its end, as numbers; null if it is none."""
+    dotted = F.regexp_extract(c, r":((?:[0-9]{1,3}\.){3}[0-9]{1,3})\z", 1)
+    octet = lambda k: F.try_element_at(F.split(dotted, r"\."), F.lit(k)).try_cast("int")
+    tail = F.concat(F.hex(octet(1) * 256 + octet(2)), F.lit(":"), F.hex(octet(3) * 256 + octet(4)))
+    fits = (dotted == "") | dotted.rlike(r"\A(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(\.(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])){3}\z")
+    plain = F.when(dotted == "", c).otherwise(F.concat(F.substring(c, F.lit(1), F.length(c) - F.length(dotted)), tail))
+
+    def of(a: Column) -> Column:
+        halves = F.split(a, "::", -1)
+        side = lambda k: F.filter(F.split(F.coalesce(F.try_element_at(halves, F.lit(k)), F.lit("")), ":", -1), lambda g: g != "")
+        gap = F.lit(8) - F.size(side(1)) - F.size(side(2))
+        short = F.contains(a, F.lit("::"))
+        shape = a.rlike(r"\A([0-9A-Fa-f]{1,4}(:[0-9A-Fa-f]{1,4})*)?(::([0-9A-Fa-f]{1,4}(:[0-9A-Fa-f]{1,4})*)?)?\z")
+        groups = F.concat(side(1), F.array_repeat(F.lit("0"), F.greatest(gap, F.lit(0))), side(2))
+        return F.when(shape & F.when(short, gap >= 1).otherwise(gap == 0), F.transform(groups, lambda g: F.conv(g, 16, 10).cast("int")))
+
+    return F.when(fits, bind(plain, of))
+
+
 def is_public_ipv6(c: Column) -> Column:
-    """Full (eight-group) IPv6 of 2000::/3, outside 2001:db8 and 2001:0 to 2001:1ff."""
-    group = lambda k: F.conv(F.try_element_at(F.split(c, ":"), F.lit(k)), 16, 10).try_cast("int")
-    valid = c.rlike(r"\A[0-9A-Fa-f]{1,4}(:[0-9A-Fa-f]{1,4}){7}\z")
-    first, second = group(1), group(2)
-    return F.coalesce(valid & first.between(0x2000, 0x3FFF) & ~((first == 0x2001) & ((second == 0xDB8) | (second < 0x200))), F.lit(False))
+    """IPv6 of 2000::/3, outside 2001:db8 and 2001:0 to 2001:1ff; so no mapped IPv4 either."""
+    public = lambda g: g[0].between(0x2000, 0x3FFF) & ~((g[0] == 0x2001) & ((g[1] == 0xDB8) | (g[1] < 0x200)))
+    return F.coalesce(bind(ipv6_groups(c), lambda g: F.when(g.isNotNull(), public(g))), F.lit(False))
+
+
+def is_public_address(c: Column) -> Column:
+    return F.when(F.contains(c, F.lit(":")), is_public_ipv6(c)).otherwise(is_public_ipv4(c))
+
+
+def is_uuid4(c: Column) -> Column:
+    """A random UUID in its usual form."""
+    return c.rlike(r"\A[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}\z")

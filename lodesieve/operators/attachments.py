@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import base64
+import codecs
+import hashlib
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import from_base64, is_plain_text, to_base64
-from ..sources.rules import DEFAULT_RULES, Rule
-from .scan import scan
+from ..functions.text import from_base64, to_base64
+from ..sources.rules import DEFAULT_RULES
+from ..sources.shared import saved
+from .scan import Rules, scan
 from .spans import redact
 
 # Magic numbers, media types and names of the four kinds; limits.
@@ -36,31 +44,68 @@ def file_name(content: Column) -> Column:
     return F.concat(F.lit("attachment."), kind(content))
 
 
-def decoded_text(content: Column) -> Column:
-    """The text of a text attachment: UTF-16 after a byte order mark (even length, no unpaired surrogate), else strict UTF-8; null if it is neither or holds control characters."""
-    body = F.substring(content, F.lit(3), F.octet_length(content))
-    pairs = F.regexp_replace(F.hex(body), "(....)", "$1 ")
+#: Control characters but line feed, carriage return and tab.
+CONTROLS = re.compile(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F]")
+MARKS = ((codecs.BOM_UTF16_LE, "utf-16-le"), (codecs.BOM_UTF16_BE, "utf-16-be"))
+
+
+def text_of(content: bytes) -> str | None:
+    """The text of a text attachment: UTF-16 after a byte order mark (even length, no unpaired surrogate), else strict UTF-8; None if it is of another kind, neither, or holds control characters."""
+    if kind_of(content) != "txt":
+        return None
+    try:
+        name = next((n for mark, n in MARKS if content.startswith(mark)), None)
+        text = content[2:].decode(name) if name else content.decode()
+    except UnicodeDecodeError:
+        return None
+    return None if CONTROLS.search(text) else text
+
+
+def kind_of(content: bytes) -> str:
+    return next((name for name, magic in MAGIC if content.startswith(bytes.fromhex(magic))), "txt")
+
+
+def digest_of(content: bytes) -> str:
+    return hashlib.sha256(content).hexdigest()
+
+
+def data_url_of(content: bytes) -> str:
+    return f"data:{MEDIA[kind_of(content)]};base64,{base64.b64encode(content).decode()}"
+
+
+def file_name_of(content: bytes) -> str:
+    return "attachment." + kind_of(content)
+
+
+def written_out(rows: DataFrame) -> DataFrame:
+    return saved(rows, "references")
+
+
+class Texts:
+    """Adds the column text to rows with content."""
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 64):
+                b = whole.slice(at, 64)
+                texts = [None if c is None or len(c) > MAX_BYTES else text_of(c) for c in b.column("content").to_pylist()]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*b.schema.names, "text"])
 
-    def wide(name: str, high: str, low: str) -> Column:
-        paired = ~F.hex(body).rlike("D[89A-F]") | ~F.regexp_replace(pairs, f"{high} {low} ", "").rlike(f"{high} |{low} ")  # mostly there is no surrogate to look at
-        ok = (F.octet_length(body) % 2 == 0) & paired
-        return F.when(ok, F.decode(F.when(ok, body), name))
 
-    text = F.when(F.startswith(content, F.unhex(F.lit("FFFE"))), wide("UTF-16LE", "..D[89AB]", "..D[CDEF]"))
-    text = text.when(F.startswith(content, F.unhex(F.lit("FEFF"))), wide("UTF-16BE", "D[89AB]..", "D[CDEF].."))
-    text = text.otherwise(F.try_validate_utf8(content.cast("string")))
-    return F.when(is_plain_text(text), text)
+def with_text(rows: DataFrame) -> DataFrame:
+    """rows: content, and other columns but text. Adds text, see text_of(); null also beyond MAX_BYTES."""
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInArrow(Texts(), f"{fields}, text string")
 
 
-def inspect_texts(attachments: DataFrame, keys: list[str], rules: list[Rule] | tuple[Rule, ...] = DEFAULT_RULES, sanitize: bool = True) -> DataFrame:
+def inspect_texts(attachments: DataFrame, keys: list[str], rules: Rules = DEFAULT_RULES, sanitize: bool = True) -> DataFrame:
     """attachments: keys, content. keys, error, rules (one for each finding), replacement (bytes, if sanitize and something was found).
 
     Images and PDFs are reported as unsupported: their extraction is no work for this library, and what was not read is never clean.
     """
-    text = decoded_text(F.col("content"))
-    rows = attachments.select(*keys, "content", kind(F.col("content")).alias("kind"), text.alias("text"))
-    error = F.when(F.octet_length("content") > MAX_BYTES, F.lit("too_large")).when((F.col("kind") != "txt") | F.col("text").isNull(), F.lit("unsupported"))
-    rows = rows.select(*keys, error.alias("error"), F.when(error.isNull(), F.col("text")).alias("text")).withColumn("found", scan(F.coalesce("text", F.lit("")), rules))
+    rows = with_text(attachments.select(*keys, "content"))
+    error = F.when(F.octet_length("content") > MAX_BYTES, F.lit("too_large")).when(F.col("text").isNull(), F.lit("unsupported"))
+    rows = rows.select(*keys, error.alias("error"), "text").withColumn("found", scan(F.coalesce("text", F.lit("")), rules))
     new = F.when(F.lit(sanitize) & (F.size("found") > 0), F.encode(redact(F.col("text"), F.col("found")), "UTF-8"))
     return rows.select(*keys, "error", F.transform("found", lambda f: f["rule"]).alias("rules"), new.alias("replacement"))
 
@@ -104,19 +149,24 @@ def spliced(leaves: DataFrame, replacements: DataFrame) -> DataFrame:
 
 
 def materialized(references: DataFrame, fetched: DataFrame) -> DataFrame:
-    """references: request_id, kind (url or file), ref; fetched: ref, content. References with their bytes, and whether the request is within budget.
+    """references: request_id, kind (url or file), ref, and perhaps valid; fetched: ref, content, and perhaps kind. Whether each request is within budget: request_id, charged, charged_bytes, missing, error.
 
-    A URL is charged once in a request however often it stands there; a file id each time.
+    A URL is charged once in a request however often it stands there; a file id each time. A reference that is not valid is missing.
     """
-    rows = references.join(fetched, "ref", "left").withColumn("size", F.octet_length("content").cast("bigint"))
+    on = ["kind", "ref"] if "kind" in fetched.columns else ["ref"]
+    rows = references.join(fetched.select(*on, F.octet_length("content").cast("bigint").alias("size")), on, "left")
+    if "valid" in references.columns:
+        rows = rows.withColumn("size", F.when(F.col("valid"), F.col("size")))
     urls = rows.where("kind = 'url'").dropDuplicates(["request_id", "ref"])
-    charged = urls.unionByName(rows.where("kind = 'file'")).groupBy("request_id").agg(F.count(F.lit(1)).alias("charged"), F.sum("size").alias("charged_bytes"), F.count_if(F.col("content").isNull()).alias("missing"))
+    charged = urls.unionByName(rows.where("kind = 'file'")).groupBy("request_id").agg(F.count(F.lit(1)).alias("charged"), F.sum("size").alias("charged_bytes"), F.count_if(F.col("size").isNull()).alias("missing"))
     error = F.when(F.col("missing") > 0, F.lit("unresolved_reference")).when((F.col("charged") > MAX_COUNT) | (F.col("charged_bytes") > MAX_TOTAL), F.lit("reference_limit"))
     return charged.withColumn("error", error)
 
 
-def reverified(outcomes: DataFrame, keys: list[str], rules: list[Rule] | tuple[Rule, ...] = DEFAULT_RULES) -> DataFrame:
-    """Replacements are scanned once more: one that still holds a finding is an error, and is dropped."""
-    again = F.coalesce(F.size(scan(decoded_text(F.col("replacement")), rules)), F.lit(0))
-    bad = F.col("replacement").isNotNull() & (again > 0)
-    return outcomes.withColumn("__bad", bad).withColumn("error", F.when(F.col("__bad"), F.lit("not_clean")).otherwise(F.col("error"))).withColumn("replacement", F.when(~F.col("__bad"), F.col("replacement"))).drop("__bad")
+def reverified(outcomes: DataFrame, keys: list[str], rules: Rules = DEFAULT_RULES) -> DataFrame:
+    """Replacements are scanned once more: one that still holds a finding, or can't be read, is an error, and is dropped."""
+    rows = with_text(outcomes.drop("text").withColumnRenamed("replacement", "content"))
+    again = F.size(scan(F.coalesce("text", F.lit("")), rules)) > 0
+    rows = rows.withColumn("__bad", F.col("content").isNotNull() & (again | F.col("text").isNull()))
+    rows = rows.withColumn("error", F.when(F.col("__bad"), F.lit("not_clean")).otherwise(F.col("error")))
+    return rows.withColumn("replacement", F.when(~F.col("__bad"), F.col("content"))).select(*outcomes.columns)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.running import running_sum
+
 LINE = ["block_num", "par_num", "line_num"]
 
 
@@ -62,12 +64,39 @@ def covered(findings: DataFrame, key: str) -> DataFrame:
     return loose.join(boxed, [key, "page", "digest"], "left").withColumn("mapped", F.coalesce("mapped", F.lit(False)))
 
 
-def unmapped_pages(findings: DataFrame, key: str) -> DataFrame:
+def unmapped_pages(findings: DataFrame, key: str, allow_page_redaction: bool = False) -> DataFrame:
     """Pages with a finding that no box covers: these block, unless whole pages may be blacked out."""
-    return covered(findings, key).groupBy(key, "page").agg(F.bool_and("mapped").alias("all_mapped")).where("not all_mapped").select(key, "page")
+    rows = covered(findings, key).groupBy(key, "page").agg(F.bool_and("mapped").alias("all_mapped")).where("not all_mapped").select(key, "page")
+    return rows.where(F.lit(not allow_page_redaction))
+
+
+def selected(findings: DataFrame, key: str, segment: str, allow_page_redaction: bool = False) -> DataFrame:
+    """findings: key, segment, page (null: not on a page), digest, has_box. The segments to black out: key, segment, page, whole_page.
+
+    Those with a box, or on no page; of the others none if boxes cover all their secrets, else the whole page if that is allowed."""
+    boxed = findings.where("has_box").select(key, "page", "digest").distinct().withColumn("mapped", F.lit(True))
+    rows = findings.join(boxed, [key, "page", "digest"], "left").groupBy(key, segment, "page").agg(F.bool_or("has_box").alias("has_box"), F.bool_and(F.coalesce("mapped", F.lit(False))).alias("mapped"))
+    loose = F.col("page").isNotNull() & ~F.col("has_box")
+    keep = ~loose | (~F.col("mapped") & F.lit(allow_page_redaction))
+    return rows.where(keep).select(key, segment, "page", (loose & ~F.col("mapped")).alias("whole_page"))
 
 
 def over_budget(items: DataFrame, key: str, order: str, size: str, limit: int) -> DataFrame:
     """Running sums of size within key; error from the item on that passes the limit."""
-    past = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return items.withColumn("used", F.sum(size).over(past)).withColumn("error", F.when(F.col("used") > limit, F.lit("extraction_limit")))
+    return running_sum(items, [key], [order], size, "used").withColumn("error", F.when(F.col("used") > limit, F.lit("extraction_limit")))
+
+
+# Limits of an extraction.
+LIMITS = {"text_bytes": 8 << 20, "pages": 100, "files": 64, "depth": 3, "pixels": 50_000_000}
+
+
+def extraction_errors(extracted: DataFrame, key: str, limits: dict[str, int] = LIMITS) -> DataFrame:
+    """extracted: one row a segment, with key and those of page, depth, width, height, text that are known. Of each key: text_bytes, pages, files, depth, pixels (of the largest image), error (the first limit that is passed, or null)."""
+    has = lambda c, kind: F.col(c) if c in extracted.columns else F.lit(None).cast(kind)
+    sums = extracted.groupBy(key).agg(
+        F.coalesce(F.sum(F.octet_length(has("text", "string")).cast("bigint")), F.lit(0)).alias("text_bytes"), F.coalesce(F.max(has("page", "bigint")), F.lit(0)).cast("bigint").alias("pages"),
+        F.coalesce(F.max(has("file", "bigint")), F.lit(0)).cast("bigint").alias("files"), F.coalesce(F.max(has("depth", "bigint")), F.lit(0)).cast("bigint").alias("depth"),
+        F.coalesce(F.max(has("width", "bigint").cast("bigint") * has("height", "bigint")), F.lit(0)).alias("pixels"),
+    )
+    error = F.coalesce(*[F.when(F.col(n) > m, F.lit(f"{n}_limit")) for n, m in limits.items()])
+    return sums.withColumn("error", error)

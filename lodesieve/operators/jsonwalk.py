@@ -1,30 +1,36 @@
-"""JSON bodies: strict parsing, leaves as rows, and putting changed leaves back.
+"""JSON bodies: strict parsing, leaves as columns, attachments, and putting changed leaves back.
 
 Parsing and writing JSON need Python (no built-in refuses repeated keys or keeps the order of keys), in
-two small Arrow maps; everything between them, scanning above all, is rows and columns.
+small Arrow maps; everything between them, scanning above all, is columns. A leaf is known by its place in the
+order of the walk, so it does not matter what keys hold. Nothing is joined or shuffled.
 """
 
 from __future__ import annotations
 
+import base64
+import binascii
 import json
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.rules import DEFAULT_RULES, Rule
-from . import parts as parts_of
-from .scan import scan
-from .spans import redact, spliced
+from ..functions.fold import empty
+from ..sources.rules import DEFAULT_RULES, scanner_of
+from . import attachments
+from .parts import BOUNDARY, LIMIT
+from .scan import FINDING, Rules, scan
+from .spans import SPAN, merged_array, redact
 
+# Limits of a body, and properties whose text is looked at but never rewritten.
 MAX_DEPTH, MAX_FINDINGS = 64, 10_000
-#: Properties whose text is looked at but never rewritten.
 CONTROL = ("model", "role", "type", "id", "call_id", "name", "prompt_cache_key", "promptCacheKey")
-LEAVES = "array<struct<pos:int,kind:string,key:string,path:string,text:string>>"
-PARTS = "array<struct<path:string,pos:int,text:string>>"
-PART_TYPE = pa.list_(pa.struct([("path", pa.string()), ("pos", pa.int32()), ("text", pa.string())]))
-LEAF_TYPE = pa.list_(pa.struct([("pos", pa.int32()), ("kind", pa.string()), ("key", pa.string()), ("path", pa.string()), ("text", pa.string())]))
+LEAF = "struct<pos:int,kind:string,key:string,path:string,text:string>"
+WHOLE = "struct<whole:string,pieces:array<struct<pos:int,start:int,end:int>>>"
+FILE = "struct<digest:string,text:string,error:string>"
+PLACE = "struct<pos:int,rule:string,start:int,end:int>"
 
 
 def no_repeats(pairs: list) -> dict:
@@ -52,7 +58,7 @@ def parse(text: str):
 
 def inner(text: str):
     """The value of a text that is JSON itself (an object or array), else None."""
-    if text.strip()[:1] in ("{", "["):
+    if text.lstrip()[:1] in ("{", "["):
         try:
             return parse(text)
         except (ValueError, RecursionError):
@@ -60,153 +66,445 @@ def inner(text: str):
     return None
 
 
-def leaves(value, path: str = "$", depth: int = 0, key: str = "", out: list | None = None) -> list[tuple[str, str, str, str]]:
-    """(kind, key, path, text) of all that can be scanned, in order. kind: key, control, data (not scanned) or text."""
+def written(value) -> str:
+    return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+
+
+class Failed(Exception):
+    """What keeps a body from being inspected."""
+
+
+def step_of(key: str) -> str:
+    """A key as a step of a path, told from all others."""
+    return f".{key}" if re.fullmatch(r"[A-Za-z0-9_/-]+", key) else f"[{json.dumps(key, ensure_ascii=False)}]"
+
+
+class Walk:
+    """The leaves of a body in order: (kind, key, path, text), kind key, control, data (an attachment, looked at elsewhere) or text; and the arrays that hold texts in parts."""
+
+    def __init__(self, value):
+        self.leaves: list[tuple[str, str, str, str]] = []
+        self.arrays: list[list[int | None]] = []  # of each element: its text's place among the leaves
+        self.visit(value, "$", 0, "", None)
+
+    def add(self, kind: str, key: str, path: str, text: str) -> None:
+        self.leaves.append((kind, key, path, text))
+
+    def visit(self, value, path: str, depth: int, key: str, parts: list | None) -> None:
+        """parts: where an array's element puts the place of its text."""
+        if depth > MAX_DEPTH:
+            raise Failed("nesting_limit")
+        if isinstance(value, dict):
+            for k in value:
+                self.add("key", k, path + step_of(k), k)
+            for k, v in value.items():
+                if k == "text" and parts is not None and isinstance(v, str) and not v.startswith("data:") and inner(v) is None:
+                    parts[-1] = len(self.leaves)
+                if k == "file_data" and isinstance(v, str):
+                    self.add("data", k, path + step_of(k), v)
+                elif k in CONTROL and isinstance(v, str):
+                    self.add("control", k, path + step_of(k), v)
+                else:
+                    self.visit(v, path + step_of(k), depth + 1, k, None)
+        elif isinstance(value, list):
+            own: list[int | None] = []
+            for i, v in enumerate(value):
+                own.append(None)
+                self.visit(v, f"{path}[{i}]", depth + 1, key, own)
+            if any(p is not None for p in own):
+                self.arrays.append(own)
+        elif isinstance(value, str):
+            if value.startswith("data:"):
+                self.add("data", key, path, value)
+            elif (own_value := inner(value)) is not None:
+                self.visit(own_value, path + "!", depth + 1, key, None)
+            else:
+                self.add("text", key, path, value)
+
+    def wholes(self) -> list[dict]:
+        """Texts in parts as one: joined by line ends, once there is text; other elements put a boundary there."""
+        out = []
+        for own in self.arrays:
+            pieces, text, size = [], [], 0
+
+            def put(s: str, size: int = 0) -> int:
+                text.append(s)
+                return size + len(s.encode("utf-8", "surrogatepass"))
+
+            for pos in own:
+                if pos is None:
+                    size = put(BOUNDARY, size) if size else size
+                    continue
+                size = put("\n", size) if size else size
+                start = size
+                size = put(self.leaves[pos][3], size)
+                pieces.append({"pos": pos, "start": start, "end": size})
+            if size > LIMIT:
+                raise Failed("reconstruction_limit")
+            out.append({"whole": "".join(text), "pieces": pieces})
+        return out
+
+
+def strict_base64(text: str) -> bytes:
+    try:
+        out = base64.b64decode(text, validate=True)
+    except (binascii.Error, ValueError):
+        raise Failed("bad_base64") from None
+    if base64.b64encode(out).decode() != text:
+        raise Failed("bad_base64")
+    return out
+
+
+def files(value, key: str = "", depth: int = 0, out: list[bytes] | None = None) -> list[bytes]:
+    """The attachments that a body holds. What can't be looked at fails: references, other encodings, media."""
     out = [] if out is None else out
     if depth > MAX_DEPTH:
-        raise ValueError("nesting_limit")
+        raise Failed("nesting_limit")
     if isinstance(value, dict):
-        out += [("key", k, f"{path}.{k}", k) for k in value]
+        if "file_id" in value or "file_url" in value:
+            raise Failed("unresolved_reference")
+        kind = value.get("type")
+        if key == "image_url" or kind in ("input_image", "image_url"):
+            if any(isinstance(value.get(k), str) and not value[k].startswith("data:") for k in ("url", "image_url")):
+                raise Failed("remote_reference")
+        if isinstance(kind, str) and kind in attachments.MEDIA_TYPES_REFUSED:
+            raise Failed("unsupported_media")
         for k, v in value.items():
-            if k == "file_data":
-                out += [("data", k, f"{path}.{k}", v)] if isinstance(v, str) else []
-            elif k in CONTROL and isinstance(v, str):
-                out.append(("control", k, f"{path}.{k}", v))
-            else:
-                leaves(v, f"{path}.{k}", depth + 1, k, out)
+            files(v, k, depth + 1, out)
     elif isinstance(value, list):
-        for i, v in enumerate(value):
-            leaves(v, f"{path}[{i}]", depth + 1, key, out)
+        for v in value:
+            files(v, key, depth + 1, out)
     elif isinstance(value, str):
+        if (own := inner(value)) is not None:
+            files(own, key, depth + 1, out)
         if value.startswith("data:"):
-            out.append(("data", key, path, value))
-        elif (own := inner(value)) is not None:
-            leaves(own, path + "!", depth + 1, key, out)
-        else:
-            out.append(("text", key, path, value))
+            head, comma, data = value.partition(",")
+            if not comma:
+                raise Failed("bad_data_url")
+            if not head.endswith(";base64"):
+                raise Failed("unsupported_encoding")
+            out.append(strict_base64(data))
+        elif key == "file_data":
+            out.append(strict_base64(value))
+        elif key in ("image_url", "image", "data") and value.startswith(("https:", "http:")):
+            raise Failed("remote_reference")
     return out
 
 
-def text_parts(value, path: str = "$", out: list | None = None) -> list[tuple[str, int, str | None]]:
-    """(path of the array, position, text) of the elements of arrays that hold a text part; text is null for other elements."""
-    out = [] if out is None else out
-    if isinstance(value, dict):
-        for k, v in value.items():
-            if k != "file_data" and not (k in CONTROL and isinstance(v, str)):
-                text_parts(v, f"{path}.{k}", out)
-    elif isinstance(value, list):
-        texts = [v["text"] if isinstance(v, dict) and isinstance(v.get("text"), str) else None for v in value]
-        if any(t is not None for t in texts):
-            out += [(path, i, t) for i, t in enumerate(texts)]
-        for i, v in enumerate(value):
-            text_parts(v, f"{path}[{i}]", out)
-    elif isinstance(value, str) and not value.startswith("data:") and (own := inner(value)) is not None:
-        text_parts(own, path + "!", out)
-    return out
+def file_row(content: bytes) -> dict:
+    text = attachments.text_of(content)
+    error = "too_large" if len(content) > attachments.MAX_BYTES else "unsupported" if text is None else None
+    return {"digest": attachments.digest_of(content), "text": None if error else text, "error": error}
+
+
+def looked_into(body: str) -> tuple[list[dict], list[dict], list[dict]]:
+    """Leaves, wholes and attachments of a body."""
+    try:
+        value = parse(body)
+    except RecursionError:
+        raise Failed("nesting_limit") from None
+    except ValueError:
+        raise Failed("bad_json") from None
+    if not isinstance(value, dict):
+        raise Failed("bad_json")
+    try:
+        found = files(value)
+        walk = Walk(value)
+    except RecursionError:
+        raise Failed("nesting_limit") from None
+    if len(found) > attachments.MAX_COUNT or sum(map(len, found)) > attachments.MAX_TOTAL:
+        raise Failed("attachment_limit")
+    rows = [file_row(c) for c in found]
+    if bad := next((r["error"] for r in rows if r["error"]), None):
+        raise Failed(bad)
+    leaves = [{"pos": k, "kind": x[0], "key": x[1], "path": x[2], "text": clean(x[3])} for k, x in enumerate(walk.leaves)]
+    return leaves, [{**w, "whole": clean(w["whole"])} for w in walk.wholes()], rows
+
+
+def clean(text: str) -> str:
+    """Escapes of JSON can name half a character, which no column can hold: its place is kept by a sign of as many bytes."""
+    try:
+        text.encode()
+        return text
+    except UnicodeEncodeError:
+        return re.sub("[\ud800-\udfff]", "�", text)
+
+
+class Look:
+    """Adds failed, leaves, wholes and files to the rows of bodies; a body whose row has an error already is not looked into."""
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 64):
+                b = whole.slice(at, 64)
+                out = []
+                for body, error in zip(b.column("body").to_pylist(), b.column("error").to_pylist(), strict=True):
+                    try:
+                        out.append((error, [], [], []) if error is not None else (None, *looked_into(body or "")))
+                    except Failed as e:
+                        out.append((str(e), [], [], []))
+                rest = [pa.array([r[k] for r in out], t) for k, t in enumerate((pa.string(), LEAVES_TYPE, WHOLES_TYPE, FILES_TYPE))]
+                names = [n for n in b.schema.names if n != "error"]
+                yield pa.RecordBatch.from_arrays([*map(b.column, names), *rest], [*names, "error", "leaves", "wholes", "files"])
+
+
+LEAVES_TYPE = pa.list_(pa.struct([("pos", pa.int32()), ("kind", pa.string()), ("key", pa.string()), ("path", pa.string()), ("text", pa.string())]))
+WHOLES_TYPE = pa.list_(pa.struct([("whole", pa.string()), ("pieces", pa.list_(pa.struct([("pos", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])))]))
+FILES_TYPE = pa.list_(pa.struct([("digest", pa.string()), ("text", pa.string()), ("error", pa.string())]))
+
+
+def schema_of(df: DataFrame, *but: str) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name not in but)
 
 
-def replaced(value, new: dict[str, str], path: str = "$"):
-    """value with the texts of new (by path) put in."""
-    if isinstance(value, dict):
-        return {k: replaced(v, new, f"{path}.{k}") for k, v in value.items()}
-    if isinstance(value, list):
-        return [replaced(v, new, f"{path}[{i}]") for i, v in enumerate(value)]
-    if not isinstance(value, str):
-        return value
-    if path in new:
-        return new[path]
-    if any(p.startswith(path + "!") for p in new) and (own := inner(value)) is not None:
-        return json.dumps(replaced(own, new, path + "!"), ensure_ascii=False, separators=(",", ":"))
-    return value
+def with_leaves(requests: DataFrame) -> DataFrame:
+    """requests: request_id, body, and perhaps error, which stays. request_id, body, error, leaves, wholes (texts in parts as one), files (attachments).
 
+    Errors: bad_json, nesting_limit, reconstruction_limit; of attachments unresolved_reference, remote_reference, unsupported_media, bad_data_url,
+    unsupported_encoding, bad_base64, attachment_limit, too_large, unsupported."""
+    error = F.col("error").cast("string") if "error" in requests.columns else F.lit(None).cast("string")
+    rows = requests.select("request_id", F.col("body").cast("string").alias("body"), error.alias("error"))
+    return rows.mapInArrow(Look(), f"{schema_of(rows, 'error')}, error string, leaves array<{LEAF}>, wholes array<{WHOLE}>, files array<{FILE}>")
 
-def _list(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        errors, rows, parts = [], [], []
-        for body in b.column("body").to_pylist():
-            try:
-                value = parse(body or "")
-                if not isinstance(value, dict):
-                    raise ValueError("the body is no object")
-                own = [{"pos": k, "kind": x[0], "key": x[1], "path": x[2], "text": x[3]} for k, x in enumerate(leaves(value))]
-                parts.append([{"path": p, "pos": k, "text": t} for p, k, t in text_parts(value)])
-                rows.append(own)
-                errors.append(None)
-            except (ValueError, RecursionError) as e:
-                rows.append([])
-                parts.append([])
-                errors.append("nesting_limit" if "nesting" in str(e) or isinstance(e, RecursionError) else "bad_json")
-        yield pa.RecordBatch.from_arrays([b.column("request_id"), b.column("body"), pa.array(errors, pa.string()), pa.array(rows, LEAF_TYPE), pa.array(parts, PART_TYPE)], ["request_id", "body", "error", "leaves", "parts"])
 
+def rebuilt(value, new: dict[int, str], swaps: dict[str, bytes]):
+    """value with the texts of new (by their places in the walk) put in, and attachments of swaps (by digest) replaced; and whether anything changed."""
+    place = -1
 
-def with_leaves(requests: DataFrame) -> DataFrame:
-    """requests: request_id, body. request_id, body, error (null, bad_json or nesting_limit), leaves, parts (of texts in arrays)."""
-    schema = requests.select("request_id", F.col("body").cast("string")).schema
-    return requests.select("request_id", F.col("body").cast("string")).mapInArrow(_list, f"request_id {schema[0].dataType.simpleString()}, body string, error string, leaves {LEAVES}, parts {PARTS}")
+    def attachment(text: str) -> str:
+        head, comma, data = text.partition(",") if text.startswith("data:") else ("", "", text)
+        try:
+            content = swaps.get(attachments.digest_of(strict_base64(data))) if swaps else None
+        except Failed:
+            content = None
+        if content is None:
+            return text
+        return attachments.data_url_of(content) if comma else base64.b64encode(content).decode()
+
+    def visit(v):
+        nonlocal place
+        if isinstance(v, dict):
+            place += len(v)
+            out = {}
+            for k, x in v.items():
+                if k == "file_data" and isinstance(x, str):
+                    place += 1
+                    out[k] = attachment(x)
+                elif k in CONTROL and isinstance(x, str):
+                    place += 1
+                    out[k] = attachment(x)
+                else:
+                    out[k] = visit(x)
+            return out
+        if isinstance(v, list):
+            return [visit(x) for x in v]
+        if not isinstance(v, str):
+            return v
+        if v.startswith("data:"):
+            place += 1
+            return attachment(v)
+        if (own := inner(v)) is not None:
+            now = visit(own)
+            return v if now == own else written(now)
+        place += 1
+        return new.get(place, attachment(v))
+
+    return visit(value)
+
+
+class Cut:
+    """Takes what spans texts in parts out of each; the texts that are left are scanned by themselves. Columns: leaves with their texts cut, cuts (rule and place of each)."""
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            leaves, cuts = [], []
+            for own, wholes, found in zip(b.column("leaves").to_pylist(), b.column("wholes").to_pylist(), b.column("whole_spans").to_pylist(), strict=True):
+                spans: dict[int, list] = {}
+                for w, islands in zip(wholes, found, strict=True):
+                    for p in w["pieces"]:
+                        for s in islands:
+                            if s["start"] < p["end"] and s["end"] > p["start"]:
+                                spans.setdefault(p["pos"], []).append((max(s["start"], p["start"]) - p["start"], min(s["end"], p["end"]) - p["start"], s["rule"]))
+                for pos, list_ in spans.items():
+                    octets = own[pos]["text"].encode()
+                    for start, end, rule in sorted(list_, reverse=True):
+                        octets = octets[:start] + f"[REDACTED:{rule}]".encode() + octets[end:]
+                    own[pos]["text"] = octets.decode("utf-8", "replace")
+                leaves.append(own)
+                cuts.append([{"pos": p, "rule": r, "start": a, "end": z} for p, list_ in sorted(spans.items()) for a, z, r in list_])
+            names = [n for n in b.schema.names if n not in ("leaves", "wholes", "whole_spans")]
+            yield pa.RecordBatch.from_arrays([*map(b.column, names), pa.array(leaves, LEAVES_TYPE), pa.array(cuts, CUTS_TYPE)], [*names, "leaves", "cuts"])
+
+
+CUTS_TYPE = pa.list_(pa.struct([("pos", pa.int32()), ("rule", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+
+
+class Rebuild:
+    """Writes changed bodies again; all others stay as they are, byte by byte."""
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bodies = []
+            for body, new, swaps in zip(b.column("body").to_pylist(), b.column("new").to_pylist(), b.column("swaps").to_pylist(), strict=True):
+                if not new and not swaps:
+                    bodies.append(body)
+                    continue
+                swap = {s["digest"]: s["text"].encode() for s in swaps or ()}
+                bodies.append(clean(written(rebuilt(parse(body), {x["pos"]: x["text"] for x in new or ()}, swap))))
+            names = [n for n in b.schema.names if n not in ("new", "swaps")]
+            yield pa.RecordBatch.from_arrays([pa.array(bodies, pa.string()) if n == "body" else b.column(n) for n in names], names)
+
+
+def inspect(requests: DataFrame, rules: Rules = DEFAULT_RULES, sanitize: bool = True) -> DataFrame:
+    """requests: request_id, body, and perhaps error. request_id, original (the body as it came), body (redacted; untouched if nothing changed), error, rules (one for each finding), changed, unsafe.
+
+    Attachments are decoded and scanned: a text with findings is replaced (if sanitize), and the new one scanned again; what can't be read is an error (see
+    with_leaves()). Texts in the parts of an array are first read as one, and what spans them is cut from each; then every leaf is
+    scanned by itself. Findings in keys and control fields, and in attachments that are not replaced, are unsafe: reported, but not rewritten.
+    """
+    s = scanner_of(rules)
+    rows = with_leaves(requests).withColumn("whole_spans", F.transform("wholes", lambda w: merged_array(scan(w["whole"], s))))
+    rows = rows.mapInArrow(Cut(), f"{schema_of(rows, 'leaves', 'wholes', 'whole_spans')}, leaves array<{LEAF}>, cuts array<{PLACE}>")
+    rows = rows.withColumn("seen", F.transform("files", lambda f: F.named_struct(F.lit("digest"), f["digest"], F.lit("text"), f["text"], F.lit("found"), scan(f["text"], s)))).drop("files")
+    rows = rows.withColumn("seen", F.filter("seen", lambda f: F.size(f["found"]) > 0))
+    swaps = F.transform("seen", lambda f: F.named_struct(F.lit("digest"), f["digest"], F.lit("text"), redact(f["text"], f["found"]))) if sanitize else empty("array<struct<digest:string,text:string>>")
+    rows = rows.withColumn("swaps", swaps)
+    found = F.transform("leaves", lambda x: F.named_struct(F.lit("pos"), x["pos"], F.lit("kind"), x["kind"], F.lit("text"), x["text"], F.lit("found"), F.when(x["kind"] != "data", scan(x["text"], s)).otherwise(empty(FINDING))))
+    rows = rows.withColumn("cut_at", F.transform("cuts", lambda c: c["pos"]))
+    hits = F.filter(found, lambda x: (F.size(x["found"]) > 0) | F.array_contains("cut_at", x["pos"]))
+    rows = rows.withColumn("hits", hits).drop("leaves", "cut_at")
+    of = lambda c: F.flatten(F.transform(c, lambda x: F.transform(x["found"], lambda f: f["rule"])))
+    all_rules = F.concat(of(F.col("seen")), F.transform("cuts", lambda c: c["rule"]), of(F.col("hits")))
+    texts = F.filter("hits", lambda x: x["kind"] == "text")
+    unsafe = F.exists("hits", lambda x: x["kind"].isin("key", "control")) | (F.lit(not sanitize) & (F.size("seen") > 0))
+    new = F.transform(texts, lambda x: F.named_struct(F.lit("pos"), x["pos"], F.lit("text"), redact(x["text"], x["found"])))
+    dirty = F.exists("swaps", lambda w: F.size(scan(w["text"], s)) > 0)
+    error = F.coalesce(F.col("error"), F.when(F.size(all_rules) > MAX_FINDINGS, F.lit("finding_limit")), F.when(dirty, F.lit("not_clean")))
+    rows = rows.select("request_id", F.col("body").alias("original"), "body", error.alias("error"), all_rules.alias("rules"), ((F.size(texts) > 0) | (F.size("swaps") > 0)).alias("changed"), unsafe.alias("unsafe"), new.alias("new"), "swaps")
+    return rows.mapInArrow(Rebuild(), schema_of(rows, "new", "swaps"))
 
 
-def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        bodies = []
-        for body, new in zip(b.column("body").to_pylist(), b.column("new").to_pylist(), strict=True):
-            if not new:
-                bodies.append(body)
-                continue
-            value = replaced(parse(body), {x["path"]: x["text"] for x in new})
-            bodies.append(json.dumps(value, ensure_ascii=False, separators=(",", ":")))
-        out = [pa.array(bodies, pa.string()) if n == "body" else b.column(n) for n in b.schema.names if n != "new"]
-        yield pa.RecordBatch.from_arrays(out, [n for n in b.schema.names if n != "new"])
+# References ---------------------------------------------------------------------------------
 
+def referred(value, swap=None, out: list[tuple[str, str]] | None = None, depth: int = 0):
+    """References in a body, in order: (kind, ref), kind file or url. With swap (ref to bytes, by kind) the value with them put in; JSON in texts included."""
+    out = [] if out is None else out
+    if depth > MAX_DEPTH:
+        raise Failed("nesting_limit")
 
-def part_spans(rows: DataFrame, rules: list[Rule] | tuple[Rule, ...]) -> DataFrame:
-    """rows: with_leaves(). Spans that texts in parts show only when they are read as one: request_id, by_path (path of the text: its spans).
+    def got(kind: str, ref: str) -> str:
+        out.append((kind, ref))
+        return attachments.data_url_of(swap[kind, ref]) if swap else ""
 
-    The parts of an array become rows, are joined and scanned, and the findings are clipped to each.
-    """
-    p = rows.where(F.size("parts") > 0).select("request_id", F.explode("parts").alias("p")).select("request_id", F.struct("request_id", "p.path").alias("array"), F.col("p.path").alias("path"), "p.pos", "p.text")
-    found = parts_of.clipped_findings(p, "array", "pos", "text", rules)
-    found = found.select(F.col("array.request_id").alias("request_id"), F.format_string("%s[%d].text", F.col("array.path"), F.col("pos")).alias("path"), F.struct("start", "end", "rule").alias("s"))
-    by = found.groupBy("request_id", "path").agg(F.array_sort(F.collect_list("s")).alias("spans"))
-    return by.groupBy("request_id").agg(F.map_from_entries(F.collect_list(F.struct("path", "spans"))).alias("by_path"))
+    if isinstance(value, dict):
+        now = dict(value)
+        for name, kind in (("file_id", "file"), ("file_url", "url")):
+            if isinstance(now.get(name), str):
+                url = got(kind, now.pop(name))
+                now["file_data"] = url
+                if swap:
+                    now.setdefault("filename", attachments.file_name_of(swap[out[-1]]))
+        fresh = {}
+        for k, v in now.items():
+            if k == "image_url" and isinstance(v, str) and v.startswith(("https://", "http://")):
+                fresh[k] = got("url", v)
+                continue
+            if k == "image_url" and isinstance(v, dict) and isinstance(v.get("url"), str) and v["url"].startswith(("https://", "http://")):
+                v = {**v, "url": got("url", v["url"])}
+            fresh[k] = referred(v, swap, out, depth + 1)[0]
+        return fresh, out
+    if isinstance(value, list):
+        return [referred(v, swap, out, depth + 1)[0] for v in value], out
+    if isinstance(value, str) and (own := inner(value)) is not None:
+        before = len(out)
+        now, _ = referred(own, swap, out, depth + 1)
+        return (written(now) if len(out) > before else value), out
+    return value, out
+
+
+class Refer:
+    """refs of each body; null where it can't be parsed (which inspect() reports)."""
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            refs = []
+            for body, error in zip(b.column("body").to_pylist(), b.column("error").to_pylist(), strict=True):
+                try:
+                    refs.append([{"kind": k, "ref": clean(r)} for k, r in referred(parse(body or ""))[1]] if error is None else None)
+                except (ValueError, RecursionError, Failed):
+                    refs.append(None)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(refs, REFS_TYPE)], [*b.schema.names, "refs"])
+
+
+REFS_TYPE = pa.list_(pa.struct([("kind", pa.string()), ("ref", pa.string())]))
+
+
+class PutIn:
+    """Bodies with the bytes of their references."""
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bodies = []
+            for body, have in zip(b.column("body").to_pylist(), b.column("have").to_pylist(), strict=True):
+                swap = {(h["kind"], h["ref"]): bytes(h["content"]) for h in have or ()}
+                bodies.append(clean(written(referred(parse(body), swap)[0])) if swap else body)
+            names = [n for n in b.schema.names if n != "have"]
+            yield pa.RecordBatch.from_arrays([pa.array(bodies, pa.string()) if n == "body" else b.column(n) for n in names], names)
+
+
+def materialize(requests: DataFrame, fetched: DataFrame) -> DataFrame:
+    """requests: request_id, body, and perhaps error; fetched: kind (file or url), ref, content. The requests with file ids, file URLs and image URLs replaced by the bytes, as data URLs.
+
+    Errors: unresolved_reference (not fetched, or an id that is none), reference_limit. Only bodies within the limits get bytes."""
+    error = F.col("error").cast("string") if "error" in requests.columns else F.lit(None).cast("string")
+    rows = requests.select(F.monotonically_increasing_id().alias("row"), "request_id", F.col("body").cast("string").alias("body"), error.alias("error"))
+    rows = attachments.written_out(rows.mapInArrow(Refer(), f"{schema_of(rows)}, refs array<struct<kind:string,ref:string>>"))
+    refs = rows.select(F.col("row").alias("request_id"), F.posexplode("refs").alias("pos", "r")).select("request_id", "r.kind", "r.ref")
+    valid = (F.col("kind") == "url") | F.col("ref").rlike(r"\A[A-Za-z0-9_-]{1,255}\z")
+    budget = attachments.materialized(refs.withColumn("valid", valid), fetched)
+    fine = budget.where("error IS NULL").select(F.col("request_id").alias("row"))
+    pairs = refs.select(F.col("request_id").alias("row"), "kind", "ref").distinct().join(fine, "row").join(fetched.select("kind", "ref", "content"), ["kind", "ref"])
+    have = pairs.groupBy("row").agg(F.collect_list(F.struct("kind", "ref", "content")).alias("have"))  # at most the limits' count and bytes
+    bad = budget.where("error IS NOT NULL").select(F.col("request_id").alias("row"), F.col("error").alias("bad"))
+    out = rows.drop("refs").join(bad, "row", "left").join(have, "row", "left").withColumn("error", F.coalesce("error", "bad")).drop("row", "bad")
+    return out.mapInArrow(PutIn(), schema_of(out, "have"))
+
+
+# Metadata -----------------------------------------------------------------------------------
+
+def scalars(value, path: str = "$") -> Iterator[tuple[str, str | None]]:
+    """Path and text of all that is neither object nor array."""
+    if isinstance(value, dict):
+        for k, v in value.items():
+            yield from scalars(v, path + step_of(k))
+    elif isinstance(value, list):
+        for i, v in enumerate(value):
+            yield from scalars(v, f"{path}[{i}]")
+    else:
+        yield path, value if value is None or isinstance(value, str) else written(value)
 
 
-def inspect(requests: DataFrame, rules: list[Rule] | tuple[Rule, ...] = DEFAULT_RULES) -> DataFrame:
-    """request_id, body (redacted; untouched if nothing changed), error, rules (one for each finding), changed, unsafe.
+class Scalars:
+    def __init__(self, keys: list[str]):
+        self.keys = keys
 
-    Texts in the parts of an array are first read as one, and what spans them is cut from each; then every leaf is
-    scanned by itself. Findings in keys and control fields are unsafe: they are reported, but cannot be rewritten.
-    """
-    rows = with_leaves(requests)
-    rows = rows.join(part_spans(rows, rules), "request_id", "left")
-    spans_at = lambda x: F.coalesce(F.when(x["kind"] == "text", F.try_element_at("by_path", x["path"])), F.expr("cast(array() as array<struct<start:int,end:int,rule:string>>)"))
-    cut = F.transform("leaves", lambda x: F.named_struct(F.lit("kind"), x["kind"], F.lit("path"), x["path"], F.lit("spans"), spans_at(x), F.lit("text"), F.when(F.size(spans_at(x)) > 0, spliced(x["text"], spans_at(x))).otherwise(x["text"])))
-    rows = rows.withColumn("cut", cut).drop("leaves", "parts", "by_path")
-    found = F.transform("cut", lambda x: F.named_struct(F.lit("kind"), x["kind"], F.lit("path"), x["path"], F.lit("text"), x["text"], F.lit("spans"), x["spans"], F.lit("found"), scan(F.when(x["kind"] != "data", x["text"]).otherwise(F.lit("")), rules)))
-    rows = rows.withColumn("hits", F.filter(found, lambda x: (F.size(x["found"]) > 0) | (F.size(x["spans"]) > 0))).drop("cut")
-    rules_ = F.flatten(F.transform("hits", lambda x: F.concat(F.transform(x["spans"], lambda s: s["rule"]), F.transform(x["found"], lambda f: f["rule"]))))
-    unsafe = F.exists("hits", lambda x: x["kind"].isin("key", "control"))
-    texts = F.filter("hits", lambda x: x["kind"] == "text")
-    new = F.transform(texts, lambda x: F.named_struct(F.lit("path"), x["path"], F.lit("text"), redact(x["text"], x["found"])))
-    rows = rows.select("request_id", "body", F.when(F.size(rules_) > MAX_FINDINGS, F.lit("finding_limit")).otherwise(F.col("error")).alias("error"), rules_.alias("rules"), (F.size(texts) > 0).alias("changed"), unsafe.alias("unsafe"), new.alias("new"))
-    kept = [f for f in rows.schema if f.name != "new"]
-    return rows.mapInArrow(_rebuild, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept))
-
-
-def leaf_rows(df: DataFrame, keys: list[str], body: str, depth: int = MAX_DEPTH) -> DataFrame:
-    """All leaves of JSON bodies by a recursive query, without Python: keys, path, value (as text). Bodies that are no JSON give none."""
-    spark = df.sparkSession
-    df.select(*keys, F.try_parse_json(body).alias("v")).where("v is not null").createOrReplaceTempView("__bodies")
-    names = ", ".join(keys)
-    return spark.sql(f"""
-        WITH RECURSIVE tree({names}, depth, path, v) AS (
-          SELECT {names}, 0, '$', v FROM __bodies
-          UNION ALL
-          SELECT {", ".join("t." + k for k in keys)}, depth + 1,
-                 path || CASE WHEN schema_of_variant(t.v) LIKE 'ARRAY%' THEN '[' || e.pos || ']' ELSE '.' || e.key END, e.value
-          FROM tree t, LATERAL variant_explode(t.v) AS e WHERE depth < {depth})
-        SELECT {names}, path, cast(v AS string) AS value FROM tree
-        WHERE schema_of_variant(v) NOT LIKE 'OBJECT%' AND schema_of_variant(v) NOT LIKE 'ARRAY%'
-    """)
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k, body in enumerate(b.column("body").to_pylist()):
+                try:
+                    found = list(scalars(parse(body))) if body else []
+                except (ValueError, RecursionError):
+                    continue
+                for at in range(0, len(found), 10_000):
+                    part = found[at : at + 10_000]
+                    own = [b.column(c).take(pa.array([k] * len(part), pa.int64())) for c in self.keys]
+                    yield pa.RecordBatch.from_arrays([*own, pa.array([clean(p) for p, _ in part], pa.string()), pa.array([v if v is None else clean(v) for _, v in part], pa.string())], [*self.keys, "path", "value"])
+
+
+def leaf_rows(df: DataFrame, keys: list[str], body: str) -> DataFrame:
+    """All scalars of JSON bodies as rows: keys, path, value (as text). Bodies that are no JSON give none."""
+    rows = df.select(*keys, F.col(body).cast("string").alias("body"))
+    return rows.mapInArrow(Scalars(keys), f"{schema_of(rows, 'body')}, path string, value string")
 
 
 # Properties of documents' metadata that are not supported.
@@ -223,7 +521,6 @@ def metadata_texts(df: DataFrame, keys: list[str], body: str) -> DataFrame:
 
 def forbidden_metadata(df: DataFrame, keys: list[str], body: str) -> DataFrame:
     """keys and error of those whose metadata has an unsupported property at any depth."""
-    hit = F.lit(False)
-    for k in FORBIDDEN:
-        hit = hit | F.endswith("path", F.lit("." + k)) | F.contains("path", F.lit("." + k + ".")) | F.contains("path", F.lit("." + k + "["))
+    names = "|".join(re.escape(k) for k in FORBIDDEN)
+    hit = F.col("path").rlike(rf"\.(?:{names})(?:\.|\[|\z)")
     return leaf_rows(df, keys, body).where(hit).select(*keys, F.lit("unsupported_pdf_feature").alias("error")).distinct()

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.running import at_ranks
+
 # Bucket limits in milliseconds.
 LIMITS_MS = (5, 10, 50, 100, 1_000, 5_000, 30_000, 180_000)
 
@@ -31,12 +33,9 @@ def rendered(counts: DataFrame, prefix: str = "inspection") -> DataFrame:
     return counts.select(F.explode(F.array(*lines)).alias("line"))
 
 
-def rank_percentile(df: DataFrame, value: str, keys: list[str], share: float) -> DataFrame:
-    """The value at 1-based rank floor(share * n) + 1, n at most, of each key: keys, value. Ranks come from a sort that spills, not from a list."""
-    from pyspark.sql import Window
-
-    ranked = df.select(*keys, value).withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy(value))).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
-    return ranked.where(F.col("r") == F.least(F.floor(F.lit(share) * F.col("n")) + 1, F.col("n"))).select(*keys, value)
+def rank_percentiles(df: DataFrame, value: str, keys: list[str], shares: dict[str, float]) -> DataFrame:
+    """Of each key the values at 1-based rank floor(share * n) + 1, n at most: keys, and a column for each name of shares."""
+    return at_ranks(df, value, keys, shares)
 
 
 def rendered_histogram(buckets: DataFrame, total_ms: str, name: str = "inspection_request_to_headers_seconds") -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.rules import DEFAULT_RULES, Rule
-from .scan import find
+from ..sources.rules import DEFAULT_RULES
+from .scan import Rules, find
 from .spans import merge
 
 BOUNDARY = "\n[CONTENT BOUNDARY]\n"
@@ -35,7 +35,7 @@ def joined(rows: DataFrame, key: str, pos: str, text: str) -> DataFrame:
     return whole.withColumn("error", F.when(F.octet_length("whole") > LIMIT, F.lit("reconstruction_limit")))
 
 
-def clipped_findings(parts: DataFrame, key: str, pos: str, text: str, rules: list[Rule] | tuple[Rule, ...] = DEFAULT_RULES) -> DataFrame:
+def clipped_findings(parts: DataFrame, key: str, pos: str, text: str, rules: Rules = DEFAULT_RULES) -> DataFrame:
     """Merged spans of each part, with offsets in the part: key, pos, start, end, rule. An interval join within each key."""
     rows = placed(parts, key, pos, text)
     found = find(joined(rows, key, pos, text).where("error is null"), [key], "whole", rules)

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.config import Config
+from ..sources.rules import DEFAULT_RULES, scanner_of
+from . import jsonwalk
+from .scan import Rules
 from .spans import unique_rules
 
 MODES = ("redact", "no-go", "advisory")
@@ -23,7 +27,7 @@ def decision(rules: Column, unsafe: Column, mode: str) -> Column:
 
 
 def decide(inspected: DataFrame, mode: str = "redact") -> DataFrame:
-    """inspected: request_id, body, original, rules, unsafe, error. Adds decision, approved_body (null if blocked or in error), finding_count, rule_ids."""
+    """inspected: the output of jsonwalk.inspect(). Adds decision, approved_body (null if blocked or in error), finding_count, rule_ids."""
     what = F.when(F.col("error").isNotNull(), F.lit("failed")).otherwise(decision(F.col("rules"), F.col("unsafe"), mode))
     rows = inspected.withColumn("decision", what)
     body = F.when(F.col("decision") == "original", F.col("original")).when(F.col("decision") == "sanitized", F.col("body"))
@@ -38,6 +42,23 @@ def status(*, admitted: Column, authorized: Column, encoded: Column, too_large:
     )
 
 
+def status_of(decided: DataFrame) -> DataFrame:
+    """Adds status, by error and decision: 413 for a body that is too large, 400 for one that is no JSON, 422 for one that could not be inspected, 409 for a blocked one."""
+    e = F.coalesce("error", F.lit(""))
+    no = F.lit(False)
+    what = status(admitted=~no, authorized=~no, encoded=no, too_large=e == "too_large", malformed=e == "bad_json", failed=F.col("decision") == "failed", blocked=F.col("decision") == "blocked", keyed=~no, reached=~no)
+    return decided.withColumn("status", what)
+
+
+def processed(requests: DataFrame, config: Config, scanner: Rules = DEFAULT_RULES, fetched: DataFrame | None = None) -> DataFrame:
+    """Requests by a configuration: references put in (if what was fetched is given), inspected, decided, with a status."""
+    from dataclasses import replace
+
+    rows = requests if fetched is None else jsonwalk.materialize(requests, fetched)
+    s = replace(scanner_of(scanner), use_entropy=config.use_entropy)
+    return status_of(decide(jsonwalk.inspect(rows, s, config.mode == "redact"), config.mode))
+
+
 def finding_ids(inspected: DataFrame) -> DataFrame:
     """One row with a fresh id for each different rule of a request, never the secret: request_id, finding_id, rule_id."""
     return inspected.select("request_id", F.explode(unique_rules(F.col("rules"))).alias("rule_id")).withColumn("finding_id", F.uuid())

@@ -1,4 +1,4 @@
-"""Scanning: rules over a text column, with byte offsets; allowlists; order; wrapped tokens.
+"""Scanning: rules over a text column, with byte offsets; captures; allowed secrets; entropy; wrapped tokens; order.
 
 For one pattern, split() and regexp_extract_all() interleave, so that the running sum of the
 lengths of both gives the byte offset of each match. All stays in the JVM.
@@ -9,48 +9,111 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.fold import bind, empty, fold
+from ..functions.patterns import opened
 from ..functions.text import ascii_lower, contains_any, digest, entropy
-from ..sources.rules import DEFAULT_RULES, Rule, usable
+from ..sources.rules import DEFAULT_RULES, Rule, Scanner, scanner_of, usable
 
-FINDING = "array<struct<rule:string,start:int,end:int,secret:string>>"
-#: Spans of wrapped tokens are no longer than this, in bytes.
+Rules = Scanner | list[Rule] | tuple[Rule, ...]
+HIT = "struct<rule:string,start:int,end:int,secret:string>"
+FINDING = f"array<{HIT}>"
+# What a token of three parts looks like if white space may break it up; its spans are no longer than so many bytes.
 LONGEST_WRAPPED = 8192
 WRAPPED = r"(?<![A-Za-z0-9_])ey[A-Za-z0-9_+/\r\n\t -]{17,2048}\.[ \t\r\n]*ey[A-Za-z0-9_+/\r\n\t -]{17,4096}\.[A-Za-z0-9_+/=\r\n\t -]{10,2048}"
+WRAPPED_RULE = "jwt"
 
 
-def matches(text: Column, rule_id: str, regex: str) -> Column:
-    """All matches of a pattern as (rule, start, end, secret); offsets in bytes of UTF-8, end exclusive."""
-    gaps, hits = F.split(text, regex, -1), F.regexp_extract_all(text, F.lit(regex), 0)
+def hit(rule_id: str, start: Column, secret: Column) -> Column:
+    return F.named_struct(F.lit("rule"), F.lit(rule_id), F.lit("start"), start, F.lit("end"), start + F.octet_length(secret), F.lit("secret"), secret)
 
-    def step(state: Column, pair: Column) -> Column:
-        start = state["at"] + F.octet_length(pair["gap"])
-        end = start + F.octet_length(pair["hit"])
-        found = F.named_struct(F.lit("rule"), F.lit(rule_id), F.lit("start"), start, F.lit("end"), end, F.lit("secret"), pair["hit"])
-        return F.named_struct(F.lit("at"), end, F.lit("found"), F.concat(state["found"], F.array(found)))
 
-    zero = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {FINDING})").alias("found"))
-    pairs = F.arrays_zip(F.slice(gaps, 1, F.greatest(F.size(hits), F.lit(0))).alias("gap"), hits.alias("hit"))
-    return F.aggregate(pairs, zero, step, lambda s: s["found"])
+def matches(text: Column, rule_id: str, regex: str, group: int = 0) -> Column:
+    """All secrets of a pattern as (rule, start, end, secret); offsets in bytes of UTF-8, end exclusive. group: see Rule."""
+    pattern, captures = opened(regex)
+    if group:
+        captures = [captures[group - 1]]
+    gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), 0)
+    numbers = sorted({n for c in captures for n in (c.group, *c.before)})
+    lists = [F.slice(gaps, 1, F.greatest(F.size(hits), F.lit(0))).alias("gap"), hits.alias("hit"), *(F.regexp_extract_all(text, F.lit(pattern), n).alias(f"g{n}") for n in numbers)]
 
+    def secret(pair: Column, start: Column) -> Column:
+        """The first capture that is not empty, or else the whole match; of a certain group that capture."""
+        out = F.array(hit(rule_id, start, pair["hit"]))
+        for c in reversed(captures):
+            at = start
+            for n in c.before:
+                at = at + F.octet_length(pair[f"g{n}"])
+            own = F.array(hit(rule_id, at, pair[f"g{c.group}"]))
+            out = F.when(F.length(pair[f"g{c.group}"]) > 0, own).otherwise(empty(FINDING) if group else out)
+        return out
 
-def scan(text: Column, rules: list[Rule] | tuple[Rule, ...] = DEFAULT_RULES) -> Column:
-    """The findings of all rules in one array, by start, longest first, then rule. A rule's keywords gate its pattern."""
-    none, ready = F.expr(f"cast(array() as {FINDING})"), usable(rules)
+    def step(at: Column, pair: Column) -> tuple[Column, Column]:
+        start = at + F.octet_length(pair["gap"])
+        return start + F.octet_length(pair["hit"]), secret(pair, start)
+
+    return fold(F.arrays_zip(*lists), F.lit(0), step, HIT)
+
+
+def wrapped(text: Column, rule: Rule) -> Column:
+    """Findings of rule in tokens that line ends and blanks break up, the secret without the breaks.
+
+    A candidate must hold a line end. Its white space goes, the rule is searched in what is left,
+    and the span is mapped back. It counts if it is no longer than LONGEST_WRAPPED and itself holds a line end.
+    """
+
+    def place(raw: Column, n: Column, more: str) -> Column:
+        """The length of raw up to its nth character that is no white space: candidates are ASCII, so characters are bytes."""
+        pattern = F.concat(F.lit(r"\A(?:[ \t\r\n]*+[^ \t\r\n]){"), n.cast("string"), F.lit("}" + more))
+        return F.coalesce(F.length(F.regexp_substr(raw, pattern)), F.lit(0))
+
+    def of(c: Column) -> Column:
+        compact = F.regexp_replace(c["secret"], "[\r\n\t ]", "")
+        found = F.transform(matches(compact, rule.id, rule.regex, rule.group), lambda f: F.named_struct(
+            F.lit("rule"), f["rule"], F.lit("start"), c["start"] + place(c["secret"], f["start"], r"[ \t\r\n]*+"), F.lit("end"), c["start"] + place(c["secret"], f["end"], ""), F.lit("secret"), f["secret"]))
+        own = lambda f: F.substring(c["secret"], f["start"] - c["start"] + 1, f["end"] - f["start"])
+        return F.filter(found, lambda f: (F.length(f["secret"]) > 0) & (f["end"] - f["start"] <= LONGEST_WRAPPED) & F.contains(own(f), F.lit("\n")))
+
+    candidates = F.filter(matches(text, "candidate", WRAPPED), lambda c: F.contains(c["secret"], F.lit("\n")))
+    return F.flatten(F.transform(candidates, of))
+
+
+def scan(text: Column, rules: Rules = DEFAULT_RULES) -> Column:
+    """The findings of a scanner in one array, by start, longest first, then rule. A rule's keywords gate its pattern."""
+    s = scanner_of(rules)
+    none, ready = empty(FINDING), usable(s.rules)
     if not ready:
         return none
 
+    def counts(r: Rule, f: Column) -> Column:
+        ok = F.lit(True)
+        if s.hashes:
+            ok = ok & ~digest(f["secret"]).isin(sorted(s.hashes))
+        if s.stopwords:
+            ok = ok & ~f["secret"].isin(sorted(s.stopwords))
+        if s.use_entropy and r.entropy > 0:
+            ok = ok & (entropy(f["secret"]) > r.entropy)
+        return ok
+
+    def kept(r: Rule, found: Column) -> Column:
+        return F.filter(found, lambda f: counts(r, f)) if s.hashes or s.stopwords or s.use_entropy and r.entropy > 0 else found
+
     def found(x: Column) -> Column:
         def gated(r: Rule) -> Column:
             words = F.lit(not r.keywords)
             for k in r.keywords:
                 words = words | F.contains(x["low"], F.lit(k.lower()))
-            return F.when(words & x["text"].rlike(r.regex), matches(x["text"], r.id, r.regex)).otherwise(none)
+            return F.when(words & x["text"].rlike(r.regex), kept(r, matches(x["text"], r.id, r.regex, r.group))).otherwise(none)
 
-        return in_order(F.concat(*map(gated, ready)))
+        lists = [*map(gated, ready)]
+        for r in ready:
+            if r.id == WRAPPED_RULE:
+                broken = F.contains(x["text"], F.lit("\n")) & F.contains(x["text"], F.lit("ey")) & x["text"].rlike(WRAPPED)
+                lists.append(F.when(broken, kept(r, wrapped(x["text"], r))).otherwise(none))
+        return in_order(F.concat(*lists))
 
-    # An array of one element binds the text and its lower case, so that both are made once for all rules.
-    bound = F.array(F.named_struct(F.lit("text"), text, F.lit("low"), ascii_lower(text)))
-    return F.when(text.isNotNull(), F.element_at(F.transform(bound, found), 1)).otherwise(none)
+    # The text and its lower case are made once for all rules.
+    bound = F.named_struct(F.lit("text"), text, F.lit("low"), ascii_lower(text))
+    return F.when(text.isNotNull(), bind(bound, found)).otherwise(none)
 
 
 def in_order(findings: Column) -> Column:
@@ -58,13 +121,13 @@ def in_order(findings: Column) -> Column:
     return F.transform(F.array_sort(F.array_distinct(keyed)), lambda k: F.named_struct(F.lit("rule"), k["rule"], F.lit("start"), k["start"], F.lit("end"), -k["minus_end"], F.lit("secret"), k["secret"]))
 
 
-def find(df: DataFrame, keys: list[str], text: str, rules: list[Rule] | tuple[Rule, ...] = DEFAULT_RULES) -> DataFrame:
+def find(df: DataFrame, keys: list[str], text: str, rules: Rules = DEFAULT_RULES) -> DataFrame:
     """One row for each finding: keys, rule, start, end, secret. Texts without any keyword never meet a pattern."""
-    ready = usable(rules)
+    s = scanner_of(rules)
     gate = F.lit(False)
-    for r in ready:
+    for r in usable(s.rules):
         gate = gate | contains_any(F.col(text), list(r.keywords))
-    rows = df.where(gate).select(*keys, F.explode(scan(F.col(text), ready)).alias("f"))
+    rows = df.where(gate).select(*keys, F.explode(scan(F.col(text), s)).alias("f"))
     return rows.select(*keys, "f.*")
 
 
@@ -88,18 +151,6 @@ def above_entropy(findings: DataFrame, rules: list[Rule] | tuple[Rule, ...]) ->
 
 
 def wrapped_tokens(df: DataFrame, keys: list[str], text: str, rule: Rule) -> DataFrame:
-    """Findings of rule in tokens that line ends and blanks break up: keys, rule, start, end, secret (without the breaks).
-
-    A candidate must hold a line end. Its white space goes, the rule is searched in what is left,
-    and the span is mapped back. It counts if it is no longer than LONGEST_WRAPPED and itself holds a line end.
-    """
+    """Findings of rule in wrapped tokens alone: keys, rule, start, end, secret."""
     rows = df.where(F.contains(F.col(text), F.lit("ey")) & F.contains(F.col(text), F.lit("\n")))
-    rows = rows.select(*keys, F.explode(matches(F.col(text), "candidate", WRAPPED)).alias("c")).where(F.contains(F.col("c.secret"), F.lit("\n")))
-    compact = F.regexp_replace("c.secret", "[\r\n\t ]", "")
-    rows = rows.select(*keys, F.col("c.start").alias("at"), F.col("c.secret").alias("raw"), F.explode(matches(compact, rule.id, rule.regex)).alias("f"))
-    # Up to the k-th character that is no white space: candidates are ASCII, so characters are bytes.
-    before = F.coalesce(F.length(F.regexp_substr("raw", F.concat(F.lit(r"\A(?:[ \t\r\n]*+[^ \t\r\n]){"), F.col("f.start").cast("string"), F.lit(r"}[ \t\r\n]*+")))), F.lit(0))
-    until = F.length(F.regexp_substr("raw", F.concat(F.lit(r"\A(?:[ \t\r\n]*+[^ \t\r\n]){"), F.col("f.end").cast("string"), F.lit("}"))))
-    rows = rows.select(*keys, F.col("f.rule").alias("rule"), (F.col("at") + before).alias("start"), (F.col("at") + until).alias("end"), F.col("f.secret").alias("secret"), F.expr("raw").alias("raw"), before.alias("b"), until.alias("u"))
-    own = F.substring(F.col("raw"), F.col("b") + 1, F.col("u") - F.col("b"))
-    return rows.where((F.col("end") - F.col("start") <= LONGEST_WRAPPED) & F.contains(own, F.lit("\n"))).select(*keys, "rule", "start", "end", "secret")
+    return rows.select(*keys, F.explode(wrapped(F.col(text), rule)).alias("f")).select(*keys, "f.*")

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.fold import bind, empty, fold
+
+SPAN = "struct<start:int,end:int,rule:string>"
+
 
 def merge(findings: DataFrame, keys: list[str]) -> DataFrame:
     """Islands of overlapping spans: keys, start, end, rule (of the first span). Spans that only touch stay apart."""
@@ -18,29 +22,35 @@ def merge(findings: DataFrame, keys: list[str]) -> DataFrame:
 
 def merged_array(findings: Column) -> Column:
     """The same on an array in order (see scan()): struct(start, end, rule) of each island."""
+    none = empty(f"array<{SPAN}>")
 
     def span(start: Column, end: Column, rule: Column) -> Column:
-        return F.array(F.named_struct(F.lit("start"), start, F.lit("end"), end, F.lit("rule"), rule))
+        return F.named_struct(F.lit("start"), start, F.lit("end"), end, F.lit("rule"), rule)
 
-    def step(done: Column, f: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))
-        grown = F.concat(F.slice(done, 1, F.size(done) - 1), span(last["start"], F.greatest(last["end"], f["end"]), last["rule"]))
-        added = F.concat(done, span(f["start"], f["end"], f["rule"]))
-        return F.when((F.size(done) > 0) & (f["start"] < last["end"]), grown).otherwise(added)
+    def step(last: Column, f: Column) -> tuple[Column, Column]:
+        # The island that is open grows, or is put out, and another one begins.
+        grows = F.coalesce(f["start"] < last["end"], F.lit(False))
+        now = F.when(grows, span(last["start"], F.greatest(last["end"], f["end"]), last["rule"])).otherwise(span(f["start"], f["end"], f["rule"]))
+        return now, F.when(grows | last.isNull(), none).otherwise(F.array(last))
 
-    return F.aggregate(findings, F.expr("cast(array() as array<struct<start:int,end:int,rule:string>>)"), step)
+    return fold(findings, F.lit(None).cast(SPAN), step, SPAN, lambda last: F.when(last.isNull(), none).otherwise(F.array(last)))
 
 
 def spliced(text: Column, spans: Column) -> Column:
     """text with each of its spans (in order, apart) replaced by [REDACTED:rule]. Offsets are bytes."""
-    octets = F.encode(text, "UTF-8")
 
-    def step(state: Column, s: Column) -> Column:
-        kept = F.decode(F.substring(octets, state["at"] + 1, s["start"] - state["at"]), "UTF-8")
-        return F.named_struct(F.lit("at"), s["end"], F.lit("out"), F.concat(state["out"], kept, F.lit("[REDACTED:"), s["rule"], F.lit("]")))
+    def out(x: Column) -> Column:
+        octets, all_ = x["octets"], x["spans"]
+
+        def piece(s: Column, i: Column) -> Column:
+            before = F.when(i == 0, F.lit(0)).otherwise(F.try_element_at(all_, i)["end"])
+            return F.concat(F.decode(F.substring(octets, before + 1, s["start"] - before), "UTF-8"), F.lit("[REDACTED:"), s["rule"], F.lit("]"))
+
+        tail = F.coalesce(F.try_element_at(all_, F.lit(-1))["end"], F.lit(0))
+        last = F.decode(F.substring(octets, tail + 1, F.octet_length(octets)), "UTF-8")
+        return F.array_join(F.concat(F.transform(all_, piece), F.array(last)), "")
 
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    return F.aggregate(spans, zero, step, lambda s: F.concat(s["out"], F.decode(F.substring(octets, s["at"] + 1, F.octet_length(octets)), "UTF-8")))
+    return bind(F.named_struct(F.lit("octets"), F.encode(text, "UTF-8"), F.lit("spans"), spans), out)
 
 
 def redact(text: Column, findings: Column) -> Column:

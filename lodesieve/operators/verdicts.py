@@ -8,6 +8,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.fold import empty, fold
+from ..functions.running import running_sum, same
+from ..sources.shared import saved
+
 TTL, MAX_ROWS, MAX_ARTIFACTS, MAX_ARTIFACT = 7 * 86_400, 100_000, 1 << 30, 64 << 20
 
 
@@ -60,22 +64,42 @@ def newest(v: DataFrame, most: int = MAX_ROWS) -> DataFrame:
     return v.orderBy(F.desc("accessed"), "key").limit(most)
 
 
+#: Rows of one budget that one task folds over; more of them are worked off in rounds.
+FOLD = 10_000
+
+
 def within_bytes(v: DataFrame, keys: list[str], budget: int) -> DataFrame:
     """Greedy, most recent first: a row that would pass the budget goes, and does not count, so that later, smaller ones may stay. A null size never fits.
 
-    keys: what shares one budget. The fold over a budget's rows is one task's, of (accessed, key, size) alone; the store is bounded by newest().
+    keys: what shares one budget. In a round those rows stay, of the candidates in order, whose running sum is within what is left; then only
+    rows that fit the rest are candidates, which drops the row that did not fit. Once no budget has more than FOLD candidates a fold ends it.
     """
-    item = F.struct((-F.col("accessed")).alias("a"), F.col("key").alias("key"), F.col("size").cast("bigint").alias("size"))
-    groups = v.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("items"))
-
-    def step(state: Column, x: Column) -> Column:
-        fits = F.coalesce(state["used"] + x["size"] <= budget, F.lit(False))
-        return F.named_struct(F.lit("used"), F.when(fits, state["used"] + x["size"]).otherwise(state["used"]), F.lit("kept"), F.when(fits, F.concat(state["kept"], F.array(x["key"]))).otherwise(state["kept"]))
+    names = [*keys, "key"]
+    item = v.select(*names, (-F.col("accessed")).alias("age"), F.col("size").cast("bigint").alias("size")).where(F.col("size") <= budget)
+    left, kept = v.select(*keys).distinct().withColumn("left", F.lit(budget).cast("bigint")), None
+    while True:
+        item = saved(item, "candidates")
+        most = item.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+        if most <= FOLD:
+            break
+        summed = running_sum(item, keys, ["age", "key"], "size", "used")
+        summed = saved(summed.join(left, same(summed, left, keys)).select(*[summed[c] for c in summed.columns], "left").withColumn("fits", F.col("used") <= F.col("left")), "rounds")
+        fit = summed.where("fits").select(*names)
+        kept = fit if kept is None else kept.unionByName(fit)
+        left = saved(summed.groupBy(*keys, "left").agg(F.coalesce(F.max(F.when(F.col("fits"), F.col("used"))), F.lit(0)).alias("used")).select(*keys, (F.col("left") - F.col("used")).alias("left")), "left")
+        rest = summed.where("not fits").drop("used", "left", "fits")
+        item = rest.join(left, same(rest, left, keys)).where(F.col("size") <= F.col("left")).select(*[rest[c] for c in rest.columns])
+
+    def step(room: Column, x: Column) -> tuple[Column, Column]:
+        fits = x["size"] <= room
+        return F.when(fits, room - x["size"]).otherwise(room), F.when(fits, F.array(x["key"])).otherwise(empty(f"array<{kind}>"))
 
     kind = v.schema["key"].dataType.simpleString()
-    zero = F.struct(F.lit(0).cast("bigint").alias("used"), F.expr(f"cast(array() as array<{kind}>)").alias("kept"))
-    kept = groups.select(*keys, F.explode(F.aggregate("items", zero, step, lambda s: s["kept"])).alias("key"))
-    return v.join(kept, [*keys, "key"], "left_semi")
+    rows = item.join(left, same(item, left, keys)).select(*[item[c] for c in item.columns], "left")
+    groups = rows.groupBy(*keys, "left").agg(F.array_sort(F.collect_list(F.struct("age", "key", "size"))).alias("items"))
+    last = groups.select(*keys, F.explode(fold(F.col("items"), F.col("left"), step, kind)).alias("key"))
+    kept = last if kept is None else kept.unionByName(last)
+    return v.join(kept, same(v, kept, names), "left_semi")
 
 
 def oldest(v: DataFrame) -> DataFrame:
@@ -95,3 +119,8 @@ def purged(v: DataFrame, scope: str, generation: int) -> tuple[DataFrame, int]:
     if not re.fullmatch(r"[0-9a-f]{64}", scope):
         raise ValueError("a scope is 64 hex digits")
     return v.where(~F.startswith("key", F.lit(scope + ":"))), generation + 1
+
+
+def purged_all(v: DataFrame, generation: int) -> tuple[DataFrame, int]:
+    """No verdict, and the next generation: inspections that began before are not stored."""
+    return v.where("false"), generation + 1

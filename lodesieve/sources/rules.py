@@ -7,12 +7,13 @@ import json
 import tomllib
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.patterns import n_captures, opened, to_java
 from ..functions.text import is_digest
 
-RULES_SCHEMA = "id string, regex string, keywords array<string>, entropy double"
+RULES_SCHEMA = "id string, regex string, keywords array<string>, entropy double, group int"
 LEFT, RIGHT = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 
 
@@ -23,16 +24,18 @@ def after(literal: str) -> str:
 
 @dataclass(frozen=True)
 class Rule:
-    """One kind of secret. regex is a Java pattern whose whole match is the secret: context goes in lookarounds.
+    """One kind of secret.
 
-    keywords: a text is searched only if it holds one (any case of A-Z); none means always.
+    regex: a Java pattern. keywords: a text is searched only if it holds one (any case of A-Z); none means always.
     entropy: a match must have more bits per byte than this, where entropies are in use; 0 for no bound.
+    group: the capture that is the secret; 0 for the first capture that is not empty, or else the whole match.
     """
 
     id: str
     regex: str | None
     keywords: tuple[str, ...] = field(default=())
     entropy: float = 0.0
+    group: int = 0
 
 
 # The identifiers of the default profile, and the shapes that its fixtures show. The two
@@ -62,14 +65,36 @@ DEFAULT_RULES = (
 )
 
 
-def from_toml(text: str) -> list[Rule]:
-    """Rules of a TOML document: [[rules]] with id, regex, keywords, entropy. Unknown fields are errors."""
-    out = []
+# The fields of a rule in the database's format. Texts about a rule, and the allowlists of its own, decide on nothing.
+FIELDS = {"id", "regex", "keywords", "secretGroup", "entropy", "path", "required", "skipReport", "description", "tags", "allowlist", "allowlists"}
+
+
+def from_toml(text: str, profile: set[str] | None = None) -> list[Rule]:
+    """Rules of a TOML document, [[rules]] in the database's format; those of a profile (None: all), in the document's order.
+
+    Errors: unknown fields; ids that are missing or repeated; a profile's rule that is not there. Of a rule in the profile also: no pattern;
+    a bound to paths or other rules, or none to be reported; a secret's capture that the pattern has not."""
+    out, seen = [], set()
     for r in tomllib.loads(text).get("rules", []):
-        extra = set(r) - {"id", "regex", "keywords", "entropy"}
+        extra = set(r) - FIELDS
         if extra or "id" not in r:
             raise ValueError(f"rule {r.get('id')}: unknown or missing fields {sorted(extra)}")
-        out.append(Rule(r["id"], r.get("regex"), tuple(k.lower() for k in r.get("keywords", ())), float(r.get("entropy", 0.0))))
+        if r["id"] in seen:
+            raise ValueError(f"rule {r['id']} is there twice")
+        seen.add(r["id"])
+        if profile is not None and r["id"] not in profile:
+            continue
+        if r.get("path") is not None or r.get("required") or r.get("skipReport"):
+            raise ValueError(f"rule {r['id']}: path, required and skipReport are not supported")
+        if not r.get("regex"):
+            raise ValueError(f"rule {r['id']} has no pattern")
+        regex, group = to_java(r["regex"]), r.get("secretGroup", 0)
+        if not 0 <= group <= n_captures(regex):
+            raise ValueError(f"rule {r['id']}: no capture {group}")
+        opened(regex)
+        out.append(Rule(r["id"], regex, tuple(k.lower() for k in r.get("keywords", ())), float(r.get("entropy", 0.0)), group))
+    if profile is not None and profile - seen:
+        raise ValueError(f"enabled rules are missing: {sorted(profile - seen)}")
     return out
 
 
@@ -81,20 +106,49 @@ def enabled(rules: list[Rule] | tuple[Rule, ...], profile: set[str]) -> list[Rul
     return [r for r in rules if r.id in profile]
 
 
+@dataclass(frozen=True)
+class Scanner:
+    """All that decides on findings: rules, digests and words of secrets that are allowed, and whether the rules' entropies are in use.
+
+    Allowed secrets are part of the settings, and so of each task's plan: up to some thousands. Larger lists are tables, see scan.without_hashes()."""
+
+    rules: tuple[Rule, ...] = ()
+    hashes: frozenset[str] = frozenset()
+    stopwords: frozenset[str] = frozenset()
+    use_entropy: bool = False
+
+    def fingerprint(self) -> str:
+        return fingerprint(self.rules, sorted(self.hashes), sorted(self.stopwords), self.use_entropy)
+
+
+def scanner_of(rules: Scanner | list[Rule] | tuple[Rule, ...]) -> Scanner:
+    return rules if isinstance(rules, Scanner) else Scanner(tuple(rules))
+
+
 def usable(rules: list[Rule] | tuple[Rule, ...]) -> list[Rule]:
     return [r for r in rules if r.regex is not None]
 
 
 def rules_table(spark: SparkSession, rules: list[Rule] | tuple[Rule, ...] = DEFAULT_RULES) -> DataFrame:
-    return spark.createDataFrame([(r.id, r.regex, list(r.keywords), r.entropy) for r in rules], RULES_SCHEMA)
+    return spark.createDataFrame([(r.id, r.regex, list(r.keywords), r.entropy, r.group) for r in rules], RULES_SCHEMA)
 
 
 def fingerprint(rules: list[Rule] | tuple[Rule, ...], hashes: list[str] = (), stopwords: list[str] = (), use_entropy: bool = False) -> str:
     """Changes whenever anything that decides on findings changes; the order of the allowlists is none."""
-    parts = [[[r.id, r.regex, list(r.keywords), r.entropy] for r in rules], sorted(hashes), sorted(stopwords), use_entropy]
+    parts = [[[r.id, r.regex, list(r.keywords), r.entropy, r.group] for r in rules], sorted(hashes), sorted(stopwords), use_entropy]
     return hashlib.sha256(json.dumps(parts).encode()).hexdigest()
 
 
+def fingerprint_column(rules: list[Rule] | tuple[Rule, ...], hashes: Column) -> Column:
+    """The same for a column of allowlists: an array of digests each."""
+    return F.sha2(F.concat(F.lit(fingerprint(rules) + ":"), F.array_join(F.array_sort(F.array_distinct(hashes)), ",")), 256)
+
+
+def allowed(spark: SparkSession, path: str) -> frozenset[str]:
+    """The digests of carnet() for a Scanner."""
+    return frozenset(r["hash"] for r in carnet(spark, path).collect())
+
+
 def carnet(spark: SparkSession, path: str) -> DataFrame:
     """Digests of allowed secrets, from a JSON array of 64 hex digits each; lower-cased. Any other entry is an error."""
     raw = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "array<string>")).alias("hash"))

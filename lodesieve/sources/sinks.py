@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAX_BODY = 64 << 20
 
 
-def requests(spark: SparkSession, path: str) -> DataFrame:
-    """Bodies of JSON-lines files as they are, with the digest as request_id; error too_large beyond MAX_BODY."""
+def requests(spark: SparkSession, path: str, most: int = MAX_BODY) -> DataFrame:
+    """Bodies of JSON-lines files as they are, with a fresh id each; error too_large beyond most bytes, which inspect() keeps."""
     rows = spark.read.text(path).select(F.col("value").alias("body"))
-    return rows.select(F.sha2("body", 256).alias("request_id"), F.when(F.octet_length("body") <= MAX_BODY, F.col("body")).alias("body"), F.when(F.octet_length("body") > MAX_BODY, F.lit("too_large")).alias("error"))
+    return rows.select(F.uuid().alias("request_id"), F.when(F.octet_length("body") <= most, F.col("body")).alias("body"), F.when(F.octet_length("body") > most, F.lit("too_large")).alias("error"))
 
 
 def bounded(files: DataFrame, limit: int = 32 << 20) -> DataFrame:
@@ -31,3 +32,18 @@ def write_findings(ids: DataFrame, path: str) -> None:
 
 def write_metrics(lines: DataFrame, path: str) -> None:
     lines.select("line").write.mode("overwrite").text(path)
+
+
+def write_artifacts(outcomes: DataFrame, path: str, most: int) -> None:
+    """Replacements by their digests, each once, also over several runs; larger ones are left out."""
+    spark = outcomes.sparkSession
+    new = outcomes.where(F.col("replacement").isNotNull() & (F.octet_length("replacement") <= most)).select(F.sha2("replacement", 256).alias("digest"), F.col("replacement").alias("artifact")).dropDuplicates(["digest"])
+    try:
+        there = spark.read.schema("digest string").parquet(path)
+    except AnalysisException:
+        there = spark.createDataFrame([], "digest string")
+    new.join(there, "digest", "left_anti").write.mode("append").parquet(path)
+
+
+def artifacts(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("digest string, artifact binary").parquet(path)

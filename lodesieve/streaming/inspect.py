@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import scan as scan_ops
 from ..operators.metrics import LIMITS_MS
-from ..sources.rules import DEFAULT_RULES, Rule
+from ..sources.rules import DEFAULT_RULES
 
 
 def read(spark: SparkSession, path: str, schema, files: int = 100, format: str = "parquet") -> DataFrame:
@@ -15,7 +15,7 @@ def read(spark: SparkSession, path: str, schema, files: int = 100, format: str =
     return spark.readStream.format(format).schema(schema).option("maxFilesPerTrigger", files).load(path)
 
 
-def findings(stream: DataFrame, keys: list[str], text: str, rules: list[Rule] | tuple[Rule, ...] = DEFAULT_RULES) -> DataFrame:
+def findings(stream: DataFrame, keys: list[str], text: str, rules: scan_ops.Rules = DEFAULT_RULES) -> DataFrame:
     """The findings of a stream: keys, rule, start, end, digest of the secret. Stateless; a secret itself is not passed on."""
     return scan_ops.find(stream, keys, text, rules).select(*keys, "rule", "start", "end", F.sha2("secret", 256).alias("digest"))
 

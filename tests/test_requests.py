@@ -1,7 +1,9 @@
 """JSON bodies, parts, attachments and decisions."""
 
 import base64
+import hashlib
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +11,8 @@ from pyspark.sql import functions as F
 from lodesieve.functions import text as T
 from lodesieve.operators import attachments, jsonwalk, parts, policy
 from lodesieve.sources import sinks
-from lodesieve.sources.rules import DEFAULT_RULES, carnet
+from lodesieve.sources.config import Config
+from lodesieve.sources.rules import DEFAULT_RULES, Scanner, carnet
 
 TOKEN = "ghp_" + "aB3d" * 9
 
@@ -40,6 +43,7 @@ def test_leaves_and_rewrites(spark):
 def test_keys_and_control_fields_are_unsafe(spark):
     got = inspected(spark, [{TOKEN: 1}, {"name": TOKEN}, {"name": {"deep": TOKEN}}, {"file_data": TOKEN}, {"x": "data:" + TOKEN}])
     assert [(r["unsafe"], r["changed"], len(r["rules"])) for r in got] == [(True, False, 1), (True, False, 1), (False, True, 1), (False, False, 0), (False, False, 0)]
+    assert [r["error"] for r in got] == [None] * 3 + ["bad_base64", "bad_data_url"]  # never as clean
 
 
 def test_key_split_over_the_parts_of_a_body(spark):
@@ -67,7 +71,7 @@ def test_config():
 
 def test_native_leaves(spark):
     df = spark.createDataFrame([(1, '{"a":[1,{"b":"x"}],"c":null}'), (2, "no json"), (3, None)], "id int, body string")
-    got = sorted((r["id"], r["path"], r["value"]) for r in jsonwalk.leaf_rows(df, ["id"], "body", 6).collect() if r["value"] is not None)
+    got = sorted((r["id"], r["path"], r["value"]) for r in jsonwalk.leaf_rows(df, ["id"], "body").collect() if r["value"] is not None)
     assert got == [(1, "$.a[0]", "1"), (1, "$.a[1].b", "x")]
 
 
@@ -118,8 +122,9 @@ def test_policy(spark):
 
 def test_sources_and_sinks(spark, tmp_path):
     (tmp_path / "in.jsonl").write_text('{"input": "%s"}\n{"input": "x"}\n' % TOKEN)
-    req = sinks.requests(spark, str(tmp_path / "in.jsonl"))
-    seen = jsonwalk.inspect(req.select("request_id", "body")).join(req.select("request_id", F.col("body").alias("original")), "request_id")
+    req = sinks.requests(spark, str(tmp_path / "in.jsonl"), 60)
+    assert req.select("request_id").distinct().count() == 2
+    seen = jsonwalk.inspect(req)
     out = policy.decide(seen)
     sinks.write_approved(out, str(tmp_path / "out"))
     assert sorted(r["body"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ['{"input": "x"}', '{"input":"[REDACTED:github-pat]"}']
@@ -139,6 +144,99 @@ def test_public_addresses(spark):
     v4 = ["8.8.8.8", "10.0.0.1", "127.0.0.1", "100.64.0.1", "100.63.0.1", "198.18.0.1", "192.0.2.1", "203.0.113.7", "224.0.0.1", "0.1.2.3", "172.31.0.1", "172.32.0.1", "1.2.3", "256.1.1.1", "01.2.3.4"]
     df = spark.createDataFrame([(k, a) for k, a in enumerate(v4)], "id int, a string").orderBy("id")
     assert [r[0] for r in df.select(T.is_public_ipv4(F.col("a"))).collect()] == [True, False, False, False, True, False, False, False, False, False, False, True, False, False, False]
+    short = ["2001:4860::8888", "::1", "2600::", "2001:db8::", "2001::1", "64:ff9b::8.8.8.8", "2600:1:2:3:4:5:1.2.3.4", "::ffff:8.8.8.8", "1:2", "2600::1::2", "2600:::1", "2600:1:2:3:4:5:6:7:8", "g::1", "2600::300.1.1.1", ""]
+    df = spark.createDataFrame([(k, a) for k, a in enumerate(short)], "id int, a string").orderBy("id")
+    assert [r[0] for r in df.select(T.is_public_address(F.col("a"))).collect()] == [True, False, True] + [False] * 3 + [True] + [False] * 8
     v6 = [ipaddress.ip_address(a).exploded for a in ("2600::1", "2001:db8::1", "2001:1::1", "2001:200::1", "fe80::1", "::ffff:1.2.3.4")]
     df = spark.createDataFrame([(k, a) for k, a in enumerate(v6)], "id int, a string").orderBy("id")
     assert [r[0] for r in df.select(T.is_public_ipv6(F.col("a"))).collect()] == [True, False, False, True, False, False]
+
+
+def test_odd_keys_do_not_collide(spark):
+    """Only leaves with a finding change, whatever keys hold."""
+    rng = random.Random(5)
+    keys = ["a", "a.b", "b", "[0]", "0", "a[0]", "!", "a!", "$", "", "~", "\u00e9", "text", 'q"']
+    places = []
+
+    def tree(depth):
+        kind = rng.random()
+        if depth > 3 or kind < 0.4:
+            dirty = rng.random() < 0.3
+            places.append(dirty)
+            return f"x {TOKEN} y" if dirty else rng.choice(["hello", "", "x y", "\u2028\n"])
+        if kind < 0.6:
+            return [tree(depth + 1) for _ in range(rng.randint(0, 3))]
+        if kind < 0.75:
+            return json.dumps({k: tree(depth + 1) for k in rng.sample(keys, rng.randint(1, 3))})
+        return {k: tree(depth + 1) for k in rng.sample(keys, rng.randint(0, 5))}
+
+    def clean(v):
+        if isinstance(v, dict):
+            return {k: clean(x) for k, x in v.items()}
+        if isinstance(v, list):
+            return [clean(x) for x in v]
+        if v.startswith(("{", "[")):
+            own = json.loads(v)
+            return v if clean(own) == own else jsonwalk.written(clean(own))
+        return v.replace(TOKEN, "[REDACTED:github-pat]")
+
+    bodies = [{"a.b": f"x {TOKEN} y", "a": {"b": "hello"}}] + [{"input": tree(0), "m": tree(0)} for _ in range(60)]
+    for r, b in zip(inspected(spark, bodies), bodies, strict=True):
+        assert r["error"] is None and json.loads(r["body"]) == clean(b)
+        assert r["changed"] == (TOKEN in json.dumps(b)) and (r["changed"] or r["body"] == r["original"])
+
+
+def test_attachments_in_bodies(spark):
+    def b64(x):
+        return base64.b64encode(x.encode() if isinstance(x, str) else x).decode()
+
+    head = "ey" + "Jh" * 12 + ".ey" + "Kz" * 20 + "." + "Ab" * 12
+    broken = f"before '{head[:50]}\n  {head[50:]}' after"
+    pem = "-----BEGIN PRIVATE KEY-----\nAAAA"
+    bodies = [
+        {"x": f"data:text/plain;base64,{b64(TOKEN)}"}, {"file_data": b64(f"a {TOKEN}")}, {"arguments": json.dumps({"file_data": b64(TOKEN)})}, {"x": {"file_id": "f"}}, {"x": "data:text/plain,hi"}, {"x": "data:text/plain;base64,YR=="},
+        {"image_url": {"url": "https://x"}}, {"type": "input_image", "image_url": "ftp://x"}, {"type": "video"}, {"x": [f"data:;base64,{b64('a')}"] * 17}, {"x": f"data:;base64,{b64(bytes([0x89]) + b'PNG')}"}, {"x": broken},
+        {"x": f"data:;base64,{b64(broken)}"}, {"file_data": {"deep": TOKEN}}, {"name": f"data:text/plain;base64,{b64(TOKEN)}"}, {"x": f"data:;base64,{b64(TOKEN.encode('utf-16'))}"}, {"x": [{"text": "data:text/plain;base64," + b64("ok")}, {"text": pem}]},
+    ]
+    got = inspected(spark, bodies)
+    assert [r["error"] for r in got] == [None] * 3 + ["unresolved_reference", "unsupported_encoding", "bad_base64", "remote_reference", "remote_reference", "unsupported_media", "attachment_limit", "unsupported"] + [None] * 6
+    assert [sorted(set(r["rules"])) for r in got[:3] + got[11:]] == [["github-pat"]] * 3 + [["jwt"]] * 2 + [["github-pat"]] * 3 + [["private-key-fragment"]]
+    assert json.loads(got[0]["body"]) == {"x": "data:text/plain;base64," + b64("[REDACTED:github-pat]")}
+    assert json.loads(got[1]["body"]) == {"file_data": b64("a [REDACTED:github-pat]")}
+    assert json.loads(json.loads(got[2]["body"])["arguments"]) == {"file_data": b64("[REDACTED:github-pat]")}
+    assert json.loads(got[11]["body"]) == {"x": "before '[REDACTED:jwt]' after"}
+    df = spark.createDataFrame([(k, json.dumps(b)) for k, b in enumerate(bodies)], "request_id int, body string")
+    decided = policy.status_of(policy.decide(jsonwalk.inspect(df, sanitize=False), "no-go")).orderBy("request_id").collect()
+    assert [r["status"] for r in decided] == [409] * 3 + [422] * 8 + [409] * 6 and not any(r["approved_body"] for r in decided)
+
+
+def test_errors_are_carried_to_the_decision(spark):
+    rows = [(1, None, "too_large"), (2, "{x", None), (3, '{"x":{"file_id":"f"}}', None), (3, '{"a": 1}', None), (3, '{"a":"%s"}' % TOKEN, None)]
+    out = policy.processed(spark.createDataFrame(rows, "request_id int, body string, error string"), Config())
+    got = sorted((r["request_id"], r["status"], r["error"] or "", r["decision"]) for r in out.collect())
+    assert got == [(1, 413, "too_large", "failed"), (2, 400, "bad_json", "failed"), (3, 200, "", "original"), (3, 200, "", "sanitized"), (3, 422, "unresolved_reference", "failed")]
+    strict = Scanner(DEFAULT_RULES, frozenset([hashlib.sha256(TOKEN.encode()).hexdigest()]))
+    assert [r["decision"] for r in policy.processed(spark.createDataFrame(rows[4:], "request_id int, body string, error string"), Config(mode="no-go"), strict).collect()] == ["original"]
+
+
+def test_references_become_bytes(spark):
+    fetched = spark.createDataFrame([("file", "f1", bytearray(TOKEN.encode())), ("url", "https://x/y", bytearray(b"%PDF-1"))], "kind string, ref string, content binary")
+    bodies = [{"a": {"file_id": "f1"}}, {"a": {"file_url": "https://x/y", "filename": "own"}}, {"image_url": "https://x/y"}, {"image_url": {"url": "https://x/y"}}, {"a": json.dumps({"file_id": "f1"})}, {"a": {"file_id": "../x"}}, {"a": {"file_id": "no"}}, {"a": [{"file_id": "f1"}] * 17}, {"a": [{"file_url": "https://x/y"}] * 17}, {"a": 1}, "{x"]
+    df = spark.createDataFrame([(k, b if isinstance(b, str) else json.dumps(b)) for k, b in enumerate(bodies)], "request_id int, body string")
+    got = {r["request_id"]: r for r in jsonwalk.materialize(df, fetched).collect()}
+    assert [got[k]["error"] for k in range(11)] == [None] * 5 + ["unresolved_reference"] * 2 + ["reference_limit"] + [None] * 3
+    file_url, pdf = "data:text/plain;base64," + base64.b64encode(TOKEN.encode()).decode(), "data:application/pdf;base64," + base64.b64encode(b"%PDF-1").decode()
+    assert json.loads(got[0]["body"]) == {"a": {"file_data": file_url, "filename": "attachment.txt"}}
+    assert json.loads(got[1]["body"]) == {"a": {"filename": "own", "file_data": pdf}}
+    assert json.loads(got[2]["body"]) == {"image_url": pdf} and json.loads(got[3]["body"]) == {"image_url": {"url": pdf}}
+    assert json.loads(json.loads(got[4]["body"])["a"]) == {"file_data": file_url, "filename": "attachment.txt"}
+    assert got[9]["body"] == '{"a": 1}' and got[10]["body"] == "{x"
+    seen = policy.processed(df.where("request_id < 2"), Config(), fetched=fetched).orderBy("request_id").collect()
+    assert [(r["decision"], r["error"]) for r in seen] == [("sanitized", None), ("failed", "unsupported")]
+
+
+def test_artifacts_are_kept_once(spark, tmp_path):
+    df = spark.createDataFrame([(bytearray(b"a"),), (bytearray(b"a"),), (bytearray(b"long"),), (None,)], "replacement binary")
+    for _ in range(2):
+        sinks.write_artifacts(df, str(tmp_path / "artifacts"), 3)
+    assert [bytes(r["artifact"]) for r in sinks.artifacts(spark, str(tmp_path / "artifacts")).collect()] == [b"a"]

@@ -1,5 +1,6 @@
 """Detection and redaction on synthetic secrets, built by repetition."""
 
+import hashlib
 import random
 import string
 
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodesieve.functions import text as T
 from lodesieve.operators import scan, spans
-from lodesieve.sources.rules import DEFAULT_RULES, Rule, enabled, fingerprint, from_toml, rules_table, usable
+from lodesieve.sources.rules import DEFAULT_RULES, Rule, Scanner, enabled, fingerprint, from_toml, rules_table, usable
 
 SECRETS = {
     "github-pat": "ghp_" + "aB3d" * 9,
@@ -112,6 +113,52 @@ def test_rules_as_data(spark):
         enabled(DEFAULT_RULES, {"no-such-rule"})
     rules = from_toml('[[rules]]\nid = "x"\nregex = "x[0-9]{4}"\nkeywords = ["X"]\nentropy = 1.5\n')
     assert rules == [Rule("x", "x[0-9]{4}", ("x",), 1.5)]
+    for bad in ('colour = "red"', 'path = "x"', "skipReport = true", "secretGroup = 1", 'required = [{id = "y"}]', 'regex = "((a)+)+b(c)"\n[[rules]]\nid = "x"\nregex = "b"'):
+        with pytest.raises(ValueError):
+            from_toml(f'[[rules]]\nid = "x"\n{bad}\n' + ("" if "regex" in bad else 'regex = "x"\n'))
+    whole = '[[rules]]\nid = "x"\ndescription = "d"\nregex = "x(\\\\w+)"\ntags = ["t"]\nsecretGroup = 1\nallowlist = {regexes = ["a"]}\n[[rules.allowlists]]\nstopwords = ["b"]\n[[rules]]\nid = "y"\npath = "p"\n'
+    assert from_toml(whole, {"x"}) == [Rule("x", "x([A-Za-z0-9_]+)", (), 0.0, 1)]
     with pytest.raises(ValueError):
-        from_toml('[[rules]]\nid = "x"\ncolour = "red"\n')
+        from_toml(whole, {"x", "z"})
     assert fingerprint(rules, ["b", "a"]) == fingerprint(rules, ["a", "b"]) != fingerprint(rules, ["a"])
+
+
+def test_captures_stand_where_they_are(spark):
+    """Offsets of captures against Python's own, on patterns that both read alike."""
+    import re
+
+    patterns = [r"key=(\w+)", r"(a+)(b*)c", r"x(?:yz|y)(\d*)(?:;(\d+))?", r"u=(\w+);(?:pass|pwd)=(\w+)", r"(?i)(?:app|api)_?key\s{0,3}[:=]\s{0,3}[\"']?([0-9a-f]{4,})(?:[;]|$)", r"a(?:b(c)d|e(f)g)h(i)?", r"(p)|q(r)", r"[(](\w)[)]", "plain"]
+    rng = random.Random(8)
+    pieces = ["key=", "abc", "aab", "c", "x", "yz", "y", "12", ";", "u=an;", "pass=", "pwd=", "App_Key", "apikey", " = ", ":", '"', "beef", "b", "d", "e", "f", "g", "h", "i", "p", "q", "r", "(k)", "é", "plain", " "]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 25))) for _ in range(120)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    for pattern in patterns:
+        n = re.compile(pattern).groups
+        for group in range(n + 1):
+            (rule,) = from_toml(f"[[rules]]\nid = 'r'\nregex = \'\'\'{pattern}\'\'\'\nsecretGroup = {group}\n")
+            got = {r["id"]: [(f["start"], f["end"], f["secret"]) for f in r["m"]] for r in df.select("id", scan.matches(F.col("text"), "r", rule.regex, rule.group).alias("m")).collect()}
+            for k, t in enumerate(texts):
+                want = []
+                for m in re.finditer(pattern.replace("$", r"\Z"), t, re.A):
+                    g = group or next((i for i in range(1, n + 1) if m.group(i)), 0)
+                    if m.group(g):
+                        want.append((len(t[: m.start(g)].encode()), len(t[: m.end(g)].encode()), m.group(g)))
+                assert got[k] == want, (pattern, group, t)
+
+
+def test_many_matches_in_one_text(spark):
+    n = 5000
+    (found, red), = scanned(spark, ["é ghp_" + "x" * 36 + " " * 3 + ("ghp_" + "aB3d" * 9 + " ") * n])
+    assert len(found) == n + 1 and found[-1]["end"] == 3 + 40 + 3 + 41 * n - 1 and red == "é [REDACTED:github-pat]   " + "[REDACTED:github-pat] " * n
+
+
+def test_one_scanner_for_all_that_decides(spark):
+    s = Scanner(DEFAULT_RULES, frozenset([hashlib.sha256(SECRETS["github-pat"].encode()).hexdigest()]), frozenset([SECRETS["gcp-api-key"]]), True)
+    texts = [SECRETS["github-pat"], SECRETS["gcp-api-key"], SECRETS["stripe-access-token"]]
+    assert [len(f) for f, _ in scanned(spark, texts, s)] == [0, 0, 1]
+    high = Scanner((Rule("r", "ghp_[a-z]{36}", (), 3.0),), use_entropy=True)
+    assert [len(f) for f, _ in scanned(spark, ["ghp_" + "a" * 36, "ghp_" + string.ascii_lowercase + string.ascii_lowercase[:10]], high)] == [0, 1]
+    head = "ey" + "Jh" * 12 + ".ey" + "Kz" * 20 + "." + "Ab" * 12
+    (found, red), = scanned(spark, [f"before '{head[:50]}\n  {head[50:]}' after"])
+    assert red == "before '[REDACTED:jwt]' after" and [f["secret"] for f in found] == [head]
+    assert Scanner(DEFAULT_RULES).fingerprint() != s.fingerprint()
