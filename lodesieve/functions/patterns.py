@@ -16,8 +16,9 @@ POSIX = {"[:alnum:]": "A-Za-z0-9", "[:alpha:]": "A-Za-z", "[:digit:]": "0-9", "[
 
 @dataclass(frozen=True)
 class Capture:
-    """group: its number in the opened pattern; before: the groups whose lengths make its offset."""
+    """own: its number in the pattern; group: in the opened one; before: the groups whose lengths make its offset."""
 
+    own: int
     group: int
     before: tuple[int, ...]
 
@@ -81,10 +82,6 @@ def captures(t: str) -> bool:
     return t == "(" or t.startswith("(?<") and t.endswith(">")
 
 
-def n_captures(pattern: str) -> int:
-    return sum(map(captures, tokens(pattern)))
-
-
 @dataclass
 class Node:
     """A group, or a piece of pattern (head None). branches: of its alternatives the items in order."""
@@ -136,13 +133,14 @@ def opened(pattern: str) -> tuple[str, list[Capture]]:
     Of captures within captures the inner ones have none either, and are left out: an outer one is chosen before them.
     """
     found: list[Capture] = []
-    count = 0
+    count = seen = 0
 
     def plain(n: Node) -> str:
-        nonlocal count
+        nonlocal count, seen
         if n.head is None:
             return n.text + n.repeat
         count += captures(n.head)
+        seen += captures(n.head)
         return n.head + "|".join("".join(map(plain, b)) for b in n.branches) + ")" + n.repeat
 
     def branch(items: list[Node], before: tuple[int, ...]) -> str:
@@ -171,7 +169,7 @@ def opened(pattern: str) -> tuple[str, list[Capture]]:
             close()
             if captures(n.head):
                 number = count + 1
-                found.append(Capture(number, before))
+                found.append(Capture(seen + 1, number, before))
                 out.append(plain(n))
                 before = (*before, number)
             else:

@@ -31,7 +31,7 @@ def matches(text: Column, rule_id: str, regex: str, group: int = 0) -> Column:
     """All secrets of a pattern as (rule, start, end, secret); offsets in bytes of UTF-8, end exclusive. group: see Rule."""
     pattern, captures = opened(regex)
     if group:
-        captures = [captures[group - 1]]
+        captures = [c for c in captures if c.own == group]
     gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), 0)
     numbers = sorted({n for c in captures for n in (c.group, *c.before)})
     lists = [F.slice(gaps, 1, F.greatest(F.size(hits), F.lit(0))).alias("gap"), hits.alias("hit"), *(F.regexp_extract_all(text, F.lit(pattern), n).alias(f"g{n}") for n in numbers)]

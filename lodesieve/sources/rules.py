@@ -10,7 +10,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.patterns import n_captures, opened, to_java
+from ..functions.patterns import opened, to_java
 from ..functions.text import is_digest
 
 RULES_SCHEMA = "id string, regex string, keywords array<string>, entropy double, group int"
@@ -89,9 +89,8 @@ def from_toml(text: str, profile: set[str] | None = None) -> list[Rule]:
         if not r.get("regex"):
             raise ValueError(f"rule {r['id']} has no pattern")
         regex, group = to_java(r["regex"]), r.get("secretGroup", 0)
-        if not 0 <= group <= n_captures(regex):
-            raise ValueError(f"rule {r['id']}: no capture {group}")
-        opened(regex)
+        if group and group not in {c.own for c in opened(regex)[1]}:
+            raise ValueError(f"rule {r['id']}: no capture {group}, or it lies in another one")
         out.append(Rule(r["id"], regex, tuple(k.lower() for k in r.get("keywords", ())), float(r.get("entropy", 0.0)), group))
     if profile is not None and profile - seen:
         raise ValueError(f"enabled rules are missing: {sorted(profile - seen)}")
