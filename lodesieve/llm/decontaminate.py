@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, map_batches, saved, slices, text_buffer
+from .common import documents, free_names, map_batches, saved, slices, text_buffer
 from .words import LOWER, mixed, span_hashes, word_bounds, word_hash
 
 UNITS = ("km", "m", "cm", "mm", "mi", "mile", "miles", "meter", "meters", "metre", "metres", "foot", "feet", "ft", "inch", "inches", "kg", "g", "mg", "lb", "lbs", "oz", "ton", "tons", "pound", "pounds", "l", "ml", "liter", "liters", "litre", "litres", "hour", "hours", "h", "minute", "minutes", "min", "second", "seconds", "s", "ms", "day", "days", "week", "weeks", "month", "months", "year", "years", "dollar", "dollars", "euro", "euros", "cent", "cents", "percent", "degrees", "mph", "km/h", "kmh", "w", "kw", "v", "hz", "khz", "mhz", "gb", "mb", "kb", "eur", "usd")
@@ -280,8 +280,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = 8, least: int
 
 def without_benchmark(docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs without the contaminated rows, all columns kept."""
-    bad = decontaminate(docs, items).where("contaminated").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__h"))
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__id"]) & (F.xxhash64(docs["text"]) == bad["__h"]), "left_anti")
+    bad_id, bad_hash = free_names(docs.columns, "bad_id", "bad_hash")
+    bad = decontaminate(docs, items).where("contaminated").select(F.col("doc_id").alias(bad_id), F.col("text_hash").alias(bad_hash))
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad[bad_id]) & (F.xxhash64(docs["text"]) == bad[bad_hash]), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blobs, bucket_of, documents, from_numbers, map_batches, numbers, packed_planes, plain, saved, slices, text_buffer, unblobs, unpacked_planes
+from .common import blobs, bucket_of, documents, free_names, from_numbers, map_batches, numbers, packed_planes, plain, saved, slices, text_buffer, unblobs, unpacked_planes
 from .components import components
 from .words import mixed, words
 
@@ -379,8 +379,9 @@ def jaccard_groups(docs: DataFrame, buckets: int | None = None, hot: int = 64, b
 
 def one_of_each_group(docs: DataFrame) -> DataFrame:
     """docs with one row of each component, that of the smallest doc_id; all columns kept."""
-    keep = jaccard_groups(docs).where("keep").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__h")).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["__id"]) & (F.xxhash64(docs["text"]) == keep["__h"]), "left_semi")
+    keep_id, keep_hash = free_names(docs.columns, "keep_id", "keep_hash")
+    keep = jaccard_groups(docs).where("keep").select(F.col("doc_id").alias(keep_id), F.col("text_hash").alias(keep_hash)).distinct()
+    return docs.join(keep, docs["doc_id"].eqNullSafe(keep[keep_id]) & (F.xxhash64(docs["text"]) == keep[keep_hash]), "left_semi")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,8 @@
 import hashlib
 import random
 
+import numpy as np
+
 from lodesieve.llm import chat_format, exact_dedup
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -58,7 +60,11 @@ def test_exact_dedup(spark):
     texts = [None, "", "a", "A", "a ", "ä", "x" * 200_000]
     rows = [(k if k % 9 else None, rng.choice(texts)) for k in range(400)] + [(7, "twice"), (7, "twice"), (8, "twice")]
     df = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], DOCS).repartition(7)
-    got = exact_dedup.exact_dedup(df, fan=2).collect()
+    block, exact_dedup.BLOCK = exact_dedup.BLOCK, 3
+    try:
+        got = exact_dedup.exact_dedup(df, slots=8).collect()
+    finally:
+        exact_dedup.BLOCK = block
     assert len(got) == len(rows)
     groups = {}
     for i, t in rows:
@@ -71,11 +77,33 @@ def test_exact_dedup(spark):
         assert sum(r["kept"] for r in got if bytes(r["digest"]) == hashlib.sha256(t.encode()).digest()) == 1
 
 
+def test_runs_merge_by_brute_force():
+    rng = np.random.default_rng(1)
+
+    def run(n):
+        key = np.sort(rng.choice([bytes([x, 0]) + bytes([y]) * 42 for x in range(4) for y in range(3)], n).astype(f"S{exact_dedup.KEY_BYTES}"))
+        return exact_dedup.Run(key, rng.integers(0, 2, n).astype(np.int8), rng.integers(0, 5, n), rng.permutation(1000)[:n], rng.integers(1, 4, n))
+
+    for n, m in ((0, 3), (1, 1), (20, 9), (40, 40), (3, 60)):
+        a, b = run(n), run(m)
+        got = exact_dedup.merged(exact_dedup.distinct(a), exact_dedup.distinct(b))
+        rows = [tuple(x) for r in (a, b) for x in zip(r.key.tolist(), *(c.tolist() for c in r.columns), strict=True)]
+        want = []
+        for k in sorted({r[0] for r in rows}):
+            same = [r for r in rows if r[0] == k]
+            best = max(same, key=lambda r: r[1:4])
+            want.append((k, *best[1:4], sum(r[4] for r in same)))
+        assert [tuple(x) for x in zip(got.key.tolist(), *(c.tolist() for c in got.columns), strict=True)] == want
+
+
 def test_without_copies_keeps_one_row_and_all_columns(spark):
     rows = [(1, "a", "en", "s", 1), (2, "a", "fr", "s", 1), (3, "b", "en", "s", 1), (3, "b", "en", "s", 1), (None, None, None, None, None), (None, "", None, None, None)]
-    df = spark.createDataFrame(rows, DOCS).withColumn("id", exact_dedup.F.lit(9)).withColumn("digest", exact_dedup.F.lit("clash"))
+    df = spark.createDataFrame(rows, DOCS)
+    clash = {n: exact_dedup.F.lit(f"own {n}") for n in ("id", "digest", "__d", "__id", "__n", "own_digest", "Keep_ID", "keep_digest", "_keep_digest", "place", "row", "slot")}
+    df = df.withColumns(clash)
     got = exact_dedup.without_copies(df)
     assert got.columns == df.columns
+    assert all(r[n] == f"own {n}" for r in got.collect() for n in clash)
     assert sorted((r["doc_id"] or -1, r["lang"]) for r in got.where("text <> ''").collect()) == [(2, "fr"), (3, "en")]
     assert got.where("coalesce(text, '') = ''").count() == 1
     assert exact_dedup.exact_dedup(df.where("false")).count() == 0
