@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents, map_batches, slices, text_buffer
-from .words import LOWER, span_hashes, word_bounds, word_hash
+from .words import LOWER, mixed, span_hashes, word_bounds, word_hash
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ["O", *(f"{p}-{k}" for k in KINDS for p in "BI")]
@@ -45,6 +45,12 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 
+def octet(part: str) -> bool:
+    """Whether digits, however many, are 255 at most."""
+    part = part.lstrip("0")
+    return len(part) < 3 or len(part) == 3 and part <= "255"
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for k, c in enumerate(reversed(digits)):
@@ -71,7 +77,7 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     out = [("email", a, z) for a, z in emails(text)]
     for m in IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
+        if all(map(octet, m.group().split("."))):
             out.append(("ip", m.start(), m.end()))
     for m in CARD.finditer(text):
         digits = m.group().replace(" ", "").replace("-", "")
@@ -100,8 +106,11 @@ CLASS[65:91] = ord("X")
 CLASS[97:123] = ord("x")
 CLASS[128:] = ord("x")
 CLASS[48:58] = ord("9")
-LEX_HASH = np.sort(np.array([word_hash(w) for w in LEXICON], np.uint64))
-LEX_WORD = {word_hash(w): w for w in LEXICON}
+LEX_EDGE = np.zeros(256, bool)
+LEX_EDGE[[*b".,;:!?\"'"]] = True
+#: Words of the lexicon by what is left of them without such signs.
+LEX_HASH = np.sort(np.array(sorted({word_hash(w.strip(".,;:!?\"'")) for w in LEXICON}), np.uint64))
+LEX_LONGEST = max(map(len, LEXICON))
 LEX_GATE = np.zeros(1 << 16, bool)
 LEX_GATE[(LEX_HASH & np.uint64(0xFFFF)).astype(np.int64)] = True
 
@@ -129,7 +138,7 @@ def features(word: str) -> list[str]:
     parts = re.split(r"9+", core)
     out += ["digits=" + str(min(n, 20)), "shape=" + core[:40], "lead=" + core[:1], "tail=" + core[-1:], "seps=" + "".join(sorted(set("".join(parts))))[:6]]
     raw = re.findall(r"[0-9]+", word)
-    if len(raw) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in raw) and re.fullmatch(r"9+(\[\.\]|\(\.\)|\[dot\]|\.)9+(\[x\]|\[\.\]|\(\.\)|\.)9+(\[x\]|\[\.\]|\(\.\)|\.)9+", core.replace("[x]", "[.]")):
+    if len(raw) == 4 and all(len(p) <= 3 and octet(p) for p in raw) and re.fullmatch(r"9+(\[\.\]|\(\.\)|\[dot\]|\.)9+(\[x\]|\[\.\]|\(\.\)|\.)9+(\[x\]|\[\.\]|\(\.\)|\.)9+", core.replace("[x]", "[.]")):
         out.append("quad")
     if 13 <= n <= 19:
         out.append("luhn" if luhn("".join(raw)) else "noluhn")
@@ -402,31 +411,28 @@ class Tagger:
         return labels[found].astype(np.int64), text[found], starts[found], ends[found]
 
     def keys(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """A key for each word: the same for words of one shape that have no digit and are not in the lexicon."""
+        """A key for each word; words with one key have the same features(), so it does not matter which of them a worker meets first."""
         c = CLASS[raw]
+        letter = (c == ord("x")) | (c == ord("X"))
         keep = np.ones(len(raw), bool)
-        keep[1:] = (c[1:] != c[:-1]) | (c[1:] == ord("9"))
+        keep[1:] = (c[1:] != c[:-1]) | ~letter[1:]
         keep[starts] = True
         past = np.concatenate([[0], np.cumsum(keep)])
-        s, e = past[starts], past[ends]
-        keys = span_hashes(c[keep], s, e)
-        # Luhn and the parts of IPs are no matter of shape: words with four or more digits are their own key.
+        keys = span_hashes(c[keep], past[starts], past[ends])
+        # Words of the lexicon, whatever signs stand around them, are told by their letters.
+        place, core = np.arange(len(raw)), ~LEX_EDGE[raw]
+        after = np.minimum.accumulate(np.where(core, place, len(raw))[::-1])[::-1]
+        before = np.maximum.accumulate(np.where(core, place, -1))
+        s, e = after[starts], before[ends - 1] + 1
+        short = np.flatnonzero((e - s <= LEX_LONGEST) & (s < e))
+        bare = span_hashes(LOWER[raw], s[short], e[short])
+        near = np.flatnonzero(LEX_GATE[(bare & np.uint64(0xFFFF)).astype(np.int64)])
+        listed = short[near[np.isin(bare[near], LEX_HASH)]]
+        keys[listed] = mixed(span_hashes(LOWER[raw], starts[listed], ends[listed]))
+        # Luhn and the parts of IPs are no matter of shape: words with four or more digits are told by all they hold.
         digits = np.concatenate([[0], np.cumsum(c == ord("9"))])
-        special = digits[ends] - digits[starts] >= 4
-        short = np.flatnonzero((ends - starts <= 9) | special)
-        own = span_hashes(LOWER[raw], starts[short], ends[short]) if len(short) else np.zeros(0, np.uint64)
-        bare = own
-        # Of a word that ends in a sign, the lexicon has the word before it.
-        tail = short[np.isin(raw[ends[short] - 1], [44, 46, 58, 59, 33, 63])]
-        listed = np.zeros(len(short), bool)
-        gate = LEX_GATE[(bare & np.uint64(0xFFFF)).astype(np.int64)]
-        listed[gate] = np.isin(bare[gate], LEX_HASH)
-        keys[short[listed]] = own[listed]
-        if len(tail):
-            cut = span_hashes(LOWER[raw], starts[tail], ends[tail] - 1)
-            hit = np.isin(cut, LEX_HASH)
-            keys[tail[hit]] = cut[hit]
-        keys[special] = own[np.isin(short, np.flatnonzero(special))] if special.any() else keys[special]
+        special = np.flatnonzero(digits[ends] - digits[starts] >= 4)
+        keys[special] = span_hashes(raw, starts[special], ends[special])
         return keys
 
 
@@ -443,7 +449,7 @@ def plausible(kind: str, part: str) -> bool:
     if kind == "email":
         return SPELLED.search(part) is not None
     if kind == "ip":
-        return len(numbers) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in numbers)
+        return len(numbers) == 4 and all(len(p) <= 3 and octet(p) for p in numbers)
     if kind == "card":
         return 14 <= len(digits) <= 19 and luhn(digits)
     return 10 <= len(digits) <= 15

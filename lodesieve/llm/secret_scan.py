@@ -10,13 +10,19 @@ layer by layer, to the characters of the base text that encode them.
 
 Kinds: ``assign``, ``access``, ``hex``; see PATTERNS. Base spans are those of layer 0.
 
+A base64 run may stand behind a path, a slug or letters that belong to the alphabet too, so it is decoded from each
+of its first four characters, and compressed data is looked for at any of them. Bytes that are no text are kept beside
+those that are, so a layer is entered if part of it can be read, as UTF-8 or UTF-16.
+All members of compressed data are read. What unpacks to more than ``window`` bytes is worked off as overlapping windows,
+each a layer of its own; layers are entered depth first, so no more than a window for each depth is held.
+
 Only a text with something to decode or to report leaves the vectorised first look, which
 works on the bytes of many texts at once.
 
 Defined results. Null text counts as empty. A text without findings has empty spans, and
 the digest of the empty text. Ids are passed through, null and repeated ones too; other
-columns are not read. A compressed part that would unpack to more than ``most`` bytes is not
-entered, but counted in n_refused: a bomb must not take the executor.
+columns are not read. An empty table gives an empty result. Counted in n_refused, and not read to the end: compressed data that
+asks for more than 128 MB to unpack, or that unpacks to more than ``most`` bytes: a bomb must not take the executor.
 """
 
 from __future__ import annotations
@@ -29,7 +35,6 @@ import hashlib
 import lzma
 import re
 import zlib
-from collections import deque
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -53,7 +58,13 @@ ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|(\\u[dD][89abAB][0-9A-Fa-f]{2}\\
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 WRAPPED = re.compile(r"(?:[A-Za-z0-9+/]{48,80}\r?\n)+[A-Za-z0-9+/]{4,80}={0,2}")
 CONTROL = re.compile(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]")
+#: As long as the shortest thing to find: 'token=abcdef'.
+STRETCH = re.compile(rb"[\t\n\r\x20-\x7E]{12}")
+WIDE = {"utf-16-le": re.compile(rb"(?:[\t\n\r\x20-\x7E]\x00){12}"), "utf-16-be": re.compile(rb"(?:\x00[\t\n\r\x20-\x7E]){12}")}
 MAGIC = (b"\x1f\x8b", b"BZh", b"\xfd7zXZ\x00", b"(\xb5/\xfd", b"x\x01", b"x\x5e", b"x\x9c", b"x\xda")
+#: How data with one of these begins in base64.
+PACKED = re.compile(r"H4sI|Qlpo|[/_]Td6|KLUv|e(?:A[E-H]|F[4-7]|J[w-z]|N[o-r])")
+MEMORY = 1 << 27
 
 Span = tuple[int, int]
 Map = Callable[[int, int], Span]
@@ -75,55 +86,110 @@ class Refused(Exception):
     pass
 
 
-def decompressed(data: bytes, most: int) -> bytes | None:
-    """What compressed data holds, or None. Raises Refused beyond most bytes."""
-    try:
-        if data.startswith(b"(\xb5/\xfd"):
-            reader = zstandard.ZstdDecompressor(max_window_size=1 << 27).stream_reader(data)
-            out = reader.read(most + 1)
-        elif data.startswith(b"BZh"):
-            out = bz2.BZ2Decompressor().decompress(data, most + 1)
-        elif data.startswith(b"\xfd7zXZ\x00"):
-            out = lzma.LZMADecompressor(memlimit=1 << 27).decompress(data, most + 1)
-        else:
-            out = zlib.decompressobj(47).decompress(data, most + 1)
-    except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError, zstandard.ZstdError):
-        return None
-    if len(out) > most:
-        raise Refused
-    return out
+def opened(data: bytes):
+    """A decompressor of one member; zstandard has its own way."""
+    if data.startswith(b"BZh"):
+        return bz2.BZ2Decompressor()
+    if data.startswith(b"\xfd7zXZ\x00"):
+        return lzma.LZMADecompressor(memlimit=MEMORY)
+    return zlib.decompressobj(47)
+
 
+#: Bytes of compressed data, and of its output, that are worked off at once.
+FEED, PIECE = 1 << 14, 1 << 20
+DAMAGE = (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError, zstandard.ZstdError)
 
-def readable(data: bytes) -> str | None:
+
+def decompressed(data: bytes) -> Iterator[bytes]:
+    """What compressed data holds, piece by piece, all members of it; up to where it is damaged. Raises Refused if it asks for too much memory."""
+    at = 0
+    try:
+        while data[at : at + 6].startswith(MAGIC):
+            if data[at : at + 4] == b"(\xb5/\xfd":
+                reader = zstandard.ZstdDecompressor(max_window_size=MEMORY).stream_reader(data[at:], read_across_frames=True)
+                while out := reader.read(PIECE):
+                    yield out
+                return
+            member = opened(data[at : at + 6])
+            while at < len(data) and not member.eof:
+                part = data[at : at + FEED]
+                at += len(part)
+                yield from bounded(member, part)
+            if not member.eof:
+                return
+            at -= len(member.unused_data)
+    except DAMAGE as e:
+        if "emory" in str(e):
+            raise Refused from None
+
+
+def bounded(member, part: bytes) -> Iterator[bytes]:
+    """The output of a part, at most PIECE at a time."""
+    is_zlib = hasattr(member, "unconsumed_tail")
+    while True:
+        out = member.decompress(part, PIECE)
+        yield out
+        part = member.unconsumed_tail if is_zlib else b""
+        if member.eof or not part and len(out) < PIECE:
+            return
+
+
+def windows(data: bytes, window: int, most: int, overlap: int = 1 << 20) -> Iterator[bytes]:
+    """The output of decompressed(), whole if it fits a window, else as overlapping windows."""
+    held, size, total, fresh = [], 0, 0, False
+    for out in decompressed(data):
+        held.append(out)
+        size, total, fresh = size + len(out), total + len(out), fresh or bool(out)
+        if total > most:
+            raise Refused
+        if size >= window:
+            whole = b"".join(held)
+            yield whole
+            held, fresh = [whole[-overlap:]], False
+            size = len(held[0])
+    if fresh:
+        yield b"".join(held)
+
+
+def readable(data: bytes) -> tuple[str, str] | None:
+    """The text that bytes hold, and its encoding; bytes that are no text stand for themselves. None if there is no stretch of text in them."""
     try:
         text = data.decode()
+        if text and not CONTROL.search(text):
+            return text, "utf-8"
     except UnicodeDecodeError:
-        return None
-    return None if not text or CONTROL.search(text) else text
+        pass
+    if STRETCH.search(data):
+        return data.decode("utf-8", "surrogateescape"), "utf-8"
+    for name, pattern in WIDE.items():
+        if m := pattern.search(data):
+            shift = m.start() % 2
+            return "\udc80" * shift + data[shift : len(data) - (len(data) - shift) % 2].decode(name, "replace"), name
+    return None
+
+
+def octets_before(inner: str, encoding: str) -> np.ndarray:
+    """How many bytes of a layer stand before each of its characters, and in all."""
+    c = np.frombuffer(inner.encode("utf-32-le", "surrogatepass"), "<u4")
+    alone = (c >= 0xDC80) & (c <= 0xDCFF)  # a byte that is no text
+    if encoding == "utf-8":
+        width = np.where(alone, 1, 1 + (c >= 0x80).astype(np.int64) + (c >= 0x800) + (c >= 0x10000))
+    else:
+        width = np.where(alone, 1, 2 + 2 * (c >= 0x10000))
+    return np.concatenate([[0], np.cumsum(width)])
 
 
 def unbase64(run: str) -> bytes | None:
+    """The bytes of a run of the alphabet, an incomplete end left out."""
     run = run.rstrip("=").replace("-", "+").replace("_", "/")
     if len(run) % 4 == 1:
-        return None
+        run = run[:-1]
     try:
         return base64.b64decode(run + "=" * (-len(run) % 4), validate=True)
     except (binascii.Error, ValueError):
         return None
 
 
-def plain(data: bytes, most: int) -> tuple[str | None, bool]:
-    """The text that bytes hold, under any number of compressed layers; whether any was compressed."""
-    packed, seen = False, set()
-    while data.startswith(MAGIC):
-        seen.add(hashlib.sha256(data).digest())
-        inner = decompressed(data, most)
-        if inner is None or hashlib.sha256(inner).digest() in seen:
-            break
-        data, packed = inner, True
-    return readable(data), packed
-
-
 Piece = tuple[str, int, int]
 
 
@@ -154,12 +220,13 @@ def replaced(text: str, pattern: re.Pattern, decode: Callable[[re.Match], list[P
 
 
 def from_url(m: re.Match) -> list[Piece]:
-    """A piece for each character that a run of escapes spells in UTF-8."""
-    inner = readable(bytes.fromhex(m.group().replace("%", "")))
+    """A piece for each character that a run of escapes spells in UTF-8; other bytes stay as they are."""
     out, at = [], m.start()
-    for c in inner or "":
-        out.append((c, at, at + 3 * len(c.encode())))
-        at = out[-1][2]
+    for c in bytes.fromhex(m.group().replace("%", "")).decode("utf-8", "surrogateescape"):
+        end = at + 3 * len(c.encode("utf-8", "surrogateescape"))
+        if not "\udc80" <= c <= "\udcff" and not CONTROL.match(c):
+            out.append((c, at, end))
+        at = end
     return out
 
 
@@ -181,7 +248,7 @@ def from_escape(m: re.Match) -> list[Piece]:
     return [(new, m.start(), m.end())]
 
 
-def layers_of(text: str, most: int) -> Iterator[tuple[str, Map] | None]:
+def layers_of(text: str, window: int, most: int) -> Iterator[tuple[str, Map] | None]:
     """The layers that stand in text, each with the map from its characters to those of text; None for one refused."""
     if "%" in text:
         if new := replaced(text, URL, from_url):
@@ -189,7 +256,7 @@ def layers_of(text: str, most: int) -> Iterator[tuple[str, Map] | None]:
         for m in URL.finditer(text):
             data = bytes.fromhex(m.group().replace("%", ""))
             if data.startswith(MAGIC):
-                yield from packed_layer(data, m.start(), m.end(), most)
+                yield from packed_layers(data, m.start(), m.end(), window, most)
     if new := replaced(text, ESCAPE, from_escape):
         yield new
     for pattern in (BASE64, WRAPPED):
@@ -197,59 +264,84 @@ def layers_of(text: str, most: int) -> Iterator[tuple[str, Map] | None]:
             run = m.group()
             if pattern is WRAPPED:
                 run = run.replace("\r", "").replace("\n", "")
-            data = unbase64(run)
-            if data is None:
-                continue
-            if data.startswith(MAGIC):
-                yield from packed_layer(data, m.start(), m.end(), most)
-            if (inner := readable(data)) is not None:
-                yield inner, base64_map(inner, m, run)
+            places = [k for k, c in enumerate(m.group()) if c not in "\r\n"] if len(run) != m.end() - m.start() else None
+            for p in PACKED.finditer(run):
+                # Chance finds are many in long runs: the first bytes must unpack.
+                head = unbase64(run[p.start() : p.start() + 400])
+                if head and head.startswith(MAGIC) and unpacks(head):
+                    start = m.start() + (p.start() if places is None else places[p.start()])
+                    yield from packed_layers(unbase64(run[p.start() :]) or b"", start, m.end(), window, most)
+            for phase in range(4):
+                data = unbase64(run[phase:])
+                if data and (found := readable(data)) is not None:
+                    yield found[0], base64_map(*found, m.start(), run, phase, places)
+
+
+def unpacks(head: bytes) -> bool:
+    """Whether data that begins so is compressed."""
+    if head.startswith(b"(\xb5/\xfd"):
+        return True
+    try:
+        opened(head).decompress(head, PIECE)
+    except DAMAGE as e:
+        return "emory" in str(e)
+    return True
 
 
-def packed_layer(data: bytes, start: int, end: int, most: int) -> Iterator[tuple[str, Map] | None]:
+def packed_layers(data: bytes, start: int, end: int, window: int, most: int, outer: tuple[bytes, ...] = ()) -> Iterator[tuple[str, Map] | None]:
+    """The layers of compressed data, under any number of compressed layers; None for one refused. outer: digests of the layers it lies in, which end cycles."""
+    outer = (*outer, hashlib.sha256(data).digest())
     try:
-        inner, packed = plain(data, most)
+        for k, inner in enumerate(windows(data, window, most)):
+            if inner.startswith(MAGIC) and not k:
+                if len(inner) >= window or len(outer) > 100:
+                    yield None  # compressed data of this size within compressed data is not read to its end
+                if len(outer) <= 100 and hashlib.sha256(inner).digest() not in outer:
+                    yield from packed_layers(inner, start, end, window, most, outer)
+            if (found := readable(inner)) is not None:
+                yield found[0], lambda a, b: (start, end)
     except Refused:
         yield None
-        return
-    if packed and inner is not None:
-        yield inner, lambda a, b: (start, end)
 
 
-def base64_map(inner: str, m: re.Match, run: str) -> Map:
-    places = [k for k, c in enumerate(m.group()) if c not in "\r\n"] if len(run) != m.end() - m.start() else None
-    ascii_only = inner.isascii()
+def base64_map(inner: str, encoding: str, begin: int, run: str, phase: int, places: list[int] | None) -> Map:
+    size, octets = len(run.rstrip("=")), []
 
     def back(a: int, b: int) -> Span:
-        if not ascii_only:
-            a, b = len(inner[:a].encode()), len(inner[:b].encode())
-        first, last = a // 3 * 4, min(-(-b // 3) * 4, len(run.rstrip("="))) - 1
+        if encoding != "utf-8" or not inner.isascii():
+            if not octets:
+                octets.append(octets_before(inner, encoding))
+            a, b = int(octets[0][a]), int(octets[0][b])
+        first, last = phase + a // 3 * 4, min(phase + -(-b // 3) * 4, size) - 1
         if places is not None:
             first, last = places[first], places[last]
-        return m.start() + first, m.start() + last + 1
+        return begin + first, begin + last + 1
 
     return back
 
 
-def find(text: str, most: int = 1 << 26) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]], int, int]:
+def find(text: str, window: int = 1 << 24, most: int = 1 << 33) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]], int, int]:
     """Base spans, all spans (both in order), layers entered, layers refused."""
     base = sorted(scan(text), key=order)
     found, seen, refused = set(base), set(), 0
-    work: deque[tuple[str, list[Map]]] = deque([(text, [])])
+    work: list[tuple[Iterator, list[Map]]] = [(layers_of(text, window, most), [])]
     while work:
-        layer, maps = work.popleft()
-        for new in layers_of(layer, most):
-            if new is None:
-                refused += 1
-                continue
-            inner, back = new
-            chain = [back, *maps]
-            key = (through(chain, 0, len(inner)), hashlib.sha256(inner.encode()).digest())
-            if inner == text or key in seen:
-                continue
-            seen.add(key)
-            found.update((kind, *through(chain, a, b)) for kind, a, b in scan(inner))
-            work.append((inner, chain))
+        layers, maps = work[-1]
+        new = next(layers, False)
+        if new is False:
+            work.pop()
+            continue
+        if new is None:
+            refused += 1
+            continue
+        inner, back = new
+        chain = [back, *maps]
+        key = (through(chain, 0, len(inner)), hashlib.sha256(inner.encode("utf-8", "surrogatepass")).digest())
+        if inner == text or key in seen:
+            continue
+        seen.add(key)
+        found.update((kind, *through(chain, a, b)) for kind, a, b in scan(inner))
+        work.append((layers_of(inner, window, most), chain))
     return base, sorted(found, key=order), len(seen), refused
 
 
@@ -276,6 +368,16 @@ NAMES = (b"passw", b"secret", b"token", b"api")
 FIRSTS = (b"%", b"\\", b"&#", b"\xef", b"\xe2\x80", b"\xe2\x81", b"\xc2\xad")
 
 
+def decodes(run: str) -> bool:
+    if PACKED.search(run):
+        return True
+    for phase in range(4):
+        data = unbase64(run[phase:])
+        if data and readable(data) is not None:
+            return True
+    return False
+
+
 def worth_a_look(raw: np.ndarray, at: np.ndarray) -> list[int]:
     """The texts in which there can be something to find or to decode."""
     data, out = raw.tobytes(), set()
@@ -291,7 +393,7 @@ def worth_a_look(raw: np.ndarray, at: np.ndarray) -> list[int]:
     for a, z, d in zip(begins[long].tolist(), ends[long].tolist(), where.tolist(), strict=True):
         run = data[a:z]
         # A line of wrapped base64 is as long as 48; other runs say by themselves whether they are worth it.
-        if z - a >= 48 or HEX_RUN.search(run) or b"AKIA" in run or ((inner := unbase64(run.decode())) is not None and (inner.startswith(MAGIC) or readable(inner) is not None)):
+        if z - a >= 48 or HEX_RUN.search(run) or b"AKIA" in run or decodes(run.decode()):
             out.add(d)
     lower, bounds = data.lower(), at.tolist()
     names = [n for n in NAMES if n in lower]
@@ -310,8 +412,8 @@ NOTHING = hashlib.sha256(b"").hexdigest()
 
 
 class Scan:
-    def __init__(self, most: int):
-        self.most = most
+    def __init__(self, window: int, most: int):
+        self.window, self.most = window, most
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -322,7 +424,7 @@ class Scan:
         n = b.num_rows
         counts, digest, spans, layers, refused = np.zeros((3, n), np.int64), [NOTHING] * n, [""] * n, np.zeros(n, np.int64), np.zeros(n, np.int64)
         for d in worth_a_look(*text_buffer(b.column("text"))):
-            base, found, layers[d], refused[d] = find(b.column("text")[d].as_py() or "", self.most)
+            base, found, layers[d], refused[d] = find(b.column("text")[d].as_py() or "", self.window, self.most)
             for kind, _, _ in base:
                 counts[KINDS.index(kind), d] += 1
             digest[d], spans[d] = hashlib.sha256(joined(base).encode()).hexdigest(), joined(found)
@@ -330,9 +432,9 @@ class Scan:
         return pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_layers", "n_refused"])
 
 
-def secret_scan(docs: DataFrame, most: int = 1 << 26) -> DataFrame:
+def secret_scan(docs: DataFrame, window: int = 1 << 24, most: int = 1 << 33) -> DataFrame:
     """docs: doc_id, text. One row each: counts and digest of the base spans, all spans, layers entered and refused."""
-    return map_batches(docs.select("doc_id", "text"), Scan(most), SCHEMA)
+    return map_batches(docs.select("doc_id", "text"), Scan(window, most), SCHEMA)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

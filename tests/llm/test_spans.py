@@ -90,13 +90,40 @@ def test_layers_end_and_bombs_are_refused():
 def test_first_look_misses_nothing():
     texts = noise(5, [b64(TOKEN), "words and more ", urllib.parse.quote(TOKEN), "\n", "internationalization", b64(gzip.compress(b"secret=zzzzzz")), "é", "0" * 30, " ", "&#116;oken=abcdef"])
     b = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
-    got = secret_scan.Scan(1 << 20).one(b).to_pylist()
+    got = secret_scan.Scan(1 << 20, 1 << 30).one(b).to_pylist()
     for r, t in zip(got, texts, strict=True):
         assert r["spans"] == secret_scan.joined(secret_scan.find(t)[1])
 
 
+def utf16(t, name):
+    return t.encode(name)
+
+
+def test_layers_that_hide():
+    """Later members, data behind a path or a slug, text among other bytes, UTF-16, data larger than a window."""
+    two = {"gzip": gzip.compress, "bz2": bz2.compress, "xz": lzma.compress, "zstd": zstandard.compress}
+    codes = [b64(f(b"nothing here") + f(TOKEN.encode())) for f in two.values()]
+    codes += [pre + b64(x) for pre in ("x/", "host/path/", "data_", "ab-", "abc", "abcd") for x in (TOKEN, gzip.compress(TOKEN.encode()), zlib.compress(TOKEN.encode()))]
+    codes += [b64(b"\x00\x01" + TOKEN.encode()), b64(b"\xff\xfe\xfd" + TOKEN.encode() + b"\x00"), b64(b"\xff\xfe" + utf16(TOKEN, "utf-16-le")), b64(b"\x00" + utf16(TOKEN, "utf-16-le")), b64(utf16("é\U0001F642 " + TOKEN, "utf-16-be"))]
+    codes += ["%ff%70assword=abcdefgh", "%00%74oken%3Dabcdefgh", b64("é" * 9 + TOKEN)]
+    for code in codes:
+        for text in (f"é before {code} after", code):
+            b = pa.RecordBatch.from_pydict({"doc_id": [1], "text": [text]})
+            found = secret_scan.Scan(1 << 20, 1 << 30).one(b).to_pylist()[0]
+            at = text.index(code)
+            spans = [s.split(":") for s in found["spans"].split(",") if s.startswith("assign")]
+            assert spans and all(at <= int(a) < int(z) <= at + len(code) for _, a, z in spans), code
+    big = b64(zlib.compress(b"a b " * 2_000_000 + TOKEN.encode() + b" c d" * 2_000_000))
+    _, found, layers, refused = secret_scan.find(big, window=1 << 21)
+    assert [s[0] for s in found] == ["assign"] and layers > 3 and not refused
+    assert secret_scan.find(b64(lzma.compress(TOKEN.encode(), preset=9)), window=1 << 20)[1]
+    wide = zstandard.ZstdCompressor(compression_params=zstandard.ZstdCompressionParameters(window_log=28, format=zstandard.FORMAT_ZSTD1)).compressobj()
+    assert secret_scan.find(b64(wide.compress(TOKEN.encode() * 1000) + wide.flush()))[3] >= 1
+
+
 def test_base_pii_by_brute_force(spark):
     texts = noise(7, ["a.b", "@", "x.com", ".", " ", "-", "10", "255", "256", "1.2.3.4", "+1 (988) 555-2485", "4111111111111111", "4111 1111 1111 1111", "0", "7", "(", "+", "é", "\n", "_", "bob@mail.example.org"])
+    texts += ["0" * 4000 + "1.2.3.4", "1.2.3." + "0" * 4000 + "255", "1.2.3." + "9" * 4000]
     texts += [None, "", "a" * 60_000, "9" * 60_000, "a@" * 20_000, "1." * 20_000, "+1" + "-" * 50_000]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     for r in pii_crf.find_pii(df).collect():
@@ -146,6 +173,20 @@ def test_cut_decoding_is_exact_and_held_out_accuracy():
     assert right / total > 0.97
 
 
+def test_huge_numbers_and_keys_of_words(spark):
+    df = spark.createDataFrame([(1, "0" * 6000 + "1.2.3.4"), (2, "9" * 6000 + ".2.3.4")], "doc_id bigint, text string")
+    assert sorted((r["doc_id"], r["n_ip"]) for r in pii_crf.find_pii(df, FIELD).collect()) == [(1, 1), (2, 0)]
+    assert pii_crf.find_pii(df.where("false"), FIELD).count() == secret_scan.secret_scan(df.where("false")).count() == 0
+    rng = random.Random(3)
+    pieces = [*pii_crf.LEXICON, "hello", "Ab", "a", "é", "1", "22", "4111", "-", "--", "...", ".", ",", "!", "?", '"', "'", "(", ")", "[at]", "@", "/"]
+    words = sorted({"".join(rng.choice(pieces) for _ in range(rng.randint(1, 4))) for _ in range(20_000)} | {'"phone', '"hello', "phone?!", "hello?!", "AB1234", "ab1234", "1--2", "1-2"})
+    raw, at = text_buffer(pa.array([" ".join(words)]))
+    starts, ends, _ = pii_crf.word_bounds(raw, at)
+    tagger, seen = pii_crf.Tagger(FIELD), {}
+    for w, k in zip(words, tagger.keys(raw, starts, ends).tolist(), strict=True):
+        assert seen.setdefault(k, pii_crf.features(w)) == pii_crf.features(w), w
+
+
 def test_viterbi_by_brute_force():
     import itertools
 
