@@ -2,27 +2,35 @@
 
 Each word is a context with a restaurant of its own, whose customers are the words that follow it
 in the training documents; all of these share one parent, the restaurant of single words, whose
-base is uniform over the known words and one unknown. Seating is sampled by Gibbs, dish by dish: all
-customers of one word in one restaurant stand up, and are seated again one after another by the Chinese-restaurant
-rule, given the others' tables; a Metropolis step corrects for what that order favours. Dishes of a restaurant are
-sampled side by side, given its tables of the sweep before. Tables of the contexts are the customers of the parent, which is seated
-likewise. Of ``samples`` sweeps after ``burn`` sweeps, the predictive probabilities are averaged.
-The contexts are sampled given the parent's probabilities as the word counts give them (to one part
-in twenty); the parent then is sampled given the contexts' tables of each sweep.
-
-A restaurant with more than ``split`` customers is seated in parts, by ranges of the words' hashes; a part takes
-the tables of the whole to be its own times the number of parts. So no task gets all of a hot context.
-
-How it runs. Documents become chunks: rows with a dictionary of word hashes and the sequence of its
-numbers, written once and bucketed by chunk. What a chunk needs from all others (the counts of its words, the
-tables of its pairs, the parent's seating) it asks for by hash range: packed requests go out by bucket, each
-bucket adds up all chunks' counts and sends back numbers in the order asked. So nothing is held by the driver but totals, a
-hot word is one entry of each chunk, and what is shuffled grows with the input alone.
+base is uniform over the known words and one unknown. The tables of the contexts are the customers of the parent.
+
+Seating is sampled by Gibbs at both levels. In a sweep all customers of one word in one restaurant stand
+up and are seated again, given the others' tables and the parent's probability of the word as the parent's
+seating of the sweep before gives it; then the parent is seated anew, given the contexts' tables. Of a word with
+at most ``CUT`` customers the number of tables is drawn from its exact distribution (by generalised Stirling
+numbers); those of a more frequent word are seated one after another, with Metropolis steps that make up for
+what that order favours, and where its tables are many as well, their number is drawn from the normal distribution that these numbers tend to. Dishes of a restaurant are sampled side by side, given
+its tables of the sweep before. The start is one table for each word of a context. After ``burn`` sweeps the
+predictive probabilities of ``samples`` sweeps are averaged.
+
+The contexts' concentration is sampled once a sweep (by auxiliary variables, prior Gamma(1, 1)); the discounts are
+those that counts of one and two give, n1 / (n1 + 2 n2), of pairs, and of the contexts of a word.
+
+How it runs. Documents become chunks: rows with a dictionary of word hashes, the chunk's different pairs, and the sequence
+of their numbers, written once and bucketed by chunk. Each chunk sends its pairs to the bucket that holds the context; a
+bucket adds up all chunks' counts and keeps its pairs, written once and bucketed likewise. It names its words to the parent's buckets
+once; in a sweep it sends these the tables of its words, and they send customers and tables of each word back, all in that order. At
+the end it sends each chunk the probabilities of its pairs, in the order asked. So nothing is held by the driver but
+totals, a hot word is one entry of each chunk, and what is shuffled grows with the input alone.
+
+The followers of a context with more than ``split`` customers are dealt over several buckets, by ranges of their hashes. Its parts'
+tables are added up with the parent's customers, and each part gets the exact sum of the sweep before: the
+model is the same wherever a restaurant is cut.
 
 Defined results. A-Z count as a-z; null text counts as empty: one token, the end. A null id counts as the
 empty text in the fold. Repeated rows count as often as they stand. Without training documents all
 words are unknown. An empty table gives an empty result; other columns are not read. Words are told
-apart by 64-bit hashes, followers of one context by 32 bits of them.
+apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -37,16 +45,36 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blobs, both, bucket_of, documents, fold, from_numbers, map_batches, new_path, numbers, packed_planes, plain, saved, slices, text_buffer, unblobs, unpacked_planes
+from .common import blobs, both, bucket_of, documents, fold, from_numbers, map_batches, new_path, numbers, plain, saved, slices, text_buffer, unblobs
 from .words import mixed, word_hash, words
 
 #: Tokens of a chunk, at least, but for a task's last.
 CHUNK = 2_000_000
+#: Training and other tokens for each bucket of pairs, and for each bucket of words; known words for each bucket of the parent.
+PER_BUCKET, PER_WORDS, PER_PARENT = 3_000_000, 4_000_000, 1_000_000
+#: Up to so many customers of a word, its tables are drawn from their exact distribution.
+CUT = 100
+#: From so many likely tables on, a more frequent word's number of tables is drawn from the normal distribution about it.
+MANY = 25
 END = np.uint64(word_hash("<end of text>"))
-REPLY = "chunk bigint, kind int, bucket int, payload binary, n_all bigint, n_kinds bigint, sums array<bigint>"
-REPLY_TYPES = {"chunk": pa.int64(), "kind": pa.int32(), "bucket": pa.int32(), "payload": pa.binary(), "n_all": pa.int64(), "n_kinds": pa.int64(), "sums": pa.list_(pa.int64())}
-ASK = "bucket int, chunk bigint, payload binary"
+#: target, source: numbers of chunks or buckets; sums: what the driver adds up.
+MESSAGE = "target bigint, kind int, source bigint, payload binary, sums array<double>"
+MESSAGE_TYPES = {"target": pa.int64(), "kind": pa.int32(), "source": pa.int64(), "payload": pa.binary(), "sums": pa.list_(pa.float64())}
+WORDS, STATE, PLACES, NAMES, TABLES, PARENT, PROBABILITIES = range(7)
 SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
+SCORE_TYPES = {"doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base_score": pa.float64(), "score": pa.float64()}
+
+
+def messages(rows: list[dict]) -> pa.Table:
+    return pa.table({c: pa.array([r.get(c) for r in rows], t) for c, t in MESSAGE_TYPES.items()})
+
+
+def of_kind(table: pa.Table, kind: int) -> tuple[list[int], list[bytes]]:
+    """Sources and payloads of the messages of a kind, in the order of their sources."""
+    rows = np.flatnonzero(table.column("kind").to_numpy() == kind)
+    source = table.column("source").to_numpy()[rows]
+    order = np.argsort(source)
+    return source[order].tolist(), [table.column("payload")[k].as_py() for k in rows[order].tolist()]
 
 
 # Chunks -------------------------------------------------------------------------------------
@@ -77,81 +105,54 @@ class Chunks:
 
     def row(self, chunk: int, ids: list, held: list, hashes: list, sizes: list) -> pa.RecordBatch:
         names, tokens = np.unique(np.append(np.concatenate(hashes), END), return_inverse=True)
-        payload = blobs(
-            np.array([d or 0 for d in ids], np.int64).tobytes(), np.array([d is not None for d in ids], np.uint8).tobytes(),
-            np.concatenate(held).astype(np.uint8).tobytes(), numbers(np.concatenate(sizes)), names.tobytes(), numbers(tokens[:-1]),
+        tokens = tokens[:-1]
+        held, sizes = np.concatenate(held), np.concatenate(sizes)
+        end = int(np.searchsorted(names, END))
+        context = np.concatenate([[end], tokens[:-1]])  # a text begins after an end
+        pair, of = np.unique(context * len(names) + tokens, return_inverse=True)
+        context, word = pair // len(names), pair % len(names)
+        trains = np.repeat(~held, sizes)
+        count = np.bincount(of[trains], minlength=len(pair))
+        known = np.bincount(word, count, len(names)).astype(np.int64)
+        columns = (
+            blobs(names.tobytes(), numbers(known)), blobs(numbers(np.bincount(context, minlength=len(names))), numbers(word), numbers(count)),
+            blobs(np.array([d or 0 for d in ids], np.int64).tobytes(), np.array([d is not None for d in ids], np.uint8).tobytes(), held.astype(np.uint8).tobytes(), numbers(sizes), numbers(of)),
         )
-        return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([payload], pa.binary())], ["chunk", "payload"])
+        return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), *(pa.array([c], pa.binary()) for c in columns), pa.array([len(of)], pa.int64())], ["chunk", "words", "pairs", "docs", "n_tokens"])
 
 
 @dataclass
 class Segments:
-    """context, word, of, mark: of the pairs in their own order; name, parts, size, home: of the segments in request
-    order; index: the pair at each place of the requests; cuts: where the segments of each bucket begin."""
+    """The pairs of a chunk by the part of a context's restaurant that they belong to, in the order of requests.
+
+    name, size, context, part, parts: of the segments; index: the pair at each place of the requests; cuts: where the segments of each bucket begin."""
 
-    context: np.ndarray
-    word: np.ndarray
-    of: np.ndarray
-    mark: np.ndarray
     name: np.ndarray
-    parts: np.ndarray
     size: np.ndarray
-    home: np.ndarray
+    context: np.ndarray
+    part: np.ndarray
+    parts: np.ndarray
     index: np.ndarray
     cuts: np.ndarray
 
 
-class Chunk:
-    def __init__(self, payload: bytes):
-        ids, known, held, sizes, names, tokens = unblobs(payload)
-        self.ids, self.known = np.frombuffer(ids, np.int64), np.frombuffer(known, np.uint8)
-        self.held, self.sizes = np.frombuffer(held, np.uint8).astype(bool), from_numbers(sizes)
-        self.names, self.tokens = np.frombuffer(names, np.uint64), from_numbers(tokens)
-
-    def trains(self) -> np.ndarray:
-        """Whether each token is of a training document."""
-        return np.repeat(~self.held, self.sizes)
-
-    def counts(self) -> np.ndarray:
-        return np.bincount(self.tokens[self.trains()], minlength=len(self.names))
-
-    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Context and word of each different pair, in order, and the pair of each token."""
-        end = int(np.searchsorted(self.names, END))
-        context = np.concatenate([[end], self.tokens[:-1]])
-        pair, of_token = np.unique(context * len(self.names) + self.tokens, return_inverse=True)
-        return pair // len(self.names), pair % len(self.names), of_token
-
-    def segments(self, known: np.ndarray, split: int, buckets: int) -> Segments:
-        """The pairs by the part of a context's restaurant that they belong to, in the order of requests. known: the training counts of the chunk's words."""
-        context, word, of = self.pairs()
-        # Words are sorted by hash, so the high 32 bits ascend within a context, and parts are stretches.
-        mark = (self.names[word] >> np.uint64(32)).astype(np.int64)
-        parts = 1 + known // split  # a word has as many customers as a context as it has places
-        part = mark * parts[context] >> 32
-        new = np.concatenate([[True], (context[1:] != context[:-1]) | (part[1:] != part[:-1])])
-        heads = np.flatnonzero(new)
-        size = np.diff(np.append(heads, len(context)))
-        name = self.names[context[heads]]
-        name = np.where(part[heads] > 0, mixed(name + part[heads].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), name)
-        bucket = bucket_of(name, buckets)
-        order = np.argsort(bucket, kind="stable")
-        past = np.cumsum(size[order])
-        index = np.repeat(heads[order] - (past - size[order]), size[order]) + np.arange(len(context))
-        return Segments(context, word, of, mark, name[order], parts[context[heads]][order], size[order], context[heads][order], index, np.searchsorted(bucket[order], np.arange(buckets + 1)))
-
-    def cuts(self, buckets: int) -> np.ndarray:
-        """Where the words of each bucket begin: buckets are ranges of the hash, and words are sorted by it."""
-        b = bucket_of(self.names, buckets)
-        return np.searchsorted(b, np.arange(buckets + 1))
-
-
-def asked(out: list[tuple[int, int, bytes]]) -> pa.Table:
-    return pa.table({"bucket": pa.array([x[0] for x in out], pa.int32()), "chunk": pa.array([x[1] for x in out], pa.int64()), "payload": pa.array([x[2] for x in out], pa.binary())})
-
-
-def replied(rows: list[dict]) -> pa.Table:
-    return pa.table({c: pa.array([r.get(c) for r in rows], t) for c, t in REPLY_TYPES.items()})
+def segments(names: np.ndarray, follow: np.ndarray, word: np.ndarray, known: np.ndarray, split: int, buckets: int) -> Segments:
+    """known: the training counts of the chunk's words; a word has as many customers as a context as it has places."""
+    context = np.repeat(np.arange(len(names)), follow)
+    parts = 1 + known // split
+    # Words are sorted by hash, so the high 32 bits ascend within a context, and parts are stretches.
+    part = (names[word] >> np.uint64(32)).astype(np.int64) * parts[context] >> 32
+    new = np.concatenate([[True], (context[1:] != context[:-1]) | (part[1:] != part[:-1])])
+    heads = np.flatnonzero(new)
+    size = np.diff(np.append(heads, len(context)))
+    name = names[context[heads]]
+    name = np.where(part[heads] > 0, mixed(name + part[heads].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), name)
+    bucket = bucket_of(name, buckets)
+    order = np.argsort(bucket, kind="stable")
+    past = np.cumsum(size[order])
+    index = np.repeat(heads[order] - (past - size[order]), size[order]) + np.arange(len(context))
+    own = context[heads][order]
+    return Segments(name[order], size[order], own, part[heads][order], parts[own], index, np.searchsorted(bucket[order], np.arange(buckets + 1)))
 
 
 # Seating ------------------------------------------------------------------------------------
@@ -166,67 +167,118 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
 
 
 def seat(count: np.ndarray, weight: np.ndarray, slope: np.ndarray, discount: float, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """Seats the customers of many dishes. A new table weighs weight + slope * tables of the dish,
-    all its tables together weigh customers - discount * tables. The tables of each dish, and the
-    logarithm of the product of all weights that the seating was drawn from.
+    """Proposes seatings of many dishes, customer after customer. By the Chinese-restaurant rule a new table weighs weight + slope * tables of
+    the dish, and its tables together weigh customers - discount * tables. The tables of each dish, and the logarithm of the
+    seating's weight by that rule over its probability here.
 
-    While new tables are likely each customer is drawn; then the wait for the next new table is.
+    The waits for the next new table are drawn. A table that stands early takes from the weight of all later customers, so of the nth of c customers
+    a new table is drawn with its weight times (n / c) ** discount: then all seatings have about the same quotient.
     """
     tables, log_w = np.ones(len(count), np.int64), np.zeros(len(count))
     live = np.flatnonzero(count > 1)
-    seated, most = np.ones(len(live), np.int64), count[live]
-    t, w, s, total = np.ones(len(live), np.int64), weight[live], slope[live], np.zeros(len(live))
+    c, w, s = count[live].astype(float), weight[live], slope[live]
+    n, t, total = np.ones(len(live)), np.ones(len(live), np.int64), np.zeros(len(live))
     while len(live):
         new = w + s * t
-        x = seated - discount * t
-        one = (x < 20) | (new > 0.3 * x)
-        u = rng.random(len(live))
-        half = (new - 1) / 2
-        wait = np.where(one, 0.0, (x + half) * np.expm1(np.minimum(-np.log(u) / new, 40.0)))  # customers who join before
-        wait = np.minimum(np.floor(wait), most - seated).astype(np.int64)
-        opens = np.where(one, u * (x + new) < new, wait < most - seated)
-        step = np.where(one, 1, np.minimum(wait + 1, most - seated))
-        z = x + new
-        total += np.where(one, np.log(z), 0.0)
-        far = np.flatnonzero(~one)
-        if len(far):
-            total[far] += log_gamma(z[far] + step[far]) - log_gamma(z[far])
-        t = t + opens
-        seated = seated + step
-        done = seated >= most
+        rate, before = new / (discount * c**discount), n**discount
+        wait = np.floor(np.minimum(before + rng.exponential(size=len(live)) / rate, (2 * c) ** discount) ** (1 / discount))
+        last = np.clip(wait, n, c)
+        opens = last < c
+        log_q = -rate * (last**discount - before)
+        log_q[opens] += np.log(-np.expm1(-(rate * ((last + 1) ** discount - last**discount))[opens]))
+        total += log_gamma(last - discount * t) - log_gamma(n - discount * t) - log_q
+        total[opens] += np.log(new[opens])
+        n, t = last + opens, t + opens
+        done = n >= c
         if done.any():
             tables[live[done]], log_w[live[done]] = t[done], total[done]
             go = ~done
-            live, seated, most, t, w, s, total = live[go], seated[go], most[go], t[go], w[go], s[go], total[go]
+            live, c, w, s, n, t, total = live[go], c[go], w[go], s[go], n[go], t[go], total[go]
     return tables, log_w
 
 
-def sampled(count: np.ndarray, rest: np.ndarray, parts: np.ndarray, parent: np.ndarray, strength: float, discount: float, burn: int, samples: int, seed: int) -> np.ndarray:
-    """Tables of each dish (samples x dishes), by Gibbs. rest: the restaurant of each dish; parts: of how many parts each restaurant is one; parent: the parent's probability of each dish. Dishes with no customer have no table."""
-    rng, n = np.random.default_rng(seed), int(rest.max(initial=-1)) + 1
-    served = np.flatnonzero(count > 0)
-    out = np.zeros((samples, len(count)), np.int64)
-    c, r, p = count[served], rest[served], parent[served]
-    tables, old_w = np.ones(len(served), np.int64), None
-    many = np.flatnonzero(c > 1)
-    for k in range(burn + samples):
-        in_all = np.bincount(r, tables, n) * parts
-        others = in_all[r[many]] - tables[many]
-        base = (strength + discount * others) * p[many]
-        new, log_w = seat(c[many], base, discount * p[many], discount, rng)
-        if old_w is None:
-            take = np.ones(len(many), bool)
-            old_w = log_w.copy()
-        else:
-            take = np.log(rng.random(len(many))) < log_w - old_w
-        tables[many[take]] = new[take]
-        old_w[take] = log_w[take]
-        if k >= burn:
-            out[k - burn, served] = tables
+def stirling_ratios(discount: float, top: int = CUT) -> np.ndarray:
+    """[c, t]: S(c, t + 1) / S(c, t) of the generalised Stirling numbers, S(c + 1, t) = S(c, t - 1) + (c - discount * t) S(c, t)."""
+    out = np.zeros((top + 1, top + 1))
+    row = np.full(top + 2, -np.inf)
+    row[1] = 0.0
+    for c in range(1, top + 1):
+        if c > 1:
+            up = np.full(top + 2, -np.inf)
+            t = np.arange(1, c + 1)
+            with np.errstate(divide="ignore"):
+                up[t] = np.logaddexp(row[t - 1], np.log(np.maximum(c - 1 - discount * t, 0)) + row[t])
+            row = up
+        out[c, 1:c] = np.exp(row[2 : c + 1] - row[1:c])
     return out
 
 
-# The four exchanges -------------------------------------------------------------------------
+def likely_tables(count: np.ndarray, weight: np.ndarray, slope: np.ndarray, discount: float) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and deviation of the tables of a frequent word with many of them.
+
+    S(c, t) is c! / (t! discount^t) times the coefficient of x^c in (1 - (1 - x)^discount)^t. At the coefficient's saddle point x = 1 - y,
+    S(c, t + 1) / S(c, t) is (1 - y^discount) / ((t + 1) discount) up to one part in t; the numbers are most likely where this times a new table's weight is 1.
+    """
+    d = discount
+    t_of = lambda y: count * (1 - y**d) * y ** (1 - d) / (d * -np.expm1(np.log(y)))
+    ratio = lambda y, t: np.log((1 - y**d) / ((t + 0.5) * d)) + np.log(weight + slope * t)
+    low, high = np.full(len(count), -690.0), np.full(len(count), -1e-9)
+    for _ in range(60):
+        mid = (low + high) / 2
+        y = np.exp(mid)
+        more = ratio(y, t_of(y)) > 0
+        low, high = np.where(more, mid, low), np.where(more, high, mid)
+    y, y2 = np.exp(low), np.exp(low) * (1 - 1e-4)
+    t, t2 = t_of(y), t_of(y2)
+    bend = (ratio(y2, t2) - ratio(y, t)) / (t2 - t)
+    return t, np.sqrt(1 / np.maximum(-bend, 1 / count.astype(float) ** 2))
+
+
+def draw_tables(count: np.ndarray, weight: np.ndarray, slope: np.ndarray, discount: float, ratios: np.ndarray, rng: np.random.Generator, steps: int = 4) -> np.ndarray:
+    """The tables of dishes with these customers, given all else (weight and slope as in seat()); no table without a customer."""
+    tables = np.minimum(count, 1)
+    some = np.flatnonzero((count > 1) & (count <= CUT))
+    if len(some):
+        some = some[np.argsort(-count[some], kind="stable")]
+        c, w, s = count[some], weight[some], slope[some]
+        t, mass, total = np.ones(len(some), np.int64), np.ones(len(some)), np.ones(len(some))
+        live = np.searchsorted(-c, -np.arange(c[0] + 1), side="left")  # of t: dishes with more customers
+        for k in range(1, int(c[0])):
+            n = int(live[k])
+            mass[:n] *= ratios[c[:n], k] * (w[:n] + k * s[:n])
+            total[:n] += mass[:n]
+            t[:n][rng.random(n) * total[:n] < mass[:n]] = k + 1
+        tables[some] = t
+    big = np.flatnonzero(count > CUT)
+    if len(big):
+        mean, deviation = likely_tables(count[big], weight[big], slope[big], discount)
+        many = mean >= MANY
+        drawn = np.round(mean[many] + deviation[many] * rng.standard_normal(int(many.sum())))
+        tables[big[many]] = np.clip(drawn, 1, count[big[many]]).astype(np.int64)
+        big = big[~many]
+    if len(big):
+        got, log_w = seat(count[big], weight[big], slope[big], discount, rng)
+        for _ in range(steps):
+            new, new_w = seat(count[big], weight[big], slope[big], discount, rng)
+            take = np.log(rng.random(len(big))) < new_w - log_w
+            got, log_w = np.where(take, new, got), np.where(take, new_w, log_w)
+        tables[big] = got
+    return tables
+
+
+def auxiliary(customers: np.ndarray, tables: np.ndarray, strength: float, discount: float, rng: np.random.Generator, block: int = 1 << 20) -> list[float]:
+    """Of many restaurants: minus the sum of the logarithms of Beta(strength + 1, customers - 1), and how many of their further tables were opened for the concentration's sake."""
+    x = -float(np.log(np.maximum(rng.beta(strength + 1, customers[customers > 1] - 1.0), 1e-300)).sum())
+    y, ends = 0, np.cumsum(np.maximum(tables - 1, 0))
+    for at in range(0, int(ends[-1]) if len(ends) else 0, block):
+        place = np.arange(at, min(at + block, int(ends[-1])))
+        r = np.searchsorted(ends, place, side="right")
+        nth = place - (ends[r] - np.maximum(tables[r] - 1, 0)) + 1
+        y += int((rng.random(len(place)) * (strength + discount * nth) < strength).sum())
+    return [x, float(y)]
+
+
+# The exchanges ------------------------------------------------------------------------------
 
 class AskWords:
     """Each chunk sends the training counts of its words."""
@@ -236,225 +288,345 @@ class AskWords:
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for chunk, payload in zip(b.column("chunk").to_pylist(), b.column("payload").to_pylist(), strict=True):
-                c = Chunk(payload)
-                counts, cuts = c.counts(), c.cuts(self.buckets)
-                out = [(k, chunk, blobs(c.names[a:z].tobytes(), numbers(counts[a:z]))) for k, (a, z) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if a < z]
-                yield asked(out).combine_chunks().to_batches()[0]
+            for chunk, payload in zip(b.column("chunk").to_pylist(), b.column("words").to_pylist(), strict=True):
+                names, counts = unblobs(payload)
+                names, counts = np.frombuffer(names, np.uint64), from_numbers(counts)
+                out = [{"target": k, "kind": WORDS, "source": chunk, "payload": blobs(names[a:z].tobytes(), numbers(counts[a:z]))} for k, a, z in cut_at(names, self.buckets)]
+                yield messages(out).combine_chunks().to_batches()[0]
 
 
-def added(table: pa.Table, columns: int) -> tuple[list[int], list[int], np.ndarray, list[np.ndarray]]:
-    """Of a bucket's requests: chunks, sizes, the number of each name, and each column added up by name."""
-    chunks, payloads = table.column("chunk").to_pylist(), [unblobs(p) for p in table.column("payload").to_pylist()]
-    names = [np.frombuffer(p[0], np.uint64) for p in payloads]
-    _, of = np.unique(np.concatenate(names), return_inverse=True)
-    sums = [np.bincount(of, np.concatenate([from_numbers(p[1 + k]) for p in payloads])).astype(np.int64) for k in range(columns)]
-    return chunks, [len(n) for n in names], of, sums
+def cut_at(names: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
+    """Bucket, begin and end of sorted names: buckets are ranges of the hash."""
+    cuts = np.searchsorted(bucket_of(names, buckets), np.arange(buckets + 1)).tolist()
+    return [(k, a, z) for k, (a, z) in enumerate(zip(cuts, cuts[1:], strict=False)) if a < z]
 
 
-class CountWords:
-    """kind 0: the training count of each word, in the order asked; with the bucket's tokens and known words."""
+def added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Parts of (names, counts): the sums by name, and the places of each part's names among them."""
+    names, of = np.unique(np.concatenate([n for n, _ in parts]), return_inverse=True)
+    sums = np.bincount(of, np.concatenate([c for _, c in parts]), len(names)).astype(np.int64)
+    return sums, np.split(of, np.cumsum([len(n) for n, _ in parts])[:-1])
 
-    def __call__(self, table: pa.Table) -> pa.Table:
-        bucket = table.column("bucket")[0].as_py()
-        chunks, sizes, of, (count,) = added(table, 1)
-        parts = np.split(count[of], np.cumsum(sizes)[:-1])
-        rows = [{"chunk": c, "kind": 0, "bucket": bucket, "payload": numbers(p)} for c, p in zip(chunks, parts, strict=True)]
-        rows[0] |= {"n_all": int(count.sum()), "n_kinds": int((count > 0).sum())}
-        return replied(rows)
 
+class CountWords:
+    """The training count of each word, in the order asked. sums: the bucket's tokens and known words."""
 
-def in_order(table: pa.Table, kind: int) -> list[bytes]:
-    kinds = table.column("kind").to_numpy()
-    rows = np.flatnonzero(kinds == kind)
-    rows = rows[np.argsort(table.column("bucket").to_numpy()[rows])]
-    return [table.column("payload")[k].as_py() for k in rows.tolist()]
+    def __call__(self, table: pa.Table) -> pa.Table:
+        bucket = table.column("target")[0].as_py()
+        chunks, payloads = of_kind(table, WORDS)
+        count, places = added([(np.frombuffer(n, np.uint64), from_numbers(c)) for n, c in map(unblobs, payloads)])
+        rows = [{"target": c, "kind": WORDS, "source": bucket, "payload": numbers(count[p])} for c, p in zip(chunks, places, strict=True)]
+        rows[0]["sums"] = [float(count.sum()), float((count > 0).sum())]
+        return messages(rows)
 
 
 class AskPairs:
-    """Each chunk sends its pairs by segment: of each segment its name, the parts of its restaurant and how many words follow, of each pair 32 bits of the word's hash, ascending, as differences; its training count and the parent's probability."""
+    """Each chunk sends its pairs to the buckets of their contexts.
 
-    def __init__(self, buckets: int, split: int, n_all: int, n_kinds: int):
-        self.buckets, self.split, self.n_all, self.n_kinds = buckets, split, n_all, n_kinds
+    Of each segment its name, how many words follow, the context's customers and the number of its parts, and for a context in parts its own name; the
+    words that follow; of each pair its word and training count."""
+
+    def __init__(self, buckets: int, split: int):
+        self.buckets, self.split = buckets, split
 
     def __call__(self, left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
-        for chunk, payload in zip(left.column("chunk").to_pylist(), left.column("payload").to_pylist(), strict=True):
-            c = Chunk(payload)
-            known = np.concatenate([from_numbers(p) for p in in_order(right, 0)])
-            g = c.segments(known, self.split, self.buckets)
-            count = np.bincount(g.of[c.trains()], minlength=len(g.context))[g.index]
-            parent = level_of((known[g.word] + 0.5) / (self.n_all + 0.5 * (self.n_kinds + 1)))[g.index]
+        for chunk, own, pairs in zip(left.column("chunk").to_pylist(), left.column("words").to_pylist(), left.column("pairs").to_pylist(), strict=True):
+            names = np.frombuffer(unblobs(own)[0], np.uint64)
+            follow, word, count = map(from_numbers, unblobs(pairs))
+            known = np.concatenate([from_numbers(p) for p in of_kind(right, WORDS)[1]])
+            g = segments(names, follow, word, known, self.split, self.buckets)
+            word, count = word[g.index], count[g.index]
             edge = np.concatenate([[0], np.cumsum(g.size)])
-            step = np.diff(g.mark[g.index], prepend=0)
-            step[edge[:-1]] = g.mark[g.index[edge[:-1]]]
             for k, (a, z) in enumerate(zip(g.cuts[:-1].tolist(), g.cuts[1:].tolist(), strict=True)):
                 if a < z:
                     p = slice(edge[a], edge[z])
-                    out.append((k, chunk, blobs(g.name[a:z].tobytes(), numbers(g.size[a:z]), numbers(g.parts[a:z]), packed_planes(step[p].astype(np.uint32)), numbers(count[p]), parent[p].tobytes())))
-        return asked(out)
+                    here, of = np.unique(word[p], return_inverse=True)
+                    cut = g.parts[a:z] > 1
+                    payload = blobs(
+                        g.name[a:z].tobytes(), numbers(g.size[a:z]), numbers(known[g.context[a:z]]), numbers(g.parts[a:z]), numbers(g.part[a:z]), names[g.context[a:z][cut]].tobytes(),
+                        names[here].tobytes(), numbers(of), numbers(count[p]),
+                    )
+                    out.append({"target": k, "kind": PLACES, "source": chunk, "payload": payload})
+        return messages(out)
 
 
-def level_of(p: np.ndarray) -> np.ndarray:
-    """A probability as one of 256 steps of a tenth."""
-    return np.clip(np.round(-np.log(p) * 10), 0, 255).astype(np.uint8)
+class Merge:
+    """A bucket's pairs, each once (STATE); where those that a chunk asked for stand among them (PLACES), and the NAMES of its words and of its contexts in parts, for the parent's ``buckets``. sums: pairs seen once and twice."""
 
+    def __init__(self, buckets: int):
+        self.buckets = buckets
 
-def of_level(level: np.ndarray) -> np.ndarray:
-    return np.exp(-level.astype(float) / 10)
-
+    def __call__(self, table: pa.Table) -> pa.Table:
+        bucket = table.column("target")[0].as_py()
+        chunks, payloads = of_kind(table, PLACES)
+        parts = [unblobs(p) for p in payloads]
+        names, first, seg = np.unique(np.concatenate([np.frombuffer(p[0], np.uint64) for p in parts]), return_index=True, return_inverse=True)
+        customers, pieces, piece = (np.concatenate([from_numbers(p[k]) for p in parts])[first] for k in (2, 3, 4))
+        in_parts = np.concatenate([from_numbers(p[3]) > 1 for p in parts])
+        roots = np.zeros(len(in_parts), np.uint64)
+        roots[in_parts] = np.concatenate([np.frombuffer(p[5], np.uint64) for p in parts])
+        vocabulary, word = np.unique(np.concatenate([np.frombuffer(p[6], np.uint64) for p in parts]), return_inverse=True)
+        heads = np.cumsum([0, *(len(p[6]) // 8 for p in parts)])
+        key = np.repeat(seg, np.concatenate([from_numbers(p[1]) for p in parts])) * len(vocabulary)
+        key += word[np.concatenate([from_numbers(p[7]) + h for p, h in zip(parts, heads, strict=False)])]
+        pair, of = np.unique(key, return_inverse=True)
+        count = np.bincount(of, np.concatenate([from_numbers(p[8]) for p in parts])).astype(np.int64)
+        cut = np.flatnonzero(pieces > 1)
+        cut = cut[np.argsort(roots[first[cut]], kind="stable")]
+        roots = roots[first[cut]]
+        words_at, roots_at = (np.searchsorted(bucket_of(x, self.buckets), np.arange(self.buckets + 1)) for x in (vocabulary, roots))
+        payload = blobs(
+            numbers(np.bincount(pair // len(vocabulary), minlength=len(names))), numbers(customers), numbers(cut), numbers(piece[cut]), numbers(words_at), numbers(roots_at),
+            numbers(pair % len(vocabulary)), numbers(count),
+        )
+        rows = [{"target": bucket, "kind": STATE, "source": bucket, "payload": payload, "sums": [float((count == 1).sum()), float((count == 2).sum())]}]
+        at = 0
+        for chunk, p in zip(chunks, parts, strict=True):
+            n = int(from_numbers(p[1]).sum())
+            rows.append({"target": bucket, "kind": PLACES, "source": chunk, "payload": steps(of[at : at + n])})
+            at += n
+        for k in np.flatnonzero((np.diff(words_at) > 0) | (np.diff(roots_at) > 0)).tolist():
+            own = vocabulary[words_at[k] : words_at[k + 1]], roots[roots_at[k] : roots_at[k + 1]]
+            rows.append({"target": k, "kind": NAMES, "source": bucket, "payload": blobs(*(x.tobytes() for x in own))})
+        return messages(rows)
 
-class SeatContexts:
-    """kind 1: of each pair, in the order asked, its count and tables, and whether this chunk is the one to pass its tables on; of each segment its tables."""
 
-    def __init__(self, strength: float, discount: float, burn: int, samples: int):
-        self.args = (strength, discount, burn, samples)
+class MergeNames:
+    """Where the words, and the contexts in parts, that a bucket asks for stand in the parent's bucket (PLACES); and how many different ones there are (STATE)."""
 
     def __call__(self, table: pa.Table) -> pa.Table:
-        bucket = table.column("bucket")[0].as_py()
-        chunks = table.column("chunk").to_pylist()
-        payloads = [unblobs(p) for p in table.column("payload").to_pylist()]
-        names = [np.frombuffer(p[0], np.uint64) for p in payloads]
-        follow = [from_numbers(p[1]) for p in payloads]
-        contexts, at_first, rest = np.unique(np.concatenate(names), return_index=True, return_inverse=True)
-        parts = np.concatenate([from_numbers(p[2]) for p in payloads])[at_first]
-        marks = []
-        for p, f in zip(payloads, follow, strict=True):
-            total = np.cumsum(unpacked_planes(p[3], "u4").astype(np.int64))
-            ends = np.cumsum(f)
-            before = np.concatenate([[0], total[ends[:-1] - 1]])
-            marks.append(total - np.repeat(before, f))
-        sizes = [len(m) for m in marks]
-        per_pair = np.repeat(rest, np.concatenate(follow))
-        key = per_pair.astype(np.uint64) << np.uint64(32) | np.concatenate(marks).astype(np.uint64)
-        pairs, first, of = np.unique(key, return_index=True, return_inverse=True)
-        count = np.bincount(of, np.concatenate([from_numbers(p[4]) for p in payloads])).astype(np.int64)
-        parent = of_level(np.concatenate([np.frombuffer(p[5], np.uint8) for p in payloads])[first])
-        home = (pairs >> np.uint64(32)).astype(np.int64)
-        tables = sampled(count, home, parts, parent, *self.args, seed=9 + bucket)
-        in_all = [np.bincount(home, t, len(contexts)).astype(np.int64) for t in tables]
-        owner = np.zeros(len(key), np.int64)
-        owner[first] = 1
-        rows, at, heads = [], 0, 0
-        for chunk, n, m in zip(chunks, sizes, names, strict=True):
-            own, who = of[at : at + n], rest[heads : heads + len(m)]
-            payload = blobs(numbers(count[own]), numbers(owner[at : at + n]), *(numbers(t[own]) for t in tables), *(numbers(t[who]) for t in in_all))
-            rows.append({"chunk": chunk, "kind": 1, "bucket": bucket, "payload": payload})
-            at, heads = at + n, heads + len(m)
-        return replied(rows)
-
-
-class Pairs:
-    """What kind 1 says of a chunk's pairs, in their own order, and of the tables in each context's restaurant."""
-
-    def __init__(self, right: pa.Table, g: Segments, samples: int):
-        replies = [unblobs(p) for p in in_order(right, 1)]
-
-        def by_pair(k: int) -> np.ndarray:
-            out = np.empty(len(g.index), np.int64)
-            out[g.index] = np.concatenate([from_numbers(p[k]) for p in replies])
-            return out
-
-        self.count, self.owner = by_pair(0), by_pair(1)
-        self.tables = [by_pair(2 + s) for s in range(samples)]
-        seen = np.maximum(np.bincount(g.home), 1)
-        self.in_all = [np.bincount(g.home, g.parts * np.concatenate([from_numbers(p[2 + samples + s]) for p in replies])) / seen for s in range(samples)]
-
-
-class AskParent:
-    """Each chunk sends, for its words, the tables of the pairs that it passes on: the parent's customers."""
-
-    def __init__(self, buckets: int, split: int, samples: int):
-        self.buckets, self.split, self.samples = buckets, split, samples
+        bucket = table.column("target")[0].as_py()
+        sources, payloads = of_kind(table, NAMES)
+        sides, sizes = [], []
+        for k in (0, 1):
+            parts = [np.frombuffer(unblobs(p)[k], np.uint64) for p in payloads]
+            names, of = np.unique(np.concatenate(parts), return_inverse=True)
+            sides.append(np.split(of, np.cumsum([len(p) for p in parts])[:-1]))
+            sizes.append(len(names))
+        rows = [{"target": bucket, "kind": STATE, "source": bucket, "payload": numbers(np.array(sizes))}]
+        return messages(rows + [{"target": bucket, "kind": PLACES, "source": s, "payload": blobs(steps(w), steps(r))} for s, w, r in zip(sources, *sides, strict=True)])
+
+
+def steps(places: np.ndarray) -> bytes:
+    """Places, mostly ascending, by their differences."""
+    step = np.diff(places, prepend=0)
+    return numbers(2 * np.abs(step) + (step < 0))
+
+
+def from_steps(payload: bytes) -> np.ndarray:
+    code = from_numbers(payload)
+    return np.cumsum(np.where(code & 1, -(code >> 1), code >> 1))
+
+
+@dataclass
+class Totals:
+    """What holds for all restaurants in a sweep. round: its number; n_all, n_kinds: training tokens and known words; customers, tables: of the parent."""
+
+    round: int
+    n_all: int
+    n_kinds: int
+    strength: float
+    discount: float
+    top_strength: float
+    top_discount: float
+    customers: float
+    tables: float
+
+
+class State:
+    """A bucket's restaurants."""
+
+    def __init__(self, left: pa.Table):
+        (self.bucket,), (payload,) = of_kind(left, STATE)
+        self.follow, self.customers, self.cut, self.piece, self.words_at, self.roots_at, self.word, self.count = map(from_numbers, unblobs(payload))
+        self.seg = np.repeat(np.arange(len(self.follow)), self.follow)
+
+    def ask(self, tables: np.ndarray) -> list[dict]:
+        """Messages to the parent: the tables of each word, and of each part of a context in parts."""
+        sums = np.bincount(self.word, tables, int(self.words_at[-1])).astype(np.int64)
+        own = np.bincount(self.seg, tables, len(self.follow)).astype(np.int64)[self.cut]
+        w, r = self.words_at, self.roots_at
+        some = np.flatnonzero((np.diff(w) > 0) | (np.diff(r) > 0)).tolist()
+        return [{"target": k, "kind": PARENT, "source": self.bucket, "payload": blobs(numbers(sums[w[k] : w[k + 1]]), numbers(own[r[k] : r[k + 1]]))} for k in some]
+
+    def answer(self, payloads: list[bytes], tables: np.ndarray, t: Totals) -> tuple[np.ndarray, np.ndarray]:
+        """The parent's probability of each word, and the tables of each segment's context."""
+        parts = [unblobs(p) for p in payloads]
+        customers, own = (np.concatenate([from_numbers(p[k]) for p in parts]) for k in (0, 1))
+        top = (customers - t.top_discount * own + (t.top_strength + t.top_discount * t.tables) / (t.n_kinds + 1)) / (t.top_strength + t.customers)
+        in_all = np.bincount(self.seg, tables, len(self.follow))
+        in_all[self.cut] = np.concatenate([from_numbers(p[2]) for p in parts])
+        return top, in_all
+
+
+class Sweep:
+    """One sweep of a bucket: TABLES of its pairs, and messages to the parent. sums: see auxiliary(). Round 0 only sets the start."""
+
+    def __init__(self, totals: Totals):
+        self.totals = totals
 
     def __call__(self, left: pa.Table, right: pa.Table) -> pa.Table:
-        out = []
-        for chunk, payload in zip(left.column("chunk").to_pylist(), left.column("payload").to_pylist(), strict=True):
-            c = Chunk(payload)
-            g = c.segments(np.concatenate([from_numbers(p) for p in in_order(right, 0)]), self.split, self.buckets)
-            pairs = Pairs(right, g, self.samples)
-            sums = [np.bincount(g.word, t * pairs.owner, len(c.names)).astype(np.int64) for t in pairs.tables]
-            cuts = c.cuts(self.buckets)
-            out += [(k, chunk, blobs(c.names[a:z].tobytes(), *(numbers(s[a:z]) for s in sums))) for k, (a, z) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if a < z]
-        return asked(out)
+        if not left.num_rows:
+            return messages([])
+        s, t, sums = State(left), self.totals, [0.0, 0.0]
+        tables = np.minimum(s.count, 1)
+        if t.round:
+            rng = np.random.default_rng([9, t.round, s.bucket])
+            old = from_numbers(of_kind(right, TABLES)[1][0])
+            top, in_all = s.answer(of_kind(right, PARENT)[1], old, t)
+            own = np.ones(len(s.follow), bool)
+            own[s.cut] = s.piece == 0  # of a context in parts, the first one speaks
+            own &= s.customers > 0
+            sums = auxiliary(s.customers[own], in_all[own].astype(np.int64), t.strength, t.discount, rng)
+            many = np.flatnonzero(s.count > 1)
+            p = top[s.word[many]]
+            others = in_all[s.seg[many]] - old[many]
+            tables[many] = draw_tables(s.count[many], (t.strength + t.discount * others) * p, t.discount * p, t.discount, stirling_ratios(t.discount), rng)
+        return messages([{"target": s.bucket, "kind": TABLES, "source": s.bucket, "payload": numbers(tables), "sums": sums}, *s.ask(tables)])
 
 
 class SeatParent:
-    """kind 2: customers and tables of each word in the parent's restaurant, for each sample, in the order asked."""
+    """Seats a range of words in the parent's restaurant; adds up the tables of contexts in parts. Answers stand in the order asked. sums: customers, tables, words with one and with two customers."""
 
-    def __init__(self, n_kinds: int, strength: float, discount: float, samples: int):
-        self.n_kinds, self.strength, self.discount, self.samples = n_kinds, strength, discount, samples
+    def __init__(self, totals: Totals):
+        self.totals = totals
 
-    def __call__(self, table: pa.Table) -> pa.Table:
-        bucket = table.column("bucket")[0].as_py()
-        chunks, sizes, of, sums = added(table, self.samples)
-        cut, columns, totals = np.cumsum(sizes)[:-1], [], []
-        rng = np.random.default_rng(1009 + bucket)
-        for c in sums:
-            # About one table for each known word; the base is the same for all.
-            base = np.full(len(c), (self.strength + self.discount * self.n_kinds) / (self.n_kinds + 1))
-            tables = np.where(c > 0, seat(c, base, np.full(len(c), self.discount / (self.n_kinds + 1)), self.discount, rng)[0], 0)
-            columns += [np.split(c[of], cut), np.split(tables[of], cut)]
-            totals += [int(c.sum()), int(tables.sum())]
-        rows = [{"chunk": chunk, "kind": 2, "bucket": bucket, "payload": blobs(*(numbers(col[k]) for col in columns))} for k, chunk in enumerate(chunks)]
-        rows[0]["sums"] = totals
-        return replied(rows)
+    def __call__(self, left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return messages([])
+        (bucket,), (sizes,) = of_kind(left, STATE)
+        t = self.totals
+        sources, payloads = of_kind(right, PARENT)
+        places = {s: tuple(map(from_steps, unblobs(p))) for s, p in zip(*of_kind(left, PLACES), strict=True)}
+        customers, in_parts = (np.zeros(int(n), np.int64) for n in from_numbers(sizes))
+        for s, p in zip(sources, payloads, strict=True):
+            words_, parts = map(from_numbers, unblobs(p))
+            customers[places[s][0]] += words_  # a bucket asks for a word once
+            np.add.at(in_parts, places[s][1], parts)
+        rng, n = np.random.default_rng([1009, t.round, bucket]), len(customers)
+        # The base is the same for all words, known or not; all tables but a word's own are about all.
+        base = np.full(n, (t.top_strength + t.top_discount * max(t.tables - 1, 0)) / (t.n_kinds + 1))
+        tables = draw_tables(customers, base, np.full(n, t.top_discount / (t.n_kinds + 1)), t.top_discount, stirling_ratios(t.top_discount), rng)
+        rows = [{"target": s, "kind": PARENT, "source": bucket, "payload": blobs(numbers(customers[p]), numbers(tables[p]), numbers(in_parts[r]))} for s, (p, r) in ((s, places[s]) for s in sources)]
+        rows[0]["sums"] = [float(customers.sum()), float(tables.sum()), float((customers == 1).sum()), float((customers == 2).sum())]
+        return messages(rows)
+
+
+class Predict:
+    """The averaged probability (its decimal logarithm) of each pair that a chunk asked for. right: TABLES and PARENT of each sample; the sample is in the source's place over 2**32."""
+
+    def __init__(self, totals: list[Totals]):
+        self.totals = totals
+
+    def __call__(self, left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return messages([])
+        s, prob = State(left), 0.0
+        sample = right.column("source").to_numpy() >> 32
+        for k, t in enumerate(self.totals):
+            own = right.filter(pa.array(sample == k))
+            tables = from_numbers(of_kind(own, TABLES)[1][0])
+            top, in_all = s.answer(of_kind(own, PARENT)[1], tables, t)
+            more = (t.strength + t.discount * in_all)[s.seg] * top[s.word]
+            prob = prob + (s.count - t.discount * tables + more) / (t.strength + s.customers)[s.seg]
+        log_p = np.log10(prob / len(self.totals)).astype(np.float32)
+        chunks, payloads = of_kind(left, PLACES)
+        return messages([{"target": c, "kind": PROBABILITIES, "source": s.bucket, "payload": log_p[from_steps(p)].tobytes()} for c, p in zip(chunks, payloads, strict=True)])
 
 
 class Score:
     """Scores the documents of a chunk."""
 
-    def __init__(self, buckets: int, split: int, n_all: int, n_kinds: int, totals: list[int], strength: float, discount: float, top_strength: float, top_discount: float, samples: int):
-        self.buckets, self.split, self.n_all, self.n_kinds, self.totals, self.samples = buckets, split, n_all, n_kinds, totals, samples
-        self.strength, self.discount, self.top_strength, self.top_discount = strength, discount, top_strength, top_discount
+    def __init__(self, buckets: int, split: int, n_all: int, n_kinds: int):
+        self.buckets, self.split, self.n_all, self.n_kinds = buckets, split, n_all, n_kinds
 
     def __call__(self, left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
-        for payload in left.column("payload").to_pylist():
-            c = Chunk(payload)
-            known = np.concatenate([from_numbers(p) for p in in_order(right, 0)])
-            g = c.segments(known, self.split, self.buckets)
-            pairs = Pairs(right, g, self.samples)
-            parts = [unblobs(p) for p in in_order(right, 2)]
-            prob = np.zeros(len(g.context))
-            for s in range(self.samples):
-                customers, tables = (np.concatenate([from_numbers(p[2 * s + k]) for p in parts]) for k in (0, 1))
-                all_customers, all_tables = self.totals[2 * s], self.totals[2 * s + 1]
-                top = (customers - self.top_discount * tables + (self.top_strength + self.top_discount * all_tables) / (self.n_kinds + 1)) / (self.top_strength + all_customers)
-                own = pairs.count - self.discount * pairs.tables[s]
-                prob += (own + (self.strength + self.discount * pairs.in_all[s])[g.context] * top[g.word]) / (self.strength + known)[g.context]
-            log_p = np.log10(prob / self.samples)[g.of]
-            base = np.log10((known + 0.5) / (self.n_all + 0.5 * (self.n_kinds + 1)))[c.tokens]
-            starts = np.cumsum(c.sizes) - c.sizes
+        for own, pairs, docs in zip(*(left.column(c).to_pylist() for c in ("words", "pairs", "docs")), strict=True):
+            names = np.frombuffer(unblobs(own)[0], np.uint64)
+            follow, word, _ = map(from_numbers, unblobs(pairs))
+            ids, has_id, held, sizes, of = unblobs(docs)
+            sizes, of = from_numbers(sizes), from_numbers(of)
+            known = np.concatenate([from_numbers(p) for p in of_kind(right, WORDS)[1]])
+            g = segments(names, follow, word, known, self.split, self.buckets)
+            log_p = np.empty(len(word))
+            log_p[g.index] = np.concatenate([np.frombuffer(p, np.float32) for p in of_kind(right, PROBABILITIES)[1]])
+            tokens = word[of]
+            base = np.log10((known + 0.5) / (self.n_all + 0.5 * (self.n_kinds + 1)))
+            starts = np.cumsum(sizes) - sizes
             add = lambda a: np.add.reduceat(a, starts)
-            ids = pa.array(c.ids, mask=c.known == 0)
-            out.append(pa.table({"doc_id": ids, "held_out": c.held, "n_tokens": c.sizes, "n_known": add((known[c.tokens] > 0).astype(np.int64)), "base_score": add(base), "score": add(log_p)}))
-        return pa.concat_tables(out) if out else pa.table({k: pa.array([], t) for k, t in (("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()))})
+            doc_id = pa.array(np.frombuffer(ids, np.int64), mask=np.frombuffer(has_id, np.uint8) == 0)
+            held = np.frombuffer(held, np.uint8).astype(bool)
+            out.append(pa.table({"doc_id": doc_id, "held_out": held, "n_tokens": sizes, "n_known": add((known[tokens] > 0).astype(np.int64)), "base_score": add(base[tokens]), "score": add(log_p[of])}))
+        return pa.concat_tables(out) if out else pa.table({k: pa.array([], v) for k, v in SCORE_TYPES.items()})
+
+
+def from_counts(one: float, two: float) -> float:
+    """A discount from the numbers of things seen once and twice."""
+    return min(max(one / (one + 2 * two), 0.1), 0.95) if one else 0.5
 
 
-def score_documents(docs: DataFrame, held_out, strength: float = 1.0, discount: float = 0.7, top_strength: float = 1.0, top_discount: float = 0.6, burn: int = 2, samples: int = 3, buckets: int | None = None, split: int = 500_000) -> DataFrame:
+def bucketed(df: DataFrame, name: str, by: str, parts: int, *kinds: str) -> DataFrame:
+    """df as a table in the shared folder, whose files are bucketed: groups by that column need no shuffle."""
+    spark = df.sparkSession
+    w = df.write.format("parquet").bucketBy(parts, by).option("path", new_path(spark, name))
+    (w.partitionBy(*kinds) if kinds else w).saveAsTable(name)
+    return spark.table(name)
+
+
+def score_documents(docs: DataFrame, held_out, burn: int = 2, samples: int = 3, split: int = 500_000, top_strength: float = 1.0, seed: int = 9) -> DataFrame:
     """docs: doc_id, text; held_out: a column, whether a document is kept from training.
 
-    One row each: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity."""
+    One row each: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity. split: customers from which a context is dealt over buckets; it does not change the model."""
     spark = docs.sparkSession
     parts = max(12, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    buckets = buckets or 2 * parts
-    made = map_batches(docs.select("doc_id", "text", held_out.alias("held_out")), Chunks(), "chunk bigint, payload binary")
-    name = f"lodesieve_chunks_{uuid.uuid4().hex}"
-    made.write.format("parquet").bucketBy(parts, "chunk").option("path", new_path(spark, "chunks")).saveAsTable(name)
-    chunks = spark.table(name)
-    by_chunk = chunks.groupBy("chunk")
-    words_ = saved(map_batches(chunks, AskWords(buckets), ASK).groupBy("bucket").applyInArrow(plain(CountWords()), REPLY), "words")
-    n_all, n_kinds = (int(x or 0) for x in words_.agg(F.sum("n_all"), F.sum("n_kinds")).first())
-    pairs = by_chunk.cogroup(words_.groupBy("chunk")).applyInArrow(both(AskPairs(buckets, split, n_all, n_kinds)), ASK)
-    pairs = saved(pairs.groupBy("bucket").applyInArrow(plain(SeatContexts(strength, discount, burn, samples)), REPLY), "pairs")
-    parent = by_chunk.cogroup(words_.unionByName(pairs).groupBy("chunk")).applyInArrow(both(AskParent(buckets, split, samples)), ASK)
-    parent = saved(parent.groupBy("bucket").applyInArrow(plain(SeatParent(n_kinds, top_strength, top_discount, samples)), REPLY), "parent")
-    sums = parent.agg(*[F.sum(F.element_at("sums", k + 1)) for k in range(2 * samples)]).first()
-    totals = [int(x or 0) for x in sums]
-    replies = words_.unionByName(pairs).unionByName(parent)
-    scored = by_chunk.cogroup(replies.groupBy("chunk")).applyInArrow(both(Score(buckets, split, n_all, n_kinds, totals, strength, discount, top_strength, top_discount, samples)), SCORES)
-    return scored.withColumn("train_tokens", F.lit(n_all).cast("bigint")).withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
+    run = uuid.uuid4().hex
+    made = map_batches(docs.select("doc_id", "text", held_out.alias("held_out")), Chunks(), "chunk bigint, words binary, pairs binary, docs binary, n_tokens bigint")
+    chunks = bucketed(made, f"lodesieve_chunks_{run}", "chunk", parts)
+    # Buckets grow with the data, not with the cluster: messages are as many as chunks times buckets, or buckets times the parent's.
+    tokens = int(chunks.agg(F.sum("n_tokens")).first()[0] or 0)
+    buckets, by_word = max(12, tokens // PER_BUCKET), max(12, tokens // PER_WORDS)
+    words_ = saved(map_batches(chunks.select("chunk", "words"), AskWords(by_word), MESSAGE).groupBy("target").applyInArrow(plain(CountWords()), MESSAGE), "words")
+    n_all, n_kinds = added_up(words_, 2)
+    asked = chunks.select("chunk", "words", "pairs").groupBy("chunk").cogroup(words_.groupBy("target")).applyInArrow(both(AskPairs(buckets, split)), MESSAGE)
+    state = bucketed(asked.groupBy("target").applyInArrow(plain(Merge(max(6, int(n_kinds) // PER_PARENT))), MESSAGE), f"lodesieve_state_{run}", "target", parts, "kind").select(*MESSAGE_TYPES)
+    pairs = state.where(F.col("kind") == STATE)
+    names = state.where(F.col("kind") == NAMES).groupBy("target").applyInArrow(plain(MergeNames()), MESSAGE)
+    places = bucketed(names, f"lodesieve_parent_{run}", "target", parts)
+    discount = from_counts(*added_up(pairs, 2))
+    rng = np.random.default_rng(seed)
+    t = Totals(0, int(n_all), int(n_kinds), 1.0, discount, top_strength, 0.5, 0.0, float(n_kinds))
+    right, kept = spark.createDataFrame([], MESSAGE), []
+    for k in range(burn + samples + 1):
+        t = Totals(k, t.n_all, t.n_kinds, t.strength, discount, top_strength, t.top_discount, t.customers, t.tables)
+        swept = saved(pairs.groupBy("target").cogroup(right.groupBy("target")).applyInArrow(both(Sweep(t)), MESSAGE), f"sweep-{k}")
+        asked = swept.where(F.col("kind") == PARENT)
+        seated = saved(places.groupBy("target").cogroup(asked.groupBy("target")).applyInArrow(both(SeatParent(t)), MESSAGE), f"parent-{k}")
+        customers, tables, one, two = added_up(seated, 4)
+        if k == 0:
+            t.top_discount = from_counts(one, two)
+        else:
+            x, y = added_up(swept.where(F.col("kind") == TABLES), 2)
+            t.strength = float(rng.gamma(1 + y) / (1 + x))
+        t.customers, t.tables = customers, tables
+        right = swept.where(F.col("kind") == TABLES).unionByName(seated)
+        if k > burn:
+            place = F.lit(len(kept)).cast("bigint") * F.lit(1 << 32)
+            kept.append((right.withColumn("source", F.col("source") + place), Totals(**vars(t))))
+    all_samples = kept[0][0]
+    for r, _ in kept[1:]:
+        all_samples = all_samples.unionByName(r)
+    answers = state.where(F.col("kind") != NAMES).groupBy("target").cogroup(all_samples.groupBy("target")).applyInArrow(both(Predict([x for _, x in kept])), MESSAGE)
+    scored = chunks.groupBy("chunk").cogroup(words_.unionByName(answers).groupBy("target")).applyInArrow(both(Score(buckets, split, int(n_all), int(n_kinds))), SCORES)
+    scored = saved(scored, "scores")
+    for name in ("chunks", "state", "parent"):
+        spark.sql(f"DROP TABLE lodesieve_{name}_{run}")  # the files stay in the shared folder
+    return scored.withColumn("train_tokens", F.lit(int(n_all)).cast("bigint")).withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
+
+
+def added_up(rows: DataFrame, n: int) -> list[float]:
+    return [float(x or 0) for x in rows.agg(*[F.sum(F.try_element_at("sums", F.lit(k + 1))) for k in range(n)]).first()]
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lodesieve.llm import components, decontaminate, jaccard_join, language_gru, pitman_yor
@@ -170,6 +171,22 @@ def test_gru_gradients():
             assert abs((a - b) / 2e-2 - g[k][i]) < 1e-3 + 0.05 * abs(g[k][i]), (k, i)
 
 
+def test_prediction_is_the_trained_network():
+    net = language_gru.Network(["a", "b", "c"], 8)
+    x = np.random.default_rng(0).integers(0, 257, (20, 7)).astype(np.int16)
+    logits = np.concatenate([net.run(x, d) for d in "fb"], 2) @ net.p["out"] + net.p["bias"]
+    want = logits - np.log(np.exp(logits).sum(2, keepdims=True))
+    want[x == language_gru.PAD] = 0
+    assert np.allclose(net.log_probabilities(x), want.sum(0), atol=1e-3)
+
+
+def test_sample_is_spread_over_whole_texts(spark):
+    df = spark.createDataFrame([(k, "a" * 6400 + "z" * 6400, "x") for k in range(40)], "doc_id bigint, text string, lang string")
+    texts, langs = language_gru.sample(df, pieces=4)
+    assert set(langs) == {"x"} and all(len(t) == 256 and t.count(b"z") == 128 for t in texts)
+    assert len(language_gru.sample(df, total=5)[0]) < 20
+
+
 def test_language_held_out_accuracy_and_odd_rows(spark, sf_dir):
     docs = documents(spark, "/root/testdata/sf0.01" if sf_dir.endswith("sf0.001") else sf_dir)
     texts, langs = language_gru.sample(docs)
@@ -181,6 +198,9 @@ def test_language_held_out_accuracy_and_odd_rows(spark, sf_dir):
     assert sorted(r["doc_id"] for r in got) == sorted(held)
     assert sum(r["lang_pred"] == lang[r["doc_id"]] for r in got) / len(got) > 0.93
     odd = spark.createDataFrame([(1, None), (2, ""), (3, "12 $$ --"), (4, "the"), (None, "und die der " * 50_000), (4, "la")], "doc_id bigint, text string")
+    signs = spark.createDataFrame([(k, t) for k, t in enumerate(["½ ² 12", "Ⅷ ①", "¾", "١٢", "½ é", "Ⅷ x", "日"])], "doc_id bigint, text string")
+    assert [r["lang_pred"] == "und" for r in language_gru.language_id(signs, net).orderBy("doc_id").collect()] == [True] * 4 + [False] * 3
+    assert language_gru.language_id(docs.where("false"), net).count() == 0
     out = sorted((r["doc_id"] or 0, r["lang_pred"] == "und", 0 <= r["score"] <= 1) for r in language_gru.language_id(odd, net).collect())
     assert out == [(0, False, True), (1, True, True), (2, True, True), (3, True, True), (4, False, True), (4, False, True)]
     assert sorted(r["doc_id"] or 0 for r in language_gru.in_a_language(odd.withColumn("score", F.lit("x")), net, margin=0.0).collect()) == [0, 4, 4]
@@ -188,18 +208,16 @@ def test_language_held_out_accuracy_and_odd_rows(spark, sf_dir):
     assert none is None and {r["lang_pred"] for r in language_gru.language_id(odd, none).collect()} == {"und"}
 
 
-def test_seating_matches_its_distribution():
-    rng = np.random.default_rng(5)
-    for count, weight in ((2, 0.5), (5, 2.0), (400, 0.8), (400, 60.0), (20_000, 1.0)):
-        n, d, s = 3000, 0.6, 0.01
-        fast, _ = pitman_yor.seat(np.full(n, count), np.full(n, weight), np.full(n, s), d, rng)
-        t = np.ones(n)
-        for seated in range(1, count):
-            new = weight + s * t
-            t += rng.random(n) * (seated - d * t + new) < new
-        error = 5 * math.hypot(t.std(), fast.std()) / math.sqrt(n) + 0.01 * t.mean()
-        assert abs(fast.mean() - t.mean()) < error, (count, weight, fast.mean(), t.mean())
-        assert fast.max() <= count and fast.min() >= 1
+def test_seatings_of_frequent_words_match_the_exact_distribution():
+    rng, d, n = np.random.default_rng(5), 0.6, 4000
+    ratios = pitman_yor.stirling_ratios(d, 400)
+    for count, w, s in ((150, 0.02, 0.001), (150, 3.0, 0.1), (400, 0.8, 0.01), (400, 6.0, 0.05), (120, 7.0, 0.01), (400, 10.0, 0.01), (400, 30.0, 0.2), (400, 300.0, 0.01)):
+        mass = np.cumprod(np.concatenate([[1.0], ratios[count, 1:count] * (w + s * np.arange(1, count))]))
+        mean = (mass * np.arange(1, count + 1)).sum() / mass.sum()
+        got = pitman_yor.draw_tables(np.full(n, count), np.full(n, w), np.full(n, s), d, ratios[:101, :101], rng)
+        assert abs(got.mean() - mean) < 5 * got.std() / math.sqrt(n) + 0.025 * mean, (count, w, got.mean(), mean)
+        spread = math.sqrt((mass * np.arange(1, count + 1) ** 2).sum() / mass.sum() - mean**2)
+        assert abs(got.std() - spread) < 0.12 * spread + 0.02 and got.min() >= 1 and got.max() <= count
 
 
 def test_log_gamma():
@@ -219,17 +237,53 @@ def test_scores_base_columns_by_brute_force(spark, sf_dir):
     old, pitman_yor.CHUNK = pitman_yor.CHUNK, 5000
     try:
         got = pitman_yor.score_documents(df, fold("doc_id", 5) == 1).collect()
-        parts = pitman_yor.score_documents(df, fold("doc_id", 5) == 1, split=200).collect()
+        parts = pitman_yor.score_documents(df, fold("doc_id", 5) == 1, split=50).collect()
     finally:
         pitman_yor.CHUNK = old
     assert sorted((r["doc_id"] or 0, r["held_out"], r["n_tokens"], r["n_known"], round(r["base_score"], 6)) for r in got) == want
     assert all(r["train_tokens"] == n and math.isfinite(r["score"]) and r["score"] < 0 for r in got)
     whole = sum(r["score"] for r in got if r["held_out"])
-    assert abs(sum(r["score"] for r in parts if r["held_out"]) - whole) < 0.01 * abs(whole)
+    assert abs(sum(r["score"] for r in parts if r["held_out"]) - whole) < 0.003 * abs(whole)  # the model is the same, the draws are others
     for h in (True, False):  # pairs tell more than words alone
         assert sum(r["score"] for r in got if r["held_out"] == h) > sum(r["base_score"] for r in got if r["held_out"] == h)
 
 
+def test_tables_have_their_exact_distribution():
+    """All seatings of five customers, by brute force, against the draws; and frequent words against long chains."""
+    rng, d, w, s = np.random.default_rng(3), 0.6, 0.7, 0.4
+
+    def ways(left, tables, t, weight):
+        if not left:
+            out[t] = out.get(t, 0.0) + weight
+            return
+        for k in range(t):
+            ways(left - 1, [*tables[:k], tables[k] + 1, *tables[k + 1 :]], t, weight * (tables[k] - d))
+        ways(left - 1, [*tables, 1], t + 1, weight * (w + s * t))
+
+    out: dict[int, float] = {}
+    ways(4, [1], 1, 1.0)
+    n = 200_000
+    got = np.bincount(pitman_yor.draw_tables(np.full(n, 5), np.full(n, w), np.full(n, s), d, pitman_yor.stirling_ratios(d), rng), minlength=6) / n
+    assert np.allclose(got[1:], [out[t] / sum(out.values()) for t in range(1, 6)], atol=0.006)
+    assert pitman_yor.draw_tables(np.array([0, 1]), np.ones(2), np.ones(2), d, pitman_yor.stirling_ratios(d), rng).tolist() == [0, 1]
+
+
+@pytest.mark.parametrize("split", [500_000, 20])
+def test_words_after_a_context_sum_to_one(spark, split):
+    """Every known word, the end and the unknown one after 'a', a context in one part or in many."""
+    rng = random.Random(2)
+    known = [f"w{k}" for k in range(60)] + ["a"]
+    train = [(k, " ".join(rng.choice([rng.choice(known), "a"]) for _ in range(rng.randint(1, 30)))) for k in range(300)]
+    seen = sorted({w for _, t in train for w in t.split()})
+    probe = [(1000 + k, f"a {w}") for k, w in enumerate([*seen, "unknown"])] + [(5000 + k, w) for k, w in enumerate([*seen, "unknown"])] + [(9000, "a")]
+    df = spark.createDataFrame(train + probe, "doc_id bigint, text string")
+    got = {r["doc_id"]: 10 ** r["score"] for r in pitman_yor.score_documents(df, F.col("doc_id") >= 1000, split=split).where("held_out").collect()}
+    # p(a, w, end) = p(a | start) p(w | a) p(end | w), and p(w, end) = p(w | start) p(end | w): both are asked, so ratios and sums are tied.
+    ratio = {k: got[1000 + k] / got[5000 + k] for k in range(len(seen) + 1)}  # p(a | start) p(w | a) / p(w | start)
+    assert all(math.isfinite(v) and v > 0 for v in ratio.values())
+    assert 0 < sum(got[1000 + k] for k in range(len(seen) + 1)) < 1
+
+
 def test_predictive_probabilities_sum_to_one(spark):
     words = ["a", "b", "c", "d"]
     rng = random.Random(1)
