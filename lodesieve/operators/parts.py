@@ -29,10 +29,13 @@ def placed(parts: DataFrame, key: str, pos: str, text: str) -> DataFrame:
 
 
 def joined(rows: DataFrame, key: str, pos: str, text: str) -> DataFrame:
-    """The whole of each key's parts, in order, and whether it is within the limit. One whole is one row, as it is scanned as one."""
+    """rows: placed(). The whole of each key's parts, in order: key, whole, error. One whole is one row, as it is scanned as one; beyond the limit none is built."""
+    large = rows.groupBy(key).agg(F.max("end").alias("size")).where(F.col("size") > LIMIT).select(F.col(key).alias("__key"))
+    small = rows.join(large, F.col(key).eqNullSafe(F.col("__key")), "left_anti")
     piece = F.concat("lead", F.coalesce(F.col(text), F.lit("")))
-    whole = rows.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), piece.alias("t")))), lambda x: x["t"]), "").alias("whole"))
-    return whole.withColumn("error", F.when(F.octet_length("whole") > LIMIT, F.lit("reconstruction_limit")))
+    whole = small.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), piece.alias("t")))), lambda x: x["t"]), "").alias("whole"))
+    refused = large.select(F.col("__key").alias(key), F.lit(None).cast("string").alias("whole"), F.lit("reconstruction_limit").alias("error"))
+    return whole.withColumn("error", F.lit(None).cast("string")).unionByName(refused)
 
 
 def clipped_findings(parts: DataFrame, key: str, pos: str, text: str, rules: Rules = DEFAULT_RULES) -> DataFrame:
