@@ -32,9 +32,7 @@ def matches(text: Column, rule_id: str, regex: str, group: int = 0) -> Column:
     pattern, captures = opened(regex)
     if group:
         captures = [c for c in captures if c.own == group]
-    gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), 0)
     numbers = sorted({n for c in captures for n in (c.group, *c.before)})
-    lists = [F.slice(gaps, 1, F.greatest(F.size(hits), F.lit(0))).alias("gap"), hits.alias("hit"), *(F.regexp_extract_all(text, F.lit(pattern), n).alias(f"g{n}") for n in numbers)]
 
     def secret(pair: Column, start: Column) -> Column:
         """The first capture that is not empty, or else the whole match; of a certain group that capture."""
@@ -51,7 +49,13 @@ def matches(text: Column, rule_id: str, regex: str, group: int = 0) -> Column:
         start = at + F.octet_length(pair["gap"])
         return start + F.octet_length(pair["hit"]), secret(pair, start)
 
-    return fold(F.arrays_zip(*lists), F.lit(0), step, HIT)
+    def over(hits: Column) -> Column:
+        gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits))
+        lists = [gaps.alias("gap"), hits.alias("hit"), *(F.regexp_extract_all(text, F.lit(pattern), n).alias(f"g{n}") for n in numbers)]
+        return F.when(F.size(hits) > 0, fold(F.arrays_zip(*lists), F.lit(0), step, HIT)).otherwise(empty(FINDING))
+
+    # Where there is no match, one pass over the text is all.
+    return bind(F.regexp_extract_all(text, F.lit(pattern), 0), over)
 
 
 def wrapped(text: Column, rule: Rule) -> Column:
@@ -102,7 +106,7 @@ def scan(text: Column, rules: Rules = DEFAULT_RULES) -> Column:
             words = F.lit(not r.keywords)
             for k in r.keywords:
                 words = words | F.contains(x["low"], F.lit(k.lower()))
-            return F.when(words & x["text"].rlike(r.regex), kept(r, matches(x["text"], r.id, r.regex, r.group))).otherwise(none)
+            return F.when(words, kept(r, matches(x["text"], r.id, r.regex, r.group))).otherwise(none)
 
         lists = [*map(gated, ready)]
         for r in ready:

@@ -58,6 +58,57 @@ def test_greedy_bytes(spark):
     assert sorted(r["key"] for r in kept.collect()) == ["s:a", "s:c", "s:d"]
 
 
+def test_greedy_bytes_in_rounds(spark):
+    """Many rows of few budgets, worked off in rounds and by folds, against the plain loop."""
+    rng = random.Random(7)
+    rows = [(f"{k:05d}", rng.choice(["a", "a", "a", "b", None]), rng.randint(0, 40), rng.choice([None, 0, 1, 2, 5, 9, 30, 70, 400])) for k in range(600)]
+    want = []
+    for scope in {r[1] for r in rows}:
+        room = 300
+        for key, _, _, size in sorted((r for r in rows if r[1] == scope), key=lambda r: (-r[2], r[0])):
+            if size is not None and size <= room:
+                room -= size
+                want.append(key)
+    v = spark.createDataFrame(rows, "key string, scope string, accessed bigint, size bigint")
+    old = verdicts.FOLD
+    try:
+        for verdicts.FOLD in (10_000, 20):
+            assert sorted(r["key"] for r in verdicts.within_bytes(v, ["scope"], 300).collect()) == sorted(want)
+    finally:
+        verdicts.FOLD = old
+
+
+def test_purge_all(spark):
+    v = spark.createDataFrame([row("a:1"), row("b:1")], V)
+    left, generation = verdicts.purged_all(v, 3)
+    assert left.count() == 0 and generation == 4 and left.columns == v.columns
+
+
+def test_running_sums_and_ranks_of_hot_keys(spark):
+    rng = random.Random(9)
+    rows = [(rng.choice(["hot", "hot", "hot", "b", None]), k, rng.randint(0, 9), rng.choice([None, 1.0, 2.5, rng.random()])) for k in range(500)]
+    df = spark.createDataFrame(rows, "key string, pos int, size bigint, ms double")
+    got = {(r["key"], r["pos"]): (r["used"], r["error"]) for r in geometry.over_budget(df, "key", "pos", "size", 700).collect()}
+    assert len(got) == len(rows)
+    ranks = {r["key"]: (r["p50"], r["p95"], r["p100"]) for r in metrics.rank_percentiles(df, "ms", ["key"], {"p50": 0.5, "p95": 0.95, "p100": 1.0}).collect()}
+    for key in ("hot", "b", None):
+        used, own = 0, [r for r in rows if r[0] == key]
+        for r in sorted(own, key=lambda r: r[1]):
+            used += r[2]
+            assert got[key, r[1]] == (used, "extraction_limit" if used > 700 else None)
+        values = sorted((r[3] for r in own), key=lambda x: (x is not None, x or 0))
+        assert ranks[key] == tuple(values[min(int(share * len(values)) + 1, len(values)) - 1] for share in (0.5, 0.95, 1.0))
+
+
+def test_page_redaction_and_selection(spark):
+    f = [("d", 1, 1, "x", True), ("d", 2, 1, "x", False), ("d", 3, 1, "y", False), ("d", 4, None, "z", False), ("d", 5, 2, "x", False)]
+    df = spark.createDataFrame(f, "doc string, segment int, page int, digest string, has_box boolean")
+    assert sorted(r["page"] for r in geometry.unmapped_pages(df.where("page is not null"), "doc").collect()) == [1, 2]
+    assert geometry.unmapped_pages(df.where("page is not null"), "doc", True).count() == 0
+    assert sorted((r["segment"], r["whole_page"]) for r in geometry.selected(df, "doc", "segment").collect()) == [(1, False), (4, False)]
+    assert sorted((r["segment"], r["whole_page"]) for r in geometry.selected(df, "doc", "segment", True).collect()) == [(1, False), (3, True), (4, False), (5, True)]
+
+
 def test_boxes_keep_their_cover(spark):
     rng = random.Random(5)
     rows = []
