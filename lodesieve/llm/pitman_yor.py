@@ -17,8 +17,8 @@ The contexts' concentration is sampled once a sweep (by auxiliary variables, pri
 those that counts of one and two give, n1 / (n1 + 2 n2), of pairs, and of the contexts of a word.
 
 How it runs. Documents become chunks: rows with a dictionary of word hashes, the chunk's different pairs, and the sequence
-of their numbers, written once and bucketed by chunk. Each chunk sends its pairs to the bucket that holds the context; a
-bucket adds up all chunks' counts and keeps its pairs, written once and bucketed likewise. It names its words to the parent's buckets
+of their numbers, written once and bucketed by chunk. Words are counted, and numbered in the order of their hashes, where their ranges meet. Each chunk sends its pairs to the bucket that holds the context; a
+bucket adds up all chunks' counts and keeps its pairs, written once and bucketed likewise. It names its words' numbers to the parent's buckets
 once; in a sweep it sends these the tables of its words, and they send customers and tables of each word back, all in that order. At
 the end it sends each chunk the probabilities of its pairs, in the order asked. So nothing is held by the driver but
 totals, a hot word is one entry of each chunk, and what is shuffled grows with the input alone.
@@ -49,9 +49,9 @@ from .common import blobs, both, bucket_of, documents, fold, from_numbers, map_b
 from .words import mixed, word_hash, words
 
 #: Tokens of a chunk, at least, but for a task's last.
-CHUNK = 2_000_000
+CHUNK = 1_500_000
 #: Training and other tokens for each bucket of pairs, and for each bucket of words; known words for each bucket of the parent.
-PER_BUCKET, PER_WORDS, PER_PARENT = 3_000_000, 4_000_000, 1_000_000
+PER_BUCKET, PER_WORDS, PER_PARENT = 1_500_000, 1_500_000, 1_000_000
 #: Up to so many customers of a word, its tables are drawn from their exact distribution.
 CUT = 100
 #: From so many likely tables on, a more frequent word's number of tables is drawn from the normal distribution about it.
@@ -309,103 +309,94 @@ def added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, list[
 
 
 class CountWords:
-    """The training count of each word, in the order asked. sums: the bucket's tokens and known words."""
+    """The training count of each word, and its place in the bucket, in the order asked. sums: the bucket's tokens, known words, and words."""
 
     def __call__(self, table: pa.Table) -> pa.Table:
         bucket = table.column("target")[0].as_py()
         chunks, payloads = of_kind(table, WORDS)
         count, places = added([(np.frombuffer(n, np.uint64), from_numbers(c)) for n, c in map(unblobs, payloads)])
-        rows = [{"target": c, "kind": WORDS, "source": bucket, "payload": numbers(count[p])} for c, p in zip(chunks, places, strict=True)]
-        rows[0]["sums"] = [float(count.sum()), float((count > 0).sum())]
+        rows = [{"target": c, "kind": WORDS, "source": bucket, "payload": blobs(numbers(count[p]), steps(p))} for c, p in zip(chunks, places, strict=True)]
+        rows[0]["sums"] = [float(count.sum()), float((count > 0).sum()), float(len(count))]
         return messages(rows)
 
 
+def known_words(right: pa.Table, offsets: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Training count and number of each of a chunk's words. offsets: the first number of each bucket."""
+    sources, payloads = of_kind(right, WORDS)
+    parts = [unblobs(p) for p in payloads]
+    return np.concatenate([from_numbers(c) for c, _ in parts]), np.concatenate([from_steps(w) + offsets[k] for k, (_, w) in zip(sources, parts, strict=True)])
+
+
 class AskPairs:
     """Each chunk sends its pairs to the buckets of their contexts.
 
-    Of each segment its name, how many words follow, the context's customers and the number of its parts, and for a context in parts its own name; the
-    words that follow; of each pair its word and training count."""
+    Of each segment the number of its context, its part, how many words follow, the context's customers and parts; the
+    numbers of the words that follow; of each pair its word and training count."""
 
-    def __init__(self, buckets: int, split: int):
-        self.buckets, self.split = buckets, split
+    def __init__(self, buckets: int, split: int, offsets: list[int]):
+        self.buckets, self.split, self.offsets = buckets, split, offsets
 
     def __call__(self, left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         for chunk, own, pairs in zip(left.column("chunk").to_pylist(), left.column("words").to_pylist(), left.column("pairs").to_pylist(), strict=True):
             names = np.frombuffer(unblobs(own)[0], np.uint64)
             follow, word, count = map(from_numbers, unblobs(pairs))
-            known = np.concatenate([from_numbers(p) for p in of_kind(right, WORDS)[1]])
+            known, number = known_words(right, self.offsets)
             g = segments(names, follow, word, known, self.split, self.buckets)
             word, count = word[g.index], count[g.index]
             edge = np.concatenate([[0], np.cumsum(g.size)])
             for k, (a, z) in enumerate(zip(g.cuts[:-1].tolist(), g.cuts[1:].tolist(), strict=True)):
                 if a < z:
-                    p = slice(edge[a], edge[z])
+                    p, c = slice(edge[a], edge[z]), g.context[a:z]
                     here, of = np.unique(word[p], return_inverse=True)
-                    cut = g.parts[a:z] > 1
-                    payload = blobs(
-                        g.name[a:z].tobytes(), numbers(g.size[a:z]), numbers(known[g.context[a:z]]), numbers(g.parts[a:z]), numbers(g.part[a:z]), names[g.context[a:z][cut]].tobytes(),
-                        names[here].tobytes(), numbers(of), numbers(count[p]),
-                    )
+                    payload = blobs(steps(number[c]), numbers(g.part[a:z]), numbers(g.size[a:z]), numbers(known[c]), numbers(g.parts[a:z]), steps(number[here]), numbers(of), numbers(count[p]))
                     out.append({"target": k, "kind": PLACES, "source": chunk, "payload": payload})
         return messages(out)
 
 
 class Merge:
-    """A bucket's pairs, each once (STATE); where those that a chunk asked for stand among them (PLACES), and the NAMES of its words and of its contexts in parts, for the parent's ``buckets``. sums: pairs seen once and twice."""
+    """A bucket's pairs, each once (STATE); where those that a chunk asked for stand among them (PLACES); and NAMES, the numbers of its words and of its contexts in parts, for the parent's buckets, of ``size`` numbers each. sums: pairs seen once and twice."""
 
-    def __init__(self, buckets: int):
-        self.buckets = buckets
+    def __init__(self, size: int):
+        self.size = size
 
     def __call__(self, table: pa.Table) -> pa.Table:
         bucket = table.column("target")[0].as_py()
         chunks, payloads = of_kind(table, PLACES)
         parts = [unblobs(p) for p in payloads]
-        names, first, seg = np.unique(np.concatenate([np.frombuffer(p[0], np.uint64) for p in parts]), return_index=True, return_inverse=True)
-        customers, pieces, piece = (np.concatenate([from_numbers(p[k]) for p in parts])[first] for k in (2, 3, 4))
-        in_parts = np.concatenate([from_numbers(p[3]) > 1 for p in parts])
-        roots = np.zeros(len(in_parts), np.uint64)
-        roots[in_parts] = np.concatenate([np.frombuffer(p[5], np.uint64) for p in parts])
-        vocabulary, word = np.unique(np.concatenate([np.frombuffer(p[6], np.uint64) for p in parts]), return_inverse=True)
-        heads = np.cumsum([0, *(len(p[6]) // 8 for p in parts)])
-        key = np.repeat(seg, np.concatenate([from_numbers(p[1]) for p in parts])) * len(vocabulary)
-        key += word[np.concatenate([from_numbers(p[7]) + h for p, h in zip(parts, heads, strict=False)])]
+        whole = lambda k, read=from_numbers: np.concatenate([read(p[k]) for p in parts])
+        root, piece, sizes = whole(0, from_steps), whole(1), whole(2)
+        _, first, seg = np.unique(root << 20 | piece, return_index=True, return_inverse=True)
+        customers, pieces = whole(3)[first], whole(4)[first]
+        lists = [from_steps(p[5]) for p in parts]
+        vocabulary, word = np.unique(np.concatenate(lists), return_inverse=True)
+        heads = np.cumsum([0, *map(len, lists)])
+        key = np.repeat(seg, sizes) * len(vocabulary)
+        key += word[np.concatenate([from_numbers(p[6]) + h for p, h in zip(parts, heads, strict=False)])]
         pair, of = np.unique(key, return_inverse=True)
-        count = np.bincount(of, np.concatenate([from_numbers(p[8]) for p in parts])).astype(np.int64)
-        cut = np.flatnonzero(pieces > 1)
-        cut = cut[np.argsort(roots[first[cut]], kind="stable")]
-        roots = roots[first[cut]]
-        words_at, roots_at = (np.searchsorted(bucket_of(x, self.buckets), np.arange(self.buckets + 1)) for x in (vocabulary, roots))
+        del key
+        count = np.bincount(of, whole(7)).astype(np.int64)
+        cut = np.flatnonzero(pieces > 1)  # in the order of their contexts' numbers
+        roots, piece = root[first[cut]], piece[first[cut]]
         payload = blobs(
-            numbers(np.bincount(pair // len(vocabulary), minlength=len(names))), numbers(customers), numbers(cut), numbers(piece[cut]), numbers(words_at), numbers(roots_at),
-            numbers(pair % len(vocabulary)), numbers(count),
+            numbers(np.bincount(pair // len(vocabulary), minlength=len(first))), numbers(customers), numbers(cut), numbers(piece), steps(vocabulary), steps(roots), numbers(pair % len(vocabulary)), numbers(count),
         )
         rows = [{"target": bucket, "kind": STATE, "source": bucket, "payload": payload, "sums": [float((count == 1).sum()), float((count == 2).sum())]}]
         at = 0
         for chunk, p in zip(chunks, parts, strict=True):
-            n = int(from_numbers(p[1]).sum())
+            n = int(from_numbers(p[2]).sum())
             rows.append({"target": bucket, "kind": PLACES, "source": chunk, "payload": steps(of[at : at + n])})
             at += n
-        for k in np.flatnonzero((np.diff(words_at) > 0) | (np.diff(roots_at) > 0)).tolist():
-            own = vocabulary[words_at[k] : words_at[k + 1]], roots[roots_at[k] : roots_at[k + 1]]
-            rows.append({"target": k, "kind": NAMES, "source": bucket, "payload": blobs(*(x.tobytes() for x in own))})
+        for k, w, r in by_parent(vocabulary, roots, self.size):
+            rows.append({"target": k, "kind": NAMES, "source": bucket, "payload": blobs(steps(vocabulary[w] - k * self.size), steps(roots[r] - k * self.size))})
         return messages(rows)
 
 
-class MergeNames:
-    """Where the words, and the contexts in parts, that a bucket asks for stand in the parent's bucket (PLACES); and how many different ones there are (STATE)."""
-
-    def __call__(self, table: pa.Table) -> pa.Table:
-        bucket = table.column("target")[0].as_py()
-        sources, payloads = of_kind(table, NAMES)
-        sides, sizes = [], []
-        for k in (0, 1):
-            parts = [np.frombuffer(unblobs(p)[k], np.uint64) for p in payloads]
-            names, of = np.unique(np.concatenate(parts), return_inverse=True)
-            sides.append(np.split(of, np.cumsum([len(p) for p in parts])[:-1]))
-            sizes.append(len(names))
-        rows = [{"target": bucket, "kind": STATE, "source": bucket, "payload": numbers(np.array(sizes))}]
-        return messages(rows + [{"target": bucket, "kind": PLACES, "source": s, "payload": blobs(steps(w), steps(r))} for s, w, r in zip(sources, *sides, strict=True)])
+def by_parent(words_: np.ndarray, roots: np.ndarray, size: int) -> list[tuple[int, slice, slice]]:
+    """The parent's buckets that ascending numbers belong to, and which of the words and roots."""
+    most = max([-1, *words_[-1:].tolist(), *roots[-1:].tolist()]) // size + 1
+    w, r = (np.searchsorted(x, np.arange(most + 1) * size).tolist() for x in (words_, roots))
+    return [(k, slice(w[k], w[k + 1]), slice(r[k], r[k + 1])) for k in range(most) if w[k] < w[k + 1] or r[k] < r[k + 1]]
 
 
 def steps(places: np.ndarray) -> bytes:
@@ -437,18 +428,18 @@ class Totals:
 class State:
     """A bucket's restaurants."""
 
-    def __init__(self, left: pa.Table):
+    def __init__(self, left: pa.Table, size: int):
         (self.bucket,), (payload,) = of_kind(left, STATE)
-        self.follow, self.customers, self.cut, self.piece, self.words_at, self.roots_at, self.word, self.count = map(from_numbers, unblobs(payload))
+        follow, customers, cut, piece, words_, roots, word, count = unblobs(payload)
+        self.follow, self.customers, self.cut, self.piece, self.word, self.count = map(from_numbers, (follow, customers, cut, piece, word, count))
+        self.words, self.roots, self.size = from_steps(words_), from_steps(roots), size
         self.seg = np.repeat(np.arange(len(self.follow)), self.follow)
 
     def ask(self, tables: np.ndarray) -> list[dict]:
         """Messages to the parent: the tables of each word, and of each part of a context in parts."""
-        sums = np.bincount(self.word, tables, int(self.words_at[-1])).astype(np.int64)
+        sums = np.bincount(self.word, tables, len(self.words)).astype(np.int64)
         own = np.bincount(self.seg, tables, len(self.follow)).astype(np.int64)[self.cut]
-        w, r = self.words_at, self.roots_at
-        some = np.flatnonzero((np.diff(w) > 0) | (np.diff(r) > 0)).tolist()
-        return [{"target": k, "kind": PARENT, "source": self.bucket, "payload": blobs(numbers(sums[w[k] : w[k + 1]]), numbers(own[r[k] : r[k + 1]]))} for k in some]
+        return [{"target": k, "kind": PARENT, "source": self.bucket, "payload": blobs(numbers(sums[w]), numbers(own[r]))} for k, w, r in by_parent(self.words, self.roots, self.size)]
 
     def answer(self, payloads: list[bytes], tables: np.ndarray, t: Totals) -> tuple[np.ndarray, np.ndarray]:
         """The parent's probability of each word, and the tables of each segment's context."""
@@ -463,13 +454,13 @@ class State:
 class Sweep:
     """One sweep of a bucket: TABLES of its pairs, and messages to the parent. sums: see auxiliary(). Round 0 only sets the start."""
 
-    def __init__(self, totals: Totals):
-        self.totals = totals
+    def __init__(self, totals: Totals, size: int):
+        self.totals, self.size = totals, size
 
     def __call__(self, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return messages([])
-        s, t, sums = State(left), self.totals, [0.0, 0.0]
+        s, t, sums = State(left, self.size), self.totals, [0.0, 0.0]
         tables = np.minimum(s.count, 1)
         if t.round:
             rng = np.random.default_rng([9, t.round, s.bucket])
@@ -489,17 +480,16 @@ class Sweep:
 class SeatParent:
     """Seats a range of words in the parent's restaurant; adds up the tables of contexts in parts. Answers stand in the order asked. sums: customers, tables, words with one and with two customers."""
 
-    def __init__(self, totals: Totals):
-        self.totals = totals
+    def __init__(self, totals: Totals, size: int):
+        self.totals, self.size = totals, size
 
     def __call__(self, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return messages([])
-        (bucket,), (sizes,) = of_kind(left, STATE)
-        t = self.totals
+        bucket, t = left.column("target")[0].as_py(), self.totals
         sources, payloads = of_kind(right, PARENT)
-        places = {s: tuple(map(from_steps, unblobs(p))) for s, p in zip(*of_kind(left, PLACES), strict=True)}
-        customers, in_parts = (np.zeros(int(n), np.int64) for n in from_numbers(sizes))
+        places = {s: tuple(map(from_steps, unblobs(p))) for s, p in zip(*of_kind(left, NAMES), strict=True)}
+        customers, in_parts = np.zeros(self.size, np.int64), np.zeros(self.size, np.int64)
         for s, p in zip(sources, payloads, strict=True):
             words_, parts = map(from_numbers, unblobs(p))
             customers[places[s][0]] += words_  # a bucket asks for a word once
@@ -516,13 +506,13 @@ class SeatParent:
 class Predict:
     """The averaged probability (its decimal logarithm) of each pair that a chunk asked for. right: TABLES and PARENT of each sample; the sample is in the source's place over 2**32."""
 
-    def __init__(self, totals: list[Totals]):
-        self.totals = totals
+    def __init__(self, totals: list[Totals], size: int):
+        self.totals, self.size = totals, size
 
     def __call__(self, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return messages([])
-        s, prob = State(left), 0.0
+        s, prob = State(left, self.size), 0.0
         sample = right.column("source").to_numpy() >> 32
         for k, t in enumerate(self.totals):
             own = right.filter(pa.array(sample == k))
@@ -538,8 +528,8 @@ class Predict:
 class Score:
     """Scores the documents of a chunk."""
 
-    def __init__(self, buckets: int, split: int, n_all: int, n_kinds: int):
-        self.buckets, self.split, self.n_all, self.n_kinds = buckets, split, n_all, n_kinds
+    def __init__(self, buckets: int, split: int, offsets: list[int], n_all: int, n_kinds: int):
+        self.buckets, self.split, self.offsets, self.n_all, self.n_kinds = buckets, split, offsets, n_all, n_kinds
 
     def __call__(self, left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
@@ -548,7 +538,7 @@ class Score:
             follow, word, _ = map(from_numbers, unblobs(pairs))
             ids, has_id, held, sizes, of = unblobs(docs)
             sizes, of = from_numbers(sizes), from_numbers(of)
-            known = np.concatenate([from_numbers(p) for p in of_kind(right, WORDS)[1]])
+            known, _ = known_words(right, self.offsets)
             g = segments(names, follow, word, known, self.split, self.buckets)
             log_p = np.empty(len(word))
             log_p[g.index] = np.concatenate([np.frombuffer(p, np.float32) for p in of_kind(right, PROBABILITIES)[1]])
@@ -576,33 +566,36 @@ def bucketed(df: DataFrame, name: str, by: str, parts: int, *kinds: str) -> Data
 
 
 def score_documents(docs: DataFrame, held_out, burn: int = 2, samples: int = 3, split: int = 500_000, top_strength: float = 1.0, seed: int = 9) -> DataFrame:
-    """docs: doc_id, text; held_out: a column, whether a document is kept from training.
+    """docs: doc_id, text; held_out: a column, whether a document is kept from training (null: it is not).
 
     One row each: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity. split: customers from which a context is dealt over buckets; it does not change the model."""
     spark = docs.sparkSession
     parts = max(12, int(spark.conf.get("spark.sql.shuffle.partitions")))
     run = uuid.uuid4().hex
-    made = map_batches(docs.select("doc_id", "text", held_out.alias("held_out")), Chunks(), "chunk bigint, words binary, pairs binary, docs binary, n_tokens bigint")
+    made = map_batches(docs.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held_out")), Chunks(), "chunk bigint, words binary, pairs binary, docs binary, n_tokens bigint")
     chunks = bucketed(made, f"lodesieve_chunks_{run}", "chunk", parts)
     # Buckets grow with the data, not with the cluster: messages are as many as chunks times buckets, or buckets times the parent's.
     tokens = int(chunks.agg(F.sum("n_tokens")).first()[0] or 0)
     buckets, by_word = max(12, tokens // PER_BUCKET), max(12, tokens // PER_WORDS)
     words_ = saved(map_batches(chunks.select("chunk", "words"), AskWords(by_word), MESSAGE).groupBy("target").applyInArrow(plain(CountWords()), MESSAGE), "words")
-    n_all, n_kinds = added_up(words_, 2)
-    asked = chunks.select("chunk", "words", "pairs").groupBy("chunk").cogroup(words_.groupBy("target")).applyInArrow(both(AskPairs(buckets, split)), MESSAGE)
-    state = bucketed(asked.groupBy("target").applyInArrow(plain(Merge(max(6, int(n_kinds) // PER_PARENT))), MESSAGE), f"lodesieve_state_{run}", "target", parts, "kind").select(*MESSAGE_TYPES)
+    n_all, n_kinds, n_words = added_up(words_, 3)
+    # One number for each bucket: as many as there are.
+    counts = {r["source"]: int(r["n"]) for r in words_.where("sums IS NOT NULL").select("source", F.element_at("sums", 3).alias("n")).collect()}
+    offsets = np.cumsum([0, *(counts.get(k, 0) for k in range(by_word))]).tolist()
+    size = max(1, min(PER_PARENT, -int(-n_words // 6)))
+    asked = chunks.select("chunk", "words", "pairs").groupBy("chunk").cogroup(words_.groupBy("target")).applyInArrow(both(AskPairs(buckets, split, offsets)), MESSAGE)
+    state = bucketed(asked.groupBy("target").applyInArrow(plain(Merge(size)), MESSAGE), f"lodesieve_state_{run}", "target", parts, "kind").select(*MESSAGE_TYPES)
     pairs = state.where(F.col("kind") == STATE)
-    names = state.where(F.col("kind") == NAMES).groupBy("target").applyInArrow(plain(MergeNames()), MESSAGE)
-    places = bucketed(names, f"lodesieve_parent_{run}", "target", parts)
+    names = state.where(F.col("kind") == NAMES)
     discount = from_counts(*added_up(pairs, 2))
     rng = np.random.default_rng(seed)
     t = Totals(0, int(n_all), int(n_kinds), 1.0, discount, top_strength, 0.5, 0.0, float(n_kinds))
     right, kept = spark.createDataFrame([], MESSAGE), []
     for k in range(burn + samples + 1):
         t = Totals(k, t.n_all, t.n_kinds, t.strength, discount, top_strength, t.top_discount, t.customers, t.tables)
-        swept = saved(pairs.groupBy("target").cogroup(right.groupBy("target")).applyInArrow(both(Sweep(t)), MESSAGE), f"sweep-{k}")
+        swept = saved(pairs.groupBy("target").cogroup(right.groupBy("target")).applyInArrow(both(Sweep(t, size)), MESSAGE), f"sweep-{k}")
         asked = swept.where(F.col("kind") == PARENT)
-        seated = saved(places.groupBy("target").cogroup(asked.groupBy("target")).applyInArrow(both(SeatParent(t)), MESSAGE), f"parent-{k}")
+        seated = saved(names.groupBy("target").cogroup(asked.groupBy("target")).applyInArrow(both(SeatParent(t, size)), MESSAGE), f"parent-{k}")
         customers, tables, one, two = added_up(seated, 4)
         if k == 0:
             t.top_discount = from_counts(one, two)
@@ -617,10 +610,10 @@ def score_documents(docs: DataFrame, held_out, burn: int = 2, samples: int = 3,
     all_samples = kept[0][0]
     for r, _ in kept[1:]:
         all_samples = all_samples.unionByName(r)
-    answers = state.where(F.col("kind") != NAMES).groupBy("target").cogroup(all_samples.groupBy("target")).applyInArrow(both(Predict([x for _, x in kept])), MESSAGE)
-    scored = chunks.groupBy("chunk").cogroup(words_.unionByName(answers).groupBy("target")).applyInArrow(both(Score(buckets, split, int(n_all), int(n_kinds))), SCORES)
+    answers = state.where(F.col("kind") != NAMES).groupBy("target").cogroup(all_samples.groupBy("target")).applyInArrow(both(Predict([x for _, x in kept], size)), MESSAGE)
+    scored = chunks.groupBy("chunk").cogroup(words_.unionByName(answers).groupBy("target")).applyInArrow(both(Score(buckets, split, offsets, int(n_all), int(n_kinds))), SCORES)
     scored = saved(scored, "scores")
-    for name in ("chunks", "state", "parent"):
+    for name in ("chunks", "state"):
         spark.sql(f"DROP TABLE lodesieve_{name}_{run}")  # the files stay in the shared folder
     return scored.withColumn("train_tokens", F.lit(int(n_all)).cast("bigint")).withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
 
