@@ -6,23 +6,26 @@ node from the start. Two nodes link when 100 * intersection >= 80 * union.
 1. Each task hashes the shingles of its documents and deals them out by shingle. Where they meet,
    the nodes that hold a shingle are counted, and those that only one node holds go: no link can
    rest on them. A shingle that a task sees ``hot`` times or more is counted there and crosses as
-   one count, while its places stay with their nodes. So no task gets all places of a
+   one count, and the sum comes back as one, while its places stay with their nodes. So no task gets all places of a
    common passage. Nodes travel as small numbers of the chunk that a task gathered, so what is
    shuffled is a few bytes for each shingle, however many buckets there are.
 2. At its chunk, what is left of a set is put in order, rare first: by the number of nodes that hold
-   a shingle (counts of ``hot`` and more are one class), then by hash. A node with too few shared
+   a shingle, then by hash. A node with too few shared
    shingles for any link is done.
 3. Prefix filter: linked nodes share a shingle among the first n - ceil(0.8 n) + 1 of their sets
    in this order, so the prefixes are joined on shingles. The pairs of a shingle are not listed:
    of those who share it, the smallest node is the pivot, and all who share shingles with one
    pivot are its canopy. Any two nodes that share a prefix shingle share a canopy.
-4. A canopy is verified in blocks of ``block`` nodes: first each node against the pivot, then within the block
+4. A canopy is verified in blocks of at most about ``block`` nodes and ``BLOCK_SHINGLES`` shingles: first each node against the pivot, then within the block
    those pairs that are not connected yet; each passes length, prefix, positional and suffix filter, then is
    counted exactly, once. What connects nothing new is not looked at: components stay exact, and a
    family of thousands of near copies costs about one pass.
 5. Nodes of a larger canopy that the pivot's component does not hold are at last tried against
    all its other blocks, block by block.
 
+link_counts() goes on to count each document's links. There all pairs of a canopy are verified, block against block, each pair once: in the
+smallest canopy that holds both. Only sums leave a task.
+
 Defined results. A-Z count as a-z; null text counts as empty. A text with one to four words is one
 shingle; one without words has an empty set, and links with nothing: its component is its own doc_id.
 Component ids are the smallest doc_id, nulls last. Repeated rows are copies. An empty table gives an
@@ -48,6 +51,8 @@ WIDTH = 5
 #: Shingles that a task gathers before it deals them out.
 GATHER = 1_000_000
 HOT_GROUPS = 1000
+#: Shingles of a bucket where their nodes are counted, and of a block of a canopy.
+PER_BUCKET, BLOCK_SHINGLES = 1_500_000, 2_000_000
 BIG = np.int32(1 << 30)
 
 
@@ -101,7 +106,7 @@ class Deal:
     """Deals the shingles of a task's nodes out by hash. A task's nodes come in chunks, and are numbers in them.
 
     kind 0: hot shingles of a chunk and their counts; 1: hot places, for the chunk itself; 2: all other places;
-    3: the chunk's nodes, for itself. Places are sorted by shingle.
+    3: the chunk's nodes, for itself. Places and shingles are sorted by shingle.
     """
 
     def __init__(self, buckets: int, hot: int):
@@ -136,10 +141,10 @@ class Deal:
         own = chunk % self.buckets
         rows = [(own, 3, chunk, blobs(b"".join(keys), numbers(n)))]
         if is_hot.any():
-            rows.append((own, 1, chunk, places(grams[is_hot], node[is_hot], np.full(int(is_hot.sum()), self.hot))))
-            hot = grams[first[count >= self.hot]]
+            rows.append((own, 1, chunk, places(grams[is_hot], node[is_hot], np.zeros(0))))
+            hot, n_hot = grams[first[count >= self.hot]], count[count >= self.hot]
             where = bucket_of(hot, self.buckets)
-            rows += [(k, 0, chunk, blobs(hot[where == k].tobytes())) for k in np.unique(where).tolist()]
+            rows += [(k, 0, chunk, blobs(hot[where == k].tobytes(), numbers(n_hot[where == k]))) for k in np.unique(where).tolist()]
             grams, node = grams[~is_hot], node[~is_hot]
         cuts = np.searchsorted(bucket_of(grams, self.buckets), np.arange(self.buckets + 1))
         rows += [(k, 2, chunk, places(grams[a:z], node[a:z], np.zeros(0))) for k, (a, z) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if a < z]
@@ -158,40 +163,37 @@ def from_places(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Count:
-    """Counts the nodes of each shingle of a bucket, and sends those that more than one place has back to their chunks, with a weight: the count, or hot if it is more.
+    """Counts the nodes of each shingle of a bucket, and sends those that more than one place has back to their chunks, with the count; of a chunk's hot shingles (kind 0) the counts alone.
 
     A node that stands in several chunks counts in each; so its shingles may weigh more, but no link is lost by that.
     """
 
-    def __init__(self, hot: int):
-        self.hot = hot
-
     def __call__(self, table: pa.Table) -> pa.Table:
         np.seterr(over="ignore")
         rows = list(zip(table.column("kind").to_pylist(), table.column("chunk").to_pylist(), table.column("payload").to_pylist(), strict=True))
         out = [(c, k, p) for k, c, p in rows if k in (1, 3)]
-        hot = [np.frombuffer(unblobs(p)[0], np.uint64) for k, _, p in rows if k == 0]
-        hot = np.unique(np.concatenate(hot)) if hot else np.zeros(0, np.uint64)
+        hot = [(c, *unblobs(p)) for k, c, p in rows if k == 0]
+        hot_grams, hot_counts = [np.frombuffer(g, np.uint64) for _, g, _ in hot], [from_numbers(n) for _, _, n in hot]
         chunks, parts = [c for k, c, _ in rows if k == 2], [from_places(p)[:2] for k, _, p in rows if k == 2]
-        if parts:
-            sizes = [len(g) for g, _ in parts]
-            grams = np.concatenate([g for g, _ in parts])
+        if parts or hot:
+            # A hot shingle of a chunk is one entry that counts for many.
+            grams = np.concatenate([*(g for g, _ in parts), *hot_grams])
+            many = np.concatenate([np.ones(sum(len(g) for g, _ in parts), np.int64), *hot_counts])
             order = np.argsort(grams, kind="stable")
             g = grams[order]
             first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
-            count = np.diff(np.append(first, len(g)))
-            weight = np.minimum(count, self.hot)
-            if len(hot):
-                weight[hot[np.minimum(np.searchsorted(hot, g[first]), len(hot) - 1)] == g[first]] = self.hot
             by_place = np.empty(len(g), np.int64)
-            by_place[order] = np.repeat(weight, count)
+            by_place[order] = np.repeat(np.add.reduceat(many[order], first), np.diff(np.append(first, len(g))))
             at = 0
-            for c, n, (own, node) in zip(chunks, sizes, parts, strict=True):
-                w = by_place[at : at + n]
+            for c, (own, node) in zip(chunks, parts, strict=True):
+                w = by_place[at : at + len(own)]
                 more = w > 1
                 if more.any():
                     out.append((c, 1, places(own[more], node[more], w[more])))
-                at += n
+                at += len(own)
+            for (c, own, _), n in zip(hot, hot_counts, strict=True):
+                out.append((c, 0, blobs(own, numbers(by_place[at : at + len(n)]))))
+                at += len(n)
         return pa.table({"chunk": pa.array([r[0] for r in out], pa.int64()), "kind": pa.array([r[1] for r in out], pa.int32()), "payload": pa.array([r[2] for r in out], pa.binary())})
 
 
@@ -200,7 +202,15 @@ def order_sets(table: pa.Table) -> pa.Table:
     rows = list(zip(table.column("kind").to_pylist(), table.column("payload").to_pylist(), strict=True))
     keys, n = unblobs(next(p for k, p in rows if k == 3))
     n = from_numbers(n)
-    parts = [from_places(p) for k, p in rows if k == 1]
+    hot = [unblobs(p) for k, p in rows if k == 0]
+    hot_grams, hot_counts = (np.concatenate([np.frombuffer(g, np.uint64) for g, _ in hot]), np.concatenate([from_numbers(c) for _, c in hot])) if hot else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    by = np.argsort(hot_grams)
+
+    def weighed(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        g, node, weight = from_places(payload)
+        return g, node, weight if len(weight) == len(g) else hot_counts[by[np.searchsorted(hot_grams, g, sorter=by)]]
+
+    parts = [weighed(p) for k, p in rows if k == 1]
     grams, node, weight = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
     shared = np.bincount(node, minlength=len(n))
     can = shared >= needed(n)
@@ -324,7 +334,7 @@ def verify_grid(table: pa.Table) -> pa.Table:
 def shared_sets(docs: DataFrame, buckets: int, hot: int) -> DataFrame:
     """node, n, grams of every node that can have a link."""
     dealt = map_batches(docs.select("text"), Deal(buckets, hot), "bucket int, kind int, chunk bigint, payload binary")
-    counted = dealt.groupBy("bucket").applyInArrow(plain(Count(hot)), "chunk bigint, kind int, payload binary")
+    counted = dealt.groupBy("bucket").applyInArrow(plain(Count()), "chunk bigint, kind int, payload binary")
     sets = counted.groupBy("chunk").applyInArrow(plain(order_sets), "node binary, n int, grams binary")
     return saved(sets.dropDuplicates(["node"]), "shared-sets")
 
@@ -333,8 +343,9 @@ def links(sets: DataFrame, block: int = 1024) -> DataFrame:
     """sets: shared_sets(). a, b: links that connect all nodes that are connected."""
     rows = map_batches(sets, prefixes, "gram bigint, node binary")
     pivots = rows.groupBy("gram").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
-    canopy = saved(rows.join(pivots, "gram").where("node <> pivot").select("pivot", "node").distinct(), "canopies")
-    blocks = canopy.groupBy("pivot").agg(F.count(F.lit(1)).alias("size")).select("pivot", F.expr(f"cast(ceil(size / {block}) as int)").alias("blocks"))
+    canopy = rows.join(pivots, "gram").where("node <> pivot").select("pivot", "node").distinct()
+    canopy = saved(canopy.join(sets.select("node", F.expr("octet_length(grams) div 8").alias("shingles")), "node").select("pivot", "node", "shingles"), "canopies")
+    blocks = canopy.groupBy("pivot").agg(F.count(F.lit(1)).alias("size"), F.sum("shingles").alias("all")).select("pivot", F.expr(f"cast(greatest(ceil(size / {block}), ceil(all / {BLOCK_SHINGLES})) as int)").alias("blocks"))
     members = canopy.join(blocks, "pivot").select("pivot", "node", "blocks", F.expr("cast(pmod(xxhash64(node), blocks) as int)").alias("block"), F.lit(False).alias("is_pivot"))
     heads = blocks.select("pivot", F.col("pivot").alias("node"), "blocks", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), F.lit(True).alias("is_pivot"))
     full = members.unionByName(heads).join(sets, "node")
@@ -344,11 +355,11 @@ def links(sets: DataFrame, block: int = 1024) -> DataFrame:
         return near
     # Canopies of several blocks: what the pivot's component does not hold, against all other blocks.
     comp = components(near)
-    part = canopy.join(wide, "pivot").select("pivot", "node", "blocks", F.expr("cast(pmod(xxhash64(node), blocks) as int)").alias("block"))
+    part = canopy.join(wide, "pivot").select("pivot", "node", "shingles", "blocks", F.expr("cast(pmod(xxhash64(node), blocks) as int)").alias("block"))
     part = part.join(comp, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lead = comp.select(F.col("node").alias("pivot"), F.col("root").alias("lead"))
     part = saved(part.join(lead, "pivot", "left").withColumn("out", F.col("root") != F.coalesce("lead", "pivot")), "wide-canopies")
-    outside = part.where("out").groupBy("pivot").agg(F.count(F.lit(1)).alias("k")).select("pivot", F.expr(f"cast(ceil(k / {block}) as int)").alias("groups"))
+    outside = part.where("out").groupBy("pivot").agg(F.count(F.lit(1)).alias("k"), F.sum("shingles").alias("all")).select("pivot", F.expr(f"cast(greatest(ceil(k / {block}), ceil(all / {BLOCK_SHINGLES})) as int)").alias("groups"))
     part = part.join(outside, "pivot")
     right = part.select("pivot", "node", "root", "block", F.explode(F.expr("sequence(0, groups - 1)")).alias("group"), F.lit(False).alias("is_left"))
     left = part.where("out").withColumn("own", F.col("block")).select("pivot", "node", "root", F.explode(F.expr("filter(sequence(0, blocks - 1), b -> b <> own)")).alias("block"), F.expr("cast(pmod(xxhash64(node, 1), groups) as int)").alias("group"), F.lit(True).alias("is_left"))
@@ -359,9 +370,9 @@ def links(sets: DataFrame, block: int = 1024) -> DataFrame:
 
 def jaccard_groups(docs: DataFrame, buckets: int | None = None, hot: int = 64, block: int = 1024) -> DataFrame:
     """docs: doc_id, text. One row each: row_hash, doc_id, n_shingles, node, component_id, copies (rows with an equal set), keep (of each component's rows, one)."""
-    spark = docs.sparkSession
-    buckets = buckets or max(32, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     own = saved(map_batches(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text"), Sets(["doc_id", "text_hash"]), "doc_id bigint, text_hash bigint, n_shingles bigint, node binary"), "sets")
+    # Buckets grow with the data, not with the cluster: chunks send a row to each.
+    buckets = buckets or max(12, int(own.agg(F.sum("n_shingles")).first()[0] or 0) // PER_BUCKET)
     comp = components(links(shared_sets(docs, buckets, hot), block))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "text_hash")).alias("first")
     classes = own.where("node is not null").groupBy("node").agg(first, F.count(F.lit(1)).alias("copies"))
@@ -377,6 +388,61 @@ def jaccard_groups(docs: DataFrame, buckets: int | None = None, hot: int = 64, b
     return out.unionByName(none)
 
 
+def verify_pairs(table: pa.Table) -> pa.Table:
+    """Two blocks of a canopy against each other (or one against itself): of each node how many rows it links with here. A pair that a smaller canopy holds is counted there."""
+    keys = table.column("node").to_pylist()
+    side = table.column("side").to_numpy()
+    pivot, copies = table.column("pivot")[0].as_py(), table.column("copies").to_numpy()
+    block = Block(table.column("n").to_numpy(), [np.frombuffer(g, np.uint64) for g in table.column("grams").to_pylist()])
+    lower = [[p for p in own if p < pivot] for own in table.column("pivots").to_pylist()]
+    names = {p: k for k, p in enumerate(sorted({p for own in lower for p in own}))}
+    of = np.repeat(np.arange(len(keys)), [len(own) for own in lower])
+    which = np.array([names[p] for own in lower for p in own], np.int64)
+    at = np.concatenate([[0], np.cumsum([len(own) for own in lower])])
+    out, mark = np.zeros(len(keys), np.int64), np.zeros(len(names) + 1, bool)
+    one = side.max() == side.min()
+    right = np.flatnonzero(side == side.max())
+    for x in np.flatnonzero(side == side.min()).tolist():
+        rest = right[right > x] if one else right
+        if at[x] < at[x + 1]:
+            mark[which[at[x] : at[x + 1]]] = True
+            elsewhere = np.bincount(of[mark[which]], minlength=len(keys)) > 0
+            mark[which[at[x] : at[x + 1]]] = False
+            rest = rest[~elsewhere[rest]]
+        if len(rest):
+            found = block.linked(x, rest)
+            out[x] += copies[found].sum()
+            out[found] += copies[x]
+    some = np.flatnonzero(out)
+    return pa.table({"node": pa.array([keys[k] for k in some.tolist()], pa.binary()), "links": pa.array(out[some], pa.int64())})
+
+
+def link_counts(docs: DataFrame, buckets: int | None = None, hot: int = 64, block: int = 1024) -> DataFrame:
+    """docs: doc_id, text. One row each: doc_id, n_shingles, n_links: other rows that it links with, copies included.
+
+    All pairs of different sets that share a prefix shingle are verified, so a family of n unlike near copies takes n * n / 2 comparisons, dealt over blocks."""
+    own = saved(map_batches(docs.select("doc_id", "text"), Sets(["doc_id"]), "doc_id bigint, n_shingles bigint, node binary"), "sets")
+    buckets = buckets or max(12, int(own.agg(F.sum("n_shingles")).first()[0] or 0) // PER_BUCKET)
+    copies = saved(own.where("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("copies")), "copies")
+    sets = shared_sets(docs, buckets, hot)
+    rows = map_batches(sets, prefixes, "gram bigint, node binary")
+    pivots = rows.groupBy("gram").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
+    canopy = saved(rows.join(pivots, "gram").select("pivot", "node").distinct(), "canopies")
+    lists = canopy.groupBy("node").agg(F.collect_list("pivot").alias("pivots"))  # at most as many as a prefix has shingles
+    node = sets.join(lists, "node").join(copies, "node").withColumn("shingles", F.expr("octet_length(grams) div 8"))
+    node = saved(node, "nodes")
+    size = canopy.join(node.select("node", "shingles"), "node").groupBy("pivot").agg(F.count(F.lit(1)).alias("k"), F.sum("shingles").alias("all"))
+    size = size.select("pivot", F.expr(f"cast(greatest(ceil(k / {block}), ceil(all / {BLOCK_SHINGLES})) as int)").alias("blocks"))
+    part = canopy.join(size, "pivot").withColumn("side", F.expr("cast(pmod(xxhash64(node, 7), blocks) as int)"))
+    cell = F.explode(F.expr("transform(sequence(0, blocks - 1), b -> struct(least(b, side) AS low, greatest(b, side) AS high))"))
+    part = part.select("pivot", "node", "side", cell.alias("cell")).select("pivot", "node", "side", "cell.low", "cell.high")
+    found = part.join(node, "node").groupBy("pivot", "low", "high").applyInArrow(plain(verify_pairs), "node binary, links bigint")
+    links_ = found.groupBy("node").agg(F.sum("links").alias("links"))
+    of = saved(copies.join(links_, "node", "left").select("node", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "link-counts")
+    out = own.where("node is not null").join(of, "node").select("doc_id", "n_shingles", "n_links")
+    return out.unionByName(own.where("node is null").select("doc_id", "n_shingles", F.lit(0).cast("bigint").alias("n_links")))
+
+
 def one_of_each_group(docs: DataFrame) -> DataFrame:
     """docs with one row of each component, that of the smallest doc_id; all columns kept."""
     keep_id, keep_hash = free_names(docs.columns, "keep_id", "keep_hash")
