@@ -24,6 +24,7 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +34,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, kept, map_batches, new_path, text_buffer
+from .common import documents, kept, map_batches, new_path, slices, text_buffer
 
 MAGIC = b"LSPLANE1"
 HEAD = struct.Struct("<8sIIIIQ")
+#: Bytes of text that are encoded at once: their different words are looked up once.
+SLICE = 4 << 20
 CHUNK = "shard int, chunk int, start bigint, n_docs int, n_ids bigint, first_doc bigint, last_doc bigint, payload binary"
 DOC = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
 SPACE, LETTER, STOP = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
@@ -146,7 +149,7 @@ def grown(a: np.ndarray, n: int) -> np.ndarray:
     return a if len(a) >= n else np.concatenate([a, np.zeros(max(n, 2 * len(a)) - len(a), a.dtype)])
 
 
-def planes_of(ids: np.ndarray, block: int, bits: int) -> list[bytes]:
+def planes_of(ids: np.ndarray, block: int, bits: int) -> list[np.ndarray]:
     """Planes of bits (1 or 8) bits each, lowest first, of ids cut into blocks."""
     width = max(1, int(ids.max()).bit_length()) if len(ids) else 1
     n_bytes = -(-width // 8)
@@ -154,23 +157,33 @@ def planes_of(ids: np.ndarray, block: int, bits: int) -> list[bytes]:
     padded[: len(ids)] = ids
     octets = padded.view(np.uint8).reshape(-1, 4)[:, :n_bytes]
     if bits == 8:
-        return [np.ascontiguousarray(octets[:, k]).tobytes() for k in range(n_bytes)]
-    return [np.packbits((octets[:, p // 8] >> (p % 8)) & 1).tobytes() for p in range(width)]
+        return list(np.ascontiguousarray(octets.T))
+    # Every id's bits side by side, then all planes packed at once.
+    planes = np.packbits(np.unpackbits(octets, axis=1, count=width, bitorder="little"), axis=0)
+    return list(np.ascontiguousarray(planes.T))
 
 
 def ids_from(planes: list[bytes], n: int, block: int, bits: int) -> np.ndarray:
     size = -(-n // block) * block
+    if not size:
+        return np.zeros(0, "<u4")
     octets = np.zeros((size, 4), np.uint8)
-    for p, plane in enumerate(planes):
-        if bits == 8:
-            octets[:, p] = np.frombuffer(plane, np.uint8)
-        else:
-            octets[:, p // 8] |= np.unpackbits(np.frombuffer(plane, np.uint8), count=size) << (p % 8)
+    rows = np.stack([np.frombuffer(p, np.uint8) for p in planes])
+    if bits == 8:
+        octets[:, : len(rows)] = rows.T
+    else:
+        packed = np.packbits(np.unpackbits(rows, axis=1, count=size).T, axis=1, bitorder="little")
+        octets[:, : packed.shape[1]] = packed
     return octets.reshape(-1).view("<u4")[:n]
 
 
+@lru_cache
+def compressor(level: int) -> zstandard.ZstdCompressor:
+    return zstandard.ZstdCompressor(level=level)
+
+
 def write_chunk(ids: np.ndarray, docs: list[int | None], counts: np.ndarray, block: int = 4096, bits: int = 1, level: int = 3) -> bytes:
-    z = zstandard.ZstdCompressor(level=level)
+    z = compressor(level)
     frames = [z.compress(p) for p in planes_of(ids, block, bits)]
     table = np.array([d is not None for d in docs], np.uint8).tobytes() + np.array([d or 0 for d in docs], "<i8").tobytes() + counts.astype("<u8").tobytes()
     head = HEAD.pack(MAGIC, block, len(docs), len(frames), bits, len(ids))
@@ -204,8 +217,7 @@ class Write:
         encoder = kept(self.key, lambda: WordEncoder(self.path, added=self.added))
         shard, chunk, start, held, docs = TaskContext.get().partitionId(), 0, 0, [], []
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
+            for part in slices(b, "text", SLICE):
                 ids, sizes = encoder.encode(part.column("text"), self.end)
                 held.append((ids, sizes))
                 docs += part.column("doc_id").to_pylist()
