@@ -1,25 +1,24 @@
 """Benchmark decontamination by template canonicalisation.
 
-Words lose their case and the punctuation around them. Numbers, names (capitalised words inside
+Words lose their case and the punctuation around them. Numbers (also spelled ones), names (capitalised words inside
 a sentence) and units (after a number) become typed placeholders <num>, <name>, <unit>; what stood
-there is the slot's value. Windows of ``width`` template words are hashed and joined, documents to
-benchmark items. Windows with fewer plain words than placeholders say too little as templates and are
-hashed by value. A capitalised first word may be a plain word or a name, so a window that begins
-with one has a hash for either.
+there is the slot's value. Neighbouring names, or numbers, are one slot: a name of two words may stand for one of one. Windows of ``width`` template
+words are hashed and joined, documents to benchmark items. Windows with fewer plain words than placeholders say too little as templates and are
+hashed by value. A capitalised word that begins a sentence may be a plain word or a name, so a window that holds
+such words has a second hash that takes them for names.
 
 A match is a seed: on its diagonal (place in the document less place in the item) all words are
 compared, those that only windows of mostly placeholders hold by value. An item is found if ``least``
 words in a row, or all of a shorter item, match and are consistent: each value of the item stands
-for one value in the document, and different values for different ones. A longer row that is not consistent
+for one value in the document, and different names for different ones (different numbers may well become equal). A longer row that is not consistent
 counts only for what in it is the same word for word, ``least`` words at least. So a copy is caught, and also
-the question with other numbers and names, but not a text that only shares a form.
+the question with other numbers and names, but not a text that only shares a form. Items with fewer
+than ``SHORTEST`` words are found where they stand word for word.
 
-The template hashes of the benchmark go to the tasks, which drop windows that match none before
-the join, if there are at most ``most`` of them; a larger benchmark is joined by shuffle, with
-every window.
+A bit for each hash of the benchmark (its last ``gate_bits`` bits) goes to the tasks, which drop windows that can match none before
+the join. The gate has the same size for any benchmark, and lets more through for a large one; what is found is the same.
 
-Defined results. Null text counts as empty. Items with fewer than five words are not
-searched for. Ids are passed through, null and repeated ones too; each row is judged by its own
+Defined results. Null text counts as empty. Ids are passed through, null and repeated ones too; each row is judged by its own
 text. Repeated items count once each by item_id; items with different texts, but one id or none, are searched
 for each by itself. A null item_id counts in n_items, but is not listed. Empty tables give no match. Other columns are not read.
 """
@@ -39,7 +38,9 @@ from .words import LOWER, mixed, span_hashes, word_bounds, word_hash
 UNITS = ("km", "m", "cm", "mm", "mi", "mile", "miles", "meter", "meters", "metre", "metres", "foot", "feet", "ft", "inch", "inches", "kg", "g", "mg", "lb", "lbs", "oz", "ton", "tons", "pound", "pounds", "l", "ml", "liter", "liters", "litre", "litres", "hour", "hours", "h", "minute", "minutes", "min", "second", "seconds", "s", "ms", "day", "days", "week", "weeks", "month", "months", "year", "years", "dollar", "dollars", "euro", "euros", "cent", "cents", "percent", "degrees", "mph", "km/h", "kmh", "w", "kw", "v", "hz", "khz", "mhz", "gb", "mb", "kb", "eur", "usd")
 NUM, NAME, UNIT = (np.uint64(word_hash(f"<{k}>")) for k in ("num", "name", "unit"))
 UNIT_HASH = np.sort(np.array([word_hash(u) for u in UNITS], np.uint64))
-#: Items shorter than this are not searched for.
+NUMBERS = ("two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen", "twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety", "hundred", "thousand", "million")
+NUMBER_HASH = np.sort(np.array([word_hash(n) for n in NUMBERS], np.uint64))
+#: Items shorter than this are searched for word for word.
 SHORTEST = 5
 DIGIT, SIGN, EDGE, STOP = (np.zeros(256, bool) for _ in range(4))
 DIGIT[48:58] = True
@@ -55,12 +56,12 @@ HITS = "array<struct<pos:int,size:int,hash:bigint>>"
 HIT_TYPE = pa.list_(pa.struct([("pos", pa.int32()), ("size", pa.int32()), ("hash", pa.int64())]))
 
 
-def template(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Template word, value and kind (0: plain word, 1: number, 2: unit, 3: name, 4: plain, but begins a sentence with a capital) of each word, and the number of its text. Words that are signs only are left out."""
+def template(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Template word, value and kind (0: plain word, 1: number, 2: unit, 3: name, 4: plain, but begins a sentence with a capital) of each word, the number of its text, and how many words of it these are. Words that are signs only are left out; neighbouring names, or numbers, are one."""
     starts, ends, text = word_bounds(raw, at)
     if not len(starts):
         none = np.zeros(0, np.uint64)
-        return none, none, np.zeros(0, np.int8), np.zeros(0, np.int64)
+        return none, none, np.zeros(0, np.int8), np.zeros(0, np.int64), np.zeros(0, np.int64)
     stop = STOP[raw[ends - 1]]
     wide = np.zeros(len(raw), bool)  # the second byte of an upper-case letter of Latin-1
     wide[1:] = (raw[:-1] == 0xC3) & (raw[1:] >= 0x80) & (raw[1:] <= 0x9E) & (raw[1:] != 0x97)
@@ -79,13 +80,22 @@ def template(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     value = span_hashes(low, s, e)
     upper = (raw[s] >= 65) & (raw[s] <= 90) | (raw[s] == 0xC3) & np.append(wide, False)[s + 1]
     head = DIGIT[raw[s]] | ((raw[s] == 43) | (raw[s] == 45)) & DIGIT[raw[np.minimum(s + 1, len(raw) - 1)]] & (e - s > 1)
-    number = head
+    number = head | np.isin(value, NUMBER_HASH)
     follows = np.concatenate([[False], number[:-1] & (text[1:] == text[:-1])])
     unit = follows & np.isin(value, UNIT_HASH) if follows.any() else follows
     name = upper & ~opens & ~number & ~unit
     kind = np.select([number, unit, name, upper & opens & ~number & ~unit], [1, 2, 3, OPENER], 0).astype(np.int8)
-    word = np.select([number, unit, name], [NUM, UNIT, NAME], value)
-    return word, value, kind, text
+    # A run of names (the first may begin a sentence), or of numbers, is one slot, and its value that of all its words.
+    more = np.concatenate([[False], (text[1:] == text[:-1]) & ((kind[1:] == 3) & (kind[:-1] >= 3) | (kind[1:] == 1) & (kind[:-1] == 1))])
+    begin = np.flatnonzero(~more)
+    wide = np.diff(np.append(begin, len(value)))
+    if more.any():
+        place = np.arange(len(value)) - np.repeat(begin, wide)
+        whole = np.add.reduceat(value * (np.uint64(2) * place.astype(np.uint64) + np.uint64(1)), begin)
+        value = np.where(wide > 1, mixed(whole), value[begin])
+        kind, text = kind[begin], text[begin]
+    word = np.select([kind == 1, kind == 2, kind == 3], [NUM, UNIT, NAME], value)
+    return word, value, kind, text, wide
 
 
 def slots(kind: np.ndarray) -> np.ndarray:
@@ -93,32 +103,36 @@ def slots(kind: np.ndarray) -> np.ndarray:
 
 
 def windows(word: np.ndarray, value: np.ndarray, kind: np.ndarray, text: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """First word and hash of each window of size words in one text: of the template if it says enough, else of the values. A window that begins with an opener is there twice."""
+    """First word and hash of each window of size words in one text: of the template if it says enough, else of the values. A window that holds openers is there twice; one of an item of fewer than SHORTEST words by its values."""
     n = len(word) - size + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    step = np.uint64(STEP)
-    h = np.full(n, size, np.uint64)
-    for k in range(size):
-        h = h * step + word[k : k + n]
-    count = np.concatenate([[0], np.cumsum(slots(kind))])
-    count = count[size:] - count[:n]
-    own = text[:n] == text[size - 1 :]
-    also = np.flatnonzero(own & (kind[:n] == OPENER))
-    at = np.concatenate([np.flatnonzero(own), also])
-    h = np.concatenate([h[own], h[also] + (NAME - word[also]) * np.uint64(pow(STEP, size - 1, 1 << 64))])
-    dense = np.flatnonzero(2 * np.concatenate([count[own], count[also] + 1]) > size)
-    exact = np.full(len(dense), size + BY_VALUE, np.uint64)
-    for k in range(size):
-        exact = exact * step + value[at[dense] + k]
-    h[dense] = exact
+    own = np.flatnonzero(text[:n] == text[size - 1 :])
+
+    def hashes(of: np.ndarray, at: np.ndarray, start: int) -> np.ndarray:
+        h = np.full(len(at), start, np.uint64)
+        for k in range(size):
+            h = h * np.uint64(STEP) + of[at + k]
+        return h
+
+    if size < SHORTEST:
+        return own, mixed(hashes(value, own, size + BY_VALUE))
+    opener = kind == OPENER
+    count, opens = (np.concatenate([[0], np.cumsum(x)]) for x in (slots(kind), opener))
+    also = own[opens[own + size] > opens[own]]
+    at = np.concatenate([own, also])
+    h = np.concatenate([hashes(word, own, size), hashes(np.where(opener, NAME, word), also, size)])
+    n_slots = count[at + size] - count[at]
+    n_slots[len(own) :] += opens[also + size] - opens[also]
+    dense = np.flatnonzero(2 * n_slots > size)
+    h[dense] = hashes(value, at[dense], size + BY_VALUE)
     return at, mixed(h)
 
 
-def packed(value: np.ndarray, kind: np.ndarray, strict: np.ndarray | None = None) -> np.ndarray:
-    """Value and kind of each word in one number, and whether it is compared by value only."""
-    low = kind.astype(np.uint64)
-    return value & ~np.uint64(15) | (low if strict is None else low | strict.astype(np.uint64) << np.uint64(3))
+def packed(value: np.ndarray, kind: np.ndarray, wide: np.ndarray, strict: np.ndarray | None = None) -> np.ndarray:
+    """Value and kind of each word in one number, whether it is compared by value only, and how many words it stands for (15 at most)."""
+    low = kind.astype(np.uint64) | np.minimum(wide, 15).astype(np.uint64) << np.uint64(4)
+    return value & ~np.uint64(255) | (low if strict is None else low | strict.astype(np.uint64) << np.uint64(3))
 
 
 def covered(good: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -149,10 +163,13 @@ def stretches(good: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.flatnonzero(begin), np.flatnonzero(end) + 1
 
 
-def consistent(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether each value of a stands beside one value of b only, and the other way."""
-    n = len(set(zip(a.tolist(), b.tolist(), strict=True)))
-    return n == len(set(a.tolist())) == len(set(b.tolist()))
+def consistent(a: np.ndarray, b: np.ndarray, name: np.ndarray) -> bool:
+    """Whether each value of a stands beside one value of b only, and for names the other way too."""
+    pairs = set(zip(a.tolist(), b.tolist(), strict=True))
+    if len(pairs) != len(set(a.tolist())):
+        return False
+    names = set(zip(a[name].tolist(), b[name].tolist(), strict=True))
+    return len(names) == len(set(b[name].tolist()))
 
 
 class Compare:
@@ -173,8 +190,9 @@ class Compare:
         left = np.repeat(np.cumsum(length), length) - np.arange(len(number))
         a, d = (np.concatenate(x) for x in sides)
         all_words = b.column("n_words").to_numpy()
-        least, size = np.minimum(all_words, self.least), np.minimum(all_words, self.width)[number]
-        (va, ka, strict), (vd, kd, _) = ((x >> np.uint64(4), (x & np.uint64(7)).astype(np.int8), (x & np.uint64(8)) > 0) for x in (a, d))
+        size = np.minimum(all_words, self.width)[number]
+        (va, ka, strict), (vd, kd, _) = ((x >> np.uint64(8), (x & np.uint64(7)).astype(np.int8), (x & np.uint64(8)) > 0) for x in (a, d))
+        past = np.concatenate([[0], np.cumsum((a >> np.uint64(4) & np.uint64(15)).astype(np.int64))])
         same = va == vd
         sa, sd = slots(ka), slots(kd)
         template_same = np.where(sa | sd, ka == kd, same)
@@ -187,16 +205,16 @@ class Compare:
         def take(good: np.ndarray, more: bool, check: np.ndarray | None) -> None:
             begin, end = stretches(good, number)
             end = end + (size[begin] - 1 if more else 0)
-            long = end - begin >= least[number[begin]]
+            long = (past[end] - past[begin] >= self.least) | (end - begin >= all_words[number[begin]])
             for x, z in zip(begin[long].tolist(), end[long].tolist(), strict=True):
-                k = number[x]
-                if z - x <= best[k]:
+                k, words = number[x], past[z] - past[x]
+                if words <= best[k]:
                     continue
                 if check is not None and not same[x:z].all():
                     p = np.flatnonzero(check[x:z]) + x
-                    if not consistent(va[p], vd[p]):
+                    if not consistent(va[p], vd[p], ka[p] >= 3):
                         continue
-                best[k] = z - x
+                best[k] = words
 
         take(same, False, None)
         take(held, False, slot)
@@ -205,30 +223,26 @@ class Compare:
 
 
 class Match:
-    """Yields one row for each text: its windows, those only whose hash is known if hashes are given, and its packed words if it has windows."""
+    """Yields one row for each text: its windows, those only that can match if a gate is given, and its packed words if it has windows."""
 
-    def __init__(self, sizes: list[int], known: np.ndarray | None, passed: list[str], whole: bool = False):
-        self.sizes, self.known, self.passed, self.whole = sizes, known, passed, whole
+    def __init__(self, sizes: list[int], gate: np.ndarray | None, passed: list[str], whole: bool = False):
+        self.sizes, self.gate, self.passed, self.whole = sizes, gate, passed, whole
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        self.gate = None
-        if self.known is not None:
-            self.gate = np.zeros(1 << 20, bool)
-            self.gate[(self.known & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
         for whole in batches:
             for b in slices(whole, "text"):
                 yield self.one(b)
 
     def one(self, b: pa.RecordBatch) -> pa.RecordBatch:
         raw, at = text_buffer(b.column("text"))
-        word, value, kind, text = template(raw, at)
+        word, value, kind, text, wide = template(raw, at)
         bounds = np.searchsorted(text, np.arange(b.num_rows + 1))
         rows: list[list] = [[] for _ in range(b.num_rows)]
         for size in self.sizes:
             begin, h = windows(word, value, kind, text, size)
             if self.gate is not None and len(h):
-                near = np.flatnonzero(self.gate[(h & np.uint64((1 << 20) - 1)).astype(np.int64)])
-                near = near[np.isin(h[near], self.known)]
+                bit = (h & np.uint64(8 * len(self.gate) - 1)).astype(np.int64)
+                near = np.flatnonzero(self.gate[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
                 begin, h = begin[near], h[near]
             for p, x in zip(begin.tolist(), h.view(np.int64).tolist(), strict=True):
                 d = int(text[p])
@@ -236,10 +250,10 @@ class Match:
                     continue
                 rows[d].append({"pos": p - int(bounds[d]), "size": size, "hash": x})
         strict = None
-        if self.known is None:
+        if self.gate is None:
             own = np.minimum(np.diff(bounds), max(self.sizes, default=1))[text]
             strict = ~covered(window_starts(np.ones(len(text), bool), slots(kind), own, bounds[text + 1] - np.arange(len(text))), own)
-        whole = packed(value, kind, strict).astype("<u8")
+        whole = packed(value, kind, wide, strict).astype("<u8")
         words = [whole[bounds[d] : bounds[d + 1]].tobytes() if r else None for d, r in enumerate(rows)]
         n_words = pa.array(np.diff(bounds), pa.int64())
         return pa.RecordBatch.from_arrays([*(b.column(c) for c in self.passed), n_words, pa.array(words, pa.binary()), pa.array(rows, HIT_TYPE)], [*self.passed, "n_words", "words", "hits"])
@@ -247,24 +261,32 @@ class Match:
 
 def benchmark_windows(items: DataFrame, width: int) -> DataFrame:
     """item, item_id, n_words, words, hits: every window of every different item; an item shorter than width is one window. item: its number."""
-    sizes = list(range(SHORTEST, width + 1))
+    sizes = list(range(1, width + 1))
     once = items.select("item_id", "text").distinct().withColumn("item", F.monotonically_increasing_id())
     rows = map_batches(once, Match(sizes, None, ["item", "item_id"]), f"item bigint, item_id bigint, n_words bigint, words binary, hits {HITS}")
     return rows.withColumn("hits", F.filter("hits", lambda w: (w["size"] == width) | (w["size"] == F.col("n_words")))).where(F.size("hits") > 0)
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, width: int = 8, least: int = 13, most: int = 2_000_000) -> DataFrame:
-    """docs: doc_id, text; items: item_id, text. One row for each document: row, doc_id, text_hash, contaminated, n_items, items, max_words."""
-    spark = docs.sparkSession
+def gate_of(bench: DataFrame, bits: int) -> np.ndarray:
+    """A bit for the last bits of each hash: as many bytes as 2**bits bits take, however many hashes there are."""
+    place = F.col("hash").bitwiseAND((1 << bits) - 1)
+    rows = bench.select(F.shiftright(place, 12).alias("page"), place.bitwiseAND(4095).alias("bit")).groupBy("page").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()
+    gate = np.zeros(max(1, (1 << bits) // 8), np.uint8)
+    for r in rows:
+        page = np.frombuffer(bytes(r["bits"]), np.uint8)[:512]
+        gate[512 * r["page"] : 512 * r["page"] + 512] |= page[: len(gate) - 512 * r["page"]]
+    return gate
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, width: int = 8, least: int = 13, gate_bits: int = 25) -> DataFrame:
+    """docs: doc_id, text; items: item_id, text. One row for each document: row, doc_id, text_hash, contaminated, n_items, items, max_words. gate_bits: 3 at least."""
     whole = saved(benchmark_windows(items, width), "benchmark-windows")
     bench = whole.select("item", F.explode("hits").alias("w")).select("item", F.col("w.pos").alias("item_pos"), F.col("w.size").alias("size"), F.col("w.hash").alias("hash"))
-    distinct = bench.select("hash", "size").distinct()
-    known, sizes = None, sorted(r["size"] for r in bench.select("size").distinct().collect())
-    if distinct.count() <= most:
-        known = np.sort(np.array([r["hash"] for r in distinct.select("hash").collect()], np.int64).view(np.uint64))
+    # At most width sizes.
+    sizes, gate = sorted(r["size"] for r in bench.select("size").distinct().collect()), gate_of(bench, gate_bits)
     rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.xxhash64("text").alias("text_hash"), "text")
     passed = ["doc_id", "row", "text_hash"]
-    found = saved(map_batches(rows, Match(sizes, known, passed), f"doc_id bigint, row bigint, text_hash bigint, n_words bigint, words binary, hits {HITS}"), "document-windows")
+    found = saved(map_batches(rows, Match(sizes, gate, passed), f"doc_id bigint, row bigint, text_hash bigint, n_words bigint, words binary, hits {HITS}"), "document-windows")
     hit = found.select("row", F.explode("hits").alias("w")).select("row", F.col("w.pos").alias("pos"), F.col("w.hash").alias("hash"))
     seed = hit.join(bench.select("item", "item_pos", "hash"), "hash").select("row", "item", (F.col("pos") - F.col("item_pos")).alias("diagonal")).distinct()
     pair = seed.join(whole.select("item", "item_id", "n_words", F.col("words").alias("item_words")), "item").join(found.where("words IS NOT NULL").select("row", F.col("n_words").alias("doc_length"), F.col("words").alias("doc_words")), "row")
