@@ -11,11 +11,11 @@ Work is done once for each different stretch of text between two sure piece boun
 stop or comma), and what is known is kept by the Python worker up to ``most`` stretches.
 
 A round contracts one pair of a piece, so a piece of n bytes takes up to n rounds over n
-rows. Pieces beyond ``long`` bytes (runs of thousands of letters or signs) are therefore left
+rows (the keyed table holds n of them, not those of all rounds). Pieces beyond ``long`` bytes (runs of thousands of letters or signs) are therefore left
 to the tiktoken library's own encoder, which gives the same ids.
 
 Defined results. Null text counts as empty: 0 tokens and the digests of nothing. Ids of rows
-are passed through, null and repeated ones too; other columns are not read.
+are passed through, null and repeated ones too; other columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,22 +34,22 @@ from .common import documents, kept, map_batches, slices, text_buffer
 PIECES, GATHER = 32_000, 4 << 20
 SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
+# The table is keyed, so it holds each byte's row once, as its last round left it: -1 where a pair has taken it in. A
+# piece that has no pair left gives no rows to the next round.
 ENCODE = """
-WITH RECURSIVE step(round, piece, pos, tok) AS (
-  SELECT 0, piece, pos, tok FROM start
+WITH RECURSIVE step(piece, pos, tok) USING KEY (piece, pos) AS (
+  SELECT piece, pos, tok FROM start
   UNION ALL
   (WITH pair AS (
-     SELECT piece, pos, tok, lead(tok) OVER w AS tok2, lead(pos) OVER w AS pos2, round
-     FROM step WINDOW w AS (PARTITION BY piece ORDER BY pos)),
+     SELECT piece, pos, tok, lead(tok) OVER w AS tok2, lead(pos) OVER w AS pos2
+     FROM step WHERE tok >= 0 WINDOW w AS (PARTITION BY piece ORDER BY pos)),
    best AS (
      SELECT piece, arg_min(struct_pack(pos := pair.pos, pos2 := pair.pos2, rank := merges.rank), merges.rank::BIGINT * 65536 + pair.pos) AS b
      FROM pair JOIN merges ON pair.tok = merges.a AND pair.tok2 = merges.b GROUP BY piece)
-   SELECT pair.round + 1, pair.piece, pair.pos, CASE WHEN pair.pos = b.pos THEN b.rank ELSE pair.tok END
-   FROM pair JOIN best ON pair.piece = best.piece WHERE pair.pos <> b.pos2)
+   SELECT pair.piece, pair.pos, CASE WHEN pair.pos = b.pos THEN b.rank WHEN pair.pos = b.pos2 THEN -1 ELSE pair.tok END
+   FROM pair JOIN best ON pair.piece = best.piece)
 )
-SELECT piece, list(tok ORDER BY pos) AS ids
-FROM (SELECT *, max(round) OVER (PARTITION BY piece) AS last FROM step) WHERE round = last
-GROUP BY piece ORDER BY piece
+SELECT piece, list(tok ORDER BY pos) AS ids FROM step WHERE tok >= 0 GROUP BY piece ORDER BY piece
 """
 
 DECODE = """
@@ -114,6 +114,7 @@ class Codec:
                 rest.append((p, b))
             else:
                 out[p] = self.by_library(p)
+        rest.sort(key=lambda x: len(x[1]))  # pieces of one length take about as many rounds
         for at in range(0, len(rest), PIECES):
             part = rest[at : at + PIECES]
             sizes = np.fromiter((len(b) for _, b in part), np.int64, len(part))
@@ -140,7 +141,7 @@ class Codec:
         if new:
             cut = [self.split(s) for s in new]
             known = self.pieces(list(dict.fromkeys(p for c in cut for p in c)))
-            ids = [[i for p in c for i in known[p]] for c in cut]
+            ids = [known[c[0]] if len(c) == 1 else [i for p in c for i in known[p]] for c in cut]
             sizes = [len(i) for i in ids]
             flat = np.fromiter((i for x in ids for i in x), np.int32, sum(sizes))
             stretch = np.repeat(np.arange(len(new), dtype=np.int32), sizes)
