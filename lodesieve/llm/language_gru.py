@@ -6,13 +6,13 @@ scores of the languages, and so a probability at every position. A document's pr
 of a language pools those of its positions: the mean of their logarithms, normalised. Each
 position has seen its whole window, so positions that speak for nothing weigh little.
 
-The network is trained here, in numpy, by backpropagation through time with Adam, on windows
-of a sample of the labelled documents: up to ``per_language`` of each language, chosen by the
-hash of the id among those with crc32(id as text) mod 5 not 0 (see sample()). The languages are
-the labels found. Prediction reads the text alone.
+The network is trained here, in numpy, by backpropagation through time with Adam, on a bounded
+sample of the labelled documents: about ``per_language`` of each language and ``total`` in all, chosen by the
+hash of the id among those with crc32(id as text) mod 5 not 0, and of each up to ``pieces`` windows, spread evenly over the
+whole text (see sample()). The languages are the labels found. Prediction reads the text alone, all of it.
 
-Defined results. ``und``, with score 0, where the text is null or has no letter, or where there was
-nothing to learn from. Ids are passed through, null and repeated ones too (a null id counts as
+Defined results. ``und``, with score 0, where the text is null or has no letter (Unicode's letters: no digits, fractions or numerals), or where there was
+nothing to learn from. An empty table gives an empty result. Ids are passed through, null and repeated ones too (a null id counts as
 the empty text in the fold); other columns are not read.
 """
 
@@ -29,10 +29,15 @@ from pyspark.sql import functions as F
 from .common import documents, fold, map_batches, slices, text_buffer
 
 SCHEMA = "doc_id bigint, held_out boolean, lang_pred string, score double"
+#: Letters, and some numbers that are no decimal digits.
 LETTER = re.compile(r"[^\W\d_]")
 PAD = 256
 
 
+def has_letter(text: str) -> bool:
+    return any(m.group().isalpha() for m in LETTER.finditer(text))
+
+
 class Network:
     """Weights of the two directions and of the output."""
 
@@ -94,11 +99,42 @@ class Network:
             np.add.at(g[d + "x"], x.ravel(), gates.reshape(-1, 3 * H))
         return loss, g
 
+    def states(self, x: np.ndarray, d: str) -> np.ndarray:
+        """As run(), in buffers that are used again; the gates' halves are taken in the weights."""
+        T, N = x.shape
+        H = self.hidden
+        half = np.concatenate([np.full(2 * H, 0.5, np.float32), np.ones(H, np.float32)])
+        wx, wh = self.p[d + "x"] * half, self.p[d + "h"] * half
+        out, h = np.empty((T, N, H), np.float32), np.zeros((N, H), np.float32)
+        gx, gh, c = np.empty((N, 3 * H), np.float32), np.empty((N, 3 * H), np.float32), np.empty((N, H), np.float32)
+        rz = np.empty((N, 2 * H), np.float32)
+        for t in range(T) if d == "f" else range(T - 1, -1, -1):
+            np.take(wx, x[t], 0, gx, "clip")
+            np.matmul(h, wh, gh)
+            np.add(gx[:, : 2 * H], gh[:, : 2 * H], rz)
+            np.tanh(rz, rz)
+            rz += np.float32(1)
+            rz *= np.float32(0.5)
+            np.multiply(rz[:, :H], gh[:, 2 * H :], c)
+            c += gx[:, 2 * H :]
+            np.tanh(c, c)
+            new = out[t]
+            np.subtract(h, c, new)
+            new *= rz[:, H:]
+            new += c
+            h = new
+        return out
+
     def log_probabilities(self, x: np.ndarray) -> np.ndarray:
         """x: steps x windows. The sum, over each window's bytes, of the log-probabilities of the languages."""
-        logits = self.run(x, "f") @ self.p["out"][: self.hidden] + (self.run(x, "b") @ self.p["out"][self.hidden :] + self.p["bias"])
-        logits -= logits.max(2, keepdims=True)
-        logits -= np.log(np.exp(logits).sum(2, keepdims=True))
+        T, N = x.shape
+        flat = lambda d: self.states(x, d).reshape(T * N, -1)
+        logits = flat("f") @ self.p["out"][: self.hidden]
+        logits += flat("b") @ self.p["out"][self.hidden :]
+        logits += self.p["bias"]
+        logits -= logits.max(1, keepdims=True)
+        logits -= np.log(np.exp(logits).sum(1, keepdims=True))
+        logits = logits.reshape(T, N, -1)
         logits[x == PAD] = 0
         return logits.sum(0)
 
@@ -121,12 +157,13 @@ def windows_of(raw: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray
     return x, text
 
 
-def train(texts: list[str], langs: list[str], hidden: int = 8, window: int = 64, batch: int = 256, steps: int = 400, rate: float = 0.01) -> Network | None:
+def train(texts: list[bytes], langs: list[str], hidden: int = 8, window: int = 64, batch: int = 256, steps: int = 400, rate: float = 0.01) -> Network | None:
+    """A network that has learned from UTF-8 texts, or parts of them, and their languages; None if there are none."""
     if not texts:
         return None
     languages = sorted(set(langs))
     net, rng = Network(languages, hidden), np.random.default_rng(6)
-    raw, at = text_buffer(pa.array(texts, pa.large_string()))
+    raw, at = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
     x, text = windows_of(raw, at, window)
     y = np.array([languages.index(v) for v in langs])[text]
     by = [np.flatnonzero(y == k) for k in range(len(languages))]
@@ -169,23 +206,45 @@ class Predict:
             prob /= prob.sum(1, keepdims=True)
             best = prob.argmax(1)
         for d, t in enumerate(b.column("text")):
-            known = self.net is not None and t.is_valid and LETTER.search(t.as_py()) is not None
+            known = self.net is not None and t.is_valid and has_letter(t.as_py())
             lang.append(self.net.languages[best[d]] if known else "und")
             score.append(float(prob[d, best[d]]) if known else 0.0)
         return pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
 
-def sample(docs: DataFrame, per_language: int = 400, start: int = 4096) -> tuple[list[str], list[str]]:
-    """Texts and labels to learn from: about per_language documents of each language, by the hash of their ids; of each its first ``start`` bytes' worth."""
+class Pieces:
+    """Up to so many windows of each text, spread evenly over all of it."""
+
+    def __init__(self, pieces: int, window: int):
+        self.pieces, self.window = pieces, window
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in slices(whole, "text"):
+                raw, at = text_buffer(b.column("text"))
+                out = []
+                for a, z in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                    n = -(-(z - a) // self.window)
+                    some = np.unique(np.linspace(0, n - 1, min(n, self.pieces)).astype(np.int64)) if n else []
+                    out.append(b"".join(raw[a + k * self.window : min(a + (k + 1) * self.window, z)].tobytes() for k in some))
+                yield pa.RecordBatch.from_arrays([b.column("h"), b.column("lang"), pa.array(out, pa.binary())], ["h", "lang", "windows"])
+
+
+def sample(docs: DataFrame, per_language: int = 400, total: int = 20_000, pieces: int = 64, window: int = 64) -> tuple[list[bytes], list[str]]:
+    """Windows and labels to learn from: of about per_language documents of each language, and total in all, by the hash of their ids.
+
+    So the driver gets about total * pieces * window bytes at most (82 MB), whatever the documents' sizes and the number of labels."""
     labelled = docs.where(F.col("lang").isNotNull() & (fold("doc_id", 5) != 0)).select("lang", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)).alias("h"))
     sizes = labelled.groupBy("lang").count()
-    share = sizes.select(F.col("lang").alias("l"), (F.lit(float(per_language)) / F.col("count")).alias("share"))
-    # One row for each language: as many rows as there are languages.
-    chosen = labelled.join(F.broadcast(share), F.col("lang") == F.col("l")).where(F.col("h") < F.col("share") * (1 << 40))
-    most = 2 * per_language * max(1, sizes.count())
-    rows = chosen.orderBy("h", "lang").limit(most).select(F.substring("text", 1, start).alias("text"), "lang").collect()
-    rows = [r for r in rows if r["text"]]
-    return [r["text"] for r in rows], [r["lang"] for r in rows]
+    languages = sizes.count()
+    each = min(float(per_language), total / max(1, languages))
+    share = sizes.select(F.col("lang").alias("l"), (F.lit(each) / F.col("count")).alias("share"))
+    if languages <= 100_000:  # a few MB; then no text is shuffled
+        share = F.broadcast(share)
+    chosen = labelled.join(share, F.col("lang") == F.col("l")).where(F.col("h") < F.col("share") * (1 << 40)).select("h", "lang", "text")
+    rows = map_batches(chosen, Pieces(pieces, window), "h bigint, lang string, windows binary").orderBy("h", "lang", "windows").limit(2 * total).collect()
+    rows = [r for r in rows if r["windows"]]
+    return [bytes(r["windows"]) for r in rows], [r["lang"] for r in rows]
 
 
 def language_id(docs: DataFrame, net: Network | None, window: int = 128) -> DataFrame:
