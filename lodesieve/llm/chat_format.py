@@ -7,8 +7,8 @@ lanes of 32 bits, so that equal sums stand for equal prefixes). A conversation w
 hash is found among the proper prefixes of others goes, by anti-join; of equal conversations
 the one with the smallest conv_id stays. What stays is rendered.
 
-The running sum is taken in two levels, over blocks of turn numbers and within blocks, so
-that one conversation with a third of all turns is not summed by one task. Prefixes are made
+The running sum is taken in two levels, over blocks and within blocks. Blocks are ranges of (conversation, turn, digest, row), as
+Spark deals them out, so that one conversation with a third of all turns is not summed by one task, though all its turns were the same. Prefixes are made
 distinct before the join, which combines copies where they are read. Only digests of the turns
 take part in this; texts are shuffled once, those that are rendered.
 
@@ -26,8 +26,6 @@ from pyspark.sql import functions as F
 
 from .common import saved
 
-#: Turn numbers of one block of the two-level running sum.
-BLOCK = 64
 LANES = ["h0", "h1", "h2", "h3"]
 START, END = "<|im_start|>", "<|im_end|>"
 
@@ -43,8 +41,12 @@ def clean(turns: DataFrame) -> DataFrame:
 
 def prefix_hashes(turns: DataFrame) -> DataFrame:
     """turns: clean(). key, conv, pos (from 1) and the lanes of the prefix hash up to each turn."""
-    t = turns.select("key", "conv", "turn", "digest", F.expr(f"coalesce(floor(turn / {BLOCK}), -9223372036854775808)").alias("block"))
-    own = Window.partitionBy("key", "block").orderBy(F.asc_nulls_first("turn"), "digest")
+    # Rows that are alike in all of it have the same hash in any order; their numbers only deal them out.
+    order = [F.asc_nulls_first("turn"), "digest", "r"]
+    parts = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    t = turns.select("key", "conv", "turn", "digest", F.monotonically_increasing_id().alias("r"))
+    t = saved(t.repartitionByRange(parts, "key", *order).withColumn("block", F.spark_partition_id()), "turns")
+    own = Window.partitionBy("key", "block").orderBy(*order)
     before = Window.partitionBy("key").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     sizes = t.groupBy("key", "block").agg(F.count(F.lit(1)).alias("n"))
     starts = sizes.select("key", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
