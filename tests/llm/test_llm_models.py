@@ -82,6 +82,16 @@ def test_jaccard_components_by_brute_force(spark):
     assert jaccard_join.jaccard_groups(df.where("false")).count() == 0
 
 
+def test_link_counts_by_brute_force(spark):
+    rows = near_rows()
+    sets = [shingles(t) for _, t in rows]
+    want = sorted((i, sum(k != m and bool(a) and bool(b) and 100 * len(a & b) >= 80 * len(a | b) for m, b in enumerate(sets))) for k, ((i, _), a) in enumerate(zip(rows, sets, strict=True)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    for kw in ({}, {"buckets": 3, "hot": 2, "block": 8}):
+        assert sorted((r["doc_id"], r["n_links"]) for r in jaccard_join.link_counts(df, **kw).collect()) == want
+    assert jaccard_join.link_counts(df.where("false")).count() == 0
+
+
 def test_components(spark):
     rng = random.Random(3)
     links = [(k, k + 1) for k in range(40)] + [(100, 100 + k) for k in range(1, 60)] + [(rng.randint(200, 300), rng.randint(200, 300)) for _ in range(60)]
@@ -109,8 +119,8 @@ def test_decontamination(spark):
     items = [(1, QUESTION), (2, "two words"), (3, None), (4, "Short item: of five words!")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("items", F.lit("clash")).withColumn("hash", F.lit(1))
     bench = spark.createDataFrame(items, "item_id bigint, text string")
-    for most in (2_000_000, 0):
-        got = sorted((r["doc_id"] or 0, r["contaminated"], r["items"]) for r in decontaminate.decontaminate(docs, bench, most=most).collect())
+    for bits in (25, 3):
+        got = sorted((r["doc_id"] or 0, r["contaminated"], r["items"]) for r in decontaminate.decontaminate(docs, bench, gate_bits=bits).collect())
         assert got == [(0, True, "1"), (1, False, ""), (1, True, "1"), (2, True, "1"), (3, False, ""), (4, False, ""), (5, False, ""), (6, False, ""), (8, False, ""), (9, True, "4"), (10, False, ""), (11, False, "")]
     left = decontaminate.without_benchmark(docs, bench)
     assert left.columns == docs.columns and sorted(r["doc_id"] for r in left.collect()) == [1, 3, 4, 5, 6, 8, 10, 11]
@@ -138,12 +148,57 @@ def test_decontamination_of_dense_short_and_edited_items(spark):
     texts = [f"we read that {dense} yesterday", "then Garcia paid 30 dollars Monday again", "and so Weber walked home before the rain started", edited + " with 13 more", f"we read that {form} yesterday", "then Garcia paid 31 dollars Tuesday again"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     bench = spark.createDataFrame(items, "item_id bigint, text string")
-    for most in (2_000_000, 0):
-        got = {r["doc_id"]: r for r in decontaminate.decontaminate(docs, bench, most=most).collect()}
+    for bits in (25, 3):
+        got = {r["doc_id"]: r for r in decontaminate.decontaminate(docs, bench, gate_bits=bits).collect()}
         assert [got[k]["items"] for k in range(len(texts))] == ["1", "2", "3", "4", "1", ""]
         assert [got[k]["max_words"] for k in range(4)] == [17, 5, 7, len(edited.split()) + 1]
 
 
+def test_recall_on_items_with_other_names_and_numbers(spark):
+    """Items of short sentences, with names of one or two words that often begin them, and numbers that may coincide or be spelled out."""
+    rng = random.Random(12)
+    names = ["Anna", "Bob", "Maria Lopez", "Eva", "Ben", "Carla Diaz", "Tom", "Ivan Petrov", "Lucy", "Omar"]
+    spelled = ["two", "five", "twelve", "seven"]
+    forms = [
+        "{0} has {3} apples. {1} has {4} pears and gives {5} of them to {0}. How many pears does {1} have after the trade with {0}?",
+        "A train leaves the old station at {3} km per hour while {0} waits. {1} then walks {4} km to the bridge. How far is {0} from the bridge after {5} hours?",
+        "{0} buys {3} kg of rice and {4} kg of beans at the market near the river. {2} pays {5} dollars for all of it. What does one kg cost {2}?",
+        "In the garden of {0} stand {3} trees in each of {4} rows. {1} cuts down {5} trees before the winter comes. How many trees does {0} keep?",
+    ]
+
+    def number():
+        return rng.choice(spelled) if rng.random() < 0.2 else str(rng.randint(2, 40))
+
+    def filled(form):
+        a, b, c = rng.sample(names, 3)
+        return form.format(a, b, c, number(), number(), number())
+
+    items = [(k, filled(forms[k % len(forms)]).replace("old", f"old{k}x").replace("How", f"So {'abcdefgh'[k % 8]}how")) for k in range(40)]
+    texts, want = [], []
+    filler = [f"word{k}" for k in range(300)]
+    for k, t in items:
+        form = forms[k % len(forms)].replace("old", f"old{k}x").replace("How", f"So {'abcdefgh'[k % 8]}how")
+        copy = form.format(*rng.sample(names, 3), number(), number(), number()) if k % 2 else form.format(*rng.sample(names, 3), "6", "6", "6")
+        texts.append(" ".join(rng.choices(filler, k=30)) + ". " + copy + " " + " ".join(rng.choices(filler, k=30)))
+        want.append(True)
+    for _ in range(40):  # other sentences of the same words
+        words = filled(rng.choice(forms)).split()
+        rng.shuffle(words)
+        texts.append(" ".join(words + rng.choices(filler, k=20)))
+        want.append(False)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["contaminated"] for r in decontaminate.decontaminate(docs, spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    assert sum(got[k] for k, w in enumerate(want) if w) >= 0.9 * sum(want)
+    assert not any(got[k] for k, w in enumerate(want) if not w)
+
+
+def test_short_items_are_found_word_for_word(spark):
+    items = [(1, "Blue: whale"), (2, "zebra"), (3, "costs 12 dollars")]
+    texts = ["a blue whale swims", "Zebra!", "it costs 12 dollars now", "it costs 13 dollars now", "blue and whale", ""]
+    docs, bench = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    assert {r["doc_id"]: r["items"] for r in decontaminate.decontaminate(docs, bench).collect()} == {0: "1", 1: "2", 2: "3", 3: "", 4: "", 5: ""}
+
+
 def test_decontamination_of_planted_passages(spark, sf_dir):
     docs, items = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
