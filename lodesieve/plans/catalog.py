@@ -389,7 +389,7 @@ SELECT request_id, error, CASE WHEN error IS NOT NULL THEN 'failed' WHEN k IN (0
   CASE WHEN error = 'too_large' THEN 413 WHEN error IS NOT NULL THEN 422 ELSE 200 END AS status, CASE WHEN error IS NULL THEN sha256('{{"model":"m","input":[{{' || CASE k WHEN 0 THEN '"file_data":"data:text/plain;base64,' || to_base64(encode(clean))
   WHEN 8 THEN '"file_data":"' || to_base64(encode(clean)) ELSE '"file_data":"data:application/x;base64,' || to_base64(encode(text)) END || '"}}]}}') END AS approved FROM r""")
 def request_attachments(spark, sf_dir):
-    """Attachments in bodies: texts with and without a secret, and all that can't be looked at, which no mode but advisory passes on."""
+    """Attachments in bodies: texts with and without a secret, and all that can't be looked at, which is never passed on."""
     c = turns(spark, sf_dir).withColumn("k", F.expr(WAY))
     k, b64 = F.col("k"), lambda c: T.to_base64(F.encode(c, "UTF-8"))
     dirty = F.concat("text", F.lit(" "), "tok")
