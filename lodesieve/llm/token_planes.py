@@ -21,6 +21,7 @@ table writes no chunk, and reads back as no row. Other columns are not read.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -46,6 +47,8 @@ SPACE, LETTER, STOP = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bo
 SPACE[[10, 32]] = True
 LETTER[65:91] = LETTER[97:123] = True
 STOP[[44, 46]] = True
+#: The tokenizer's pattern, for printable ASCII in lower case.
+PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -54,7 +57,8 @@ class WordEncoder:
     """Encodes texts by their words, each different word once. Words end at spaces and line
     ends, which the tokenizer drops, and between a letter A-Z and a full stop or comma, where it
     always splits: neither its normaliser nor its merges reach across these. As it lower-cases,
-    words of ASCII letters are looked up in lower case. Holds at most ``most`` words, then starts anew.
+    words of ASCII letters are looked up in lower case. Words of printable ASCII are cut by the tokenizer's pattern here, and each piece goes
+    to its model alone; all others pass through the whole tokenizer. Holds at most ``most`` words, then starts anew.
     added: added tokens in a text stand for their own ids, as the library has it; texts that hold one are encoded whole."""
 
     def __init__(self, path: str, most: int = 1_000_000, added: bool = False):
@@ -69,9 +73,14 @@ class WordEncoder:
             self.tokens = [t.content for t in self.library.get_added_tokens_decoder().values()]
         # Many words are encoded as one text, with a sign between them that has one id of its own.
         self.mark, self.mark_id = next((c, ids[0]) for c in "\u2122\u00a9\u00ae|~" if len(ids := self.tokenizer.encode(c, add_special_tokens=False).ids) == 1)
+        self.model = self.tokenizer.model
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that end a word
+        self.ends[[k for t, k in vocabulary.items() if t.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
+        self.pieces: dict[str, list[int]] = {}
         self.number: dict[str, int] = {}
         self.flat, self.starts, self.sizes, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
 
@@ -79,23 +88,62 @@ class WordEncoder:
         if len(self.number) + len(words) > self.most:
             self.clear()
         new = [w for w in words if w not in self.number]
-        plain = [w for w in new if self.mark not in w]
-        parts = [plain[at : at + 5000] for at in range(0, len(plain), 5000)] + [[w] for w in new if self.mark in w]
+        simple = [w for w in new if w.isascii() and w.isprintable()]
+        if simple:
+            ids = [self.by_pieces(w) for w in simple]
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            self.keep(simple, np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum())), sizes)
+        rest = [w for w in new if w not in self.number]
+        left = self.by_ends([w for w in rest if w.isalpha()])
+        rest = [w for w in rest if not w.isalpha()] + left
+        plain = [w for w in rest if self.mark not in w]
+        parts = [plain[at : at + 5000] for at in range(0, len(plain), 5000)] + [[w] for w in rest if self.mark in w]
         for part in parts:
             flat = np.array(self.tokenizer.encode_batch_fast([f" {self.mark} ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
             marks = np.flatnonzero(flat == self.mark_id) if len(part) > 1 else np.zeros(0, np.int64)
             sizes = np.diff(np.concatenate([[-1], marks, [len(flat)]])) - 1
-            flat = np.delete(flat, marks)
-            first, n = len(self.number), len(part)
-            self.flat = grown(self.flat, self.used + len(flat))
-            self.starts, self.sizes = grown(self.starts, first + n), grown(self.sizes, first + n)
-            self.flat[self.used : self.used + len(flat)] = flat
-            self.starts[first : first + n] = self.used + np.cumsum(sizes) - sizes
-            self.sizes[first : first + n] = sizes
-            self.used += len(flat)
-            self.number.update(zip(part, range(first, first + n), strict=True))
+            self.keep(part, np.delete(flat, marks), sizes)
         return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
 
+    def by_pieces(self, word: str) -> list[int]:
+        """The ids of a word of printable ASCII, in lower case."""
+        if word.isalpha():
+            return [t.id for t in self.model.tokenize(word)]
+        out = []
+        for p in PIECE.findall(word):
+            if p.isalpha():
+                out += [t.id for t in self.model.tokenize(p)]
+                continue
+            ids = self.pieces.get(p)  # signs and digits come again
+            if ids is None:
+                ids = self.pieces[p] = [t.id for t in self.model.tokenize(p)]
+            out += ids
+        return out
+
+    def by_ends(self, words: list[str]) -> list[str]:
+        """Takes up words of letters alone, each of which ends with one word end; those that do not count up are given back."""
+        left = []
+        for at in range(0, len(words), 500):
+            part = words[at : at + 500]
+            flat = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.ends[flat])
+            if len(ends) == len(part) and ends[-1] == len(flat) - 1:
+                self.keep(part, flat, np.diff(ends, prepend=-1))
+            else:
+                left += part
+        return left
+
+    def keep(self, words: list[str], flat: np.ndarray, sizes: np.ndarray) -> None:
+        """Takes up new words with their ids, one after another in flat."""
+        first, n = len(self.number), len(words)
+        self.flat = grown(self.flat, self.used + len(flat))
+        self.starts, self.sizes = grown(self.starts, first + n), grown(self.sizes, first + n)
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.starts[first : first + n] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[first : first + n] = sizes
+        self.used += len(flat)
+        self.number.update(zip(words, range(first, first + n), strict=True))
+
     def encode(self, column: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each with the end id after it, and how many each has."""
         whole = np.zeros(len(column), bool)
