@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -12,6 +10,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import drop, new_path, saved  # noqa: F401
+
 #: Rows of an Arrow batch. Small, so that a batch of very long texts still fits a Python worker.
 BATCH_ROWS = 1000
 #: Bytes of text that a vectorised step takes at once.
@@ -22,29 +22,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. A temporary one only where none is set and all runs on this machine, as in tests."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        if not spark.sparkContext.master.partition("[")[0] == "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        path = tempfile.mkdtemp(prefix="lodesieve-")
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/lodesieve/{label}-{uuid.uuid4().hex}"
-
-
-def saved(df: DataFrame, label: str) -> DataFrame:
-    """Writes df into the shared folder and reads it back. This cuts the lineage, and survives a lost executor."""
-    spark = df.sparkSession
-    path = new_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def free_names(taken: list[str], *names: str) -> list[str]:
     """Column names that no column of taken has, in any case of letters."""
     low, out = {t.lower() for t in taken}, []
@@ -56,6 +33,19 @@ def free_names(taken: list[str], *names: str) -> list[str]:
     return out
 
 
+#: At most so many keys can hold this share of all rows each; these are joined by broadcast.
+HOT_KEYS = 1000
+
+
+def with_labels(rows: DataFrame, labels: DataFrame, key: str) -> DataFrame:
+    """rows joined with labels on key. labels has one row for each key, and copies, the rows with it: keys that hold a
+    large share of rows, HOT_KEYS at most, are joined by broadcast, so that none of them passes whole through one task."""
+    hot = max(1000, -(-rows.count() // HOT_KEYS))
+    big = F.broadcast(labels.where(F.col("copies") >= hot))
+    rest = rows.join(F.broadcast(labels.where(F.col("copies") >= hot).select(key)), key, "left_anti")
+    return rows.join(big, key).unionByName(rest.join(labels.where(F.col("copies") < hot), key))
+
+
 def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, chat_format, decontaminate, exact_dedup, jaccard_join, language_gru, pii_crf, pitman_yor, secret_scan, token_planes
+from . import byte_bpe, chat_format, decontaminate, exact_dedup, jaccard_join, language_gru, pii_crf, pitman_yor, secret_scan, simhash, token_planes
 
 QUERIES = {
     "op1_secret_scan": secret_scan.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_pii_crf": pii_crf.query,
     "op9_pitman_yor": pitman_yor.query,
     "op10_byte_bpe": byte_bpe.query,
+    "op11_simhash_golay": simhash.query,
 }
 
 ORACLE_SQL = {
