@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, chat_format, decontaminate, exact_dedup, jaccard_join, language_gru, pii_crf, pitman_yor, secret_scan, simhash, token_planes
+from . import byte_bpe, chat_format, decontaminate, exact_dedup, jaccard_join, language_gru, pii_crf, pitman_yor, secret_scan, simhash, token_align, token_planes
 
 QUERIES = {
     "op1_secret_scan": secret_scan.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_pitman_yor": pitman_yor.query,
     "op10_byte_bpe": byte_bpe.query,
     "op11_simhash_golay": simhash.query,
+    "op12_token_align": token_align.query,
 }
 
 ORACLE_SQL = {
