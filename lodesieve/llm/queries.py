@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, chat_format, decontaminate, exact_dedup, jaccard_join, language_gru, pii_crf, pitman_yor, secret_scan, simhash, token_align, token_planes
+from . import byte_bpe, chat_format, decontaminate, exact_dedup, hard_negatives, jaccard_join, language_gru, pii_crf, pitman_yor, secret_scan, simhash, token_align, token_planes
 
 QUERIES = {
     "op1_secret_scan": secret_scan.query,
@@ -17,9 +17,11 @@ QUERIES = {
     "op10_byte_bpe": byte_bpe.query,
     "op11_simhash_golay": simhash.query,
     "op12_token_align": token_align.query,
+    "op13_hard_negatives": hard_negatives.query,
 }
 
 ORACLE_SQL = {
     "op2_chat_format": chat_format.SQL,
     "op5_exact_dedup": exact_dedup.SQL,
+    "op13_hard_negatives": hard_negatives.SQL,
 }
