@@ -12,7 +12,7 @@ fingerprints link when at most three bits differ. Links are found by keys, not b
    (b) one error in each. For (a) there is a key for each ordered pair of segments, the one's bits and the other's index:
    6 own keys of 33 bits and more. For (b) an error lies in one half of a segment, so the key is the first segment's
    index and a half of each of the others: 4 own keys. Near indices make that 60 keys at most.
-4. Keys that one fingerprint alone has go; the others are joined and verified by counting bits. Keys of many fingerprints are
+4. Keys are sorted by ranges, and those that one fingerprint alone has go there; the others are joined and verified by counting bits. Keys of many fingerprints are
    cut into blocks, and pairs of blocks are verified apart. Within one, what is connected already is not tried again, so a family
    gives about as many links as it has members, not as many as it has pairs.
 5. The components of these links are those of all links.
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, map_batches, saved, slices, text_buffer, with_labels
+from .common import documents, drop, map_batches, saved, slices, text_buffer, with_labels
 from .components import components
 from .words import LOWER, word_bounds
 
@@ -41,6 +41,7 @@ BITS, AT = (22, 21, 21), (0, 22, 43)
 COUNT = 1 << 14
 #: Runs of at most so many fingerprints are tried pair by pair.
 SHORT = 24
+KEYS = "key bigint, fp bigint, own boolean"
 
 
 def golay() -> np.ndarray:
@@ -157,6 +158,28 @@ def key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fp[of]), pa.array(own)], ["key", "fp", "own"])
 
 
+def shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of sorted rows those whose key another row has too. A partition's first and last key may go on in its neighbours; they stay."""
+    held, first = None, None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        if held is not None:
+            b = pa.RecordBatch.from_arrays([pa.concat_arrays([h, c]) for h, c in zip(held[0].columns, b.columns, strict=True)], b.schema.names)
+        key = b.column("key").to_numpy()
+        first = key[0] if first is None else first
+        keep = key == first
+        same = key[1:] == key[:-1]
+        keep[1:] |= same
+        keep[:-1] |= same
+        if held is not None:
+            keep[0] |= held[1]
+        held = b.slice(b.num_rows - 1), keep[-1]  # whether the last one stays is known by the next batch
+        yield b.slice(0, b.num_rows - 1).filter(pa.array(keep[:-1]))
+    if held is not None:
+        yield held[0]
+
+
 class Verify:
     """Verifies the runs of rows with one key and pair of blocks; rows come sorted. side: the block that a row is of."""
 
@@ -215,16 +238,19 @@ def spanning(fp: np.ndarray, own: np.ndarray, side: np.ndarray, one: bool) -> tu
 
 def links(nodes: DataFrame, block: int = 2048) -> DataFrame:
     """nodes: fp, different ones. a, b: links that connect all nodes that are connected."""
-    keys = map_batches(nodes, key_rows, "key bigint, fp bigint, own boolean")
+    keys = map_batches(nodes, key_rows, KEYS).repartitionByRange("key", "fp").sortWithinPartitions("key", "fp")
+    keys = saved(map_batches(keys, shared_rows, KEYS), "simhash-keys")
     # A link needs an own key of the one among the other's.
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.max("own").alias("own")).where("k > 1 AND own").select("key", F.expr(f"cast(ceil(k / {block}) as int)").alias("blocks"))
-    rows = saved(keys.join(shared, "key"), "simhash-keys")
+    rows = saved(keys.join(shared, "key"), "simhash-shared")
     plain = rows.where("blocks = 1").select("key", F.lit(0).alias("low"), F.lit(0).alias("high"), F.lit(0).alias("side"), "fp", "own")
     side = rows.where("blocks > 1").withColumn("side", F.expr("cast(pmod(xxhash64(fp), blocks) as int)"))
     pair = F.explode(F.expr("transform(sequence(0, blocks - 1), b -> struct(least(b, side) AS low, greatest(b, side) AS high))"))
     wide = side.select("key", "side", "fp", "own", pair.alias("pair")).select("key", "pair.low", "pair.high", "side", "fp", "own")
     dealt = plain.unionByName(wide).repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "fp")
-    return saved(map_batches(dealt, Verify(), "a bigint, b bigint").distinct(), "simhash-links")
+    out = saved(map_batches(dealt, Verify(), "a bigint, b bigint").distinct(), "simhash-links")
+    drop(keys, rows)
+    return out
 
 
 def simhash_groups(docs: DataFrame, block: int = 2048) -> DataFrame:
