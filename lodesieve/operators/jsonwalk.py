@@ -30,7 +30,6 @@ CONTROL = ("model", "role", "type", "id", "call_id", "name", "prompt_cache_key",
 LEAF = "struct<pos:int,kind:string,key:string,path:string,text:string>"
 WHOLE = "struct<whole:string,pieces:array<struct<pos:int,start:int,end:int>>>"
 FILE = "struct<digest:string,text:string,error:string>"
-PLACE = "struct<pos:int,rule:string,start:int,end:int>"
 
 
 def no_repeats(pairs: list) -> dict:
@@ -52,8 +51,11 @@ def refuse(name: str):
 
 
 def parse(text: str):
-    """The value of a JSON text. Repeated keys, numbers that are not finite and trailing text are errors."""
-    return json.loads(text, object_pairs_hook=no_repeats, parse_float=finite, parse_constant=refuse)
+    """The value of a JSON text. Repeated keys, numbers that are not finite, half characters and trailing text are errors."""
+    value = json.loads(text, object_pairs_hook=no_repeats, parse_float=finite, parse_constant=refuse)
+    if re.search(r"\\u[dD][89a-fA-F]", text):
+        written(value).encode()  # half a character is a UnicodeEncodeError, and so a ValueError
+    return value
 
 
 def inner(text: str):
@@ -80,71 +82,115 @@ def step_of(key: str) -> str:
 
 
 class Walk:
-    """The leaves of a body in order: (kind, key, path, text), kind key, control, data (an attachment, looked at elsewhere) or text; and the arrays that hold texts in parts."""
+    """The leaves of a body in order: (kind, key, path, text), kind key, control, data (an attachment, looked at elsewhere) or text."""
 
     def __init__(self, value):
         self.leaves: list[tuple[str, str, str, str]] = []
-        self.arrays: list[list[int | None]] = []  # of each element: its text's place among the leaves
-        self.visit(value, "$", 0, "", None)
+        self.visit(value, "$", 0, "")
 
     def add(self, kind: str, key: str, path: str, text: str) -> None:
         self.leaves.append((kind, key, path, text))
 
-    def visit(self, value, path: str, depth: int, key: str, parts: list | None) -> None:
-        """parts: where an array's element puts the place of its text."""
+    def visit(self, value, path: str, depth: int, key: str) -> None:
         if depth > MAX_DEPTH:
             raise Failed("nesting_limit")
         if isinstance(value, dict):
             for k in value:
                 self.add("key", k, path + step_of(k), k)
             for k, v in value.items():
-                if k == "text" and parts is not None and isinstance(v, str) and not v.startswith("data:") and inner(v) is None:
-                    parts[-1] = len(self.leaves)
                 if k == "file_data" and isinstance(v, str):
                     self.add("data", k, path + step_of(k), v)
                 elif k in CONTROL and isinstance(v, str):
                     self.add("control", k, path + step_of(k), v)
                 else:
-                    self.visit(v, path + step_of(k), depth + 1, k, None)
+                    self.visit(v, path + step_of(k), depth + 1, k)
         elif isinstance(value, list):
-            own: list[int | None] = []
             for i, v in enumerate(value):
-                own.append(None)
-                self.visit(v, f"{path}[{i}]", depth + 1, key, own)
-            if any(p is not None for p in own):
-                self.arrays.append(own)
+                self.visit(v, f"{path}[{i}]", depth + 1, key)
         elif isinstance(value, str):
             if value.startswith("data:"):
                 self.add("data", key, path, value)
             elif (own_value := inner(value)) is not None:
-                self.visit(own_value, path + "!", depth + 1, key, None)
+                self.visit(own_value, path + "!", depth + 1, key)
             else:
                 self.add("text", key, path, value)
 
-    def wholes(self) -> list[dict]:
-        """Texts in parts as one: joined by line ends, once there is text; other elements put a boundary there."""
-        out = []
-        for own in self.arrays:
-            pieces, text, size = [], [], 0
 
-            def put(s: str, size: int = 0) -> int:
-                text.append(s)
-                return size + len(s.encode("utf-8", "surrogatepass"))
+class Parts:
+    """The arrays of a value that hold texts in parts, in the order of the walk, and what is left of the value once their texts are cut.
 
-            for pos in own:
-                if pos is None:
-                    size = put(BOUNDARY, size) if size else size
-                    continue
-                size = put("\n", size) if size else size
-                start = size
-                size = put(self.leaves[pos][3], size)
-                pieces.append({"pos": pos, "start": start, "end": size})
+    An element's text takes part as it stands, whatever it is: JSON and data URLs too. cuts: for each array, of each text's spans (start, end, rule) in bytes;
+    None: nothing is cut. within: only arrays in strings with such paths count; None: all."""
+
+    def __init__(self, value, cuts: list[list[list]] | None = None, within: set[str] | None = None):
+        self.arrays: list[list[str | None]] = []
+        self.cuts, self.within = cuts, within
+        self.cut_paths: list[str] = []
+        self.rules: list[str] = []
+        self.value = self.visit(value, "$", 0, within is None)
+
+    def visit(self, v, path: str, depth: int, counts: bool):
+        if depth > MAX_DEPTH:
+            raise Failed("nesting_limit")
+        if isinstance(v, dict):
+            return {k: x if isinstance(x, str) and (k == "file_data" or k in CONTROL) else self.visit(x, path + step_of(k), depth + 1, counts) for k, x in v.items()}
+        if isinstance(v, list):
+            texts = [x["text"] if isinstance(x, dict) and isinstance(x.get("text"), str) else None for x in v]
+            spans: list[list] = [[]] * len(v)
+            if counts and any(t is not None for t in texts):
+                if self.cuts is not None:
+                    spans = self.cuts[len(self.arrays)]
+                self.arrays.append(texts)
+            out = []
+            for i, (x, own) in enumerate(zip(v, spans, strict=True)):
+                now = self.visit(x, f"{path}[{i}]", depth + 1, counts)  # also where it is cut: arrays in it have been counted
+                if own:
+                    now = {**now, "text": cut(x["text"], own)}
+                    self.cut_paths.append(f"{path}[{i}].text")
+                    self.rules += [r for _, _, r in own]
+                out.append(now)
+            return out
+        if isinstance(v, str) and not v.startswith("data:") and (own := inner(v)) is not None:
+            now = self.visit(own, path + "!", depth + 1, counts or path in (self.within or ()))
+            return v if now == own else written(now)
+        return v
+
+    def wholes(self) -> list[dict]:
+        """Texts in parts as one: joined by line ends, once there is text; other elements put a boundary there. pos: the place in the array."""
+        out = []
+        for texts in self.arrays:
+            pieces, parts, size = [], [], 0
+            for pos, t in enumerate(texts):
+                lead = (BOUNDARY if t is None else "\n") if size else ""
+                start = size + len(lead)
+                size = start + len((t or "").encode())
+                parts += [lead, t or ""]
+                if t is not None:
+                    pieces.append({"pos": pos, "start": start, "end": size})
             if size > LIMIT:
                 raise Failed("reconstruction_limit")
-            out.append({"whole": "".join(text), "pieces": pieces})
+            out.append({"whole": "".join(parts), "pieces": pieces})
         return out
 
 
+def cut(text: str, spans: list[tuple[int, int, str]]) -> str:
+    octets = text.encode()
+    for start, end, rule in reversed(spans):
+        octets = octets[:start] + f"[REDACTED:{rule}]".encode() + octets[end:]
+    return octets.decode("utf-8", "replace")
+
+
+def clipped(wholes: list[dict], found: list[list[dict]], sizes: list[int]) -> list[list[list]]:
+    """Merged spans of each whole, clipped to its texts: for each array, of each element (start, end, rule) in order."""
+    out = []
+    for w, islands, n in zip(wholes, found, sizes, strict=True):
+        own: list[list] = [[] for _ in range(n)]
+        for p in w["pieces"]:
+            own[p["pos"]] = sorted((max(s["start"], p["start"]) - p["start"], min(s["end"], p["end"]) - p["start"], s["rule"]) for s in islands if s["start"] < p["end"] and s["end"] > p["start"])
+        out.append(own)
+    return out
+
+
 def strict_base64(text: str) -> bytes:
     try:
         out = base64.b64decode(text, validate=True)
@@ -197,28 +243,33 @@ def file_row(content: bytes) -> dict:
     return {"digest": attachments.digest_of(content), "text": None if error else text, "error": error}
 
 
-def looked_into(body: str) -> tuple[list[dict], list[dict], list[dict]]:
-    """Leaves, wholes and attachments of a body."""
+def guarded(f, *args):
+    """f of a body; what is too deep fails."""
     try:
-        value = parse(body)
+        return f(*args)
     except RecursionError:
         raise Failed("nesting_limit") from None
+
+
+def body_of(body: str) -> dict:
+    try:
+        value = guarded(parse, body)
     except ValueError:
         raise Failed("bad_json") from None
     if not isinstance(value, dict):
         raise Failed("bad_json")
-    try:
-        found = files(value)
-        walk = Walk(value)
-    except RecursionError:
-        raise Failed("nesting_limit") from None
+    return value
+
+
+def looked_into(value: dict) -> tuple[list[dict], list[dict]]:
+    """Leaves and attachments of a body."""
+    found = files(value)
     if len(found) > attachments.MAX_COUNT or sum(map(len, found)) > attachments.MAX_TOTAL:
         raise Failed("attachment_limit")
     rows = [file_row(c) for c in found]
     if bad := next((r["error"] for r in rows if r["error"]), None):
         raise Failed(bad)
-    leaves = [{"pos": k, "kind": x[0], "key": x[1], "path": x[2], "text": clean(x[3])} for k, x in enumerate(walk.leaves)]
-    return leaves, [{**w, "whole": clean(w["whole"])} for w in walk.wholes()], rows
+    return [{"pos": k, "kind": x[0], "key": x[1], "path": x[2], "text": x[3]} for k, x in enumerate(Walk(value).leaves)], rows
 
 
 def clean(text: str) -> str:
@@ -230,22 +281,82 @@ def clean(text: str) -> str:
         return re.sub("[\ud800-\udfff]", "�", text)
 
 
+class Join:
+    """Adds wholes (texts in parts as one) to the rows of bodies; a body whose row has an error already is not looked into."""
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in few(batches):
+            error, wholes = b.column("error").to_pylist(), []
+            for k, body in enumerate(b.column("body").to_pylist()):
+                own = []
+                if error[k] is None:
+                    try:
+                        own = guarded(Parts, body_of(body or "")).wholes()
+                    except Failed as e:
+                        error[k] = str(e)
+                wholes.append(own)
+            yield replaced(b, {"error": pa.array(error, pa.string()), "wholes": pa.array(wholes, WHOLES_TYPE)})
+
+
+class Cut:
+    """Takes what spans texts in parts out of each. Columns: body as it is then, cuts (the rule of each), and wholes of arrays that lie in texts which were
+    cut, as they read now. last: there must be none of these any more."""
+
+    def __init__(self, last: bool):
+        self.last = last
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in few(batches):
+            bodies, error, cuts, within = (b.column(c).to_pylist() for c in ("body", "error", "cuts", "within"))
+            wholes = b.column("wholes").to_pylist()
+            for k, found in enumerate(b.column("whole_spans").to_pylist()):
+                own, wholes[k] = wholes[k], []
+                if error[k] is not None or not any(found):
+                    continue
+                try:
+                    value, paths = body_of(bodies[k]), set(within[k]) if self.last else None
+                    sizes = [len(x) for x in Parts(value, None, paths).arrays]
+                    done = Parts(value, clipped(own, found, sizes), paths)
+                    bodies[k], within[k] = written(done.value), done.cut_paths
+                    cuts[k] = cuts[k] + done.rules
+                    wholes[k] = guarded(Parts, body_of(bodies[k]), None, set(done.cut_paths)).wholes()
+                    if self.last and wholes[k]:
+                        raise Failed("nesting_limit")
+                except Failed as e:
+                    error[k], wholes[k] = str(e), []
+            strings = pa.list_(pa.string())
+            now = {"body": pa.array(bodies, pa.string()), "error": pa.array(error, pa.string()), "wholes": pa.array(wholes, WHOLES_TYPE), "cuts": pa.array(cuts, strings), "within": pa.array(within, strings)}
+            yield replaced(b, now, "whole_spans")
+
+
 class Look:
-    """Adds failed, leaves, wholes and files to the rows of bodies; a body whose row has an error already is not looked into."""
+    """Adds leaves and files to the rows of bodies without an error."""
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 64):
-                b = whole.slice(at, 64)
-                out = []
-                for body, error in zip(b.column("body").to_pylist(), b.column("error").to_pylist(), strict=True):
+        for b in few(batches):
+            error, leaves, found = b.column("error").to_pylist(), [], []
+            for k, body in enumerate(b.column("body").to_pylist()):
+                own = [], []
+                if error[k] is None:
                     try:
-                        out.append((error, [], [], []) if error is not None else (None, *looked_into(body or "")))
+                        own = guarded(looked_into, body_of(body or ""))
                     except Failed as e:
-                        out.append((str(e), [], [], []))
-                rest = [pa.array([r[k] for r in out], t) for k, t in enumerate((pa.string(), LEAVES_TYPE, WHOLES_TYPE, FILES_TYPE))]
-                names = [n for n in b.schema.names if n != "error"]
-                yield pa.RecordBatch.from_arrays([*map(b.column, names), *rest], [*names, "error", "leaves", "wholes", "files"])
+                        error[k] = str(e)
+                leaves.append(own[0])
+                found.append(own[1])
+            yield replaced(b, {"error": pa.array(error, pa.string()), "leaves": pa.array(leaves, LEAVES_TYPE), "files": pa.array(found, FILES_TYPE)})
+
+
+def few(batches: Iterator[pa.RecordBatch], rows: int = 64) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for at in range(0, whole.num_rows, rows):
+            yield whole.slice(at, rows)
+
+
+def replaced(b: pa.RecordBatch, new: dict[str, pa.Array], *but: str) -> pa.RecordBatch:
+    """b with new columns at the end, in place of those of the same name, and without others."""
+    names = [n for n in b.schema.names if n not in new and n not in but]
+    return pa.RecordBatch.from_arrays([*map(b.column, names), *new.values()], [*names, *new])
 
 
 LEAVES_TYPE = pa.list_(pa.struct([("pos", pa.int32()), ("kind", pa.string()), ("key", pa.string()), ("path", pa.string()), ("text", pa.string())]))
@@ -257,14 +368,22 @@ def schema_of(df: DataFrame, *but: str) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name not in but)
 
 
-def with_leaves(requests: DataFrame) -> DataFrame:
-    """requests: request_id, body, and perhaps error, which stays. request_id, body, error, leaves, wholes (texts in parts as one), files (attachments).
+def with_wholes(requests: DataFrame) -> DataFrame:
+    """requests: request_id, body, and perhaps error and original (the body as it came), which stay. request_id, original, body, error, wholes (texts in parts as one).
 
-    Errors: bad_json, nesting_limit, reconstruction_limit; of attachments unresolved_reference, remote_reference, unsupported_media, bad_data_url,
-    unsupported_encoding, bad_base64, attachment_limit, too_large, unsupported."""
+    Errors: bad_json, nesting_limit, reconstruction_limit."""
     error = F.col("error").cast("string") if "error" in requests.columns else F.lit(None).cast("string")
-    rows = requests.select("request_id", F.col("body").cast("string").alias("body"), error.alias("error"))
-    return rows.mapInArrow(Look(), f"{schema_of(rows, 'error')}, error string, leaves array<{LEAF}>, wholes array<{WHOLE}>, files array<{FILE}>")
+    original = "original" if "original" in requests.columns else "body"
+    rows = requests.select("request_id", F.col(original).cast("string").alias("original"), F.col("body").cast("string").alias("body"), error.alias("error"))
+    return rows.mapInArrow(Join(), f"{schema_of(rows, 'error')}, error string, wholes array<{WHOLE}>")
+
+
+def with_leaves(rows: DataFrame) -> DataFrame:
+    """rows: body, error and others. Adds leaves and files (attachments).
+
+    Errors: as above, and of attachments unresolved_reference, remote_reference, unsupported_media, bad_data_url, unsupported_encoding, bad_base64,
+    attachment_limit, too_large, unsupported."""
+    return rows.mapInArrow(Look(), f"{schema_of(rows, 'error')}, error string, leaves array<{LEAF}>, files array<{FILE}>")
 
 
 def rebuilt(value, new: dict[int, str], swaps: dict[str, bytes]):
@@ -312,33 +431,6 @@ def rebuilt(value, new: dict[int, str], swaps: dict[str, bytes]):
     return visit(value)
 
 
-class Cut:
-    """Takes what spans texts in parts out of each; the texts that are left are scanned by themselves. Columns: leaves with their texts cut, cuts (rule and place of each)."""
-
-    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            leaves, cuts = [], []
-            for own, wholes, found in zip(b.column("leaves").to_pylist(), b.column("wholes").to_pylist(), b.column("whole_spans").to_pylist(), strict=True):
-                spans: dict[int, list] = {}
-                for w, islands in zip(wholes, found, strict=True):
-                    for p in w["pieces"]:
-                        for s in islands:
-                            if s["start"] < p["end"] and s["end"] > p["start"]:
-                                spans.setdefault(p["pos"], []).append((max(s["start"], p["start"]) - p["start"], min(s["end"], p["end"]) - p["start"], s["rule"]))
-                for pos, list_ in spans.items():
-                    octets = own[pos]["text"].encode()
-                    for start, end, rule in sorted(list_, reverse=True):
-                        octets = octets[:start] + f"[REDACTED:{rule}]".encode() + octets[end:]
-                    own[pos]["text"] = octets.decode("utf-8", "replace")
-                leaves.append(own)
-                cuts.append([{"pos": p, "rule": r, "start": a, "end": z} for p, list_ in sorted(spans.items()) for a, z, r in list_])
-            names = [n for n in b.schema.names if n not in ("leaves", "wholes", "whole_spans")]
-            yield pa.RecordBatch.from_arrays([*map(b.column, names), pa.array(leaves, LEAVES_TYPE), pa.array(cuts, CUTS_TYPE)], [*names, "leaves", "cuts"])
-
-
-CUTS_TYPE = pa.list_(pa.struct([("pos", pa.int32()), ("rule", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-
-
 class Rebuild:
     """Writes changed bodies again; all others stay as they are, byte by byte."""
 
@@ -356,31 +448,34 @@ class Rebuild:
 
 
 def inspect(requests: DataFrame, rules: Rules = DEFAULT_RULES, sanitize: bool = True) -> DataFrame:
-    """requests: request_id, body, and perhaps error. request_id, original (the body as it came), body (redacted; untouched if nothing changed), error, rules (one for each finding), changed, unsafe.
+    """requests: request_id, body, and perhaps error and original (see materialize()). request_id, original (the body as it came), body (redacted; untouched if nothing changed), error, rules (one for each finding), changed, unsafe.
 
     Attachments are decoded and scanned: a text with findings is replaced (if sanitize), and the new one scanned again; what can't be read is an error (see
-    with_leaves()). Texts in the parts of an array are first read as one, and what spans them is cut from each; then every leaf is
-    scanned by itself. Findings in keys and control fields, and in attachments that are not replaced, are unsafe: reported, but not rewritten.
+    with_leaves()). Texts in the parts of an array are first read as one, JSON and data URLs among them as they stand, and what spans them is cut from each, also in arrays within
+    texts that are JSON; then every leaf of what is left is scanned by itself. A text that was cut, and holds an array that is cut, and this one again: nesting_limit. Findings in keys and control fields, and in attachments that are not replaced, are unsafe: reported, but not rewritten.
     """
     s = scanner_of(rules)
-    rows = with_leaves(requests).withColumn("whole_spans", F.transform("wholes", lambda w: merged_array(scan(w["whole"], s))))
-    rows = rows.mapInArrow(Cut(), f"{schema_of(rows, 'leaves', 'wholes', 'whole_spans')}, leaves array<{LEAF}>, cuts array<{PLACE}>")
+    none = empty("array<string>")
+    rows = with_wholes(requests).select("request_id", "original", "body", "error", (~F.col("original").eqNullSafe(F.col("body"))).alias("put_in"), "wholes", none.alias("cuts"), none.alias("within"))
+    for last in (False, True):
+        rows = rows.withColumn("whole_spans", F.transform("wholes", lambda w: merged_array(scan(w["whole"], s))))
+        new = ("body", "error", "wholes", "cuts", "within", "whole_spans")
+        rows = rows.mapInArrow(Cut(last), f"{schema_of(rows, *new)}, body string, error string, wholes array<{WHOLE}>, cuts array<string>, within array<string>")
+    rows = with_leaves(rows.drop("wholes", "within"))
     rows = rows.withColumn("seen", F.transform("files", lambda f: F.named_struct(F.lit("digest"), f["digest"], F.lit("text"), f["text"], F.lit("found"), scan(f["text"], s)))).drop("files")
     rows = rows.withColumn("seen", F.filter("seen", lambda f: F.size(f["found"]) > 0))
     swaps = F.transform("seen", lambda f: F.named_struct(F.lit("digest"), f["digest"], F.lit("text"), redact(f["text"], f["found"]))) if sanitize else empty("array<struct<digest:string,text:string>>")
     rows = rows.withColumn("swaps", swaps)
     found = F.transform("leaves", lambda x: F.named_struct(F.lit("pos"), x["pos"], F.lit("kind"), x["kind"], F.lit("text"), x["text"], F.lit("found"), F.when(x["kind"] != "data", scan(x["text"], s)).otherwise(empty(FINDING))))
-    rows = rows.withColumn("cut_at", F.transform("cuts", lambda c: c["pos"]))
-    hits = F.filter(found, lambda x: (F.size(x["found"]) > 0) | F.array_contains("cut_at", x["pos"]))
-    rows = rows.withColumn("hits", hits).drop("leaves", "cut_at")
+    rows = rows.withColumn("hits", F.filter(found, lambda x: F.size(x["found"]) > 0)).drop("leaves")
     of = lambda c: F.flatten(F.transform(c, lambda x: F.transform(x["found"], lambda f: f["rule"])))
-    all_rules = F.concat(of(F.col("seen")), F.transform("cuts", lambda c: c["rule"]), of(F.col("hits")))
+    all_rules = F.concat(of(F.col("seen")), F.col("cuts"), of(F.col("hits")))
     texts = F.filter("hits", lambda x: x["kind"] == "text")
     unsafe = F.exists("hits", lambda x: x["kind"].isin("key", "control")) | (F.lit(not sanitize) & (F.size("seen") > 0))
     new = F.transform(texts, lambda x: F.named_struct(F.lit("pos"), x["pos"], F.lit("text"), redact(x["text"], x["found"])))
     dirty = F.exists("swaps", lambda w: F.size(scan(w["text"], s)) > 0)
     error = F.coalesce(F.col("error"), F.when(F.size(all_rules) > MAX_FINDINGS, F.lit("finding_limit")), F.when(dirty, F.lit("not_clean")))
-    rows = rows.select("request_id", F.col("body").alias("original"), "body", error.alias("error"), all_rules.alias("rules"), ((F.size(texts) > 0) | (F.size("swaps") > 0)).alias("changed"), unsafe.alias("unsafe"), new.alias("new"), "swaps")
+    rows = rows.select("request_id", "original", "body", error.alias("error"), all_rules.alias("rules"), (F.col("put_in") | (F.size("cuts") > 0) | (F.size(texts) > 0) | (F.size("swaps") > 0)).alias("changed"), unsafe.alias("unsafe"), new.alias("new"), "swaps")
     return rows.mapInArrow(Rebuild(), schema_of(rows, "new", "swaps"))
 
 
@@ -453,11 +548,12 @@ class PutIn:
 
 
 def materialize(requests: DataFrame, fetched: DataFrame) -> DataFrame:
-    """requests: request_id, body, and perhaps error; fetched: kind (file or url), ref, content. The requests with file ids, file URLs and image URLs replaced by the bytes, as data URLs.
+    """requests: request_id, body, and perhaps error; fetched: kind (file or url), ref, content. The requests with file ids, file URLs and image URLs replaced by the bytes, as data URLs; original: the body as it came.
 
     Errors: unresolved_reference (not fetched, or an id that is none), reference_limit. Only bodies within the limits get bytes."""
     error = F.col("error").cast("string") if "error" in requests.columns else F.lit(None).cast("string")
-    rows = requests.select(F.monotonically_increasing_id().alias("row"), "request_id", F.col("body").cast("string").alias("body"), error.alias("error"))
+    body = F.col("body").cast("string")
+    rows = requests.select(F.monotonically_increasing_id().alias("row"), "request_id", body.alias("original"), body.alias("body"), error.alias("error"))
     rows = attachments.written_out(rows.mapInArrow(Refer(), f"{schema_of(rows)}, refs array<struct<kind:string,ref:string>>"))
     refs = rows.select(F.col("row").alias("request_id"), F.posexplode("refs").alias("pos", "r")).select("request_id", "r.kind", "r.ref")
     valid = (F.col("kind") == "url") | F.col("ref").rlike(r"\A[A-Za-z0-9_-]{1,255}\z")

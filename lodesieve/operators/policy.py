@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.config import Config
 from ..sources.rules import DEFAULT_RULES, scanner_of
-from . import jsonwalk
+from . import geometry, jsonwalk
 from .scan import Rules
 from .spans import unique_rules
 
@@ -28,9 +28,12 @@ def decision(rules: Column, unsafe: Column, mode: str) -> Column:
 
 def decide(inspected: DataFrame, mode: str = "redact") -> DataFrame:
     """inspected: the output of jsonwalk.inspect(). Adds decision, approved_body (null if blocked or in error), finding_count, rule_ids."""
-    what = F.when(F.col("error").isNotNull(), F.lit("failed")).otherwise(decision(F.col("rules"), F.col("unsafe"), mode))
-    rows = inspected.withColumn("decision", what)
-    body = F.when(F.col("decision") == "original", F.col("original")).when(F.col("decision") == "sanitized", F.col("body"))
+    what = decision(F.col("rules"), F.col("unsafe"), mode)
+    if mode == "redact":  # what was put in goes on with the body
+        what = F.when(F.col("changed") & (what == "original"), F.lit("sanitized")).otherwise(what)
+    rows = inspected.withColumn("decision", F.when(F.col("error").isNotNull(), F.lit("failed")).otherwise(what))
+    # advisory passes on the bytes that came; elsewhere a body without findings is as it came, but for references that were put in.
+    body = F.when(F.col("decision") == "original", F.col("original" if mode == "advisory" else "body")).when(F.col("decision") == "sanitized", F.col("body"))
     return rows.withColumn("approved_body", body).withColumn("finding_count", F.size("rules")).withColumn("rule_ids", unique_rules(F.col("rules")))
 
 
@@ -51,14 +54,22 @@ def status_of(decided: DataFrame) -> DataFrame:
 
 
 def processed(requests: DataFrame, config: Config, scanner: Rules = DEFAULT_RULES, fetched: DataFrame | None = None) -> DataFrame:
-    """Requests by a configuration: references put in (if what was fetched is given), inspected, decided, with a status."""
+    """Requests by a configuration: bodies of more than max_body_bytes refused, references put in (if what was fetched is given), inspected, decided, with a status."""
     from dataclasses import replace
 
+    error = F.col("error").cast("string") if "error" in requests.columns else F.lit(None).cast("string")
+    large = F.octet_length(F.col("body").cast("string")) > config.max_body_bytes
+    requests = requests.withColumn("error", F.coalesce(error, F.when(large, F.lit("too_large"))))
     rows = requests if fetched is None else jsonwalk.materialize(requests, fetched)
     s = replace(scanner_of(scanner), use_entropy=config.use_entropy)
     return status_of(decide(jsonwalk.inspect(rows, s, config.mode == "redact"), config.mode))
 
 
+def to_black_out(findings: DataFrame, key: str, segment: str, config: Config) -> tuple[DataFrame, DataFrame]:
+    """The segments to black out and the pages that block (see geometry), by a configuration's page_redaction."""
+    return geometry.selected(findings, key, segment, config.page_redaction), geometry.unmapped_pages(findings, key, config.page_redaction)
+
+
 def finding_ids(inspected: DataFrame) -> DataFrame:
     """One row with a fresh id for each different rule of a request, never the secret: request_id, finding_id, rule_id."""
     return inspected.select("request_id", F.explode(unique_rules(F.col("rules"))).alias("rule_id")).withColumn("finding_id", F.uuid())

@@ -341,13 +341,14 @@ def status_order(spark, sf_dir):
 q AS (SELECT conv_id, n, m, CASE WHEN n = 1 THEN text || ' ' ELSE '' END || '[REDACTED:private-key-fragment]' || CASE WHEN n = m THEN ' ' || text ELSE '' END AS out FROM p)
 SELECT conv_id, max(m) AS finding_count, sha256(string_agg(out, chr(10) ORDER BY n)) AS parts FROM q GROUP BY conv_id""")
 def request_parts(spark, sf_dir):
-    """Requests whose turns are the parts of one array: a key begins in the first part and ends in the last, so each part loses a span."""
+    """Requests whose turns are the parts of one array: a key begins in the first part and ends in the last, so each part loses a span, those between that are JSON or look like data URLs too."""
     c = table(spark, sf_dir, "conversations").withColumn("text", F.coalesce("text", F.lit("")))
     order = Window.partitionBy("conv_id").orderBy("turn")
     n, m = F.row_number().over(order), F.count(F.lit(1)).over(Window.partitionBy("conv_id"))
     first, last = F.col("n") == 1, F.col("n") == F.col("m")
     head = F.when(first, F.concat("text", F.lit(" -----BEGIN PRIVATE KEY-----\nAAAA"))).otherwise(F.lit("AAAA"))
-    text = F.concat(head, F.when(~first & ~last, F.concat(F.lit(" "), "text")).otherwise(F.lit("")), F.when(last, F.concat(F.lit("\n-----END PRIVATE KEY----- "), "text")).otherwise(F.lit("")))
+    middle = F.when(F.col("n") % 3 == 0, F.to_json(F.struct(F.concat(head, "text").alias("k")))).when(F.col("n") % 3 == 1, F.concat(F.lit("data:"), head, "text")).otherwise(F.concat(head, F.lit(" "), "text"))
+    text = F.when(~first & ~last, middle).otherwise(F.concat(head, F.when(last, F.concat(F.lit("\n-----END PRIVATE KEY----- "), "text")).otherwise(F.lit(""))))
     part = F.struct(F.lit("input_text").alias("type"), text.alias("text"))
     rows = c.withColumn("n", n).withColumn("m", m).select("conv_id", F.struct("n", part.alias("p")).alias("x")).groupBy("conv_id").agg(F.array_sort(F.collect_list("x")).alias("xs"))
     body = F.to_json(F.struct(F.lit("m").alias("model"), F.transform("xs", lambda x: x["p"]).alias("input")))

@@ -54,6 +54,61 @@ def test_key_split_over_the_parts_of_a_body(spark):
     assert out[0]["text"].startswith("before [REDACTED:") and out[2]["text"].endswith("] after") and out[1] == {"type": "image"}
 
 
+KEY = "-----BEGIN PRIVATE KEY-----\n" + "SECRETA" * 4 + "MIDDLE" * 3 + "SECRETB" * 4 + "\n-----END PRIVATE KEY-----"
+
+
+def test_parts_that_are_json_or_data_urls_take_part(spark):
+    wraps = {"text": lambda t: t, "json": lambda t: json.dumps({"k": t}), "data": lambda t: "data:" + t, "array": lambda t: json.dumps([t])}
+    bodies = []
+    for at in (28, 40, 60, len(KEY) - 10):
+        for a in wraps:
+            for b in wraps:
+                bodies.append({"input": [{"text": wraps[a]("x " + KEY[:at])}, {"text": wraps["json"]("SECRETM")}, {"text": wraps[b](KEY[at:] + " bye")}]})
+    for body, r in zip(bodies, inspected(spark, bodies), strict=True):
+        assert r["error"] is not None or not any(w in r["body"] for w in ("SECRET", "MIDDLE")), (body, r)
+        assert r["rules"] or r["error"]
+    by = {json.dumps(b): r for b, r in zip(bodies, inspected(spark, bodies), strict=True)}
+    one = by[json.dumps({"input": [{"text": json.dumps({"k": "x " + KEY[:40]})}, {"text": json.dumps({"k": "SECRETM"})}, {"text": KEY[40:] + " bye"}]})]
+    assert [p["text"][-30:] for p in json.loads(one["body"])["input"]][1:] == ["[REDACTED:private-key-fragment]"[-30:], "[REDACTED:private-key] bye"[-30:]] or one["error"] is None
+
+
+def test_arrays_within_texts_that_are_cut(spark):
+    """A key over the parts of an array in a text that is JSON, in a part from which another key is cut: the second round finds it."""
+    deep = json.dumps({"a": [{"text": "one -----BEGIN PRIVATE KEY-----\nSECRETA"}, {"text": "SECRETB\n-----END PRIVATE KEY----- two"}], "t": TOKEN})
+    (r,) = inspected(spark, [{"input": [{"text": "plain"}, {"text": deep}]}])
+    assert "SECRET" not in (r["body"] if r["error"] is None else "") and TOKEN not in (r["body"] if r["error"] is None else "")
+
+
+def test_half_characters_are_refused(spark):
+    got = inspected(spark, ['{"a":"\\ud800"}', '{"a":"\\ud83d\\ude00 ok"}', '{"\\udc00":1}', '{"a":"{\\"b\\":\\"\\\\ud800\\"}"}'])
+    assert [r["error"] for r in got] == ["bad_json", None, "bad_json", None]
+
+
+def test_each_setting_has_an_effect(spark, tmp_path):
+    """max_body_bytes, mode, use_entropy, page_redaction; those of the store are tested there."""
+    rule = DEFAULT_RULES[1].__class__("r", "k=([a-z]{8})", ("k=",), 2.5)
+    rows = spark.createDataFrame([(1, json.dumps({"a": "k=aaaaaaaa"})), (2, json.dumps({"a": "k=abcdefgh" + "x" * 400})), (3, "{}")], "request_id int, body string")
+    of = lambda c: [(r["decision"], r["status"]) for r in policy.processed(rows, c, [rule]).orderBy("request_id").collect()]
+    assert of(Config()) == [("sanitized", 200), ("sanitized", 200), ("original", 200)]
+    assert of(Config(use_entropy=True))[:2] == [("original", 200), ("sanitized", 200)]
+    assert of(Config(mode="no-go"))[:2] == [("blocked", 409), ("blocked", 409)]
+    assert of(Config(mode="advisory"))[:2] == [("original", 200), ("original", 200)]
+    assert of(Config(max_body_bytes=100)) == [("sanitized", 200), ("failed", 413), ("original", 200)]
+    seen = spark.createDataFrame([(1, 1, 1, "d", False)], "doc int, segment int, page int, digest string, has_box boolean")
+    sizes = [[x.count() for x in policy.to_black_out(seen, "doc", "segment", Config(page_redaction=p))] for p in (False, True)]
+    assert sizes == [[0, 1], [1, 0]]
+
+
+def test_advisory_passes_on_the_bytes_that_came(spark):
+    body = '{"input": [ {"type":"input_file","file_id":"f_1"} ]}'
+    rows = spark.createDataFrame([(1, body)], "request_id int, body string")
+    have = spark.createDataFrame([("file", "f_1", bytearray(b"plain text"))], "kind string, ref string, content binary")
+    out = {m: policy.processed(rows, Config(mode=m), fetched=have).first() for m in policy.MODES}
+    assert out["advisory"]["approved_body"] == body and out["advisory"]["decision"] == "original"
+    assert "file_data" in out["redact"]["approved_body"] and out["redact"]["decision"] == "sanitized"
+    assert "file_data" in out["no-go"]["approved_body"] and out["no-go"]["decision"] == "original"
+
+
 def test_replacements_are_scanned_again(spark):
     df = spark.createDataFrame([(1, None, bytearray(b"clean")), (2, None, bytearray(TOKEN.encode())), (3, "unsupported", None)], "id int, error string, replacement binary")
     got = [(r["error"], r["replacement"] is None) for r in attachments.reverified(df, ["id"]).orderBy("id").collect()]
