@@ -19,31 +19,37 @@ def same(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
 
 
 def blocks(df: DataFrame, keys: list[str], order: list) -> DataFrame:
-    """df dealt out by ranges of (keys, order), with the number of the range: rows that are equal in both share one."""
+    """df dealt out by ranges of (keys, order), with the number of the range. Rows that are equal in both are dealt out too, in any order."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return saved(df.repartitionByRange(parts, *keys, *order).withColumn(BLOCK, F.spark_partition_id()), "blocks")
+    rows = df.withColumn("__row", F.monotonically_increasing_id())
+    return saved(rows.repartitionByRange(parts, *keys, *order, "__row").drop("__row").withColumn(BLOCK, F.spark_partition_id()), "blocks")
 
 
-def sums_before(cut: DataFrame, keys: list[str], value: Column) -> DataFrame:
-    """Of each key's blocks the sum of value (own), and of all blocks before it (before). One row a block, so a key has no more than there are blocks."""
-    sums = cut.groupBy(*keys, BLOCK).agg(F.sum(value).alias("own")).select(*[F.col(c).alias(c) for c in (*keys, BLOCK)], "own")
+def sums_before(cut: DataFrame, keys: list[str], **values: Column) -> DataFrame:
+    """Of each key's blocks the sum of each value (own_ and its name), and of all blocks before it (before_). One row a block, so a key has no more than there are blocks."""
+    sums = cut.groupBy(*keys, BLOCK).agg(*[F.sum(v).alias(f"own_{n}") for n, v in values.items()]).select(*[F.col(c).alias(c) for c in (*keys, BLOCK)], *[f"own_{n}" for n in values])
     before = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    return sums.withColumn("before", F.coalesce(F.sum("own").over(before), F.lit(0)))
+    return sums.withColumns({f"before_{n}": F.coalesce(F.sum(f"own_{n}").over(before), F.lit(0)) for n in values})
 
 
-def running_sum(df: DataFrame, keys: list[str], order: list, value: str, name: str) -> DataFrame:
-    """df with the running sum of a whole-number column within keys, by order."""
+def running_sums(df: DataFrame, keys: list[str], order: list, values: dict[str, str]) -> DataFrame:
+    """df with the running sums of whole-number columns (by the names that they get) within keys, by order. Nulls add nothing."""
     cut = blocks(df, keys, order)
-    base = sums_before(cut, keys, F.col(value))
+    base = sums_before(cut, keys, **{n: F.col(v) for n, v in values.items()})
     within = Window.partitionBy(*[cut[k] for k in keys], cut[BLOCK]).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     rows = cut.join(base, same(cut, base, [*keys, BLOCK]))
-    return rows.select(*[cut[c] for c in df.columns], (F.sum(cut[value]).over(within) + base["before"]).alias(name))
+    sums = [(F.coalesce(F.sum(cut[v]).over(within), F.lit(0)) + base[f"before_{n}"]).alias(n) for n, v in values.items()]
+    return rows.select(*[cut[c] for c in df.columns], *sums)
+
+
+def running_sum(df: DataFrame, keys: list[str], order: list, value: str, name: str) -> DataFrame:
+    return running_sums(df, keys, order, {name: value})
 
 
 def at_ranks(df: DataFrame, value: str, keys: list[str], shares: dict[str, float]) -> DataFrame:
     """keys, and for each name of shares the value at 1-based rank floor(share * n) + 1, n at most; nulls first. Only blocks that hold such a rank are sorted."""
     cut = blocks(df.select(*keys, value), keys, [F.col(value).asc_nulls_first()])
-    sums = sums_before(cut, keys, F.lit(1))
+    sums = sums_before(cut, keys, n=F.lit(1)).withColumnsRenamed({"own_n": "own", "before_n": "before"})
     whole = Window.partitionBy(*keys)
     ranks = F.array(*[F.struct(F.lit(n).alias("name"), F.least(F.floor(F.lit(s) * F.col("n")) + 1, F.col("n")).alias("rank")) for n, s in shares.items()])
     wanted = sums.withColumn("n", F.sum("own").over(whole)).withColumn("r", F.explode(ranks))

@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.running import running_sums
 from ..functions.text import from_base64, to_base64
 from ..sources.rules import DEFAULT_RULES
 from ..sources.shared import saved
@@ -163,6 +164,24 @@ def materialized(references: DataFrame, fetched: DataFrame) -> DataFrame:
     return charged.withColumn("error", error)
 
 
+def charged_in_order(references: DataFrame, fetched: DataFrame, count: int = MAX_COUNT, total: int = MAX_TOTAL) -> DataFrame:
+    """references: request_id, pos, kind (url or file), ref; fetched: kind, ref, content. Each reference in its request's order: charged, used, used_bytes (up to it), state.
+
+    A URL is charged where it first stands in a request, a file id each time. state: read, known (a URL that was read before), unresolved_reference or
+    reference_limit for the one at which the request fails, unread for all after it."""
+    size = F.octet_length("content").cast("bigint")
+    rows = references.select("request_id", "pos", "kind", "ref").join(fetched.select("kind", "ref", size.alias("size")), ["kind", "ref"], "left")
+    first = rows.where("kind = 'url'").groupBy("request_id", "ref").agg(F.min("pos").alias("first"))
+    rows = rows.join(first.withColumn("kind", F.lit("url")), ["request_id", "kind", "ref"], "left").withColumn("charged", (F.col("kind") == "file") | (F.col("pos") == F.col("first")))
+    rows = rows.withColumns({"one": F.col("charged").cast("bigint"), "bytes": F.when(F.col("charged"), F.col("size"))})
+    rows = running_sums(rows, ["request_id"], ["pos"], {"used": "one", "used_bytes": "bytes"})
+    error = F.when(F.col("charged") & F.col("size").isNull(), F.lit("unresolved_reference")).when((F.col("used") > count) | (F.col("used_bytes") > total), F.lit("reference_limit"))
+    rows = saved(rows.withColumn("error", error), "references")
+    fails = rows.where("error IS NOT NULL").groupBy("request_id").agg(F.min("pos").alias("end"))
+    state = F.when(F.col("pos") > F.col("end"), F.lit("unread")).otherwise(F.coalesce("error", F.when(F.col("charged"), F.lit("read")).otherwise(F.lit("known"))))
+    return rows.join(fails, "request_id", "left").select("request_id", "pos", "kind", "ref", "charged", "used", "used_bytes", state.alias("state"))
+
+
 def reverified(outcomes: DataFrame, keys: list[str], rules: Rules = DEFAULT_RULES) -> DataFrame:
     """Replacements are scanned once more: one that still holds a finding, or can't be read, is an error, and is dropped."""
     rows = with_text(outcomes.drop("text").withColumnRenamed("replacement", "content"))

@@ -86,17 +86,17 @@ def over_budget(items: DataFrame, key: str, order: str, size: str, limit: int) -
     return running_sum(items, [key], [order], size, "used").withColumn("error", F.when(F.col("used") > limit, F.lit("extraction_limit")))
 
 
-# Limits of an extraction.
-LIMITS = {"text_bytes": 8 << 20, "pages": 100, "files": 64, "depth": 3, "pixels": 50_000_000}
+# Limits of an extraction; see operators/extraction.py for those of nested files.
+LIMITS = {"text_bytes": 8 << 20, "pages": 20, "files": 16, "depth": 4, "pixels": 25_000_000, "all_pixels": 100_000_000}
 
 
 def extraction_errors(extracted: DataFrame, key: str, limits: dict[str, int] = LIMITS) -> DataFrame:
-    """extracted: one row a segment, with key and those of page, depth, width, height, text that are known. Of each key: text_bytes, pages, files, depth, pixels (of the largest image), error (the first limit that is passed, or null)."""
+    """extracted: one row a segment, with key and those of page, file, depth, width, height, text that are known. Of each key: text_bytes, pages, files, depth, pixels (of the largest image), all_pixels, error (the first limit that is passed, or null)."""
     has = lambda c, kind: F.col(c) if c in extracted.columns else F.lit(None).cast(kind)
+    pixels = has("width", "bigint").cast("bigint") * has("height", "bigint")
+    most = lambda c: F.coalesce(F.max(c), F.lit(0)).cast("bigint")
     sums = extracted.groupBy(key).agg(
-        F.coalesce(F.sum(F.octet_length(has("text", "string")).cast("bigint")), F.lit(0)).alias("text_bytes"), F.coalesce(F.max(has("page", "bigint")), F.lit(0)).cast("bigint").alias("pages"),
-        F.coalesce(F.max(has("file", "bigint")), F.lit(0)).cast("bigint").alias("files"), F.coalesce(F.max(has("depth", "bigint")), F.lit(0)).cast("bigint").alias("depth"),
-        F.coalesce(F.max(has("width", "bigint").cast("bigint") * has("height", "bigint")), F.lit(0)).alias("pixels"),
-    )
-    error = F.coalesce(*[F.when(F.col(n) > m, F.lit(f"{n}_limit")) for n, m in limits.items()])
-    return sums.withColumn("error", error)
+        F.coalesce(F.sum(F.octet_length(has("text", "string")).cast("bigint")), F.lit(0)).alias("text_bytes"), most(has("page", "bigint")).alias("pages"), most(has("file", "bigint")).alias("files"), most(has("depth", "bigint")).alias("depth"),
+        most(pixels).alias("pixels"), F.coalesce(F.sum(pixels), F.lit(0)).alias("all_pixels"),
+    )
+    return sums.withColumn("error", F.coalesce(*[F.when(F.col(n) > m, F.lit(f"{n}_limit")) for n, m in limits.items()]))

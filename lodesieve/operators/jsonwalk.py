@@ -299,33 +299,23 @@ class Join:
 
 
 class Cut:
-    """Takes what spans texts in parts out of each. Columns: body as it is then, cuts (the rule of each), and wholes of arrays that lie in texts which were
-    cut, as they read now. last: there must be none of these any more."""
-
-    def __init__(self, last: bool):
-        self.last = last
+    """Takes what spans texts in parts out of each. Columns: body as it is then, cuts (the rule of each), and wholes of arrays that lie in texts which were cut, as they read now."""
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in few(batches):
-            bodies, error, cuts, within = (b.column(c).to_pylist() for c in ("body", "error", "cuts", "within"))
-            wholes = b.column("wholes").to_pylist()
+            bodies, error, cuts, wholes = (b.column(c).to_pylist() for c in ("body", "error", "cuts", "wholes"))
             for k, found in enumerate(b.column("whole_spans").to_pylist()):
                 own, wholes[k] = wholes[k], []
                 if error[k] is not None or not any(found):
                     continue
                 try:
-                    value, paths = body_of(bodies[k]), set(within[k]) if self.last else None
-                    sizes = [len(x) for x in Parts(value, None, paths).arrays]
-                    done = Parts(value, clipped(own, found, sizes), paths)
-                    bodies[k], within[k] = written(done.value), done.cut_paths
-                    cuts[k] = cuts[k] + done.rules
+                    value = body_of(bodies[k])
+                    done = Parts(value, clipped(own, found, [len(x) for x in Parts(value).arrays]))
+                    bodies[k], cuts[k] = written(done.value), done.rules
                     wholes[k] = guarded(Parts, body_of(bodies[k]), None, set(done.cut_paths)).wholes()
-                    if self.last and wholes[k]:
-                        raise Failed("nesting_limit")
                 except Failed as e:
-                    error[k], wholes[k] = str(e), []
-            strings = pa.list_(pa.string())
-            now = {"body": pa.array(bodies, pa.string()), "error": pa.array(error, pa.string()), "wholes": pa.array(wholes, WHOLES_TYPE), "cuts": pa.array(cuts, strings), "within": pa.array(within, strings)}
+                    error[k] = str(e)
+            now = {"body": pa.array(bodies, pa.string()), "error": pa.array(error, pa.string()), "wholes": pa.array(wholes, WHOLES_TYPE), "cuts": pa.array(cuts, pa.list_(pa.string()))}
             yield replaced(b, now, "whole_spans")
 
 
@@ -452,29 +442,33 @@ def inspect(requests: DataFrame, rules: Rules = DEFAULT_RULES, sanitize: bool =
 
     Attachments are decoded and scanned: a text with findings is replaced (if sanitize), and the new one scanned again; what can't be read is an error (see
     with_leaves()). Texts in the parts of an array are first read as one, JSON and data URLs among them as they stand, and what spans them is cut from each, also in arrays within
-    texts that are JSON; then every leaf of what is left is scanned by itself. A text that was cut, and holds an array that is cut, and this one again: nesting_limit. Findings in keys and control fields, and in attachments that are not replaced, are unsafe: reported, but not rewritten.
+    texts that are JSON; then every leaf of what is left is scanned by itself. A text that was cut, and is JSON with an array over whose parts another finding goes: nesting_limit. Findings in keys and control fields, and in attachments that are not replaced, are unsafe: reported, but not rewritten.
     """
     s = scanner_of(rules)
-    none = empty("array<string>")
-    rows = with_wholes(requests).select("request_id", "original", "body", "error", (~F.col("original").eqNullSafe(F.col("body"))).alias("put_in"), "wholes", none.alias("cuts"), none.alias("within"))
-    for last in (False, True):
-        rows = rows.withColumn("whole_spans", F.transform("wholes", lambda w: merged_array(scan(w["whole"], s))))
-        new = ("body", "error", "wholes", "cuts", "within", "whole_spans")
-        rows = rows.mapInArrow(Cut(last), f"{schema_of(rows, *new)}, body string, error string, wholes array<{WHOLE}>, cuts array<string>, within array<string>")
-    rows = with_leaves(rows.drop("wholes", "within"))
-    rows = rows.withColumn("seen", F.transform("files", lambda f: F.named_struct(F.lit("digest"), f["digest"], F.lit("text"), f["text"], F.lit("found"), scan(f["text"], s)))).drop("files")
-    rows = rows.withColumn("seen", F.filter("seen", lambda f: F.size(f["found"]) > 0))
+    rows = with_wholes(requests).select("request_id", "original", "body", "error", (~F.col("original").eqNullSafe(F.col("body"))).alias("put_in"), "wholes", empty("array<string>").alias("cuts"))
+    rows = rows.withColumn("whole_spans", F.transform("wholes", lambda w: merged_array(scan(w["whole"], s))))
+    new = ("body", "error", "wholes", "cuts", "whole_spans")
+    rows = rows.mapInArrow(Cut(), f"{schema_of(rows, *new)}, body string, error string, wholes array<{WHOLE}>, cuts array<string>")
+    # Leaves, attachments, and what is left of arrays in texts that were cut are scanned by one expression.
+    piece = lambda place, kind, digest, text: F.struct(place.alias("pos"), kind.alias("kind"), digest.alias("digest"), text.alias("text"))
+    blank = F.lit(None).cast("string")
+    texts = F.concat(
+        F.transform(F.filter("leaves", lambda x: x["kind"] != "data"), lambda x: piece(x["pos"], x["kind"], blank, x["text"])),
+        F.transform("files", lambda f: piece(F.lit(None).cast("int"), F.lit("file"), f["digest"], f["text"])), F.transform("wholes", lambda w: piece(F.lit(None).cast("int"), F.lit("whole"), blank, w["whole"])),
+    )
+    rows = with_leaves(rows).select("request_id", "original", "body", "error", "put_in", "cuts", texts.alias("texts"))
+    found = F.transform("texts", lambda x: F.struct(x["pos"].alias("pos"), x["kind"].alias("kind"), x["digest"].alias("digest"), x["text"].alias("text"), scan(x["text"], s).alias("found")))
+    rows = rows.withColumn("hits", F.filter(found, lambda x: F.size(x["found"]) > 0)).drop("texts")
+    rows = rows.withColumn("seen", F.filter("hits", lambda x: x["kind"] == "file"))
     swaps = F.transform("seen", lambda f: F.named_struct(F.lit("digest"), f["digest"], F.lit("text"), redact(f["text"], f["found"]))) if sanitize else empty("array<struct<digest:string,text:string>>")
     rows = rows.withColumn("swaps", swaps)
-    found = F.transform("leaves", lambda x: F.named_struct(F.lit("pos"), x["pos"], F.lit("kind"), x["kind"], F.lit("text"), x["text"], F.lit("found"), F.when(x["kind"] != "data", scan(x["text"], s)).otherwise(empty(FINDING))))
-    rows = rows.withColumn("hits", F.filter(found, lambda x: F.size(x["found"]) > 0)).drop("leaves")
     of = lambda c: F.flatten(F.transform(c, lambda x: F.transform(x["found"], lambda f: f["rule"])))
-    all_rules = F.concat(of(F.col("seen")), F.col("cuts"), of(F.col("hits")))
+    all_rules = F.concat(F.col("cuts"), of(F.filter("hits", lambda x: x["kind"] != "whole")))
     texts = F.filter("hits", lambda x: x["kind"] == "text")
     unsafe = F.exists("hits", lambda x: x["kind"].isin("key", "control")) | (F.lit(not sanitize) & (F.size("seen") > 0))
     new = F.transform(texts, lambda x: F.named_struct(F.lit("pos"), x["pos"], F.lit("text"), redact(x["text"], x["found"])))
     dirty = F.exists("swaps", lambda w: F.size(scan(w["text"], s)) > 0)
-    error = F.coalesce(F.col("error"), F.when(F.size(all_rules) > MAX_FINDINGS, F.lit("finding_limit")), F.when(dirty, F.lit("not_clean")))
+    error = F.coalesce(F.col("error"), F.when(F.size(all_rules) > MAX_FINDINGS, F.lit("finding_limit")), F.when(dirty, F.lit("not_clean")), F.when(F.exists("hits", lambda x: x["kind"] == "whole"), F.lit("nesting_limit")))
     rows = rows.select("request_id", "original", "body", error.alias("error"), all_rules.alias("rules"), (F.col("put_in") | (F.size("cuts") > 0) | (F.size(texts) > 0) | (F.size("swaps") > 0)).alias("changed"), unsafe.alias("unsafe"), new.alias("new"), "swaps")
     return rows.mapInArrow(Rebuild(), schema_of(rows, "new", "swaps"))
 

@@ -6,6 +6,9 @@ lengths of both gives the byte offset of each match. All stays in the JVM.
 
 from __future__ import annotations
 
+import json
+from functools import lru_cache, reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,41 +24,93 @@ FINDING = f"array<{HIT}>"
 LONGEST_WRAPPED = 8192
 WRAPPED = r"(?<![A-Za-z0-9_])ey[A-Za-z0-9_+/\r\n\t -]{17,2048}\.[ \t\r\n]*ey[A-Za-z0-9_+/\r\n\t -]{17,4096}\.[A-Za-z0-9_+/=\r\n\t -]{10,2048}"
 WRAPPED_RULE = "jwt"
+#: How each of them begins: most texts have no such place, and are not searched further.
+BEGINS_WRAPPED = r"(?<![A-Za-z0-9_])ey[A-Za-z0-9_+/\r\n\t -]{17,2048}+\.[ \t\r\n]*ey"
 
 
-def hit(rule_id: str, start: Column, secret: Column) -> Column:
-    return F.named_struct(F.lit("rule"), F.lit(rule_id), F.lit("start"), start, F.lit("end"), start + F.octet_length(secret), F.lit("secret"), secret)
+#: A rule as a value of a column. numbers: the groups of the opened pattern that tell where its captures stand; captures: of each the place of its own
+#: group among them, and of those before it. whole: whether the whole match counts if no capture holds anything.
+RULE = "struct<id:string,pattern:string,keywords:array<string>,entropy:double,whole:boolean,numbers:array<int>,captures:array<struct<at:int,before:array<int>>>>"
+#: Of more keywords than this, those that stand in a text are found in one pass.
+MANY_WORDS = 48
 
 
-def matches(text: Column, rule_id: str, regex: str, group: int = 0) -> Column:
-    """All secrets of a pattern as (rule, start, end, secret); offsets in bytes of UTF-8, end exclusive. group: see Rule."""
-    pattern, captures = opened(regex)
-    if group:
-        captures = [c for c in captures if c.own == group]
+@lru_cache(4096)
+def compiled(rule: Rule) -> dict:
+    """A rule as RULE has it."""
+    pattern, captures = opened(rule.regex)
+    if rule.group:
+        captures = [c for c in captures if c.own == rule.group]
     numbers = sorted({n for c in captures for n in (c.group, *c.before)})
+    places = [{"at": numbers.index(c.group), "before": [numbers.index(n) for n in c.before]} for c in captures]
+    return {"id": rule.id, "pattern": pattern, "keywords": sorted({k.lower() for k in rule.keywords}), "entropy": rule.entropy, "whole": not rule.group, "numbers": numbers, "captures": places}
+
+
+def rules_column(rules: list[Rule] | tuple[Rule, ...]) -> Column:
+    """Rules as one constant, array<RULE>: the plan is as large for hundreds of them as for one."""
+    return F.from_json(F.lit(json.dumps([compiled(r) for r in usable(rules)])), f"array<{RULE}>")
+
+
+def matches_of(text: Column, rule: Column) -> Column:
+    """All secrets of a rule (RULE) as (rule, start, end, secret); offsets in bytes of UTF-8, end exclusive."""
+
+    def hit(start: Column, secret: Column) -> Column:
+        return F.array(F.named_struct(F.lit("rule"), rule["id"], F.lit("start"), start, F.lit("end"), start + F.octet_length(secret), F.lit("secret"), secret))
 
-    def secret(pair: Column, start: Column) -> Column:
-        """The first capture that is not empty, or else the whole match; of a certain group that capture."""
-        out = F.array(hit(rule_id, start, pair["hit"]))
-        for c in reversed(captures):
-            at = start
-            for n in c.before:
-                at = at + F.octet_length(pair[f"g{n}"])
-            own = F.array(hit(rule_id, at, pair[f"g{c.group}"]))
-            out = F.when(F.length(pair[f"g{c.group}"]) > 0, own).otherwise(empty(FINDING) if group else out)
-        return out
-
-    def step(at: Column, pair: Column) -> tuple[Column, Column]:
-        start = at + F.octet_length(pair["gap"])
-        return start + F.octet_length(pair["hit"]), secret(pair, start)
-
-    def over(hits: Column) -> Column:
-        gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits))
-        lists = [gaps.alias("gap"), hits.alias("hit"), *(F.regexp_extract_all(text, F.lit(pattern), n).alias(f"g{n}") for n in numbers)]
-        return F.when(F.size(hits) > 0, fold(F.arrays_zip(*lists), F.lit(0), step, HIT)).otherwise(empty(FINDING))
+    def secret(m: Column, start: Column) -> Column:
+        """The first capture that is not empty, or else the whole match, if that counts."""
+        full = F.filter(rule["captures"], lambda c: F.length(F.get(m["parts"], c["at"])) > 0)
+        of = lambda c: hit(F.aggregate(c["before"], start, lambda at, n: at + F.octet_length(F.get(m["parts"], n))), F.get(m["parts"], c["at"]))
+        other = F.when(rule["whole"], hit(start, m["hit"])).otherwise(empty(FINDING))
+        return F.when(F.size(rule["captures"]) == 0, other).otherwise(bind(full, lambda f: F.when(F.size(f) > 0, of(F.get(f, F.lit(0)))).otherwise(other)))
+
+    def step(at: Column, m: Column) -> tuple[Column, Column]:
+        start = at + F.octet_length(m["gap"])
+        return start + F.octet_length(m["hit"]), secret(m, start)
+
+    def over(found: Column) -> Column:
+        gaps = F.split(text, rule["pattern"], -1)
+        groups = F.transform(rule["numbers"], lambda n: F.regexp_extract_all(text, rule["pattern"], n))
+        lists = F.named_struct(F.lit("gaps"), gaps, F.lit("groups"), groups)
+        items = bind(lists, lambda x: F.transform(found, lambda h, i: F.named_struct(F.lit("gap"), F.get(x["gaps"], i), F.lit("hit"), h, F.lit("parts"), F.transform(x["groups"], lambda g: F.get(g, i)))))
+        return F.when(F.size(found) > 0, fold(items, F.lit(0), step, HIT)).otherwise(empty(FINDING))
 
     # Where there is no match, one pass over the text is all.
-    return bind(F.regexp_extract_all(text, F.lit(pattern), 0), over)
+    return bind(F.regexp_extract_all(text, rule["pattern"], F.lit(0)), over)
+
+
+def matches(text: Column, rule_id: str, regex: str, group: int = 0) -> Column:
+    """Those of one pattern. group: see Rule."""
+    one = F.get(rules_column([Rule(rule_id, regex, (), 0.0, group)]), F.lit(0))
+    return bind(F.named_struct(F.lit("rule"), one, F.lit("text"), text), lambda x: matches_of(x["text"], x["rule"]))
+
+
+def words_in(low: Column, words: list[str]) -> Column:
+    """Those of words (in lower case) that a text in lower case holds.
+
+    Many words are looked for in one pass, by a pattern that shares their beginnings; it gives the longest word at each place, and so also those
+    that this one begins with. The time hardly depends on how many words there are that the text has not."""
+    if len(words) <= MANY_WORDS:
+        return F.filter(F.lit(words) if words else empty("array<string>"), lambda w: F.contains(low, w))
+    begins = {w: [v for v in words if w.startswith(v)] for w in words}
+    found = F.array_distinct(F.regexp_extract_all(low, F.lit(f"(?=({shared_beginnings(words)}))"), 1))
+    more = {w: v for w, v in begins.items() if len(v) > 1}
+    if not more:
+        return found
+    table = F.from_json(F.lit(json.dumps(more)), "map<string,array<string>>")
+    return F.array_distinct(F.flatten(F.transform(found, lambda w: F.coalesce(F.try_element_at(table, w), F.array(w)))))
+
+
+def shared_beginnings(words: list[str]) -> str:
+    """A pattern for the longest of words at a place, in which words with one beginning share it."""
+    if "" in words:
+        return f"(?:{shared_beginnings([w for w in words if w])})?" if len(words) > 1 else ""
+    by: dict[str, list[str]] = {}
+    for w in words:
+        by.setdefault(w[0], []).append(w[1:])
+    quote = lambda c: c if c.isalnum() or c == "_" else "\\" + c if c.isascii() else f"\\x{{{ord(c):x}}}"
+    parts = [quote(c) + shared_beginnings(rest) for c, rest in sorted(by.items())]
+    return parts[0] if len(parts) == 1 else "(?:" + "|".join(parts) + ")"
 
 
 def wrapped(text: Column, rule: Rule) -> Column:
@@ -81,42 +136,41 @@ def wrapped(text: Column, rule: Rule) -> Column:
     return F.flatten(F.transform(candidates, of))
 
 
-def scan(text: Column, rules: Rules = DEFAULT_RULES) -> Column:
-    """The findings of a scanner in one array, by start, longest first, then rule. A rule's keywords gate its pattern."""
+def scan(text: Column, rules: Rules = DEFAULT_RULES, table: Column | None = None) -> Column:
+    """The findings of a scanner in one array, by start, longest first, then rule. A rule's keywords gate its pattern.
+
+    table: rules as a column (array<RULE>), in place of the scanner's own: each row may have others."""
     s = scanner_of(rules)
     none, ready = empty(FINDING), usable(s.rules)
-    if not ready:
+    if not ready and table is None:
         return none
 
-    def counts(r: Rule, f: Column) -> Column:
-        ok = F.lit(True)
+    def kept(found: Column, bound: Column) -> Column:
+        """Without what is allowed. bound: the entropy that a secret must pass."""
+        tests = []
         if s.hashes:
-            ok = ok & ~digest(f["secret"]).isin(sorted(s.hashes))
+            tests.append(lambda f: ~digest(f["secret"]).isin(sorted(s.hashes)))
         if s.stopwords:
-            ok = ok & ~f["secret"].isin(sorted(s.stopwords))
-        if s.use_entropy and r.entropy > 0:
-            ok = ok & (entropy(f["secret"]) > r.entropy)
-        return ok
-
-    def kept(r: Rule, found: Column) -> Column:
-        return F.filter(found, lambda f: counts(r, f)) if s.hashes or s.stopwords or s.use_entropy and r.entropy > 0 else found
+            tests.append(lambda f: ~f["secret"].isin(sorted(s.stopwords)))
+        if s.use_entropy:
+            tests.append(lambda f: (bound <= 0) | (entropy(f["secret"]) > bound))
+        return F.filter(found, lambda f: reduce(lambda a, b: a & b, [t(f) for t in tests])) if tests else found
 
     def found(x: Column) -> Column:
-        def gated(r: Rule) -> Column:
-            words = F.lit(not r.keywords)
-            for k in r.keywords:
-                words = words | F.contains(x["low"], F.lit(k.lower()))
-            return F.when(words, kept(r, matches(x["text"], r.id, r.regex, r.group))).otherwise(none)
-
-        lists = [*map(gated, ready)]
-        for r in ready:
+        if table is None:
+            words = sorted({k.lower() for r in ready for k in r.keywords})
+            gated = bind(words_in(x["low"], words), lambda own: F.filter(x["rules"], lambda r: (F.size(r["keywords"]) == 0) | F.arrays_overlap(r["keywords"], own)))
+        else:
+            gated = F.filter(x["rules"], lambda r: (F.size(r["keywords"]) == 0) | F.exists(r["keywords"], lambda w: F.contains(x["low"], w)))
+        lists = [F.flatten(F.transform(gated, lambda r: kept(matches_of(x["text"], r), r["entropy"])))]
+        for r in ready if table is None else ():
             if r.id == WRAPPED_RULE:
-                broken = F.contains(x["text"], F.lit("\n")) & F.contains(x["text"], F.lit("ey")) & x["text"].rlike(WRAPPED)
-                lists.append(F.when(broken, kept(r, wrapped(x["text"], r))).otherwise(none))
+                broken = F.contains(x["text"], F.lit("\n")) & x["text"].rlike(BEGINS_WRAPPED) & x["text"].rlike(WRAPPED)
+                lists.append(F.when(broken, kept(wrapped(x["text"], r), F.lit(r.entropy))).otherwise(none))
         return in_order(F.concat(*lists))
 
-    # The text and its lower case are made once for all rules.
-    bound = F.named_struct(F.lit("text"), text, F.lit("low"), ascii_lower(text))
+    # The text, its lower case and the rules are made once.
+    bound = F.named_struct(F.lit("text"), text, F.lit("low"), ascii_lower(text), F.lit("rules"), rules_column(ready) if table is None else table)
     return F.when(text.isNotNull(), bind(bound, found)).otherwise(none)
 
 

@@ -281,7 +281,7 @@ def json_strict_parse(spark, sf_dir):
     k = F.col("event_id") % 4
     body = F.when(k == 1, F.concat(F.lit('{"input":1,"input":'), "props", F.lit("}"))).when(k == 2, F.concat("props", F.lit(" x"))).otherwise(F.col("props"))
     e = table(spark, sf_dir, "events").select(F.col("event_id").alias("request_id"), body.alias("body"))
-    return jsonwalk.with_leaves(e).select(F.col("request_id").alias("event_id"), "error")
+    return jsonwalk.with_leaves(jsonwalk.with_wholes(e)).select(F.col("request_id").alias("event_id"), "error")
 
 
 def bodies(spark, sf_dir) -> DataFrame:
@@ -592,11 +592,11 @@ def extraction_limit(spark, sf_dir):
     return geometry.over_budget(d, "source", "doc_id", "size", 65536).select("source", "doc_id", "used", "error")
 
 
-@query("""WITH s AS (SELECT l_orderkey AS doc, count(*) * 20 AS text_bytes, max(l_partkey % 130) AS pages, max(l_linenumber * 10)::BIGINT AS files, max(l_suppkey % 5) AS depth, max((l_partkey % 9000) * 6000) AS pixels FROM lineitem GROUP BY l_orderkey)
-SELECT *, CASE WHEN pages > 100 THEN 'pages_limit' WHEN files > 64 THEN 'files_limit' WHEN depth > 3 THEN 'depth_limit' WHEN pixels > 50000000 THEN 'pixels_limit' END AS error FROM s""")
+@query("""WITH s AS (SELECT l_orderkey AS doc, count(*) * 20 AS text_bytes, max(l_partkey % 30) AS pages, max(l_linenumber * 3)::BIGINT AS files, max(l_suppkey % 6) AS depth, max((l_partkey % 5000) * 6000) AS pixels, sum((l_partkey % 5000) * 6000)::BIGINT AS all_pixels FROM lineitem GROUP BY l_orderkey)
+SELECT *, CASE WHEN pages > 20 THEN 'pages_limit' WHEN files > 16 THEN 'files_limit' WHEN depth > 4 THEN 'depth_limit' WHEN pixels > 25000000 THEN 'pixels_limit' WHEN all_pixels > 100000000 THEN 'all_pixels_limit' END AS error FROM s""")
 def extraction_errors(spark, sf_dir):
     p = F.col("l_partkey")
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), F.repeat(F.lit("x"), F.lit(20)).alias("text"), (p % 130).alias("page"), (F.col("l_linenumber") * 10).alias("file"), (F.col("l_suppkey") % 5).alias("depth"), (p % 9000).alias("width"), F.lit(6000).alias("height"))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), F.repeat(F.lit("x"), F.lit(20)).alias("text"), (p % 30).alias("page"), (F.col("l_linenumber") * 3).alias("file"), (F.col("l_suppkey") % 6).alias("depth"), (p % 5000).alias("width"), F.lit(6000).alias("height"))
     return geometry.extraction_errors(rows, "doc")
 
 

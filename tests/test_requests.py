@@ -73,7 +73,7 @@ def test_parts_that_are_json_or_data_urls_take_part(spark):
 
 
 def test_arrays_within_texts_that_are_cut(spark):
-    """A key over the parts of an array in a text that is JSON, in a part from which another key is cut: the second round finds it."""
+    """A key over the parts of an array in a text that is JSON, in a part from which something else is cut: never passed on."""
     deep = json.dumps({"a": [{"text": "one -----BEGIN PRIVATE KEY-----\nSECRETA"}, {"text": "SECRETB\n-----END PRIVATE KEY----- two"}], "t": TOKEN})
     (r,) = inspected(spark, [{"input": [{"text": "plain"}, {"text": deep}]}])
     assert "SECRET" not in (r["body"] if r["error"] is None else "") and TOKEN not in (r["body"] if r["error"] is None else "")
