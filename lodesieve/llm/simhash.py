@@ -201,6 +201,7 @@ class Verify:
 
     def links(self, rows: list[np.ndarray]) -> pa.RecordBatch:
         key, low, high, side, fp, own = rows
+        fp = fp.view(np.uint64)  # of negative numbers bitwise_count() counts the bits of the absolute value
         new = np.concatenate([[True], (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])])
         run, sizes = np.cumsum(new) - 1, np.diff(np.append(np.flatnonzero(new), len(key)))
         short = (sizes <= SHORT)[run]
@@ -214,7 +215,7 @@ class Verify:
         for k in np.flatnonzero(sizes > SHORT).tolist():
             part = slice(int(at[k]), int(at[k] + sizes[k]))
             found.append(spanning(fp[part], own[part], side[part], bool(low[at[k]] == high[at[k]])))
-        a, b = (np.concatenate([f[k] for f in found] or [np.zeros(0, np.int64)]) for k in (0, 1))
+        a, b = (np.concatenate([f[k] for f in found] or [np.zeros(0, np.uint64)]).view(np.int64) for k in (0, 1))
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
@@ -233,7 +234,7 @@ def spanning(fp: np.ndarray, own: np.ndarray, side: np.ndarray, one: bool) -> tu
             label[np.isin(label, names)] = label[x]
             a += [fp[x]] * len(names)
             b += fp[rest[first]].tolist()
-    return np.array(a, np.int64), np.array(b, np.int64)
+    return np.array(a, np.uint64), np.array(b, np.uint64)
 
 
 def links(nodes: DataFrame, block: int = 2048) -> DataFrame:

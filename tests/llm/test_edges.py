@@ -4,12 +4,12 @@ import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
-from lodesieve.llm import byte_bpe, chat_format, decontaminate, exact_dedup, jaccard_join, language_gru, pii_crf, pitman_yor, secret_scan, token_planes
+from lodesieve.llm import byte_bpe, chat_format, decontaminate, exact_dedup, jaccard_join, language_gru, pii_crf, pitman_yor, secret_scan, simhash, token_align, token_planes
 from lodesieve.llm.common import new_path
 
 LONG = " ".join(f"word{k % 977} in line {k} of it," for k in range(25_000)) + " token = abcdef123 mail a@b.com " + "é" * 5000 + " " + "x" * 20_000
 ROWS = [(1, LONG), (2, None), (3, ""), (3, ""), (None, "und die Katze"), (5, "und die Katze"), (6, LONG + " more"), (7, " \t\n")]
-NAMES = "row r h h0 key node slot block first payload digest words hits spans start n_tokens held_out chunk kind target source bucket score window windows copies n_shingles text_hash id kept keep_id own place item items hash part parts pos conv p".split()
+NAMES = "row r h h0 key node slot block first payload digest words hits spans start n_tokens held_out chunk kind target source bucket score window windows copies n_shingles text_hash id kept keep_id own place item items hash fp low high side own_ pairs links asker part parts pos conv p".split()
 NET = language_gru.Network(["de", "en"], 4)
 
 
@@ -36,6 +36,8 @@ OPS = {
     "op7 kept": (lambda spark, d: decontaminate.without_benchmark(d, bench(spark)).select("doc_id", "text"), 4),
     "op8": (lambda spark, d: pii_crf.find_pii(d, pii_crf.Field([])), 8),
     "op9": (lambda spark, d: pitman_yor.score_documents(d, F.col("doc_id") == 1, burn=1, samples=1).select("doc_id", "held_out", "n_tokens", "n_known", "base_score"), 8),
+    "op11": (lambda spark, d: simhash.simhash_groups(d), 8),
+    "op12": (lambda spark, d: token_align.token_align(d, P.path("byte_bpe_50k.json"), P.PATTERN, P.path("piece_bpe_32k.model")), 8),
     "op10": (lambda spark, d: byte_bpe.byte_bpe(d, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN), 8),
 }
 
