@@ -56,7 +56,10 @@ URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|(\\u[dD][89abAB][0-9A-Fa-f]{2}\\u[dD][c-fC-F][0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});|([\uFF01-\uFF5E])|([\u200B-\u200D\u2060\uFEFF\u00AD])")
 #: At least as long as the shortest thing to find, encoded: 'token=abcdef' in base64.
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-WRAPPED = re.compile(r"(?:[A-Za-z0-9+/]{48,80}\r?\n)+[A-Za-z0-9+/]{4,80}={0,2}")
+#: What may stand between two lines of one run: a line end, also written out, then an indent or the marks of a quotation.
+BETWEEN = r"(?:\r?\n|\\r\\n|\\n)[ \t]*+(?:>[ \t]*+)*+"
+SEPARATOR = re.compile(BETWEEN)
+WRAPPED = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{4,}}+(?:{BETWEEN}[A-Za-z0-9+/_-]++)++={{0,2}}")
 CONTROL = re.compile(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]")
 #: As long as the shortest thing to find: 'token=abcdef'.
 STRETCH = re.compile(rb"[\t\n\r\x20-\x7E]{12}")
@@ -261,10 +264,11 @@ def layers_of(text: str, window: int, most: int) -> Iterator[tuple[str, Map] | N
         yield new
     for pattern in (BASE64, WRAPPED):
         for m in pattern.finditer(text):
-            run = m.group()
+            run, places = m.group(), None
             if pattern is WRAPPED:
-                run = run.replace("\r", "").replace("\n", "")
-            places = [k for k, c in enumerate(m.group()) if c not in "\r\n"] if len(run) != m.end() - m.start() else None
+                run, places = unwrapped(run)
+                if len(run) < 16:
+                    continue
             for p in PACKED.finditer(run):
                 # Chance finds are many in long runs: the first bytes must unpack.
                 head = unbase64(run[p.start() : p.start() + 400])
@@ -277,6 +281,16 @@ def layers_of(text: str, window: int, most: int) -> Iterator[tuple[str, Map] | N
                     yield found[0], base64_map(*found, m.start(), run, phase, places)
 
 
+def unwrapped(lines: str) -> tuple[str, list[int]]:
+    """A run of several lines as one, and where each of its characters stands."""
+    places, at = [], 0
+    for m in SEPARATOR.finditer(lines):
+        places += range(at, m.start())
+        at = m.end()
+    places += range(at, len(lines))
+    return SEPARATOR.sub("", lines), places
+
+
 def unpacks(head: bytes) -> bool:
     """Whether data that begins so is compressed."""
     if head.startswith(b"(\xb5/\xfd"):
@@ -392,9 +406,24 @@ def worth_a_look(raw: np.ndarray, at: np.ndarray) -> list[int]:
     where = np.searchsorted(at, begins[long], side="right") - 1
     for a, z, d in zip(begins[long].tolist(), ends[long].tolist(), where.tolist(), strict=True):
         run = data[a:z]
-        # A line of wrapped base64 is as long as 48; other runs say by themselves whether they are worth it.
+        # Long runs may be of a kind that is not looked into here; others say by themselves whether they are worth it.
         if z - a >= 48 or HEX_RUN.search(run) or b"AKIA" in run or decodes(run.decode()):
             out.add(d)
+    # Runs that only a line end and what may follow it part: as one, they may be base64 of any width.
+    gap = begins[1:] - ends[:-1]
+    ender = raw[ends[:-1]] if len(ends) > 1 else raw[:0]
+    near = (ends[:-1] - begins[:-1] >= 1) & (gap <= 64) & ((ender == 10) | (ender == 13) | (ender == 92))
+    near &= np.searchsorted(at, begins[1:], side="right") == np.searchsorted(at, begins[:-1], side="right")
+    first_of = np.flatnonzero(near & ~np.concatenate([[False], near[:-1]]))
+    for k in first_of.tolist():
+        d = int(np.searchsorted(at, begins[k], side="right")) - 1
+        if d not in out:
+            stop = k + 1
+            while stop < len(near) and near[stop]:
+                stop += 1
+            lines = data[begins[k] : ends[stop]].decode("utf-8", "replace")
+            if any(len(run := unwrapped(m.group())[0]) >= 16 and decodes(run) for m in WRAPPED.finditer(lines)):
+                out.add(d)
     lower, bounds = data.lower(), at.tolist()
     names = [n for n in NAMES if n in lower]
     firsts = [n for n in FIRSTS if n in lower]

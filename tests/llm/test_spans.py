@@ -196,3 +196,27 @@ def test_viterbi_by_brute_force():
     score = rng.normal(size=(1, 3, L))
     best = max(itertools.product(range(L), repeat=3), key=lambda p: start[p[0]] + sum(score[0, t, p[t]] for t in range(3)) + move[p[0], p[1]] + move[p[1], p[2]])
     assert tuple(pii_crf.viterbi(score, np.array([3]), move, start, np.zeros(L))[0]) == best
+
+
+def test_base64_wrapped_at_any_width():
+    """No layer is lost without being counted: gzip and plain text in base64, of all widths, indented, quoted, with line ends written out, found in whole batches too."""
+    import base64
+    import gzip
+
+    import pyarrow as pa
+
+    from lodesieve.llm import secret_scan
+
+    secret = "password = hunter2hunter2 and words after it, so that there are some lines " * 3
+    texts = []
+    for data in (secret.encode(), gzip.compress(secret.encode())):
+        code = base64.b64encode(data).decode()
+        for width in (5, 8, 15, 20, 40, 57, 76, 100):
+            for sep in ("\n", "\r\n", "\n    ", "\n> ", "\n>\t> ", "\\n", "\\r\\n"):
+                texts.append("see below\n== " + sep.join(code[k : k + width] for k in range(0, len(code), width)) + " end")
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    out = secret_scan.Scan(1 << 24, 1 << 33).one(batch)
+    for text, spans, layers in zip(texts, out.column("spans").to_pylist(), out.column("n_layers").to_pylist(), strict=True):
+        assert layers and "assign:" in spans, text[:200]
+        kind, a, z = spans.split(",")[0].split(":")
+        assert 13 <= int(a) < int(z) <= len(text) - 4
