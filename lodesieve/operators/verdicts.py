@@ -64,8 +64,8 @@ def newest(v: DataFrame, most: int = MAX_ROWS) -> DataFrame:
     return v.orderBy(F.desc("accessed"), "key").limit(most)
 
 
-#: Rows of one budget that one task folds over; more of them are worked off in rounds.
-FOLD = 10_000
+#: Rows of one budget that one task folds over, some 20 MB; more of them are worked off in rounds.
+FOLD = 200_000
 
 
 def within_bytes(v: DataFrame, keys: list[str], budget: int) -> DataFrame:

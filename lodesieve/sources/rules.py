@@ -143,9 +143,16 @@ def fingerprint_column(rules: list[Rule] | tuple[Rule, ...], hashes: Column) ->
     return F.sha2(F.concat(F.lit(fingerprint(rules) + ":"), F.array_join(F.array_sort(F.array_distinct(hashes)), ",")), 256)
 
 
+#: Digests that a Scanner takes.
+MOST_ALLOWED = 10_000
+
+
 def allowed(spark: SparkSession, path: str) -> frozenset[str]:
-    """The digests of carnet() for a Scanner."""
-    return frozenset(r["hash"] for r in carnet(spark, path).collect())
+    """The digests of carnet() for a Scanner, MOST_ALLOWED at most; a longer list is an error here, and a table for scan.without_hashes()."""
+    rows = carnet(spark, path).distinct().limit(MOST_ALLOWED + 1).collect()
+    if len(rows) > MOST_ALLOWED:
+        raise ValueError(f"more than {MOST_ALLOWED} digests: join them by scan.without_hashes()")
+    return frozenset(r["hash"] for r in rows)
 
 
 def carnet(spark: SparkSession, path: str) -> DataFrame:

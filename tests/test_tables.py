@@ -151,3 +151,17 @@ def test_streams_first_seen(spark, tmp_path):
     stream = streaming.read(spark, str(tmp_path / "in"), "ts timestamp, rule string, digest string")
     streaming.run_once(streaming.first_seen(stream, "ts", "1 hour"), str(tmp_path / "out"), str(tmp_path / "state"))
     assert sorted(r["digest"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["d", "e0", "e2", "e4"]
+
+
+def test_long_lists_of_allowed_digests_are_tables(spark, tmp_path, monkeypatch):
+    import hashlib
+    import json
+
+    from lodesieve.sources import rules
+
+    path = tmp_path / "carnet.json"
+    path.write_text(json.dumps([hashlib.sha256(bytes([k])).hexdigest() for k in range(4)] * 2))
+    assert len(rules.allowed(spark, str(path))) == 4
+    monkeypatch.setattr(rules, "MOST_ALLOWED", 3)
+    with pytest.raises(ValueError):
+        rules.allowed(spark, str(path))
