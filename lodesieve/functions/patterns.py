@@ -7,11 +7,13 @@ the lengths of these add up to the capture's offset in the match.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 WORD = "A-Za-z0-9_"
 EDGE = f"(?:(?<![{WORD}])(?=[{WORD}])|(?<=[{WORD}])(?![{WORD}]))"
-POSIX = {"[:alnum:]": "A-Za-z0-9", "[:alpha:]": "A-Za-z", "[:digit:]": "0-9", "[:xdigit:]": "0-9A-Fa-f", "[:upper:]": "A-Z", "[:lower:]": "a-z", "[:space:]": r"\s", "[:word:]": WORD}
+POSIX = {"[:alnum:]": "A-Za-z0-9", "[:alpha:]": "A-Za-z", "[:digit:]": "0-9", "[:xdigit:]": "0-9A-Fa-f", "[:upper:]": "A-Z", "[:lower:]": "a-z", "[:space:]": r"\t-\r\x20", "[:word:]": WORD,
+         "[:ascii:]": r"\x00-\x7F", "[:blank:]": r"\t\x20", "[:cntrl:]": r"\x00-\x1F\x7F", "[:graph:]": r"!-~", "[:print:]": r"\x20-~", "[:punct:]": r"!-/:-@\[-`{-~"}
 
 
 @dataclass(frozen=True)
@@ -54,11 +56,17 @@ def tokens(pattern: str) -> list[str]:
 
 
 def to_java(pattern: str) -> str:
-    out = []
-    for t in tokens(pattern):
+    """ValueError for what Java has not, or means otherwise and can't be told: the flags for swapped greed and for line ends of two characters, unknown classes."""
+    out, parts = [], tokens(pattern)
+    flags = "".join(t[2:-1].partition("-")[0] for t in parts if t.startswith("(?") and t[2:3] not in "P<=!")
+    if extra := set(flags) - set("ims:u"):
+        raise ValueError(f"flags {sorted(extra)} are not supported: {pattern}")
+    for t in parts:
         if t.startswith("["):
             for name, chars in POSIX.items():
-                t = t.replace(name, chars)
+                t = t.replace(name, chars).replace(name.replace("[:", "[:^"), f"[^{chars}]")
+            if re.search(r"\[:\^?[a-z]+:\]", t):
+                raise ValueError(f"an unknown class: {t}")
             t = t.replace(r"\w", WORD)
         elif t == r"\w":
             t = f"[{WORD}]"
@@ -67,15 +75,16 @@ def to_java(pattern: str) -> str:
         elif t == r"\b":
             t = EDGE
         elif t == "$":
-            t = r"\z"
-        elif t.startswith("(?P<"):
-            t = "(?<" + t[4:].replace("_", "")
+            t = r"(?=\n|\z)" if "m" in flags else r"\z"
+        elif t.startswith("(?P<") or t.startswith("(?<") and t[3:4] not in "=!":
+            t = "("  # nothing refers to a name, and Java allows fewer of them
         elif t.startswith("(?") and "-u" in t:
             t = "(?:" if t.endswith(":") else ""
         elif t.startswith(r"\x{"):
             t = "\\" + t[1:]
         out.append(t)
-    return "".join(out)
+    # Of line ends only that of Unix counts, for dots and for beginnings of lines.
+    return ("(?d)" if "." in parts or "m" in flags else "") + "".join(out)
 
 
 def captures(t: str) -> bool:

@@ -89,7 +89,8 @@ def from_toml(text: str, profile: set[str] | None = None) -> list[Rule]:
         if not r.get("regex"):
             raise ValueError(f"rule {r['id']} has no pattern")
         regex, group = to_java(r["regex"]), r.get("secretGroup", 0)
-        if group and group not in {c.own for c in opened(regex)[1]}:
+        found = opened(regex)[1]  # a capture that has no place is an error at load
+        if group and group not in {c.own for c in found}:
             raise ValueError(f"rule {r['id']}: no capture {group}, or it lies in another one")
         out.append(Rule(r["id"], regex, tuple(k.lower() for k in r.get("keywords", ())), float(r.get("entropy", 0.0)), group))
     if profile is not None and profile - seen:

@@ -162,3 +162,20 @@ def test_one_scanner_for_all_that_decides(spark):
     (found, red), = scanned(spark, [f"before '{head[:50]}\n  {head[50:]}' after"])
     assert red == "before '[REDACTED:jwt]' after" and [f["secret"] for f in found] == [head]
     assert Scanner(DEFAULT_RULES).fingerprint() != s.fingerprint()
+
+
+def test_dialect_of_rules(spark):
+    from lodesieve.functions.patterns import to_java
+
+    cases = [
+        (r"(?P<n_1>a)(?P<n1>b)", "xab", ["ab"]), (r"k[[:^alpha:]]+z", "kaz k12z", ["k12z"]), (r"[[:punct:]]{2}", "a!?b", ["!?"]), (r"a.c", "a\rc a\nc a c", ["a\rc", "a c"]),
+        (r"(?m)^b$", "a\nb\nc\rb", ["b"]), (r"b$", "b\nb", ["b"]), (r"(?i)ab(?-u:c)", "ABc", ["ABc"]), (r"(?<x>a)b", "ab", ["ab"]),
+    ]
+    for pattern, text, want in cases:
+        got = spark.createDataFrame([(text,)], "t string").select(F.regexp_extract_all("t", F.lit(to_java(pattern)), 0)).first()[0]
+        assert got == want, pattern
+    for bad in ("(?U)a+", "(?R)a$", "[[:nosuch:]]", "(?iU:a)"):
+        with pytest.raises(ValueError):
+            to_java(bad)
+    with pytest.raises(ValueError):
+        from_toml('[[rules]]\nid = "x"\nregex = "(?i)a(?:(b)|c)+d"\n')
