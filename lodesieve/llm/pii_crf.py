@@ -16,7 +16,7 @@ shapes and words are found on the bytes of many texts at once.
 
 Defined results. Null text counts as empty: no spans. A span of the field that overlaps a base
 span is dropped, as base ones stay. Ids are passed through, null and repeated ones too; other
-columns are not read.
+columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
