@@ -26,6 +26,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +40,8 @@ from .common import documents, kept, map_batches, new_path, slices, text_buffer
 
 MAGIC = b"LSPLANE1"
 HEAD = struct.Struct("<8sIIIIQ")
-#: Bytes of text that are encoded at once: their different words are looked up once.
-SLICE = 4 << 20
+#: Bytes of text that are gathered and encoded at once: their different words are looked up once.
+SLICE = 12 << 20
 CHUNK = "shard int, chunk int, start bigint, n_docs int, n_ids bigint, first_doc bigint, last_doc bigint, payload binary"
 DOC = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
 SPACE, LETTER, STOP = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
@@ -61,7 +62,7 @@ class WordEncoder:
     to its model alone; all others pass through the whole tokenizer. Holds at most ``most`` words, then starts anew.
     added: added tokens in a text stand for their own ids, as the library has it; texts that hold one are encoded whole."""
 
-    def __init__(self, path: str, most: int = 1_000_000, added: bool = False):
+    def __init__(self, path: str, most: int = 2_000_000, added: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -81,19 +82,33 @@ class WordEncoder:
 
     def clear(self) -> None:
         self.pieces: dict[str, list[int]] = {}
-        self.number: dict[str, int] = {}
+        self.words, self.fresh = pa.array([], pa.large_string()), []
+        self.count = 0
         self.flat, self.starts, self.sizes, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
 
-    def numbers(self, words: list[str]) -> np.ndarray:
-        if len(self.number) + len(words) > self.most:
+    def numbers(self, words: pa.Array) -> np.ndarray:
+        """The number of each of different words; no Python object is made for one that is known."""
+        if self.count + len(words) > self.most:
             self.clear()
-        new = [w for w in words if w not in self.number]
-        simple = [w for w in new if w.isascii() and w.isprintable()]
+        found = pc.index_in(words, value_set=self.words)
+        number = found.fill_null(-1).to_numpy().astype(np.int64)
+        unknown = words.filter(pc.is_null(found))
+        if len(unknown):
+            first, self.fresh = self.count, []
+            self.learn(unknown.to_pylist())
+            fresh = pa.array(self.fresh, pa.large_string())
+            number[number < 0] = first + pc.index_in(unknown, value_set=fresh).to_numpy()
+            self.words = pa.concat_arrays([self.words, fresh])
+        return number
+
+    def learn(self, new: list[str]) -> None:
+        simple, rest = [], []
+        for w in new:
+            (simple if w.isascii() and w.isprintable() else rest).append(w)
         if simple:
             ids = [self.by_pieces(w) for w in simple]
             sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            self.keep(simple, np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum())), sizes)
-        rest = [w for w in new if w not in self.number]
+            self.keep(simple, np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum())), sizes)
         left = self.by_ends([w for w in rest if w.isalpha()])
         rest = [w for w in rest if not w.isalpha()] + left
         plain = [w for w in rest if self.mark not in w]
@@ -103,7 +118,6 @@ class WordEncoder:
             marks = np.flatnonzero(flat == self.mark_id) if len(part) > 1 else np.zeros(0, np.int64)
             sizes = np.diff(np.concatenate([[-1], marks, [len(flat)]])) - 1
             self.keep(part, np.delete(flat, marks), sizes)
-        return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
 
     def by_pieces(self, word: str) -> list[int]:
         """The ids of a word of printable ASCII, in lower case."""
@@ -135,14 +149,15 @@ class WordEncoder:
 
     def keep(self, words: list[str], flat: np.ndarray, sizes: np.ndarray) -> None:
         """Takes up new words with their ids, one after another in flat."""
-        first, n = len(self.number), len(words)
+        first, n = self.count, len(words)
         self.flat = grown(self.flat, self.used + len(flat))
         self.starts, self.sizes = grown(self.starts, first + n), grown(self.sizes, first + n)
         self.flat[self.used : self.used + len(flat)] = flat
         self.starts[first : first + n] = self.used + np.cumsum(sizes) - sizes
         self.sizes[first : first + n] = sizes
         self.used += len(flat)
-        self.number.update(zip(words, range(first, first + n), strict=True))
+        self.count += n
+        self.fresh += words
 
     def encode(self, column: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each with the end id after it, and how many each has."""
@@ -175,13 +190,13 @@ class WordEncoder:
         begins = np.flatnonzero(first)
         if not len(begins):
             return np.full(n, end, np.uint32), sizes
-        before = np.cumsum(inside)
-        offsets = np.append(before[begins] - 1, before[-1]).astype(np.int64)
+        sizes_in = np.add.reduceat(inside, begins, dtype=np.int64)
+        offsets = np.append(0, np.cumsum(sizes_in))
         octets = raw[inside]
         wide = np.add.reduceat(octets >= 128, offsets[:-1], dtype=np.int64)
-        octets = np.where(np.repeat(wide, np.diff(offsets)) > 0, octets, LOWER[octets])
+        octets = np.where(np.repeat(wide > 0, sizes_in), octets, LOWER[octets])
         words = pa.LargeStringArray.from_buffers(len(begins), pa.py_buffer(offsets), pa.py_buffer(octets)).dictionary_encode()
-        word = self.numbers(words.dictionary.to_pylist())[words.indices.to_numpy()]
+        word = self.numbers(words.dictionary)[words.indices.to_numpy()]
         doc = np.searchsorted(at, begins, side="right") - 1
         lengths = self.sizes[word]
         past = np.cumsum(lengths)
@@ -254,6 +269,19 @@ def read_chunk(payload: bytes) -> tuple[np.ndarray, list[int | None], np.ndarray
     return ids_from(planes, n_ids, block, bits), [d if k else None for d, k in zip(docs.tolist(), known.tolist(), strict=True)], np.frombuffer(table, "<u8", n_docs, 9 * n_docs)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together up to about limit bytes."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.nbytes
+        if size >= limit:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 class Write:
     """Encodes the sorted documents of a partition and yields its chunks."""
 
@@ -264,7 +292,7 @@ class Write:
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = kept(self.key, lambda: WordEncoder(self.path, added=self.added))
         shard, chunk, start, held, docs = TaskContext.get().partitionId(), 0, 0, [], []
-        for b in batches:
+        for b in gathered(batches, SLICE):
             for part in slices(b, "text", SLICE):
                 ids, sizes = encoder.encode(part.column("text"), self.end)
                 held.append((ids, sizes))
