@@ -32,14 +32,32 @@ def sums_before(cut: DataFrame, keys: list[str], **values: Column) -> DataFrame:
     return sums.withColumns({f"before_{n}": F.coalesce(F.sum(f"own_{n}").over(before), F.lit(0)) for n in values})
 
 
-def running_sums(df: DataFrame, keys: list[str], order: list, values: dict[str, str]) -> DataFrame:
-    """df with the running sums of whole-number columns (by the names that they get) within keys, by order. Nulls add nothing."""
+def sums_after(cut: DataFrame, keys: list[str], order: list[str], values: dict[str, str]) -> DataFrame:
+    """Rows that are equal in keys and order and lie in more than one block: for each of these blocks the sums (later_ and the name) of those in blocks after it. Two rows a block at most."""
+    place = F.struct(*order)
+    ends = cut.groupBy(*keys, BLOCK).agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    before = F.lag("last").over(Window.partitionBy(*keys).orderBy(BLOCK))
+    across = ends.withColumn("before", before).where(F.col("first") == F.col("before")).select(*[F.col(k).alias(k) for k in keys], *[F.col(f"first.{c}").alias(c) for c in order]).distinct()
+    rows = cut.join(F.broadcast(across), same(cut, across, [*keys, *order]), "left_semi")
+    sums = rows.groupBy(*keys, *order, BLOCK).agg(*[F.sum(v).alias(n) for n, v in values.items()])
+    after = Window.partitionBy(*keys, *order).orderBy(BLOCK).rowsBetween(1, Window.unboundedFollowing)
+    return sums.select(*[F.col(c).alias(c) for c in (*keys, *order, BLOCK)], *[F.sum(n).over(after).alias(f"later_{n}") for n in values])
+
+
+def running_sums(df: DataFrame, keys: list[str], order: list, values: dict[str, str], peers: bool = False) -> DataFrame:
+    """df with the running sums of whole-number columns (by the names that they get) within keys, by order. Nulls add nothing.
+    With peers, rows that are equal in keys and order (names of columns) each have the sum through the last of them, wherever they lie."""
     cut = blocks(df, keys, order)
     base = sums_before(cut, keys, **{n: F.col(v) for n, v in values.items()})
-    within = Window.partitionBy(*[cut[k] for k in keys], cut[BLOCK]).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy(*[cut[k] for k in keys], cut[BLOCK]).orderBy(*[cut[c] for c in order] if peers else order)
+    within = within.rangeBetween(Window.unboundedPreceding, 0) if peers else within.rowsBetween(Window.unboundedPreceding, 0)
     rows = cut.join(base, same(cut, base, [*keys, BLOCK]))
-    sums = [(F.coalesce(F.sum(cut[v]).over(within), F.lit(0)) + base[f"before_{n}"]).alias(n) for n, v in values.items()]
-    return rows.select(*[cut[c] for c in df.columns], *sums)
+    sums = {n: F.coalesce(F.sum(cut[v]).over(within), F.lit(0)) + base[f"before_{n}"] for n, v in values.items()}
+    if peers:
+        later = sums_after(cut, keys, order, values)
+        rows = rows.join(F.broadcast(later), same(cut, later, [*keys, *order, BLOCK]), "left")
+        sums = {n: c + F.coalesce(later[f"later_{n}"], F.lit(0)) for n, c in sums.items()}
+    return rows.select(*[cut[c] for c in df.columns], *[c.alias(n) for n, c in sums.items()])
 
 
 def running_sum(df: DataFrame, keys: list[str], order: list, value: str, name: str) -> DataFrame:

@@ -6,7 +6,8 @@ in turn, so a chain of n files takes log n rounds. Sums go over a root's items i
 root with a third of all items is no one task's.
 
 Defined results. An item whose parent is not there is a root. Items on a circle have no root, and depth_limit as their error; each is
-reported as its own root. Null sizes count as 0. Repeated item ids are not allowed (they would double in the joins).
+reported as its own root. Null sizes count as 0. Rows that repeat an item id without items of its own count once for each
+of them (they double in the joins), and all together before any is tried: each has the sums through the last. Of their errors the first by name is reported.
 """
 
 from __future__ import annotations
@@ -51,10 +52,10 @@ def nested_limits(items: DataFrame, limits: dict[str, int] = LIMITS) -> DataFram
     rows = rows.withColumn("circle", F.col("root").isNull()).withColumn("root", F.coalesce("root", "item"))
     embedded = (F.col("kind") == "file") & (F.col("root") != F.col("item"))
     rows = rows.withColumns({"one": F.lit(1).cast("bigint"), "file": embedded.cast("bigint"), "file_bytes": F.when(embedded, F.col("bytes")).otherwise(F.lit(0))})
-    rows = running_sums(rows, ["root"], ["item"], {"sum_text": "text_bytes", "sum_area": "area", "sum_files": "file", "sum_bytes": "file_bytes"})
+    rows = running_sums(rows, ["root"], ["item"], {"sum_text": "text_bytes", "sum_area": "area", "sum_files": "file", "sum_bytes": "file_bytes"}, peers=True)
     # A file's pages and frames count together, as each gives an image.
     rows = rows.withColumns({"shown": F.col("kind").isin("page", "frame").cast("bigint"), "framed": (F.col("kind") == "frame").cast("bigint"), "pictured": (F.col("kind") == "image").cast("bigint")})
-    rows = running_sums(rows, ["parent"], ["item"], {"sum_shown": "shown", "sum_framed": "framed", "sum_pictured": "pictured"})
+    rows = running_sums(rows, ["parent"], ["item"], {"sum_shown": "shown", "sum_framed": "framed", "sum_pictured": "pictured"}, peers=True)
     over = lambda c, name, when=None: F.when((F.col(c) > limits[name]) if when is None else (F.col(c) > limits[name]) & when, F.lit(f"{name}_limit"))
     kind = F.col("kind")
     error = F.coalesce(

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from lodesieve.functions.running import running_sums
 from lodesieve.operators import attachments, extraction, scan
 from lodesieve.sources.config import Config
 from lodesieve.sources.rules import Rule
@@ -201,6 +202,23 @@ def test_limits_over_trees(spark):
     assert extraction.nested_limits(df.where("false")).count() == 0
 
 
+def test_limits_over_repeated_items(spark):
+    """Rows of one id count together: five images, each with itself five times over, are more than 16 before the size of any is looked at."""
+    items = [(1, None, "file", 0, 0), (2, 1, "page", 1, 1), *[(3, 2, "image", 6000, 5000)] * 5]
+    df = spark.createDataFrame([(i, p, k, 0, w, h, 0) for i, p, k, w, h in items], "item bigint, parent bigint, kind string, bytes bigint, width bigint, height bigint, text_bytes bigint").repartition(3)
+    assert [tuple(r) for r in extraction.nested_limits(df).select("root", "items", "error_item", "error").collect()] == [(1, 27, 3, "page_images_limit")]
+
+
+def test_running_sums_of_peers(spark):
+    """As with a RANGE frame, also where equal rows lie in several blocks; keys and order may be null, values negative."""
+    rng = random.Random(9)
+    rows = [(k, rng.choice([None, 1, 2, 3, 3]), rng.choice([None, 7, 7, 7, 7, 7, 8, 9, -1]), rng.choice([None, 5, -3, 2])) for k in range(400)]
+    df = spark.createDataFrame(rows, "id int, k int, o int, v bigint").repartition(5)
+    got = {r["id"]: r["s"] for r in running_sums(df, ["k"], ["o"], {"s": "v"}, peers=True).collect()}
+    rank = lambda o: (o is not None, o or 0)
+    assert got == {i: sum(v or 0 for _, k2, o2, v in rows if k2 == k and rank(o2) <= rank(o)) for i, k, o, _ in rows}
+
+
 def test_references_in_order(spark):
     refs = [(1, k, *r) for k, r in enumerate([("url", "u"), ("file", "f"), ("url", "u"), ("file", "f"), ("url", "none"), ("url", "u")])] + [(2, k, "file", "f") for k in range(18)] + [(3, 0, "url", "u"), (3, 1, "url", "v"), (3, 2, "url", "u")]
     have = spark.createDataFrame([("url", "u", bytearray(5)), ("file", "f", bytearray(7)), ("url", "v", bytearray(90))], "kind string, ref string, content binary")
